@@ -12,7 +12,7 @@ from wickerwork.plans.tables import CTES, TODAY, Tables
 
 # The fullest basket of each leader is the query basket.
 CTES["fq"] = (["bi"], """SELECT bi.basket AS query, bi.leader, bi.item FROM bi JOIN (SELECT leader, basket,
-    row_number() OVER (PARTITION BY leader ORDER BY count(*) DESC, basket) AS rn FROM bi GROUP BY ALL) t
+    row_number() OVER (PARTITION BY leader ORDER BY count(*) DESC, basket) AS rn FROM bi GROUP BY leader, basket) t
     ON bi.basket = t.basket WHERE rn = 1""")
 CTES["wt"] = (["pl", "sz"], """SELECT leader, item, plays, n, pow(ln(n / greatest(plays, 1)), 2) AS weight
     FROM pl JOIN sz USING (leader)""")
@@ -24,8 +24,9 @@ CTES["sm"] = (["fq", "wt", "bi"], """SELECT query, leader, basket, round(CASE WH
 CTES["nb"] = (["sm"], """SELECT * FROM (SELECT *, row_number() OVER w AS rank, max(similarity) OVER (PARTITION BY query) AS best
     FROM sm WHERE similarity > 0 WINDOW w AS (PARTITION BY query ORDER BY similarity DESC, shared DESC, basket))
     WHERE rank <= 100 AND (rank <= 10 OR similarity >= 0.3 * best)""")
-CTES["vt"] = (["nb", "bi"], """SELECT query, leader, item, sum(similarity) / (SELECT sum(similarity) FROM nb x WHERE x.query = nb.query) AS share,
-    count(*) AS baskets FROM nb JOIN bi USING (leader, basket) GROUP BY ALL""")
+CTES["vt"] = (["nb", "bi"], """SELECT query, leader, item, sum(similarity) / any_value(total) AS share,
+    count(*) AS baskets FROM nb JOIN bi USING (leader, basket) JOIN (SELECT query, sum(similarity) AS total FROM nb GROUP BY 1) USING (query)
+    GROUP BY query, leader, item""")
 
 
 def full_queries(t: Tables):
@@ -109,10 +110,10 @@ def _(t):
 @query("u4_document_jaccard", """WITH w AS (SELECT DISTINCT doc_id, source, word FROM (SELECT doc_id, source,
       unnest(list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ]+'))) AS word FROM documents) WHERE word <> ''),
     f AS (SELECT word FROM w GROUP BY word HAVING count(*) BETWEEN 2 AND 12), k AS (SELECT doc_id, count(*) AS n FROM w SEMI JOIN f USING (word) GROUP BY 1),
-    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM (SELECT * FROM w SEMI JOIN f USING (word)) x
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM (SELECT * FROM w SEMI JOIN f USING (word)) x
       JOIN (SELECT * FROM w SEMI JOIN f USING (word)) y ON x.word = y.word AND x.doc_id < y.doc_id GROUP BY ALL)
-    SELECT a, b, both, round(both / (ka.n + kb.n - both), 6) AS jaccard FROM p JOIN k ka ON a = ka.doc_id JOIN k kb ON b = kb.doc_id
-    WHERE both >= 0.8 * (ka.n + kb.n - both)""")
+    SELECT a, b, shared, round(shared / (ka.n + kb.n - shared), 6) AS jaccard FROM p JOIN k ka ON a = ka.doc_id JOIN k kb ON b = kb.doc_id
+    WHERE shared >= 0.8 * (ka.n + kb.n - shared)""")
 def _(t):
     """Near-copies among documents. Candidates share one of their rare words (on 12 documents at most, so a word pairs
     66 documents at most); the Jaccard over those words is exact."""
@@ -121,12 +122,12 @@ def _(t):
     rare = words.groupBy("item").agg(F.count(F.lit(1)).alias("k")).filter("k between 2 and 12").select("item")
     kept = words.join(rare, "item")
     pairs = (kept.withColumnRenamed("basket", "a").join(kept.withColumnRenamed("basket", "b"), "item")
-             .filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("both")))
+             .filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
     sizes = kept.groupBy("basket").agg(F.count(F.lit(1)).alias("n"))
     na, nb = sizes.select(F.col("basket").alias("a"), F.col("n").alias("na")), sizes.select(F.col("basket").alias("b"), F.col("n").alias("nb"))
-    union = F.col("na") + F.col("nb") - F.col("both")
-    return (pairs.join(na, "a").join(nb, "b").filter(F.col("both") >= 0.8 * union)
-            .select("a", "b", "both", r6(F.col("both") / union).alias("jaccard")))
+    union = F.col("na") + F.col("nb") - F.col("shared")
+    return (pairs.join(na, "a").join(nb, "b").filter(F.col("shared") >= 0.8 * union)
+            .select("a", "b", "shared", r6(F.col("shared") / union).alias("jaccard")))
 
 
 @query("a6_typical_price_bracket", """SELECT leader, list_sort(list(cents))[count(*)//2+1] AS price, list_sort(list(bracket))[count(*)//2+1] AS bracket FROM (
