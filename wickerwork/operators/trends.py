@@ -51,11 +51,12 @@ def window_plays_with_total(basket_items: DataFrame, baskets: DataFrame, today:
 def kept_items(plays: DataFrame, made: DataFrame, keys: Sequence[str], share: float = 0.15, least: int = 3,
                days: Sequence[int] = RECENT_DAYS) -> DataFrame:
     """Items at least ``share`` of the baskets and ``least`` of them play in some look-back (or ever)."""
+    keys = list(keys)
     m = made.select(*keys, *[F.col(c).alias(f"made_{c}") for c in windowed(days)])
     some = F.lit(False)
     for c in windowed(days):
         some = some | (F.col(c) >= F.greatest(F.lit(float(least)), share * F.col(f"made_{c}")))
-    joined = plays.join(m, list(keys)) if keys else plays.crossJoin(F.broadcast(m))
+    joined = plays.join(m, keys) if keys else plays.withColumns({c: m.select(c).scalar() for c in m.columns})
     return joined.filter(some).select(*plays.columns)
 
 
