@@ -9,10 +9,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wickerwork.functions.numeric import half_up, idf
-from wickerwork.functions.text import (ALSO, AMBIGUOUS, COLOR_WORDS, JARGON, TYPE_WORDS, VALUE_WORDS, forms, raw_words, stem,
+from wickerwork.functions.text import (ALSO, AMBIGUOUS, COLOR_WORDS, FILLER, JARGON, TYPE_WORDS, VALUE_WORDS, forms, raw_words, stem,
                                        words)
 from wickerwork.operators.ranking import top_n
 from wickerwork.operators.textjoin import contains_join
+from wickerwork.session import cut_lineage
 
 STRONG_MATCH = 0.75
 
@@ -52,16 +53,27 @@ def verb_bases(seen: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return found.groupBy("word").agg(F.min_by("base", "p").alias("base"))
 
 
-def query_words(queries: DataFrame, variants: DataFrame) -> DataFrame:
+def spoken_words(queries: DataFrame, variants: DataFrame) -> DataFrame:
+    """(query, pos, word, stemmed, base): the words of each query in order. Stems and verb bases are worked out once per
+    distinct word, far fewer than the words of all queries, and joined back; the table is written out as everything
+    downstream reads it."""
+    said = queries.select("query", F.posexplode(raw_words(F.col("text"))).alias("pos", "word"))
+    lexicon = said.select("word").distinct().withColumn("stemmed", stem(F.col("word")))
+    bases = verb_bases(lexicon.select(F.col("stemmed").alias("word")), variants.select("word").distinct())
+    lexicon = lexicon.join(bases.withColumnRenamed("word", "stemmed"), "stemmed", "left").withColumn("base", F.coalesce("base", "stemmed"))
+    return cut_lineage(said.join(lexicon, "word").select("query", "pos", "word", "stemmed", "base"))
+
+
+def query_words(spoken: DataFrame, variants: DataFrame) -> DataFrame:
     """(query, word, root, half): a query's words as tag names write them, the types they imply, and the words they also
     stand for, at half credit."""
-    vocabulary = variants.select("word").distinct()
-    said = queries.select("query", F.explode(words(F.col("text"))).alias("word")).distinct()
-    based = said.join(verb_bases(said, vocabulary), "word", "left").select("query", F.coalesce("base", "word").alias("word"))
+    based = spoken.filter(~F.col("word").isin(FILLER)).select("query", F.col("base").alias("word"))
     full = based.unionByName(based.join(implied_words(variants), "word").select("query", F.col("implied").alias("word"))).distinct()
     extra = [(w, a) for w, others in ALSO.items() for a in others]
-    also = queries.sparkSession.createDataFrame(extra, "root string, word string")
-    added = (full.withColumnRenamed("word", "root").join(F.broadcast(also), "root").join(full, ["query", "word"], "left_anti")
+    also = spoken.sparkSession.createDataFrame(extra, "root string, word string")
+    held = full.select("query", "word", F.lit(True).alias("_held"))
+    added = (full.filter(F.col("word").isin(list(ALSO))).withColumnRenamed("word", "root").join(also, "root")
+             .join(held, ["query", "word"], "left").filter("_held is null")
              .groupBy("query", "word").agg(F.max("root").alias("root")).withColumn("half", F.lit(True)))
     return full.select("query", "word", F.col("word").alias("root"), F.lit(False).alias("half")).unionByName(added.select("query", "word", "root", "half"))
 
@@ -108,16 +120,13 @@ def phrase_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return runs.join(known, "gram").select("query", "term").distinct()
 
 
-def named_terms(queries: DataFrame, matched: DataFrame, variants: DataFrame, terms: DataFrame) -> DataFrame:
+def named_terms(spoken: DataFrame, matched: DataFrame, terms: DataFrame) -> DataFrame:
     """(query, grp, term, credit): what the words no tag took up name: tokens, colours, mana values, types, keywords."""
-    spark = queries.sparkSession
-    vocabulary = variants.select("word").distinct()
+    spark = spoken.sparkSession
     consumed = matched.filter(F.size("words") > 1).select("query", F.explode("words").alias("stemmed")).distinct()
-    said = queries.select("query", F.posexplode(raw_words(F.col("text"))).alias("pos", "word")).withColumn("stemmed", stem(F.col("word")))
-    bases = verb_bases(said.select(F.col("stemmed").alias("word")), vocabulary).withColumnsRenamed({"word": "stemmed"})
-    both = said.join(bases, "stemmed", "left").withColumn("base", F.coalesce("base", "stemmed"))
-    spoken = F.when(F.col("base") == F.col("stemmed"), F.array("word")).otherwise(F.array("word", "base"))
-    kept = (both.select("query", "pos", F.posexplode(spoken).alias("sub", "word")).withColumn("stemmed", stem(F.col("word")))
+    said = F.when(F.col("base") == F.col("stemmed"), F.array(F.struct("word", "stemmed"))).otherwise(
+        F.array(F.struct("word", "stemmed"), F.struct(F.col("base").alias("word"), F.col("base").alias("stemmed"))))
+    kept = (spoken.select("query", "pos", F.posexplode(said).alias("sub", "_s")).select("query", "pos", "sub", "_s.word", "_s.stemmed")
             .join(consumed, ["query", "stemmed"], "left_anti"))
     texts = kept.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("pos", "sub", "word", "stemmed"))).alias("_w"))
     texts = texts.select("query", F.transform("_w", lambda x: x["word"]).alias("raw"), F.transform("_w", lambda x: x["stemmed"]).alias("stems"))
@@ -146,14 +155,16 @@ def named_terms(queries: DataFrame, matched: DataFrame, variants: DataFrame, ter
 def parse(queries: DataFrame, tag_names: DataFrame, weights: DataFrame) -> DataFrame:
     """(query, grp, term, credit): the feature groups of each query."""
     variants = tag_variants(tag_names)
-    matched = matched_tags(query_words(queries, variants), variants)
+    spoken = spoken_words(queries, variants)
+    matched = cut_lineage(matched_tags(query_words(spoken, variants), variants))
     terms = weights.select("term")
-    return tag_groups(matched, weights).unionByName(named_terms(queries, matched, variants, terms))
+    return tag_groups(matched, weights).unionByName(named_terms(spoken, matched, terms))
 
 
 def score(groups: DataFrame, postings: DataFrame, weights: DataFrame) -> DataFrame:
     """(query, item, score): the weighted share of its groups each item covers, to six places, ties upward. A group weighs as
     its rarest term; the postings join is on the term, pruned by the queries' terms."""
+    groups = cut_lineage(groups)
     weighed = groups.join(weights.select("term", "weight"), "term", "left").fillna(0.0, ["weight"])
     sizes = weighed.groupBy("query", "grp").agg(F.max("weight").alias("size"))
     totals = sizes.groupBy("query").agg(F.sum("size").alias("total"))

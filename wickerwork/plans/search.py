@@ -49,7 +49,8 @@ def _(t):
 
 @query("n3_query_words", "SELECT query, word FROM qw", "qw")
 def _(t):
-    return S.query_words(t.basket_text, S.tag_variants(tag_names(t))).select("query", "word")
+    v = S.tag_variants(tag_names(t))
+    return S.query_words(S.spoken_words(t.basket_text, v), v).select("query", "word")
 
 
 @query("n6_implied_words", """WITH v AS (SELECT DISTINCT adj || ' land' AS name, adj FROM (SELECT split_part(p_name, ' ', 1) AS adj, p_name FROM part)), u AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS word, p_name FROM part)
@@ -66,7 +67,7 @@ def _(t):
 @query("j9_matched_tags", "SELECT query, term, size FROM mt", "mt")
 def _(t):
     v = S.tag_variants(tag_names(t))
-    return S.matched_tags(S.query_words(t.basket_text, v), v).select("query", "term", "size")
+    return S.matched_tags(S.query_words(S.spoken_words(t.basket_text, v), v), v).select("query", "term", "size")
 
 
 @query("n5_term_weights", "SELECT term, d, round(weight, 6) AS weight FROM sd", "sd")
@@ -77,7 +78,7 @@ def _(t):
 @query("n7_tag_groups", "SELECT query, grp, term, round(credit, 6) AS credit FROM qg", "qg")
 def _(t):
     v = S.tag_variants(tag_names(t))
-    matched = S.matched_tags(S.query_words(t.basket_text, v), v)
+    matched = S.matched_tags(S.query_words(S.spoken_words(t.basket_text, v), v), v)
     return S.tag_groups(matched, name_weights(t)).withColumn("credit", r6(F.col("credit")))
 
 
