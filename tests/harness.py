@@ -45,8 +45,9 @@ def compare(name, df, con, sql):
         return f"columns {sorted(got_names)} against {sorted(want_names)}", len(got)
     a, b = rows_of(got_names, got), rows_of(want_names, want)
     if a != b:
-        onlya = [r for r in a if r not in set(b)][:3]
-        onlyb = [r for r in b if r not in set(a)][:3]
+        sa, sb = set(a), set(b)
+        onlya = [r for r in a if r not in sb][:3]
+        onlyb = [r for r in b if r not in sa][:3]
         return f"{len(a)} rows against {len(b)}; only ours {onlya}; only SQL's {onlyb}", len(got)
     return None, len(got)
 

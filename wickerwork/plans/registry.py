@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wickerwork.plans.tables import CTES, Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+_SQL: dict[str, tuple[list[str], str]] = {}
 
 
 def query(name: str, sql: str | None = None, ctes: str = "") -> Callable:
@@ -19,12 +19,17 @@ def query(name: str, sql: str | None = None, ctes: str = "") -> Callable:
     def register(plan: Callable[[Tables], DataFrame]) -> Callable:
         QUERIES[name] = lambda spark, folder: plan(Tables(spark, folder))
         if sql is not None:
-            ORACLE[name] = with_ctes(ctes.split(), sql)
+            _SQL[name] = (ctes.split(), sql)
         return plan
 
     return register
 
 
+def oracle() -> dict[str, str]:
+    """The SQL of every query that has one, with the bindings it reads."""
+    return {name: with_ctes(ctes, sql) for name, (ctes, sql) in _SQL.items()}
+
+
 def with_ctes(names: list[str], sql: str) -> str:
     """Prefix the bindings a statement reads, and those they read."""
     order: list[str] = []
