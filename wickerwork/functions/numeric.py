@@ -20,8 +20,8 @@ def half_up(x: Column) -> Column:
 
 
 def cents(amount: Column) -> Column:
-    """Money amount (number or decimal string) to integer cents, ties to even; null stays null."""
-    return half_even(amount.cast("double") * 100).cast("int")
+    """Money amount (number or decimal string) to integer cents, ties to even; null for none or no number."""
+    return half_even(amount.try_cast("double") * 100).cast("int")
 
 
 def rarity(n: Column, plays: Column) -> Column:
@@ -36,17 +36,19 @@ def idf(n: Column, d: Column) -> Column:
 
 def share(k: Column, n: Column) -> Column:
     """k / n, null when n is 0."""
-    return F.when(n != 0, k / n)
+    return F.try_divide(k, n)
 
 
 def compare(k1: Column, n1: Column, k2: Column, n2: Column, rate: Column,
             prior: float = PRIOR_GAMES, design: float = DESIGN_EFFECT) -> tuple[Column, Column]:
     """(lift, evidence) of k1 wins in n1 games against k2 in n2. The lift shrinks both sides toward ``rate``
-    by ``prior`` games; the evidence is the raw difference in standard errors, a game counting 1/design."""
+    by ``prior`` games; the evidence is the raw difference in standard errors, a game counting 1/design (null where a side
+    has no games)."""
     shrunk = lambda k, n: (k + rate * prior) / (n + prior)
     lift = shrunk(k1, n1) - shrunk(k2, n2)
-    spread = F.sqrt(design * rate * (1 - rate) * (1 / n1 + 1 / n2))
-    return lift, (k1 / n1 - k2 / n2) / spread
+    one = F.lit(1.0)
+    spread = F.sqrt(design * rate * (1 - rate) * (share(one, n1) + share(one, n2)))
+    return lift, share(share(k1, n1) - share(k2, n2), spread)
 
 
 def phi(both: Column, a: Column, b: Column, n: Column) -> Column:
@@ -61,7 +63,7 @@ def match_points(wins: Column, draws: Column) -> Column:
 
 
 def points_per_game(games: Column, wins: Column, draws: Column) -> Column:
-    return F.when(games > 0, match_points(wins, draws) / games).otherwise(F.lit(0.0))
+    return F.coalesce(share(match_points(wins, draws), games), F.lit(0.0))
 
 
 def round_amount(x: Column) -> Column:

@@ -107,7 +107,7 @@ def spoken_price(query: Column) -> Column:
     """A price limit said in a query with a currency sign or word; null where there is none."""
     low = F.lower(query)
     found = [F.nullif(F.regexp_extract(low, PRICE, g), F.lit("")) for g in (1, 2, 3)]
-    return F.coalesce(*found).cast("double")
+    return F.coalesce(*found).try_cast("double")
 
 
 def price_limit(query: Column, rate: Column | float = 1.0, budget: float = 1.0) -> Column:

@@ -331,10 +331,10 @@ def played_differently(grouped: DataFrame, members: DataFrame, keys: Sequence[st
     counts = grouped.groupBy(*keys, "item", "side").agg(F.count(F.lit(1)).alias("k"))
     rows = (counts.groupBy(*keys, "item").agg(on(a, "k").alias("ka"), on(b, "k").alias("kb")).join(size, keys)
             .filter((F.col("na") > 0) & (F.col("nb") > 0)))
-    p = (F.col("ka") + F.col("kb")) / (F.col("na") + F.col("nb"))
-    se = F.sqrt(p * (1 - p) * (1 / F.col("na") + 1 / F.col("nb")))
-    rows = (rows.withColumn("a", F.col("ka") / F.col("na")).withColumn("b", F.col("kb") / F.col("nb"))
-            .withColumn("evidence", F.when(se > 0, (F.col("b") - F.col("a")) / se).otherwise(F.lit(0.0)))
+    p = F.try_divide(F.col("ka") + F.col("kb"), F.col("na") + F.col("nb"))
+    se = F.sqrt(p * (1 - p) * (F.try_divide(F.lit(1.0), F.col("na")) + F.try_divide(F.lit(1.0), F.col("nb"))))
+    rows = (rows.withColumn("a", F.try_divide("ka", "na")).withColumn("b", F.try_divide("kb", "nb"))
+            .withColumn("evidence", F.coalesce(F.try_divide(F.col("b") - F.col("a"), se), F.lit(0.0)))
             .filter(F.greatest("a", "b") >= least).withColumn("gap", F.round(F.col("b") - F.col("a"), DIGITS)).filter("gap <> 0")
             .withColumn("direction", F.when(F.col("gap") > 0, "more").otherwise("less")))
     return top_n(rows.select(*keys, "direction", "item", "a", "b", "evidence", "gap"), [*keys, "direction"],

@@ -158,7 +158,7 @@ def bundle_extras(running: DataFrame, sets: DataFrame, basket_items: DataFrame,
     both = (running.join(basket_items.select("leader", "basket", "item"), ["leader", "basket"]).groupBy("leader", "bundle", "item")
             .agg(F.count(F.lit(1)).alias("both")).filter(F.col("both") >= with_least).join(sets, ["leader", "bundle", "item"], "left_anti"))
     rows = both.join(k, ["leader", "bundle"]).join(plays, ["leader", "item"]).join(n, "leader").filter(F.col("n") > F.col("k"))
-    rows = (rows.withColumn("share", F.col("both") / F.col("k")).withColumn("base", (F.col("plays") - F.col("both")) / (F.col("n") - F.col("k")))
+    rows = (rows.withColumn("share", F.col("both") / F.col("k")).withColumn("base", F.try_divide(F.col("plays") - F.col("both"), F.col("n") - F.col("k")))
             .withColumn("phi", F.round(phi(F.col("both"), F.col("k"), F.col("plays"), F.col("n")), DIGITS))
             .filter((F.col("phi") >= least) & (F.col("share") > F.col("base"))))
     return top_n(rows.select("leader", "bundle", "item", "share", "base", "both", "phi"), ["leader", "bundle"], [F.desc("phi"), F.asc("item")], count)

@@ -54,7 +54,7 @@ def plausible(links: DataFrame, latest: DataFrame, prices: DataFrame, sure: floa
     """Links whose latest price there is within a factor of ours. latest(guide_id, theirs), prices(variant, ours)."""
     rows = links.join(latest, "guide_id").join(prices, "variant")
     within = F.when(F.col("sure"), sure).otherwise(unsure)
-    ratio = F.col("theirs") / F.col("ours")
+    ratio = F.try_divide("theirs", "ours")
     return rows.filter(ratio.between(1 / within, within))
 
 

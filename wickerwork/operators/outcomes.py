@@ -74,8 +74,8 @@ def pooled(item_rows: DataFrame, leader_rows: DataFrame, field: DataFrame, least
     fair = ((F.col("baskets") >= least) & (F.col("all_baskets") - F.col("baskets") >= least) & (F.col("games") > 0)
             & (F.col("games") < F.col("all_games")))
     others = F.col("all_games") - F.col("games")
-    weight = 1 / (1 / F.col("games") + 1 / others)
-    gap = F.col("wins") / F.col("games") - (F.col("all_wins") - F.col("wins")) / others
+    weight = F.try_divide(F.lit(1.0), share(F.lit(1.0), F.col("games")) + share(F.lit(1.0), others))
+    gap = share(F.col("wins"), F.col("games")) - share(F.col("all_wins") - F.col("wins"), others)
     sums = rows.groupBy("item", "w").agg(
         F.sum("baskets").alias("baskets"), F.count(F.when(fair, 1)).alias("_leaders"),
         F.sum(F.when(fair, weight * gap)).alias("_d"), F.sum(F.when(fair, weight)).alias("_w"))
@@ -93,7 +93,7 @@ def item_results(item_rows: DataFrame, leader_rows: DataFrame, least: int = MIN_
     t = leader_rows.filter(F.col("baskets") >= 2 * least).select("leader", "w", *[F.col(c).alias(f"all_{c}") for c in COUNTS[:5]])
     rest = lambda c: F.col(f"all_{c}") - F.col(c)
     rows = item_rows.join(t, ["leader", "w"]).filter((F.col("baskets") >= least) & (rest("baskets") >= least))
-    lift, evidence = compare(F.col("wins"), F.col("games"), rest("wins"), rest("games"), F.col("all_wins") / F.col("all_games"))
+    lift, evidence = compare(F.col("wins"), F.col("games"), rest("wins"), rest("games"), share(F.col("all_wins"), F.col("all_games")))
     return rows.select("leader", "item", "w", "baskets", share(F.col("baskets"), F.col("all_baskets")).alias("share"), "games",
                        share(F.col("wins"), F.col("games")).alias("win_rate"), share(rest("wins"), rest("games")).alias("win_rate_without"),
                        lift.alias("lift"), evidence.alias("evidence"), share(F.col("cuts"), F.col("cut_baskets")).alias("conversion"),
@@ -115,7 +115,7 @@ def bundle_results(entries: DataFrame, covered: DataFrame, bundles: DataFrame) -
         rows = rows.withColumns({f"all_{c}": part("all", c), f"some_{c}": part("some", c)})
     for c in COUNTS[:5]:
         rows = rows.withColumn(f"none_{c}", F.col(c) - F.col(f"all_{c}") - F.col(f"some_{c}"))
-    rate = F.col("wins") / F.col("games")
+    rate = share(F.col("wins"), F.col("games"))
     fair = (F.col("all_games") > 0) & (F.col("none_games") > 0) & (rate > 0) & (rate < 1)
     lift, evidence = compare(F.col("all_wins"), F.col("all_games"), F.col("none_wins"), F.col("none_games"), rate)
     return rows.select("leader", "bundle", *[f"{s}_{c}" for s in ("all", "none", "some") for c in COUNTS[:5]],
@@ -133,7 +133,7 @@ def wins_more_with(entries: DataFrame, holders: DataFrame, entry_items: DataFram
     rows = both.join(t, ["leader", "x"]).withColumns({
         "without_baskets": F.col("n") - F.col("with_baskets"), "without_games": F.col("g") - F.col("with_games"),
         "without_wins": F.col("k") - F.col("with_wins")})
-    rate = F.col("k") / F.col("g")
+    rate = share(F.col("k"), F.col("g"))
     rows = rows.filter((F.col("with_baskets") >= least) & (F.col("without_baskets") >= least) & (F.col("with_games") > 0)
                        & (F.col("without_games") > 0) & (rate > 0) & (rate < 1))
     lift, evidence = compare(F.col("with_wins"), F.col("with_games"), F.col("without_wins"), F.col("without_games"), rate)
@@ -151,7 +151,7 @@ def win_ties(entries: DataFrame, runs: DataFrame, least: int = MIN_RESULT_BASKET
     two = (runs.withColumnRenamed("node", "a").join(runs.withColumnRenamed("node", "b"), ["leader", "entry"]).filter("a < b")
            .join(facts, "entry").groupBy("leader", "a", "b").agg(*sums))
     rows = one.unionByName(two).join(t, "leader")
-    rate = F.col("all_wins") / F.col("all_games")
+    rate = share(F.col("all_wins"), F.col("all_games"))
     rest_g, rest_w = F.col("all_games") - F.col("games"), F.col("all_wins") - F.col("wins")
     fair = (F.col("baskets") >= least) & (F.col("games") > 0) & (rest_g > 0) & (rate > 0) & (rate < 1)
     lift, evidence = compare(F.col("wins"), F.col("games"), rest_w, rest_g, rate)
@@ -325,9 +325,9 @@ def clearest_changes(entries: DataFrame, entry_items: DataFrame) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("baskets"), F.sum("games").alias("games"), F.sum("wins").alias("wins")))
     gw, kw = F.col("all_games") - F.col("games"), F.col("all_wins") - F.col("wins")
     rows = have.join(t, ["player", "leader"]).filter((F.col("n") >= 2) & (F.col("baskets") < F.col("n")) & (F.col("games") > 0) & (gw > 0))
-    rate, without = F.col("wins") / F.col("games"), kw / gw
+    rate, without = share(F.col("wins"), F.col("games")), share(kw, gw)
     return rows.select("player", "leader", "item", "baskets", rate.alias("rate"), without.alias("rate_without"),
-                       (F.abs(rate - without) * F.sqrt(1 / (1 / F.col("games") + 1 / gw))).alias("clear"))
+                       (F.abs(rate - without) * F.sqrt(F.try_divide(F.lit(1.0), share(F.lit(1.0), F.col("games")) + share(F.lit(1.0), gw)))).alias("clear"))
 
 
 def basket_check(results: DataFrame, query_items: DataFrame, colors_ok: DataFrame, signal: float = 2.0) -> DataFrame:

@@ -124,7 +124,7 @@ def played_more_with(pairs: DataFrame, plays: DataFrame, n: DataFrame, least: in
     rows = (with_plays(both_ways(pairs), plays, n).withColumnsRenamed({"a": "x", "b": "item"})
             .filter((F.col("plays_a") >= playing) & (F.col("both") >= least)))
     base, share = F.col("plays_b") / F.col("n"), F.col("both") / F.col("plays_a")
-    z = (share - base) / F.sqrt(base * (1 - base) / F.col("plays_a"))
+    z = F.try_divide(share - base, F.sqrt(base * (1 - base) / F.col("plays_a")))
     return (rows.filter(share > base).withColumn("base", base).withColumn("share", share).withColumn("evidence", z)
             .filter(F.col("evidence") >= evidence)
             .withColumn("score", F.round((F.col("both") - F.col("plays_a") * base) / (F.col("plays_a") + prior), DIGITS))

@@ -121,7 +121,7 @@ def movers(rows: DataFrame, now: str, was: str, top: int = TOP_MOVERS) -> tuple[
     rows(variant, finish_class, now, was)."""
     moved = rows.filter((F.col(was) > 0) & (F.least(now, was) >= MIN_MOVER) & (F.abs(F.col(now) - F.col(was)) >= MIN_MOVE))
     moved = (moved.withColumn("band", band_of(F.least(now, was))).withColumn("rose", F.col(now) > F.col(was))
-             .withColumn("change", F.round(F.abs(F.log(F.col(now) / F.col(was))), 9)))
+             .withColumn("change", F.round(F.abs(F.log(F.try_divide(now, was))), 9)))
     group = ["finish_class", "band", "rose"]
     ranked = top_n(moved, group, [F.desc("change"), F.asc("variant")], top + 1)
     cut = ranked.groupBy(*group).agg(F.max(F.when(F.col("rank") == top, F.col("change"))).alias("_c"), F.max("rank").alias("_m"))
@@ -224,20 +224,20 @@ def order_rows(rows: DataFrame, order: str, was: str, floor: int = 0) -> DataFra
     """A price list by rising, falling or priciest."""
     if order == "priciest":
         return rows.orderBy(F.desc("now"), F.asc("variant"))
-    ratio = F.round(F.col("now") / F.col(was), 9)
+    ratio = F.round(F.try_divide("now", was), 9)
     kept = rows.filter(F.least("now", was) >= floor).withColumn("ratio", ratio)
     return kept.orderBy(F.desc("ratio") if order == "rising" else F.asc("ratio"), F.asc("variant"))
 
 
 def rebuild(deltas: DataFrame) -> DataFrame:
     """Series from (variant, finish, pos, days since the point before, change or null): (day number, cents, stop, gap).
-    ``gap`` marks a point more than 21 days after the one before without prices between, or a start after a stop."""
+    Prices are level between points; a point right after a stop starts after a stretch with none."""
     run = W.partitionBy(*SERIES).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
     order = W.partitionBy(*SERIES).orderBy("pos")
     rows = deltas.withColumns({"day": F.sum("days").over(run), "_c": F.sum(F.coalesce("change", F.lit(0))).over(run)})
     rows = rows.withColumn("stop", F.col("change").isNull()).withColumn("_before", F.lag("stop").over(order))
-    gap = F.coalesce(F.col("_before"), F.lit(False)) | (~F.col("stop") & (F.col("days") > GAP_DAYS) & F.col("_before").isNull())
-    return rows.select(*SERIES, "day", F.when(~F.col("stop"), F.col("_c")).alias("cents"), "stop", gap.alias("starts_after_none"))
+    return rows.select(*SERIES, "day", F.when(~F.col("stop"), F.col("_c")).alias("cents"), "stop",
+                       F.coalesce("_before", F.lit(False)).alias("starts_after_none"))
 
 
 def price_gaps(on_days: DataFrame, days: int = GAP_DAYS) -> DataFrame:

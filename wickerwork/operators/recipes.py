@@ -82,7 +82,7 @@ def near_recipes(query_items: DataFrame, recipe_items: DataFrame, counts: DataFr
     held = (query_items.join(recipe_items.select("recipe", "item"), "item").groupBy("query", "recipe")
             .agg(F.collect_set("item").alias("_held")))
     return (held.join(size, "recipe").filter(F.size("_held") == F.col("size") - 1).join(counts, "recipe")
-            .select("query", "recipe", F.array_except("_all", "_held")[0].alias("missing"), "baskets"))
+            .select("query", "recipe", F.get(F.array_except("_all", "_held"), F.lit(0)).alias("missing"), "baskets"))
 
 
 def recipe_text(recipes: DataFrame) -> DataFrame:
@@ -117,7 +117,7 @@ def group_recipes(recipes: DataFrame, keys: Sequence[str] = ("leader",)) -> Data
     by key. What is left of one leader, size, need and product is walked in order, in a group of its own."""
     keys = list(keys)
     named = recipes.withColumn("items", F.array_sort("items")).withColumn("_like", F.concat_ws("\u0001", F.array_join("needs", "\u0002"),
-                                                                     F.coalesce(F.col("makes")[0], F.lit("")), F.size("items").cast("string")))
+                                                                     F.coalesce(F.get("makes", F.lit(0)), F.lit("")), F.size("items").cast("string")))
     first = named.groupBy(*keys, "items").agg(F.min_by(F.struct("recipe", "pos", "_like"), "pos").alias("_f"))
     rows = first.select(*keys, "items", "_f.recipe", "_f.pos", "_f._like")
     types = {f.name: f.dataType.simpleString() for f in recipes.schema.fields}

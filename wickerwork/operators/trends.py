@@ -145,7 +145,7 @@ def spec_buys(trends: DataFrame, prices: DataFrame, share: float = SPEC["share"]
               flat: float = SPEC["flat"], floor: int = 0) -> DataFrame:
     """Items played far more than usual whose price has not moved. prices(item, now, then)."""
     rows = trends.join(prices.select("item", F.col("now").alias("price"), "then"), "item")
-    ratio = F.col("price") / F.col("then")
+    ratio = F.try_divide("price", "then")
     return (rows.filter((F.col("share") >= share) & (F.col("share") >= played * F.col("was")) & (F.least("price", "then") >= floor)
                         & (F.abs(ratio - 1) < flat))
             .select("item", "share", "was", "price", "then", (F.col("share") / F.col("was")).alias("times")))
@@ -155,8 +155,8 @@ def buyouts(trends: DataFrame, prices: DataFrame, rise_: float = BUYOUT["rise"],
     """Items whose price rose though they are played no more than usual, or not at all."""
     rows = prices.select("item", F.col("now").alias("price"), "then").join(trends, "item", "left")
     quiet = F.col("share").isNull() | (F.col("share") < played * F.col("was"))
-    return rows.filter((F.least("price", "then") >= floor) & (F.col("price") / F.col("then") >= 1 + rise_) & quiet).select(
-        "item", "price", "then", "share", "was", (F.col("price") / F.col("then")).alias("ratio"))
+    return rows.filter((F.least("price", "then") >= floor) & (F.try_divide("price", "then") >= 1 + rise_) & quiet).select(
+        "item", "price", "then", "share", "was", F.try_divide("price", "then").alias("ratio"))
 
 
 def outcome_spikes(pooled_rows: DataFrame, field: DataFrame, prices: DataFrame, recent: int = 90, usual: int = 365,

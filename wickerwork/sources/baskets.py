@@ -45,7 +45,7 @@ def listed_baskets(lines: DataFrame, least: int = LEAST_COPIES, most: int = MOST
     lead = F.coalesce(F.array_contains("_e.categories", "Commander"), F.lit(False))
     rows = inside.select("basket", item.alias("item"), copies.alias("copies"), lead.alias("lead"))
     items = _usable(rows, least, most).groupBy("basket", "item").agg(F.sum("copies").alias("copies"), F.bool_or("lead").alias("lead"))
-    day = lambda c: F.to_date(F.substring(c, 1, 10))
+    day = lambda c: F.substring(c, 1, 10).try_cast("date")
     heads = records.select(F.col("id").alias("basket"), "name", day("updatedAt").alias("updated"), day("createdAt").alias("created"),
                            F.col("edhBracket").alias("bracket"), F.coalesce("viewCount", F.lit(0)).alias("views"))
     return heads.join(items.select("basket").distinct(), "basket", "left_semi"), items
@@ -60,7 +60,7 @@ def boarded_baskets(lines: DataFrame, variant_items: DataFrame, least: int = LEA
     found = rows.join(variant_items, "variant").withColumn("lead", F.col("board") == "commanders")
     merged = found.groupBy("basket", "item").agg(F.sum("copies").alias("copies"), F.bool_or("lead").alias("lead"))
     items = _usable(merged, least, most)
-    day = lambda c: F.to_date(F.substring(c, 1, 10))
+    day = lambda c: F.substring(c, 1, 10).try_cast("date")
     heads = records.select(F.col("publicId").alias("basket"), "name", day("lastUpdatedAtUtc").alias("updated"), day("createdAtUtc").alias("created"),
                            "bracket", F.coalesce("viewCount", F.lit(0)).alias("views"))
     return heads.join(items.select("basket").distinct(), "basket", "left_semi"), items
@@ -91,7 +91,7 @@ def parse_lists(lists: DataFrame, names: DataFrame) -> DataFrame:
     rows = rows.withColumn("_blocks", F.max("block").over(W.partitionBy("list")))
     body = rows.filter((F.col("line") != "") & F.col("_head").isNull() & ~F.col("line").startswith("#"))
     part = lambda g: F.regexp_extract("line", LINE, g)
-    body = body.withColumns({"copies": F.coalesce(F.nullif(part(1), F.lit("")).cast("int"), F.lit(1)),
+    body = body.withColumns({"copies": F.coalesce(F.nullif(part(1), F.lit("")).try_cast("int"), F.lit(1)),
                              "key": fold(F.regexp_replace(part(2), r"(?i)\s+\*CMDR\*$", "")), "set": F.nullif(F.lower(part(3)), F.lit("")),
                              "collector": F.nullif(part(4), F.lit("")), "_marks": part(5), "_cat": F.lower(F.trim(F.regexp_extract(part(6), r"^([^,{]*)", 1)))})
     body = body.join(names, "key", "left")

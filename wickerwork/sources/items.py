@@ -44,12 +44,12 @@ def load_variants(lines: DataFrame) -> DataFrame:
     """Paper variants with their item (the first face's where the record has none) and release date."""
     rows = parse_lines(lines, VARIANT)
     item = F.coalesce("oracle_id", F.try_element_at("card_faces", F.lit(1))["oracle_id"])
-    return rows.withColumn("item", item).filter(F.col("item").isNotNull() & ~F.coalesce("digital", F.lit(False))).withColumn("released", F.to_date("released_at"))
+    return rows.withColumn("item", item).filter(F.col("item").isNotNull() & ~F.coalesce("digital", F.lit(False))).withColumn("released", F.col("released_at").try_cast("date"))
 
 
 def item_summary(variants: DataFrame) -> DataFrame:
     """(item, price, released): cheapest dollar price over finishes and first release."""
-    usd = F.least(*[F.nullif(F.col("prices")[f], F.lit("")).cast("double") for f in PRICE_FIELDS[:3]])
+    usd = F.least(*[F.nullif(F.col("prices")[f], F.lit("")).try_cast("double") for f in PRICE_FIELDS[:3]])
     return variants.groupBy("item").agg(F.min(usd).alias("price"), F.min("released").alias("released"))
 
 

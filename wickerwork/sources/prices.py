@@ -28,7 +28,7 @@ def guides(spark: SparkSession) -> DataFrame:
 def _named(rows: DataFrame) -> DataFrame:
     """(variant, provider, price_finish, day, price) to (day, variant, field, cents), by the guide table."""
     return (rows.join(guides(rows.sparkSession), ["provider", "price_finish"])
-            .select(F.to_date(F.substring(F.col("day").cast("string"), 1, 10)).alias("day"), "variant", "field", half_even(F.col("price") * 100).cast("long").alias("cents")))
+            .select(F.substring(F.col("day").cast("string"), 1, 10).try_cast("date").alias("day"), "variant", "field", half_even(F.col("price") * 100).cast("long").alias("cents")))
 
 
 def nested_prices(lines: DataFrame, ids: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def csv_prices(lines: DataFrame, ids: DataFrame) -> DataFrame:
     """Paper retail rows of the CSV form, given as lines."""
     rows = lines.select(F.from_csv("value", CSV).alias("_r")).select("_r.*")
     kept = rows.filter("gameAvailability = 'paper' and providerListing = 'retail'").join(ids, "uuid")
-    return _named(kept.select("variant", F.col("priceProvider").alias("provider"), F.col("cardFinish").alias("price_finish"), F.col("date").alias("day"), F.col("price").cast("double").alias("price")))
+    return _named(kept.select("variant", F.col("priceProvider").alias("provider"), F.col("cardFinish").alias("price_finish"), F.col("date").alias("day"), F.col("price").try_cast("double").alias("price")))
 
 
 def table_prices(table: DataFrame) -> DataFrame:
@@ -58,8 +58,8 @@ def old_prices(lines: DataFrame) -> DataFrame:
     each = [rows.select(F.col("scryfallId").alias("variant"), F.lit(f).alias("field"), F.explode(f"prices.{c}").alias("day", "price")) for c, f in (("paper", "usd"), ("paperFoil", "usd_foil"))]
     long = each[0].unionByName(each[1]).filter("price <> 0")
     counts = long.select("day", "variant").distinct().groupBy("day").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.agg(F.max(F.struct("n", (-F.unix_date(F.to_date("day"))).alias("_m"), "day")).alias("_b")).select(F.col("_b.day").alias("day"))
-    return long.join(best, "day", "left_semi").select(F.to_date("day").alias("day"), "variant", "field", half_even(F.col("price") * 100).cast("long").alias("cents"))
+    best = counts.agg(F.max(F.struct("n", (-F.unix_date(F.col("day").try_cast("date"))).alias("_m"), "day")).alias("_b")).select(F.col("_b.day").alias("day"))
+    return long.join(best, "day", "left_semi").select(F.col("day").try_cast("date").alias("day"), "variant", "field", half_even(F.col("price") * 100).cast("long").alias("cents"))
 
 
 def anchors(pages: DataFrame, pattern: str, first: str, second: str) -> DataFrame:
@@ -71,7 +71,11 @@ def anchors(pages: DataFrame, pattern: str, first: str, second: str) -> DataFram
 
 def listed_variants(pages: DataFrame) -> DataFrame:
     """(page_id, pos, slug, number, foil, code, tag, guide_id): the variants a guide's page links to."""
-    unescape = lambda c: F.replace(F.replace(F.replace(c, F.lit("&#39;"), F.lit("'")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
+    def unescape(c):
+        for code, sign in (("&lt;", "<"), ("&gt;", ">"), ("&#39;", "'"), ("&#x27;", "'"), ("&quot;", '"'), ("&amp;", "&")):
+            c = F.replace(c, F.lit(code), F.lit(sign))
+        return c
+
     rows = anchors(pages, ANCHOR, "_id", "_href").withColumns({"guide_id": unescape(F.col("_id")), "href": unescape(F.col("_href"))})
     return rows.filter(F.col("href").rlike(HREF) & F.col("guide_id").rlike(r"\[[^\]]+\]")).select(
         "page_id", "pos", F.regexp_extract("href", HREF, 1).alias("slug"), F.nullif(F.regexp_extract("href", HREF, 2), F.lit("")).alias("number"),
@@ -81,4 +85,4 @@ def listed_variants(pages: DataFrame) -> DataFrame:
 def script_history(scripts: DataFrame) -> DataFrame:
     """(guide_id, day, cents): the dated prices in script texts. scripts(guide_id, text)."""
     both = F.arrays_zip(F.regexp_extract_all("text", F.lit(POINT), F.lit(1)).alias("d"), F.regexp_extract_all("text", F.lit(POINT), F.lit(2)).alias("p"))
-    return scripts.select("guide_id", F.explode(both).alias("_z")).select("guide_id", F.to_date("_z.d").alias("day"), half_even(F.col("_z.p").cast("double") * 100).cast("long").alias("cents"))
+    return scripts.select("guide_id", F.explode(both).alias("_z")).select("guide_id", F.col("_z.d").try_cast("date").alias("day"), half_even(F.col("_z.p").try_cast("double") * 100).cast("long").alias("cents"))
