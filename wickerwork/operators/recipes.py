@@ -1,4 +1,4 @@
-"""Recipes (rules a basket satisfies when it holds every item), found by their rarest item first.
+"""Recipes (rules a basket satisfies when it holds every item), found by their rarest items first.
 
 Tables: recipe_items(recipe, item, must_lead), basket_items(leader, basket, item)."""
 
@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wickerwork.operators.ranking import top_n
+from wickerwork.session import cut_lineage
 
 
 def valid_recipes(recipe_items: DataFrame, known: DataFrame) -> DataFrame:
@@ -28,33 +29,44 @@ def allowed_leaders(recipe_items: DataFrame, leader_items: DataFrame) -> DataFra
     return held
 
 
-def rarest_item(recipe_items: DataFrame, plays: DataFrame) -> DataFrame:
-    """(recipe, item, size): each recipe's least played item. plays(item, plays)."""
+def by_rarity(recipe_items: DataFrame, plays: DataFrame) -> DataFrame:
+    """(recipe, item, place, size): a recipe's few items, least played first. plays(item, plays)."""
     counted = recipe_items.select("recipe", "item").distinct().join(plays, "item", "left").fillna(0, ["plays"])
-    return counted.groupBy("recipe").agg(F.min_by("item", F.struct("plays", "item")).alias("item"), F.count(F.lit(1)).alias("size"))
+    whole = W.partitionBy("recipe")
+    return counted.select("recipe", "item", F.row_number().over(whole.orderBy("plays", "item")).alias("place"), F.count(F.lit(1)).over(whole).alias("size"))
 
 
 def baskets_with_recipes(basket_items: DataFrame, recipe_items: DataFrame, leader_items: DataFrame | None = None) -> DataFrame:
     """(leader, basket, recipe): baskets holding every item of a recipe, their leader's own items counting as held.
 
-    Candidates are the baskets holding the recipe's rarest item, so the common items of a recipe are only ever looked up
-    for those. Recipes with items that must lead are kept to the leaders that have them."""
+    Baskets are first matched with the distinct pairs of two rarest items, which many recipes share; only those holding a
+    pair meet its recipes, and only the items beyond the pair are then looked up and counted. Recipes with items that must
+    lead are kept to the leaders that have them."""
     held = basket_items.select("leader", "basket", "item").distinct()
     if leader_items is not None:
         own = held.select("leader", "basket").distinct().join(leader_items, "leader")
         held = held.unionByName(own.select("leader", "basket", "item")).distinct()
+    held = cut_lineage(held)
     plays = held.groupBy("item").agg(F.count(F.lit(1)).alias("plays"))
-    rarest = rarest_item(recipe_items, plays)
-    candidates = held.join(rarest, "item").select("leader", "basket", "recipe", "size")
-    needed = recipe_items.select("recipe", "item").distinct()
-    found = (candidates.join(needed, "recipe").join(held, ["leader", "basket", "item"])
-             .groupBy("leader", "basket", "recipe", "size").agg(F.count(F.lit(1)).alias("k"))
-             .filter(F.col("k") == F.col("size")).select("leader", "basket", "recipe"))
+    ranked = cut_lineage(by_rarity(recipe_items, plays))
+    at = lambda k: F.max(F.when(F.col("place") == k, F.col("item")))
+    heads = ranked.groupBy("recipe", "size").agg(at(1).alias("first"), at(2).alias("second"))
+    alone = held.withColumnRenamed("item", "first").join(heads.filter("size = 1"), "first").select("leader", "basket", "recipe")
+    pairs = heads.filter("size > 1").select("first", "second").distinct()
+    both = (held.withColumnRenamed("item", "first").join(pairs, "first")
+            .join(held.withColumnRenamed("item", "second"), ["leader", "basket", "second"]))
+    met = cut_lineage(both.join(heads, ["first", "second"]).select("leader", "basket", "recipe", "size"))
+    rest = ranked.filter("place > 2").select("recipe", "item")
+    more = (met.filter("size > 2").join(rest, "recipe").join(held, ["leader", "basket", "item"])
+            .groupBy("leader", "basket", "recipe", "size").agg(F.count(F.lit(1)).alias("k"))
+            .filter(F.col("k") == F.col("size") - 2).select("leader", "basket", "recipe"))
+    found = alone.unionByName(met.filter("size = 2").select("leader", "basket", "recipe")).unionByName(more)
     musts = recipe_items.filter("must_lead").select("recipe").distinct()
     free = found.join(musts, "recipe", "left_anti")
     if leader_items is None:
         return free
-    return free.unionByName(found.join(allowed_leaders(recipe_items, leader_items), ["leader", "recipe"]).select(*free.columns))
+    led = found.join(musts, "recipe", "left_semi").join(allowed_leaders(recipe_items, leader_items), ["leader", "recipe"])
+    return free.unionByName(led.select(*free.columns))
 
 
 def leader_recipes(found: DataFrame, n: DataFrame, least: int = 5, common: float = 0.02) -> DataFrame:
