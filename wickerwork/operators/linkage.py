@@ -23,7 +23,8 @@ def link_variants(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """(variant, guide_id, pass, score, sure): the guide's listing of each of our variants.
 
     ours(variant, name, foil, set_name, codes array, parent_name, parent_codes array, number, promo_types array);
-    theirs(name, foil, pos, slug, number null, code, tag, guide_id). Listings are blocked by name and finish. A listing may be
+    theirs(name, foil, pos, slug, number null, code, tag, guide_id). Listings are blocked by name, finish and number
+    (or having none). A listing may be
     of the variant's set, a tagged one of the set it is from, or one of a promo set its types name; the first of these ways
     that finds any is used, and of several the one that scores best, the earliest on a tie."""
     tail = F.element_at(F.split("number", "-"), -1)
@@ -31,8 +32,10 @@ def link_variants(ours: DataFrame, theirs: DataFrame) -> DataFrame:
         "_numbers": F.array("number", tail, F.regexp_replace(tail, r"\D+$", ""), F.regexp_replace(tail, r"^\D+|\D+$", "")),
         "_wanted": F.transform("promo_types", lambda t: fold_key(F.coalesce(lookup(PROMO_TAGS)[t], t)))})
     listed = theirs.select("name", "foil", "pos", "slug", F.col("number").alias("their_number"), F.col("code"), F.coalesce("tag", F.lit("")).alias("tag"), "guide_id")
-    rows = mine.join(listed, ["name", "foil"]).withColumns({"_tag": fold_key(F.col("tag")), "_slug": fold_key(F.col("slug"))})
-    rows = rows.filter(F.col("their_number").isNull() | F.array_contains("_numbers", F.col("their_number")))
+    unnumbered = F.lit("\u0000")
+    mine = mine.withColumn("_n", F.explode(F.array_distinct(F.concat("_numbers", F.array(unnumbered)))))
+    listed = listed.withColumn("_n", F.coalesce("their_number", unnumbered))
+    rows = mine.join(listed, ["name", "foil", "_n"]).withColumns({"_tag": fold_key(F.col("tag")), "_slug": fold_key(F.col("slug"))})
     by_tag = F.exists("_wanted", lambda w: F.contains(F.col("_tag"), w))
     named = by_tag | F.exists("_wanted", lambda w: F.contains(F.col("_slug"), w))
     promo_words = F.array(*[F.lit(w) for w in sorted({"".join(c for c in v if c.isalnum()) for v in PROMO_TAGS.values()})])

@@ -72,7 +72,7 @@ def query_words(spoken: DataFrame, variants: DataFrame) -> DataFrame:
     extra = [(w, a) for w, others in ALSO.items() for a in others]
     also = spoken.sparkSession.createDataFrame(extra, "root string, word string")
     held = full.select("query", "word", F.lit(True).alias("_held"))
-    added = (full.filter(F.col("word").isin(list(ALSO))).withColumnRenamed("word", "root").join(also, "root")
+    added = (full.filter(F.col("word").isin(list(ALSO))).withColumnRenamed("word", "root").join(F.broadcast(also), "root")
              .join(held, ["query", "word"], "left").filter("_held is null")
              .groupBy("query", "word").agg(F.max("root").alias("root")).withColumn("half", F.lit(True)))
     return full.select("query", "word", F.col("word").alias("root"), F.lit(False).alias("half")).unionByName(added.select("query", "word", "root", "half"))

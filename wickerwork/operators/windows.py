@@ -31,8 +31,9 @@ def in_windows(df: DataFrame, at: str, today: str, days: Sequence[int]) -> DataF
 
 
 def since_made(df: DataFrame, at: str, windows: DataFrame, today: str, days: Sequence[int] = RECENT_DAYS) -> DataFrame:
-    """``in_windows`` kept to the windows that are filled in: an equi join on the window, not a range join."""
-    return in_windows(df, at, today, days).join(windows.select("w"), "w")
+    """``in_windows`` kept to the windows that are filled in: an equi join on the window, not a range join. The windows are
+    one row per look-back at most, so they are broadcast rather than the rows shuffled by a handful of keys."""
+    return in_windows(df, at, today, days).join(F.broadcast(windows.select("w")), "w")
 
 
 def every_month(rows: DataFrame, keys: Sequence[str], month: str = "month", zero: Sequence[str] = ()) -> DataFrame:

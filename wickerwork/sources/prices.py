@@ -27,7 +27,7 @@ def guides(spark: SparkSession) -> DataFrame:
 
 def _named(rows: DataFrame) -> DataFrame:
     """(variant, provider, price_finish, day, price) to (day, variant, field, cents), by the guide table."""
-    return (rows.join(guides(rows.sparkSession), ["provider", "price_finish"])
+    return (rows.join(F.broadcast(guides(rows.sparkSession)), ["provider", "price_finish"])  # five fixed rows
             .select(F.substring(F.col("day").cast("string"), 1, 10).try_cast("date").alias("day"), "variant", "field", half_even(F.col("price") * 100).cast("long").alias("cents")))
 
 

@@ -84,13 +84,14 @@ EVENTS = "event date, date date, entries bigint, players_known boolean, copy str
 
 def correct_stream(stream: DataFrame, state: StateTable, checkpoint: str, late: str = "3 days") -> DataFrame:
     """Late corrections: an event fetched again replaces the copy here when it has as many entries. Columns as ``EVENTS``,
-    with a timestamp ``seen`` that rows later than ``late`` behind are dropped by."""
+    with a timestamp ``seen``: repeats within ``late``, and rows later than that, are dropped by the watermark."""
 
     def step(batch: DataFrame, number: int) -> None:
         last = batch.groupBy("event").agg(F.max_by(F.struct("date", "entries", "players_known", "copy"), F.struct("entries", "copy")).alias("_b")).select("event", "_b.*")
         state.write(number, K.replace_events(state.read(number), last))
 
-    run_batches(stream.withWatermark("seen", late), checkpoint, step)
+    fresh = stream.withWatermark("seen", late).dropDuplicatesWithinWatermark(["event", "entries", "players_known", "copy"])
+    run_batches(fresh, checkpoint, step)
     return state.read()
 
 
