@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,9 +52,27 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], out: T.StructType,
     return narrow.mapInArrow(run, schema)
 
 
+def open_store(uri: str) -> tuple[pa_fs.FileSystem, str]:
+    """The file system and path of a folder named as Spark names it, for tasks that write files Spark has no writer for."""
+    if uri.startswith("file:"):
+        return pa_fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return pa_fs.FileSystem.from_uri(uri)
+
+
+def put_file(store: pa_fs.FileSystem, path: str, write: Callable[[pa.NativeFile], None]) -> None:
+    """Write a file under a name of its own and move it into place whole, so that a task which is lost or runs twice leaves either
+    nothing or the whole file."""
+    draft = f"{path}.{uuid.uuid4().hex}.part"
+    with store.open_output_stream(draft, compression=None) as out:
+        write(out)
+    if store.type_name != "local" and store.get_file_info(path).type != pa_fs.FileType.NotFound:
+        store.delete_file(path)  # a local move replaces by itself
+    store.move(draft, path)
+
+
 def explode_texts(df: DataFrame, text: str, keep: Sequence[str], out: T.StructType,
-                  make: Callable[[], Callable[[bytes | None], list[tuple]]]) -> DataFrame:
-    """Any number of rows from each whole text: ``keep`` repeated, then the tuples that ``make()(text)`` gives."""
+                  make: Callable[[], Callable[[list[bytes | None]], list[list[tuple]]]]) -> DataFrame:
+    """Any number of rows from each whole text: ``keep`` repeated, then the tuples that ``make()(texts)`` lists for it."""
     narrow = df.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("_text_bytes"))
     schema = T.StructType(narrow.schema.fields[:-1] + out.fields)
     new_types = [to_arrow_type(f.dataType) for f in out.fields]
@@ -64,8 +84,7 @@ def explode_texts(df: DataFrame, text: str, keep: Sequence[str], out: T.StructTy
             for at in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(at, SLICE_ROWS)
                 source, rows = [], []
-                for i, value in enumerate(part.column(part.num_columns - 1).to_pylist()):
-                    made = work(value)
+                for i, made in enumerate(work(part.column(part.num_columns - 1).to_pylist())):
                     source.extend([i] * len(made))
                     rows.extend(made)
                 taken = pa.array(source, pa.int32())

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickerwork.llm import decontamination, line_dedup, pii, quality, quality_rules, toxicity
+from wickerwork.llm import decontamination, line_dedup, near_dup, packing, pii, quality, quality_rules, token_output, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -63,15 +63,42 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.drop_boilerplate(docs).select("doc_id", dropped.otherwise(lines("original") - left).cast("long").alias("n_dropped"), "text")
 
 
+@query("op3_packing")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed_documents(table(spark, folder, "documents"))
+
+
+@query("op4_token_files")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return token_output.token_files(table(spark, folder, "documents"))
+
+
+@query("op5_near_duplicates")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
+
+
 @query("op6_quality")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_scores(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-@query("op8_quality_rules", """
+@query("op7_warc", """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT payload_digest, min(page_id) AS first FROM d WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT d.*, CASE WHEN first IS NULL OR first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to
+FROM d LEFT JOIN f USING (payload_digest)
+""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived_pages(table(spark, folder, "pages"))
+
+
+@query("op8_quality_rules", r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS words,
-             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\t\\n\\x0b\\f\\r]')) AS lines FROM t),
+w AS (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS words,
+             list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\n\x0b\f\r]')) AS lines FROM t),
 base AS (
     SELECT doc_id, text, words, len(words)::BIGINT AS n_words,
            coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
@@ -92,7 +119,7 @@ whole AS (
            length(regexp_replace(text, '[^!]', '', 'g')) AS marks,
            length(regexp_replace(text, '[^0-9]', '', 'g')) AS digits,
            len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(ltrim(x, ' '), '^[-*•]'))) AS bullets,
-           len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(rtrim(x, ' '), '(\\.\\.\\.|…)$'))) AS ellipses
+           len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(rtrim(x, ' '), '(\.\.\.|…)$'))) AS ellipses
     FROM base LEFT JOIN hit USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
