@@ -283,11 +283,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
                 return out, kept
             return work
 
-        fields = T.StructType([T.StructField("_cut", T.StringType()), T.StructField("_kept", T.BooleanType())])
-        done = map_texts(docs, "text", names, fields, make).filter("_kept")
-        text = {"text": F.coalesce("_cut", "text")}
+        fields = T.StructType([T.StructField("_ww_cut", T.StringType()), T.StructField("_ww_kept", T.BooleanType())])
+        done = map_texts(docs, "text", names, fields, make).filter("_ww_kept")
+        text = {"text": F.coalesce("_ww_cut", "text")}
         if "n_chars" in names:
-            text["n_chars"] = F.when(F.col("_cut").isNotNull(), F.length("_cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+            text["n_chars"] = F.when(F.col("_ww_cut").isNotNull(), F.length("_ww_cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
         docs = done.withColumns(text).select(*names)
         if k < len(blocks) - 1:
             docs = cut_lineage(docs, "decontaminated")

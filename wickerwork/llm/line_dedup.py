@@ -26,12 +26,12 @@ def boilerplate_lines(docs: DataFrame, host: str = "source", text: str = "text",
     any case. A null host is a host of its own. Lines meet by hash, so that no text is shuffled, and map-side sums keep a hot
     line to one row a task; that another line of a host has a boilerplate line's hash happens once in about 10**15 lines."""
     pages = docs.select(F.col(host).alias("host"), F.col(text).alias("_text"))
-    totals = pages.groupBy(F.col("host").alias("_host")).agg(F.count(F.lit(1)).alias("host_pages"))
+    totals = pages.groupBy(F.col("host").alias("_ww_host")).agg(F.count(F.lit(1)).alias("host_pages"))
     keys = F.array_distinct(F.transform(F.split("_text", "\n"), _key))
     lines = pages.select("host", F.explode(keys).alias("line")).filter(F.col("line") != "")
     counted = (lines.groupBy("host", F.xxhash64("line").alias("line_hash")).agg(F.count(F.lit(1)).alias("pages"))
                .filter(F.col("pages") >= min_pages))
-    joined = counted.join(totals, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
+    joined = counted.join(totals, F.col("host").eqNullSafe(F.col("_ww_host"))).drop("_ww_host")
     return joined.withColumn("ratio", F.col("pages") / F.col("host_pages")).filter(F.col("ratio") > ratio)
 
 
@@ -43,13 +43,13 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
     A host has at most its mean lines a page divided by ``ratio`` such lines, so they travel as one array a host. The arrays are
     staged: their size is known when the join is planned, and documents are shuffled only where it is too large to send."""
     names = docs.columns
-    per_host = cut_lineage(boilerplate_lines(docs, host, text, ratio, min_pages).groupBy(F.col("host").alias("_host"))
-                           .agg(F.collect_set("line_hash").alias("_drop")), "boilerplate")
-    joined = docs.join(per_host, docs[host].eqNullSafe(per_host["_host"]), "left")
-    kept = F.filter(F.split(docs[text], "\n"), lambda line: ~F.array_contains(per_host["_drop"], F.xxhash64(_key(line))))
-    out = joined.withColumn("_clean", F.when(per_host["_drop"].isNull(), docs[text]).otherwise(F.array_join(kept, "\n")))
-    changed = {text: F.col("_clean")}
+    per_host = cut_lineage(boilerplate_lines(docs, host, text, ratio, min_pages).groupBy(F.col("host").alias("_ww_host"))
+                           .agg(F.collect_set("line_hash").alias("_ww_drop")), "boilerplate")
+    joined = docs.join(per_host, docs[host].eqNullSafe(per_host["_ww_host"]), "left")
+    kept = F.filter(F.split(docs[text], "\n"), lambda line: ~F.array_contains(per_host["_ww_drop"], F.xxhash64(_key(line))))
+    out = joined.withColumn("_ww_clean", F.when(per_host["_ww_drop"].isNull(), docs[text]).otherwise(F.array_join(kept, "\n")))
+    changed = {text: F.col("_ww_clean")}
     if "n_chars" in names and text != "n_chars":
-        length = F.length("_clean").cast(docs.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(F.col("_clean") != docs[text], length).otherwise(docs["n_chars"])
+        length = F.length("_ww_clean").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col("_ww_clean") != docs[text], length).otherwise(docs["n_chars"])
     return out.select(*[changed.get(c, docs[c]).alias(c) for c in names])

@@ -74,12 +74,12 @@ def difference(lengths: np.ndarray, windows: int) -> np.ndarray:
         if over <= 0:
             sums, nodes = np.concatenate([a, b]), np.concatenate([a_nodes, b_nodes])
         else:
-            # the smallest of a meet the largest of b in turn: a's k-th smallest with b's k-th largest
-            head = len(a) - over
+            # in falling order against rising order: a's smallest meet b's smallest, b's largest fall on windows a left empty
+            head, rest = len(a) - over, len(b) - over
             met = np.arange(n + len(joined), n + len(joined) + over)
-            joined.extend(zip(a_nodes[head:].tolist(), b_nodes[over - 1::-1].tolist()))
-            sums = np.concatenate([a[:head], a[head:] + b[over - 1::-1], b[over:]])
-            nodes = np.concatenate([a_nodes[:head], met, b_nodes[over:]])
+            joined.extend(zip(a_nodes[head:].tolist(), b_nodes[rest:][::-1].tolist()))
+            sums = np.concatenate([a[:head], a[head:] + b[rest:][::-1], b[:rest]])
+            nodes = np.concatenate([a_nodes[:head], met, b_nodes[:rest]])
         falling = np.argsort(-sums, kind="stable")
         sums, nodes = sums[falling], nodes[falling]
         if len(sums) == windows:

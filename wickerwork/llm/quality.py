@@ -213,11 +213,11 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     ids = labels.select("doc_id").distinct()
     stats = text_stats(docs.select("doc_id", "text"), ["doc_id"]).join(ids, "doc_id", "left_semi")
     model = fit_quality(stats, labels)
-    fields = T.StructType([T.StructField("_score", T.DoubleType())])
+    fields = T.StructType([T.StructField("_ww_score", T.DoubleType())])
 
     def make():
         def work(texts):
             return [model.score(np.array([document_stats(t) for t in texts]).reshape(-1, N_STATS))]
         return work
 
-    return map_texts(docs, "text", docs.columns, fields, make).filter(F.col("_score") >= threshold).select(*docs.columns)
+    return map_texts(docs, "text", docs.columns, fields, make).filter(F.col("_ww_score") >= threshold).select(*docs.columns)
