@@ -37,7 +37,7 @@ def by_pattern(text):
     for kind, pattern in PATTERNS.items():
         for m in re.finditer(pattern, text or ""):
             digits = re.sub("[^0-9]", "", m.group())
-            if kind == "ip" and any(len(p.lstrip("0")) > 3 or int(p) > 255 for p in m.group().split(".")):
+            if kind == "ip" and any(len(p.lstrip("0")) > 3 or int(p.lstrip("0") or 0) > 255 for p in m.group().split(".")):
                 continue
             if kind == "card" and not (13 <= len(digits) <= 19 and luhn(digits)):
                 continue
@@ -148,10 +148,9 @@ def test_quality_rules(spark):
 
 
 def test_cascade_order_is_rejection_per_cost(spark):
-    rules = [quality_rules.Rule(n, lambda t, n=n: F.lit(n == "b")) for n in "abc"]
+    rules = [quality_rules.Rule(n, lambda t: F.lit(True)) for n in "abc"]
     chain = quality_rules.cascade([(rules[0], 0.5, 1.0), (rules[1], 0.4, 0.1), (rules[2], 0.0, 0.01)])
-    text = str(chain)
-    assert text.index("THEN b") < text.index("THEN a") < text.index("THEN c")
+    assert spark.createDataFrame([("x",)], "text string").select(chain.alias("first")).first()[0] == "b"
 
 
 # line dedup

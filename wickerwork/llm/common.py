@@ -29,13 +29,21 @@ def folded_words(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD_BYTES).split() if text else []
 
 
+def _with_bytes(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
+    """``keep`` and, last, the text as bytes, under a name that none of ``keep`` has."""
+    name = "_text_bytes"
+    while name.lower() in {c.lower() for c in keep}:
+        name += "_"
+    return df.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias(name))
+
+
 def map_texts(df: DataFrame, text: str, keep: Sequence[str], out: T.StructType,
               make: Callable[[], Callable[[list[bytes | None]], Sequence[Sequence]]]) -> DataFrame:
     """The columns ``keep`` and new ones from each whole text, with no shuffle.
 
     ``make()`` runs once in a task and gives a function from a list of UTF-8 texts (None for null) to one list a new
     column. Only ``keep`` and the text leave the JVM."""
-    narrow = df.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("_text_bytes"))
+    narrow = _with_bytes(df, text, keep)
     schema = T.StructType(narrow.schema.fields[:-1] + out.fields)
     new_types = [to_arrow_type(f.dataType) for f in out.fields]
     names = schema.names
@@ -73,7 +81,7 @@ def put_file(store: pa_fs.FileSystem, path: str, write: Callable[[pa.NativeFile]
 def explode_texts(df: DataFrame, text: str, keep: Sequence[str], out: T.StructType,
                   make: Callable[[], Callable[[list[bytes | None]], list[list[tuple]]]]) -> DataFrame:
     """Any number of rows from each whole text: ``keep`` repeated, then the tuples that ``make()(texts)`` lists for it."""
-    narrow = df.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias("_text_bytes"))
+    narrow = _with_bytes(df, text, keep)
     schema = T.StructType(narrow.schema.fields[:-1] + out.fields)
     new_types = [to_arrow_type(f.dataType) for f in out.fields]
     names = schema.names
