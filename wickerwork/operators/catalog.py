@@ -58,11 +58,12 @@ def filter_columns(items: DataFrame) -> DataFrame:
 
 
 def item_filter(colors: list[str] | None = None, types: list[str] = (), legal_in: str = "", least: float | None = None,
-                most: float | None = None, max_cents: int | None = None) -> Column:
-    """Predicate over ``filter_columns`` and ``value``: identity exactly the colours, any of the types, and so on."""
+                most: float | None = None, max_cents: int | None = None, in_set: str = "") -> Column:
+    """Predicate over ``filter_columns``, ``value`` and ``sets`` (array): identity exactly the colours (letters that are no colour,
+    as for colourless, add nothing), any of the types, printed in the set, and so on."""
     ok = F.lit(True)
     if colors:
-        ok = ok & (F.col("identity") == sum(1 << COLORS.index(c) for c in colors))
+        ok = ok & (F.col("identity") == sum(1 << COLORS.index(c) for c in set(colors) if c in COLORS))
     if types:
         ok = ok & (F.col("types").bitwiseAND(sum(1 << FILTER_TYPES.index(t) for t in types)) != 0)
     if legal_in:
@@ -71,6 +72,8 @@ def item_filter(colors: list[str] | None = None, types: list[str] = (), legal_in
         ok = ok & (F.col("value") >= least)
     if most is not None:
         ok = ok & (F.col("value") <= most)
+    if in_set:
+        ok = ok & F.coalesce(F.array_contains("sets", in_set), F.lit(False))
     if max_cents is not None:
         ok = ok & F.col("cents").isNotNull() & (F.col("cents") <= max_cents)
     return ok
@@ -158,9 +161,9 @@ def ancestors(edges: DataFrame, rounds: int = 64) -> DataFrame:
         known = cut_lineage(known.unionByName(step).distinct())
         grown = known.count()
         if grown == count:
-            break
+            return known
         count = grown
-    return known
+    raise RuntimeError(f"paths still grow after {rounds} rounds")
 
 
 def tags_with_ancestors(item_tags: DataFrame, edges: DataFrame, tags: DataFrame) -> DataFrame:

@@ -39,15 +39,17 @@ COUNTS = ("baskets", "games", "wins", "cut_baskets", "cuts", "draws")
 
 
 def totals(entries: DataFrame, keys: Sequence[str], today: str, days: Sequence[int] = RESULT_DAYS) -> DataFrame:
-    """Tallies per key and look-back in one aggregate."""
-    return in_windows(entries, "date", today, days).groupBy(*keys, "w").agg(*tallies())
+    """Tallies per key and look-back in one aggregate. An entry whose leader is unresolved (null) has no leader's totals."""
+    known = entries.filter(F.col("leader").isNotNull()) if "leader" in keys else entries
+    return in_windows(known, "date", today, days).groupBy(*keys, "w").agg(*tallies())
 
 
 def totals_with_field(entries: DataFrame, today: str, days: Sequence[int] = RESULT_DAYS) -> DataFrame:
-    """Leaders' totals and those of the whole field (leader null and field true), as grouping sets of one pass."""
+    """Leaders' totals and those of the whole field (leader null and field true), as grouping sets of one pass. Entries with an
+    unresolved leader count in the field only."""
     rows = in_windows(entries, "date", today, days)
     sets = rows.groupingSets([["leader", "w"], ["w"]], "leader", "w")
-    return sets.agg(*tallies(), (F.grouping("leader") == 1).alias("field"))
+    return sets.agg(*tallies(), (F.grouping("leader") == 1).alias("field")).filter(F.col("field") | F.col("leader").isNotNull())
 
 
 def played_items(entries: DataFrame, entry_items: DataFrame, basics: DataFrame | None = None, leader_items: DataFrame | None = None) -> DataFrame:
@@ -172,11 +174,12 @@ def top_finishes(entries: DataFrame, best: int = 4, n: int = 200) -> DataFrame:
 def highlights(entries: DataFrame, today: str, month: int = 30, before: int = 90, best: int = 20, breakout: int = 10,
                rising: int = 15) -> DataFrame:
     """Best, breakout and rising leader of the last month against the days before it, three different ones:
-    (kind, leader, baskets, points, players, was). One row per leader is compared; each pick leaves out those before it."""
+    (kind, leader, baskets, points, players, was). One row per leader is compared; each pick leaves out those before it. Entries
+    with an unresolved leader count in the totals that shares are of, but are never picked."""
     start, old = cutoff(today, month), cutoff(today, month + before)
     now, then = F.col("date") >= start, (F.col("date") < start) & (F.col("date") >= old)
     on = lambda side, c: F.sum(F.when(side, F.col(c)).otherwise(0))
-    rows = entries.filter(now | then).groupBy("leader").agg(
+    rows = entries.filter((now | then) & F.col("leader").isNotNull()).groupBy("leader").agg(
         F.count(F.when(now, 1)).alias("n"), F.count(F.when(then, 1)).alias("n0"), F.countDistinct(F.when(now, F.col("player"))).alias("players"),
         *[on(side, c).alias(f"{c}{s}") for side, s in ((now, ""), (then, "0")) for c in ("games", "wins", "draws")])
     ppg = points_per_game(F.col("games"), F.col("wins"), F.col("draws"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wickerwork.operators import baskets as B
 from wickerwork.operators import windows as wins
 from wickerwork.operators.ranking import top_n
+from wickerwork.operators.setjoin import similar_sets
 from wickerwork.plans.registry import query, r6
 from wickerwork.plans.tables import CTES, TODAY, Tables
 
@@ -107,27 +108,18 @@ def _(t):
     return found.select(F.col("a").alias("query"), F.col("b").alias("basket"), r6(F.col("jaccard")).alias("jaccard"))
 
 
-@query("u4_document_jaccard", """WITH w AS (SELECT DISTINCT doc_id, source, word FROM (SELECT doc_id, source,
-      unnest(list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ]+'))) AS word FROM documents) WHERE word <> ''),
-    f AS (SELECT word FROM w GROUP BY word HAVING count(*) BETWEEN 2 AND 12), k AS (SELECT doc_id, count(*) AS n FROM w SEMI JOIN f USING (word) GROUP BY 1),
-    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM (SELECT * FROM w SEMI JOIN f USING (word)) x
-      JOIN (SELECT * FROM w SEMI JOIN f USING (word)) y ON x.word = y.word AND x.doc_id < y.doc_id GROUP BY ALL)
-    SELECT a, b, shared, round(shared / (ka.n + kb.n - shared), 6) AS jaccard FROM p JOIN k ka ON a = ka.doc_id JOIN k kb ON b = kb.doc_id
-    WHERE shared >= 0.8 * (ka.n + kb.n - shared)""")
+@query("u4_document_jaccard", """WITH w AS (SELECT DISTINCT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-zà-ÿ]+'))) AS word FROM documents),
+    s AS (SELECT doc_id, list_sort(list(word)) AS ws FROM w GROUP BY doc_id), r AS (SELECT doc_id, ws, min(doc_id) OVER (PARTITION BY ws) AS rep FROM s),
+    k AS (SELECT rep, len(ws) AS n FROM r WHERE doc_id = rep), v AS (SELECT rep, word FROM w JOIN r USING (doc_id) WHERE doc_id = rep),
+    p AS (SELECT x.rep AS a, y.rep AS b, count(*) AS shared FROM v x JOIN v y ON x.word = y.word AND x.rep < y.rep GROUP BY ALL)
+    SELECT a, b, shared, round(shared / (ka.n + kb.n - shared), 6) AS jaccard FROM p JOIN k ka ON a = ka.rep JOIN k kb ON b = kb.rep WHERE shared >= 0.8 * (ka.n + kb.n - shared)
+    UNION ALL SELECT rep, doc_id, len(ws), 1.0 FROM r WHERE doc_id <> rep""")
 def _(t):
-    """Near-copies among documents. Candidates share one of their rare words (on 12 documents at most, so a word pairs
-    66 documents at most); the Jaccard over those words is exact."""
+    """Near-copies among documents, by the words they use: pairs of the first documents of each word set, and every other
+    document beside the first of its set."""
     words = (t.read("documents").select(F.col("doc_id").alias("basket"), F.explode(F.array_distinct(
         F.regexp_extract_all(F.lower("text"), F.lit("([a-zà-ÿ]+)"), F.lit(1)))).alias("item")))
-    rare = words.groupBy("item").agg(F.count(F.lit(1)).alias("k")).filter("k between 2 and 12").select("item")
-    kept = words.join(rare, "item")
-    pairs = (kept.withColumnRenamed("basket", "a").join(kept.withColumnRenamed("basket", "b"), "item")
-             .filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared")))
-    sizes = kept.groupBy("basket").agg(F.count(F.lit(1)).alias("n"))
-    na, nb = sizes.select(F.col("basket").alias("a"), F.col("n").alias("na")), sizes.select(F.col("basket").alias("b"), F.col("n").alias("nb"))
-    union = F.col("na") + F.col("nb") - F.col("shared")
-    return (pairs.join(na, "a").join(nb, "b").filter(F.col("shared") >= 0.8 * union)
-            .select("a", "b", "shared", r6(F.col("shared") / union).alias("jaccard")))
+    return similar_sets(words, 0.8).select("a", "b", "shared", r6(F.col("jaccard")).alias("jaccard"))
 
 
 @query("a6_typical_price_bracket", """SELECT leader, list_sort(list(cents))[count(*)//2+1] AS price, list_sort(list(bracket))[count(*)//2+1] AS bracket FROM (
@@ -141,9 +133,9 @@ def _(t):
     return price.join(B.typical(t.baskets, "bracket", 0, n).withColumnRenamed("median", "bracket"), "leader")
 
 
-@query("a7_months_made", """SELECT leader, CAST(month AS DATE) AS month, count(basket) AS made FROM (
+@query("a7_months_made", """SELECT m.leader, CAST(month AS DATE) AS month, count(basket) AS made FROM (
     SELECT leader, unnest(generate_series(min(date_trunc('month', made)), max(date_trunc('month', made)), INTERVAL 1 MONTH)) AS month FROM bk GROUP BY leader)
-    LEFT JOIN bk USING (leader) WHERE date_trunc('month', made) = month GROUP BY ALL""", "bk")
+    m LEFT JOIN bk ON bk.leader = m.leader AND date_trunc('month', made) = month GROUP BY ALL""", "bk")
 def _(t):
     return wins.month_counts(t.baskets, ["leader"], "made")
 

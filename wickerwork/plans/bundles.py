@@ -69,7 +69,7 @@ def _(t):
     return pairs.pair_counts(t.customer_items).withColumnRenamed("both", "shared")
 
 
-@query("b19_pair_phi", f"SELECT leader, a, b, round({PHI}, 6) AS phi FROM c2 WHERE a < b", "c2")
+@query("b19_pair_phi", f"SELECT leader, a, b, round(round({PHI}, 9), 6) AS phi FROM c2 WHERE a < b", "c2")
 def _(t):
     return pairs.pair_phi(pairs.pair_counts(t.customer_items), *customer_pool(t)).select("leader", "a", "b", r6(F.col("phi")).alias("phi"))
 
@@ -95,7 +95,7 @@ def _(t):
     return bundle_ops.held_of(sets(t), mine).select("leader", "query", "bundle", "has")
 
 
-@query("b17_played_more_with", """SELECT leader, x, item, round(base, 6) AS base, round(share, 6) AS share, shared, round(evidence, 6) AS evidence, round((shared - pa * base) / (pa + 20), 6) AS score FROM (
+@query("b17_played_more_with", """SELECT leader, x, item, round(base, 6) AS base, round(share, 6) AS share, shared, round(evidence, 6) AS evidence, round(round((shared - pa * base) / (pa + 20), 9), 6) AS score FROM (
     SELECT leader, a AS x, b AS item, pa, pb / n AS base, k / pa AS share, k AS shared, (k / pa - pb / n) / sqrt(pb / n * (1 - pb / n) / pa) AS evidence FROM c2 WHERE pa >= 10 AND k >= 5 AND k / pa > pb / n)
     WHERE evidence >= 1""", "c2")
 def _(t):
@@ -181,7 +181,7 @@ GROUPS = "SELECT c_custkey AS basket, c_mktsegment AS leader, CAST(c_nationkey %
 
 @query("b11_bundle_links", f"""WITH g AS ({GROUPS}), z AS (SELECT leader, grp, count(*) AS z FROM g GROUP BY ALL), p AS (SELECT ci.leader, grp, item, count(*) AS k FROM ci JOIN g USING (basket) GROUP BY ALL),
     s AS (SELECT leader, item, sum(k - k * k / z) AS s FROM p JOIN z USING (leader, grp) GROUP BY ALL)
-    SELECT leader, a, b, shared, round((shared - chance) / sqrt(x.s * y.s), 6) AS link FROM (SELECT cc.leader, cc.a, cc.b, cc.k AS shared, sum(p.k * q.k / z) AS chance FROM cc
+    SELECT leader, a, b, shared, round(round((shared - chance) / sqrt(x.s * y.s), 9), 6) AS link FROM (SELECT cc.leader, cc.a, cc.b, cc.k AS shared, sum(p.k * q.k / z) AS chance FROM cc
       JOIN p ON p.leader = cc.leader AND p.item = cc.a JOIN p q ON q.leader = cc.leader AND q.item = cc.b AND q.grp = p.grp JOIN z ON z.leader = cc.leader AND z.grp = p.grp WHERE cc.k >= 5 GROUP BY ALL) c
     JOIN s x USING (leader) JOIN s y USING (leader) WHERE x.item = a AND y.item = b""", "cc ci")
 def _(t):

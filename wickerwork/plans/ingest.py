@@ -280,7 +280,7 @@ def list_texts(t):
     rows = t.lines.groupBy("basket", "item").agg(F.sum("l_quantity").cast("int").alias("q"), F.max("l_linestatus").alias("s"), F.min("l_partkey").alias("p"))
     line = F.concat(F.col("q").cast("string"), F.lit("x "), F.initcap("item"), F.lit(" (SET) "), F.col("p").cast("string"), F.lit(" *F*"))
     each = rows.groupBy("basket").agg(F.array_sort(F.collect_list(F.struct("item", "s", line.alias("l")))).alias("a"))
-    part = lambda s: F.array_join(F.transform(F.filter(F.slice("a", 2, 1000), lambda x: x["s"] == s), lambda x: x["l"]), "\n")
+    part = lambda s: F.array_join(F.transform(F.filter(F.slice("a", 2, F.size("a")), lambda x: x["s"] == s), lambda x: x["l"]), "\n")
     text = F.concat(F.lit("// Commander\n"), F.col("a")[0]["l"], F.lit("\n\nDeck:\n"), part("F"), F.lit("\n1 Nothing Known [x{top}]\n# note\nSideboard (9)\n"), part("O"))
     return each.select(F.col("basket").alias("list"), text.alias("text"))
 

@@ -110,7 +110,9 @@ def entry_baskets(t):
     x AS (SELECT b.*, coalesce(p.baskets, 0) AS all_baskets, coalesce(p.games, 0) AS all_games, coalesce(p.wins, 0) AS all_wins, coalesce(s.baskets, 0) AS some_baskets, coalesce(s.games, 0) AS some_games, coalesce(s.wins, 0) AS some_wins,
       a.baskets - coalesce(p.baskets, 0) - coalesce(s.baskets, 0) AS none_baskets, a.games - coalesce(p.games, 0) - coalesce(s.games, 0) AS none_games, a.wins - coalesce(p.wins, 0) - coalesce(s.wins, 0) AS none_wins, a.wins / a.games AS r
       FROM b JOIN a USING (leader) LEFT JOIN (SELECT * FROM c WHERE has = 'all') p USING (leader, bundle) LEFT JOIN (SELECT * FROM c WHERE has = 'some') s USING (leader, bundle))
-    SELECT leader, bundle, all_baskets, all_wins, none_baskets, none_wins, some_baskets, some_wins, round(lift, 6) AS lift, round(evidence, 6) AS evidence FROM (SELECT *, {CMP} FROM (SELECT *, all_wins AS k1, all_games AS n1, none_wins AS k2, none_games AS n2 FROM x))""", "en ev eb")
+    SELECT leader, bundle, all_baskets, all_wins, none_baskets, none_wins, some_baskets, some_wins,
+      CASE WHEN n1 > 0 AND n2 > 0 AND r > 0 AND r < 1 THEN round(lift, 6) END AS lift, CASE WHEN n1 > 0 AND n2 > 0 AND r > 0 AND r < 1 THEN round(evidence, 6) END AS evidence
+    FROM (SELECT *, {CMP} FROM (SELECT *, all_wins AS k1, all_games AS n1, none_wins AS k2, none_games AS n2 FROM x))""", "en ev eb")
 def _(t):
     covered = coverage(entry_sets(t), entry_baskets(t)).withColumnRenamed("basket", "entry")
     found = O.bundle_results(t.entries, covered, entry_sets(t).select("leader", "bundle").distinct())
@@ -148,7 +150,7 @@ def _(t):
 
 
 @query("b16_made_against_missed", f"""WITH s AS ({CUTS}), g AS (SELECT leader, item, count(*) FILTER (side = 'missed') AS ka, count(*) FILTER (side = 'made') AS kb FROM s JOIN ei ON entry = basket GROUP BY ALL),
-    m AS (SELECT leader, count(*) FILTER (side = 'missed') AS na, count(*) FILTER (side = 'made') AS nb FROM s GROUP BY 1), r AS (SELECT leader, item, ka / na AS a, kb / nb AS b, round(kb / nb - ka / na, 9) AS gap, (ka + kb) / (na + nb) AS p, na, nb FROM g JOIN m USING (leader))
+    m AS (SELECT leader, count(*) FILTER (side = 'missed') AS na, count(*) FILTER (side = 'made') AS nb FROM s GROUP BY 1), r AS (SELECT leader, item, ka / nullif(na, 0) AS a, kb / nullif(nb, 0) AS b, round(kb / nullif(nb, 0) - ka / nullif(na, 0), 9) AS gap, (ka + kb) / (na + nb) AS p, na, nb FROM g JOIN m USING (leader))
     SELECT leader, direction, item, rank, round(a, 6) AS a, round(b, 6) AS b, round(evidence, 6) AS evidence FROM (SELECT *, row_number() OVER (PARTITION BY leader, direction ORDER BY abs(gap) DESC, item) AS rank FROM (
       SELECT *, CASE WHEN gap > 0 THEN 'more' ELSE 'less' END AS direction, (b - a) / sqrt(p * (1 - p) * (1 / na + 1 / nb)) AS evidence FROM r WHERE greatest(a, b) >= 0.05 AND gap <> 0)) WHERE rank <= 6""", "en ei")
 def _(t):

@@ -15,7 +15,8 @@ from wickerwork.plans.tables import CTES
 CTES["tn"] = ([], "SELECT DISTINCT 'tag:' || p_name AS term, p_name AS name FROM part")
 CTES["sd"] = ([], "SELECT 'tag:' || p_name AS term, count(*) AS d, pow(1 + ln((SELECT count(*) FROM part) / count(*)), 2) AS weight FROM part GROUP BY p_name")
 CTES["qw"] = (["bt"], """SELECT DISTINCT query, unnest(string_split(text, ' ')) AS word FROM bt""")
-CTES["mt"] = (["qw", "tn"], """SELECT a.query, term, 2.0::DOUBLE AS size FROM qw a JOIN tn ON split_part(name, ' ', 1) = a.word JOIN qw b ON b.query = a.query AND b.word = split_part(name, ' ', 2)""")
+CTES["mt"] = (["qw", "tn"], """SELECT query, term, 2.0::DOUBLE AS size FROM qw JOIN (SELECT term, split_part(name, ' ', 1) AS word FROM tn UNION ALL SELECT term, split_part(name, ' ', 2) FROM tn) USING (word)
+    GROUP BY query, term HAVING count(*) = 2""")
 CTES["qg"] = (["mt", "sd"], "SELECT query, 'tags:' || min(term) OVER (PARTITION BY query) AS grp, term, size * weight / max(size * weight) OVER (PARTITION BY query) AS credit FROM mt JOIN sd USING (term)")
 
 
@@ -113,9 +114,9 @@ def _(t):
     return S.score(groups(t), posted, name_weights(t))
 
 
-# Documents: features are the words on 2 to 200 of them, queries the passages.
+# Documents: features are the words on two to half of them, queries the passages.
 CTES["dw"] = ([], "SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS word FROM documents) WHERE word <> ''")
-CTES["dt"] = (["dw"], "SELECT word AS term, count(*) AS d, pow(1 + ln((SELECT count(*) FROM documents) / count(*)), 2) AS weight FROM dw GROUP BY 1 HAVING count(*) BETWEEN 2 AND 200")
+CTES["dt"] = (["dw"], "SELECT word AS term, count(*) AS d, pow(1 + ln((SELECT count(*) FROM documents) / count(*)), 2) AS weight FROM dw GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= (SELECT count(*) FROM documents) / 2")
 CTES["dq"] = (["dt"], "SELECT DISTINCT query, term, weight FROM (SELECT item_id AS query, unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS term FROM benchmark) JOIN dt USING (term)")
 CTES["ds"] = (["dq", "dw"], "SELECT query, doc_id AS item, floor(round(sum(weight) / any_value(total), 12) * 1000000 + 0.5) / 1000000 AS score FROM dq JOIN dw ON word = term JOIN (SELECT query, sum(weight) AS total FROM dq GROUP BY 1) USING (query) GROUP BY query, doc_id")
 
@@ -124,8 +125,8 @@ def document_search(t):
     split = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
     docs = t.read("documents")
     posted = docs.select(F.col("doc_id").alias("item"), F.explode(F.array_distinct(split("text"))).alias("term"))
-    counts = C.term_counts(posted).filter("d between 2 and 200")
-    weights = S.term_weights(counts, docs.agg(F.count(F.lit(1))).scalar())
+    n = docs.agg(F.count(F.lit(1))).scalar()
+    weights = S.term_weights(C.term_counts(posted).filter((F.col("d") >= 2) & (F.col("d") <= n / 2)), n)
     asked = t.read("benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(split("text"))).alias("term")).join(weights.select("term"), "term")
     return S.score(asked.select("query", F.col("term").alias("grp"), "term", F.lit(1.0).alias("credit")), posted, weights)
 

@@ -6,83 +6,80 @@ from pyspark.sql import functions as F
 
 from wickerwork.plans.corpus import log
 from wickerwork.plans.registry import query
-from wickerwork.session import cut_lineage, scratch_path
+from wickerwork.session import scratch_path
 from wickerwork.streaming import folds as S
 
 
-def as_stream(t, df, files=4):
-    """A table as a stream of files, one a batch."""
+def feed(t, df, order, run, parts=4):
+    """Give ``run`` a stream of the table that grows part by part, in order of a column, and return what it last returns.
+
+    Each part is appended to the source's folder and run to its end before the next one comes, so what the stream sees does not
+    depend on the names or times of files."""
     path = scratch_path(t.spark, "source")
-    df.repartitionByRange(files, *[c for c in ("line", "day", "event", "ts") if c in df.columns][:1]).write.parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    place = F.unix_timestamp(F.col(order).cast("timestamp")) if dict(df.dtypes)[order] in ("date", "timestamp") else F.col(order)
+    cuts = df.select(F.percentile_approx(place.cast("long"), [k / parts for k in range(1, parts)]).alias("c")).first()["c"] or []
+    part = sum([(place > c).cast("int") for c in cuts], F.lit(0))
+    out = None
+    for k in range(parts):
+        df.filter(part == k).write.mode("append").parquet(path)
+        out = run(t.spark.readStream.schema(df.schema).parquet(path))
+    return out
 
 
 @query("r1_folded_stream", "SELECT id, updated, created, removed, source, line FROM fo", "fo")
 def _(t):
-    state = S.StateTable(t.spark, scratch_path(t.spark, "log"), S.LOG)
-    rows = log(t).drop("value")
-    return S.fold_stream(as_stream(t, rows), state, scratch_path(t.spark, "check"))
+    state, check = S.StateTable(t.spark, scratch_path(t.spark, "log"), S.LOG), scratch_path(t.spark, "check")
+    return feed(t, log(t).drop("value"), "line", lambda stream: S.fold_stream(stream, state, check))
 
 
 @query("r2_late_corrections")
 def _(t):
+    """Both copies of an event are seen on its day."""
     from wickerwork.plans.corpus import copies
     a, b = copies(t)
-    rows = a.unionByName(b).withColumn("seen", F.lit("2001-08-02").cast("timestamp"))
-    state = S.StateTable(t.spark, scratch_path(t.spark, "events"), S.EVENTS)
-    return S.correct_stream(as_stream(t, rows), state, scratch_path(t.spark, "check"))
+    rows = a.unionByName(b).withColumn("seen", F.col("date").cast("timestamp"))
+    state, check = S.StateTable(t.spark, scratch_path(t.spark, "events"), S.EVENTS), scratch_path(t.spark, "check")
+    return feed(t, rows, "seen", lambda stream: S.correct_stream(stream, state, check))
 
 
 @query("r3_days_added_once", "SELECT variant, finish, day, cents FROM ob", "ob")
 def _(t):
-    """Every day comes in one file and again, changed, in a later one."""
-    state = S.StateTable(t.spark, scratch_path(t.spark, "days"), S.DAYS)
-    check = scratch_path(t.spark, "check")
-    S.add_days_stream(as_stream(t, t.observed), state, check + "-a")
+    """Every day comes in one part and again, changed, once all are in: the same state takes both streams."""
+    state, check = S.StateTable(t.spark, scratch_path(t.spark, "days"), S.DAYS), scratch_path(t.spark, "check")
+    feed(t, t.observed, "day", lambda stream: S.add_days_stream(stream, state, check + "-a"))
     again = t.observed.withColumn("cents", F.col("cents") + 1)
-    base = cut_lineage(state.read())
-    second = S.StateTable(t.spark, scratch_path(t.spark, "days"), S.DAYS)
-    second.write(0, base)
+    return feed(t, again, "day", lambda stream: S.add_days_stream(stream, state, check + "-b"), parts=1)
 
-    def step(batch, number):
-        have = second.read(number + 1)
-        new = batch.join(have.select("day").distinct(), "day", "left_anti")
-        second.write(number + 1, have.unionByName(new.select(*have.columns)))
 
-    S.run_batches(as_stream(t, again), check + "-b", step)
-    return second.read()
+def counted_events(t, name, **window):
+    """Counts of all events: a last row, a month later and of no type, lets the watermark pass every window before it."""
+    rows = t.read("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    beat = rows.agg((F.max("ts") + F.expr("INTERVAL 30 DAYS")).alias("ts")).select("ts", F.lit(None).cast("string").alias("event_type"))
+    out, check = scratch_path(t.spark, name), scratch_path(t.spark, "check")
+    return feed(t, rows.unionByName(beat), "ts", lambda stream: S.run_to_table(S.window_counts(stream, "ts", **window), out, check))
 
 
-@query("r4_daily_counts")
+@query("r4_daily_counts", """SELECT date_trunc('day', CAST(ts AS TIMESTAMP))::TIMESTAMP AS start, date_trunc('day', CAST(ts AS TIMESTAMP))::TIMESTAMP + INTERVAL 1 DAY AS "end", event_type, count(*) AS rows
+    FROM events GROUP BY ALL""")
 def _(t):
-    rows = t.read("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    counted = S.window_counts(as_stream(t, rows), "ts", "1 day", keys=("event_type",))
-    return S.run_to_table(counted, scratch_path(t.spark, "daily"), scratch_path(t.spark, "check"))
+    return counted_events(t, "daily", length="1 day", keys=("event_type",))
 
 
-@query("r4_sliding_counts")
+@query("r4_sliding_counts", """WITH d AS (SELECT date_trunc('day', CAST(ts AS TIMESTAMP))::TIMESTAMP AS day FROM events), w AS (SELECT day - to_days(CAST(unnest(range(7)) AS INT)) AS start FROM d)
+    SELECT start, start + INTERVAL 7 DAY AS "end", count(*) AS rows FROM w GROUP BY start""")
 def _(t):
-    rows = t.read("events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
-    counted = S.window_counts(as_stream(t, rows), "ts", "7 days", "1 day")
-    return S.run_to_table(counted, scratch_path(t.spark, "sliding"), scratch_path(t.spark, "check"))
+    return counted_events(t, "sliding", length="7 days", slide="1 day")
 
 
 @query("r5_change_stream", "SELECT variant, finish, day, cents FROM (SELECT *, lag(cents) OVER (PARTITION BY variant, finish ORDER BY day) AS p FROM ob) WHERE cents IS DISTINCT FROM p", "ob")
 def _(t):
-    """Days in order, a few a batch; a series with no row on a day is left as it was."""
-    return S.run_to_table(S.change_stream(as_stream(t, t.observed)), scratch_path(t.spark, "points"), scratch_path(t.spark, "check"))
+    """Days in order, a few a part; a series with no row on a day is left as it was."""
+    out, check = scratch_path(t.spark, "points"), scratch_path(t.spark, "check")
+    return feed(t, t.observed, "day", lambda stream: S.run_to_table(S.change_stream(stream), out, check))
 
 
 @query("r6_resumed_fold", "SELECT id, updated, created, removed, source, line FROM fo", "fo")
 def _(t):
-    """Stopped after some files, then run on from its checkpoint over the rest."""
-    rows = cut_lineage(log(t).drop("value"))
-    half = rows.agg((F.max("line") / 2).cast("long").alias("h")).first()["h"]
-    path, check = scratch_path(t.spark, "source"), scratch_path(t.spark, "check")
-    state = S.StateTable(t.spark, scratch_path(t.spark, "log"), S.LOG)
-    out = None
-    for part in (rows.filter(F.col("line") <= half), rows.filter(F.col("line") > half)):
-        part.repartition(2).write.mode("append").parquet(path)
-        stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-        out = S.fold_stream(stream, state, check)
-    return out
+    """Stopped after half the rows, then run on from its checkpoint over the rest: each part of a feed is such a stop."""
+    state, check = S.StateTable(t.spark, scratch_path(t.spark, "log"), S.LOG), scratch_path(t.spark, "check")
+    return feed(t, log(t).drop("value"), "line", lambda stream: S.fold_stream(stream, state, check), parts=2)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -27,10 +28,12 @@ def build_session(master: str | None = None, app: str = "wickerwork", **conf: st
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-    a temporary one is made and set."""
+    """The folder the cluster names in ``spark.checkpoint.dir``. Where that is unset, a temporary one is made and set in a session
+    that runs in one process; on a cluster that is an error, as executors would not see each other's files."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:

@@ -1,13 +1,14 @@
 """Structured Streaming: logs folded to current state, corrections merged, days added once, counts per window, change points.
 
-The state of the folds is a Parquet table of versions under one folder; a batch writes the next version and then names it
-as current, so a batch that is run again after a stop gives the same table."""
+The state of the folds is a Parquet table of versions under one folder; a batch writes the next version and then marks it as
+whole, so a batch that is run again after a stop gives the same table."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,29 +17,42 @@ from wickerwork.operators import corpus as K
 
 
 class StateTable:
-    """A Parquet table replaced version by version; ``read`` gives the newest whole one up to a batch."""
+    """A Parquet table that batches replace, version by version.
+
+    Versions are numbered by the state, so that one stream after another can go on with it. A batch that runs again, after a
+    stop between its write and the stream's commit, is known by its stream and number and changes nothing."""
 
     def __init__(self, spark: SparkSession, path: str, schema: str):
         self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
 
-    def _exists(self, version: int) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(f"{self.path}/v={version}/_SUCCESS")
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-
-    def read(self, upto: int | None = None) -> DataFrame:
-        version = 0 if upto is None else upto
-        if upto is None:
-            while self._exists(version):
-                version += 1
-        else:
-            version = upto
-        if version == 0:
+    def _versions(self) -> list[tuple[int, str, int]]:
+        """(version, stream, batch) of each whole version, oldest first, from the marks written after them."""
+        marks = self.spark.read.schema("version int, stream string, batch bigint").option("recursiveFileLookup", "true")
+        try:
+            rows = marks.json(f"{self.path}/marks").collect()  # a row a batch so far
+        except AnalysisException:
+            rows = []
+        return sorted((r.version, r.stream, r.batch) for r in rows)
+
+    def _table(self, version: int) -> DataFrame:
+        if version < 0:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version - 1}")
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
+
+    def read(self) -> DataFrame:
+        versions = self._versions()
+        return self._table(versions[-1][0] if versions else -1)
 
-    def write(self, batch: int, df: DataFrame) -> None:
-        df.select(*[f.split()[0] for f in self.schema.split(", ")]).write.mode("overwrite").parquet(f"{self.path}/v={batch}")
+    def update(self, stream: str, batch: int, change: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace the table by ``change`` of it, once for each batch of a stream."""
+        versions = self._versions()
+        if any((s, b) == (stream, batch) for _, s, b in versions):
+            return
+        version = versions[-1][0] + 1 if versions else 0
+        columns = [f.split()[0] for f in self.schema.split(", ")]
+        change(self._table(version - 1)).select(*columns).write.mode("overwrite").parquet(f"{self.path}/v={version}")
+        mark = self.spark.createDataFrame([(version, stream, batch)], "version int, stream string, batch bigint")
+        mark.coalesce(1).write.mode("append").json(f"{self.path}/marks")
 
 
 def run_batches(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -56,8 +70,8 @@ def fold_stream(stream: DataFrame, state: StateTable, checkpoint: str) -> DataFr
     that of ``newest_versions`` over all rows so far."""
 
     def step(batch: DataFrame, number: int) -> None:
-        rows = state.read(number).unionByName(batch.select("id", "source", "line", "updated", "created", "removed", "note"))
-        state.write(number, deciding_rows(rows))
+        fresh = batch.select("id", "source", "line", "updated", "created", "removed", "note")
+        state.update(checkpoint, number, lambda table: deciding_rows(table.unionByName(fresh)))
 
     run_batches(stream, checkpoint, step)
     return K.newest_versions(state.read())
@@ -88,7 +102,7 @@ def correct_stream(stream: DataFrame, state: StateTable, checkpoint: str, late:
 
     def step(batch: DataFrame, number: int) -> None:
         last = batch.groupBy("event").agg(F.max_by(F.struct("date", "entries", "players_known", "copy"), F.struct("entries", "copy")).alias("_b")).select("event", "_b.*")
-        state.write(number, K.replace_events(state.read(number), last))
+        state.update(checkpoint, number, lambda table: K.replace_events(table, last))
 
     fresh = stream.withWatermark("seen", late).dropDuplicatesWithinWatermark(["event", "entries", "players_known", "copy"])
     run_batches(fresh, checkpoint, step)
@@ -102,9 +116,11 @@ def add_days_stream(stream: DataFrame, state: StateTable, checkpoint: str) -> Da
     """A day once in is never replaced, even by better data: rows of days already here are left out."""
 
     def step(batch: DataFrame, number: int) -> None:
-        have = state.read(number)
-        new = batch.select("variant", "finish", "day", "cents").join(have.select("day").distinct(), "day", "left_anti")
-        state.write(number, have.unionByName(new.select(*have.columns)))
+        def add(have: DataFrame) -> DataFrame:
+            new = batch.select("variant", "finish", "day", "cents").join(have.select("day").distinct(), "day", "left_anti")
+            return have.unionByName(new.select(*have.columns))
+
+        state.update(checkpoint, number, add)
 
     run_batches(stream, checkpoint, step)
     return state.read()
