@@ -102,11 +102,17 @@ def item_results(item_rows: DataFrame, leader_rows: DataFrame, least: int = MIN_
                        share(rest("cuts"), rest("cut_baskets")).alias("conversion_without"))
 
 
-def bundle_results(entries: DataFrame, covered: DataFrame, bundles: DataFrame) -> DataFrame:
+def within(entries: DataFrame, today: str | None, days: int | None) -> DataFrame:
+    """The entries of one look-back, or all where none is asked for."""
+    return entries if days is None else entries.filter(F.col("date") >= cutoff(today, days))
+
+
+def bundle_results(entries: DataFrame, covered: DataFrame, bundles: DataFrame, today: str | None = None, days: int | None = None) -> DataFrame:
     """Entries playing all of a bundle against those playing none, some counted apart.
 
     covered(leader, entry, bundle, held, size), bundles(leader, bundle). An entry playing none has no coverage row, so
     "none" is the leader's total less the rest: nothing is paired with every bundle."""
+    entries = within(entries, today, days)
     all_of = entries.groupBy("leader").agg(*tallies())
     has = F.when(F.col("held") == F.col("size"), "all").otherwise("some").alias("has")
     seen = (entries.join(covered.select("leader", "entry", "bundle", has), ["leader", "entry"])
@@ -124,10 +130,11 @@ def bundle_results(entries: DataFrame, covered: DataFrame, bundles: DataFrame) -
                        F.when(fair, lift).alias("lift"), F.when(fair, evidence).alias("evidence"))
 
 
-def wins_more_with(entries: DataFrame, holders: DataFrame, entry_items: DataFrame, least: int = MIN_PAIR_BASKETS) -> DataFrame:
+def wins_more_with(entries: DataFrame, holders: DataFrame, entry_items: DataFrame, least: int = MIN_PAIR_BASKETS, today: str | None = None,
+                   days: int | None = None) -> DataFrame:
     """Among entries holding x (an item, or all of a bundle), those also playing each other item against those not.
     holders(leader, x, entry). (leader, x, item, with/without counts, lift, evidence)"""
-    facts = entries.select("entry", "games", "wins")
+    facts = within(entries, today, days).select("entry", "games", "wins")
     held = holders.join(facts, "entry")
     t = held.groupBy("leader", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("games").alias("g"), F.sum("wins").alias("k"))
     both = (held.join(entry_items, "entry").groupBy("leader", "x", "item")
@@ -143,9 +150,10 @@ def wins_more_with(entries: DataFrame, holders: DataFrame, entry_items: DataFram
                        lift.alias("lift"), evidence.alias("evidence"))
 
 
-def win_ties(entries: DataFrame, runs: DataFrame, least: int = MIN_RESULT_BASKETS) -> DataFrame:
+def win_ties(entries: DataFrame, runs: DataFrame, least: int = MIN_RESULT_BASKETS, today: str | None = None, days: int | None = None) -> DataFrame:
     """Results of the entries running each node set, and of those running both of a pair, against the leader's others.
     runs(leader, node, entry). (leader, a, b null for a node, baskets, games, wins, lift, evidence)"""
+    entries = within(entries, today, days)
     t = entries.groupBy("leader").agg(F.sum("games").alias("all_games"), F.sum("wins").alias("all_wins"))
     facts = entries.select("entry", "games", "wins")
     sums = [F.count(F.lit(1)).alias("baskets"), F.sum("games").alias("games"), F.sum("wins").alias("wins")]

@@ -221,3 +221,16 @@ def exact_names(queries: DataFrame, names: DataFrame) -> DataFrame:
     return asked.join(names.select("item", F.lower("name").alias("_q")), "_q").select("query", "item").distinct()
 
 
+def answer(queries: DataFrame, names: DataFrame, tag_names: DataFrame, weights: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query, item, score, way): a whole search. A query that is a name, word for word, finds that item; any other is parsed and
+    scored; one whose words name no feature finds the items it is part of the name of. score is null but for parsed queries.
+    names(item, name), postings(term, item), queries(query, text)."""
+    named = cut_lineage(exact_names(queries, names))
+    rest = queries.join(named.select("query").distinct(), "query", "left_anti")
+    groups = cut_lineage(parse(rest, tag_names, weights))
+    scored = score(groups, postings, weights)
+    left = rest.join(groups.select("query").distinct(), "query", "left_anti")
+    none = F.lit(None).cast("double").alias("score")
+    return (named.select("query", "item", none, F.lit("name").alias("way"))
+            .unionByName(scored.select("query", "item", "score", F.lit("features").alias("way")))
+            .unionByName(name_search(names, left).select("query", "item", none, F.lit("part of a name").alias("way"))))

@@ -215,11 +215,14 @@ def recipe_lines(t):
 
 @query("s13_arrays_and_lines", "SELECT event_id, user_id, value FROM events")
 def _(t):
-    """Half the users' events come as a JSON array, the others' as lines; a user is a file."""
-    one = F.to_json(F.struct("event_id", "user_id", "value"))
-    files = t.read("events").groupBy("user_id").agg(F.collect_list(one).alias("r")).select(
-        F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("["), F.array_join("r", ","), F.lit("]"))).otherwise(F.array_join("r", "\n")).alias("value"))
-    return R.parse_texts(files, "event_id bigint, user_id bigint, value double")
+    """Runs of 2,000 event ids come by turns as the lines of compressed files and as a compressed file of one JSON array."""
+    one, schema = F.to_json(F.struct("event_id", "user_id", "value")), "event_id bigint, user_id bigint, value double"
+    rows = t.read("events").withColumn("run", F.floor(F.col("event_id") / 2000))
+    lines, arrays = scratch_path(t.spark, "lines"), scratch_path(t.spark, "arrays")
+    rows.filter("run % 2 = 1").select(one.alias("value")).write.option("compression", "gzip").text(lines)
+    whole = F.concat(F.lit("["), F.array_join(F.collect_list(one), ","), F.lit("]")).alias("value")
+    rows.filter("run % 2 = 0").groupBy("run").agg(whole).repartition("run").write.partitionBy("run").option("compression", "gzip").text(arrays)
+    return R.parse_lines(R.read_lines(t.spark, lines), schema).unionByName(R.parse_texts(R.read_whole(t.spark, arrays).select("value"), schema))
 
 
 @query("s14_cut_tails", "SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) > 1")

@@ -188,3 +188,16 @@ def _(t):
 @query("n7_main_terms", "SELECT query, term FROM qg WHERE credit = 1", "qg")
 def _(t):
     return S.main_terms(groups(t))
+
+
+@query("k1_answers", """WITH x AS (SELECT CAST(basket AS VARCHAR) AS query, min(item) AS item FROM bi GROUP BY basket HAVING count(*) = 1), q AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS query FROM part WHERE split_part(p_name, ' ', 1) <> 'small')
+    SELECT query, item, NULL::DOUBLE AS score, 'name' AS way FROM x
+    UNION ALL SELECT CAST(query AS VARCHAR), substr(term, 5), round(floor(round(credit, 12) * 1000000 + 0.5) / 1000000, 6), 'features' FROM qg WHERE CAST(query AS VARCHAR) NOT IN (SELECT query FROM x)
+    UNION ALL SELECT query, p_name, NULL, 'part of a name' FROM q JOIN (SELECT DISTINCT p_name FROM part) ON contains(p_name, query)""", "bi qg")
+def _(t):
+    """Baskets' texts and the first words of part names. Of those only "small" names a feature, and no part has it."""
+    part = t.read("part")
+    first = F.split("p_name", " ")[0]
+    asked = t.basket_text.select(F.col("query").cast("string").alias("query"), "text").unionByName(part.select(first.alias("query"), F.upper(first).alias("text")).distinct())
+    names = part.select(F.col("p_name").alias("item"), F.col("p_name").alias("name")).distinct()
+    return S.answer(asked, names, tag_names(t), name_weights(t), tag_names(t).select("term", F.col("name").alias("item")))
