@@ -14,6 +14,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+FOLDED_WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
 def query(name: str, sql: str | None = None) -> Callable:
     def register(plan: Callable[[SparkSession, str], DataFrame]) -> Callable:
         QUERIES[name] = plan
@@ -73,7 +77,19 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return token_output.token_files(table(spark, folder, "documents"))
 
 
-@query("op5_near_duplicates")
+@query("op5_near_duplicates", f"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(regexp_split_to_array({LOWERED}, '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS words FROM documents),
+p AS (SELECT doc_id, words, least(3, len(words)) AS k, unnest(range(1, len(words) - least(3, len(words)) + 2)) AS i FROM w WHERE len(words) > 0),
+g AS (SELECT DISTINCT doc_id, array_to_string(words[i:i + k - 1], ' ') AS gram FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM g x JOIN g y USING (gram) WHERE x.doc_id <> y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = other),
+c AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN c USING (doc_id) LEFT JOIN n USING (doc_id)
+""")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, folder, "documents"), words=3, percent=85)
 
@@ -139,6 +155,23 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return pii.find_pii(table(spark, folder, "documents"))
 
 
-@query("op10_decontamination")
+@query("op10_decontamination", f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, {FOLDED_WORD}) AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWERED}, {FOLDED_WORD}) AS w FROM benchmark),
+g AS (
+    SELECT DISTINCT item_id, k, array_to_string(w[p:p + k - 1], ' ') AS gram
+    FROM (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM (SELECT item_id, w, least(10, len(w)) AS k FROM i WHERE len(w) > 0))),
+dg AS (
+    SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS gram
+    FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM g) WHERE len(w) >= k)),
+hits AS (SELECT doc_id, k, p, item_id FROM dg JOIN g USING (k, gram)),
+places AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + k)) AS q FROM hits) GROUP BY doc_id),
+named AS (
+    SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
+""")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
