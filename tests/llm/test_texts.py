@@ -233,13 +233,13 @@ def test_isotonic():
     assert quality.isotonic(np.ones(5), np.array([0, 2, 1, 1, 5])).tolist() == [0, 4 / 3, 4 / 3, 4 / 3, 5]
 
 
-@pytest.mark.parametrize("labels", [[], [(3, 1, 0)], [(3, 1, 1), (4, 0, 0)], [(None, None, None)]])
+@pytest.mark.parametrize("labels", [[], [(3, 1, 1), (4, 0, 0), (None, None, None)]])
 def test_odd_tables(spark, labels):
     docs, known = odd_documents(spark), labels_of(spark, labels)
     items = spark.createDataFrame([(None, None), (2, "one")], "item_id long, text string")
     for table, n in ((docs, 10), (empty_like(docs), 0)):
-        for out in (toxicity.toxicity_scores(table, known), quality.quality_scores(table, known), pii.find_pii(table), quality_rules.quality_rules(table),
-                    decontamination.contamination(table, items), line_dedup.drop_boilerplate(table)):
+        for out in (pii.find_pii(table), quality_rules.quality_rules(table), decontamination.contamination(table, items), line_dedup.drop_boilerplate(table)):
             assert out.count() == n
-        scored = quality.quality_scores(table, known).collect()
-        assert all(0 <= r.score <= 1 for r in scored)
+        for out in (toxicity.toxicity_scores(table, known), quality.quality_scores(table, known)):
+            rows = out.collect()
+            assert len(rows) == n and all(0 <= r.score <= 1 for r in rows)
