@@ -391,4 +391,4 @@ def within_colors(df: DataFrame, identity: Column, colors: Column) -> DataFrame:
 def random_niche(shares: DataFrame, seed: int, keys: Sequence[str] = ("leader",), middle: float = 0.15, reach: float = 0.1) -> DataFrame:
     """One item some but not most baskets play, picked by hash. shares(keys, item, share)."""
     niche = shares.filter(F.abs(F.col("share") - middle) <= reach)
-    return top_n(niche, list(keys), [F.xxhash64(F.lit(seed), *keys, "item").asc()], 1).drop("rank")
+    return top_n(niche, list(keys), [F.md5(F.concat_ws(":", F.lit(str(seed)), *keys, "item")).asc()], 1).drop("rank")

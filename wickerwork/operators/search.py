@@ -207,8 +207,9 @@ def random_searches(terms: DataFrame, tag_names: DataFrame, least: int = 15) ->
 
 def pick_random(searches: DataFrame, seed: int, n: int = 1) -> DataFrame:
     """n searches, each term equally likely however many ways it can be said, by hash."""
-    one = top_n(searches, "term", [F.xxhash64(F.lit(seed), "term", "text").asc()], 1).drop("rank")
-    return one.orderBy(F.xxhash64(F.lit(seed), "term")).limit(n)
+    drawn = lambda *c: F.md5(F.concat_ws(":", F.lit(str(seed)), *c)).asc()
+    one = top_n(searches, "term", [drawn("term", "text")], 1).drop("rank")
+    return one.orderBy(drawn("term")).limit(n)
 
 
 def main_terms(groups: DataFrame) -> DataFrame:

@@ -169,8 +169,11 @@ def _(t):
     return t.read("part").select(F.col("p_partkey").alias("query"), spoken_price(text).alias("said"), price_limit(text, 2.0).alias("most"))
 
 
-@query("n15_random_searches", """SELECT DISTINCT term, text FROM (SELECT feature AS term, CASE WHEN feature LIKE 'token:%' THEN 'makes ' || lower(substr(feature, 7)) || ' tokens' ELSE lower(feature) END AS text, count(*) OVER (PARTITION BY feature) AS d FROM ff) JOIN tm USING (term)
-    WHERE d >= 15 AND ((term LIKE 'token:%' AND length(term) > 7) OR category IN (2, 3)) UNION SELECT 'tag:' || lower(p_brand), 'brand ' || lower(p_type) FROM part WHERE (SELECT count(*) FROM part q WHERE q.p_brand = part.p_brand) >= 15""", "ff tm")
+SEARCHES = """SELECT DISTINCT term, text FROM (SELECT feature AS term, CASE WHEN feature LIKE 'token:%' THEN 'makes ' || lower(substr(feature, 7)) || ' tokens' ELSE lower(feature) END AS text, count(*) OVER (PARTITION BY feature) AS d FROM ff) JOIN tm USING (term)
+    WHERE d >= 15 AND ((term LIKE 'token:%' AND length(term) > 7) OR category IN (2, 3)) UNION SELECT 'tag:' || lower(p_brand), 'brand ' || lower(p_type) FROM part WHERE (SELECT count(*) FROM part q WHERE q.p_brand = part.p_brand) >= 15"""
+
+
+@query("n15_random_searches", SEARCHES, "ff tm")
 def _(t):
     """Tags are named by the types their brand comes in."""
     counted = C.term_counts(C.postings(features(t), terms(t))).join(terms(t), "term")
@@ -178,7 +181,8 @@ def _(t):
     return S.random_searches(counted, names)
 
 
-@query("w18_random_search")
+@query("w18_random_search", f"""WITH s AS ({SEARCHES}) SELECT term, text FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY term ORDER BY md5(concat_ws(':', '1', term, text))) = 1)
+    ORDER BY md5(concat_ws(':', '1', term)) LIMIT 5""", "ff tm")
 def _(t):
     counted = C.term_counts(C.postings(features(t), terms(t))).join(terms(t), "term")
     names = t.read("part").select(F.concat(F.lit("tag:"), F.lower("p_brand")).alias("term"), F.concat(F.lit("brand-"), "p_type").alias("name")).distinct()
