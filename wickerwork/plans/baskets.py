@@ -30,10 +30,15 @@ CTES["vt"] = (["nb", "bi"], """SELECT query, leader, item, sum(similarity) / any
     GROUP BY query, leader, item""")
 
 
+def items_once(t: Tables):
+    """The items of baskets, for plans that read them again and again."""
+    return t.once("basket-items", lambda: t.basket_items)
+
+
 def full_queries(t: Tables):
-    counted = t.basket_items.groupBy("leader", "basket").agg(F.count(F.lit(1)).alias("k"))
+    counted = items_once(t).groupBy("leader", "basket").agg(F.count(F.lit(1)).alias("k"))
     picked = top_n(counted, "leader", [F.desc("k"), F.asc("basket")], 1).select("leader", "basket")
-    return t.basket_items.join(picked, ["leader", "basket"]).select(F.col("basket").alias("query"), "leader", "item")
+    return items_once(t).join(picked, ["leader", "basket"]).select(F.col("basket").alias("query"), "leader", "item")
 
 
 def pool(t: Tables):
@@ -41,12 +46,12 @@ def pool(t: Tables):
 
 
 def similar(t: Tables):
-    plays, n = pool(t)
-    return B.similarity(full_queries(t), t.basket_items, plays, n)
+    items = items_once(t)
+    return B.similarity(full_queries(t), items, B.play_counts(items), B.sizes(t.baskets))
 
 
 def voted(t: Tables):
-    return B.votes(B.neighbours(similar(t)), t.basket_items)
+    return B.votes(B.neighbours(similar(t)), items_once(t))
 
 
 @query("a3_play_counts", """SELECT leader, item, plays, CAST(sum(plays) OVER (PARTITION BY item) AS BIGINT) AS everywhere FROM pl""", "pl")
@@ -76,8 +81,7 @@ def _(t):
     SELECT query, leader, item, share, baskets, round(share - 0.5::DOUBLE * plays / n, 9) AS score FROM vt ANTI JOIN fq USING (query, item)
     JOIN wt USING (leader, item))) WHERE rank <= 20""", "vt fq wt")
 def _(t):
-    plays, n = pool(t)
-    adds = B.recommend_adds(voted(t), full_queries(t), plays, n)
+    adds = B.recommend_adds(voted(t), full_queries(t), B.play_counts(items_once(t)), B.sizes(t.baskets))
     return (top_n(adds, "query", [F.desc("score"), F.asc("item")], 20)
             .select("query", "leader", "item", r6(F.col("share")).alias("share"), "baskets", r6(F.col("score")).alias("score"),
                     F.col("rank").cast("long").alias("rank")))
@@ -97,14 +101,14 @@ def _(t):
 
 @query("b3_fold_copies")
 def _(t):
-    return B.fold_copies(similar(t), t.basket_items, limit=3, alike=0.75)
+    return B.fold_copies(similar(t), items_once(t), limit=3, alike=0.75)
 
 
 @query("b3_copy_overlap", """SELECT query, basket, round(shared / (q.k + b.k - shared), 6) AS jaccard FROM sm
     JOIN (SELECT query, count(*) AS k FROM fq GROUP BY ALL) q USING (query) JOIN (SELECT basket, count(*) AS k FROM bi GROUP BY ALL) b USING (basket)""", "sm")
 def _(t):
     both = similar(t).select(F.col("query").alias("a"), F.col("basket").alias("b"))
-    found = B.jaccard(both, full_queries(t).select(F.col("query").alias("basket"), "item"), t.basket_items.select("basket", "item"))
+    found = B.jaccard(both, full_queries(t).select(F.col("query").alias("basket"), "item"), items_once(t).select("basket", "item"))
     return found.select(F.col("a").alias("query"), F.col("b").alias("basket"), r6(F.col("jaccard")).alias("jaccard"))
 
 

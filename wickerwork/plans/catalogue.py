@@ -181,7 +181,7 @@ def _(t):
 
 
 def keyword_table(t):
-    return catalogue(t).select(F.explode("keywords").alias("keyword")).distinct()
+    return t.once("keywords", lambda: catalogue(t).select(F.explode("keywords").alias("keyword")).distinct())
 
 
 CTES["kw"] = (["ct"], """SELECT item, CASE WHEN value > 25 THEN 'Flying' ELSE 'First strike' END AS keyword FROM ct UNION ALL SELECT item, 'Strike' FROM ct""")
@@ -197,6 +197,10 @@ CTES["tf"] = (["ct"], """SELECT item, 'token:' || unnest([CASE adj WHEN 'Red' TH
 
 
 def tokens(t):
+    return t.once("tokens", lambda: made_tokens(t))
+
+
+def made_tokens(t):
     items = catalogue(t)
     names = items.select(F.explode(C.subtypes(F.col("type_line"))).alias("name")).filter(F.col("name").rlike(C.SUBTYPE)).distinct()
     return C.token_features(items, keyword_table(t), names)

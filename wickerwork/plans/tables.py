@@ -6,6 +6,7 @@ bindings as SQL, so a query and its SQL start from the same rows."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wickerwork.functions.numeric import half_even
+from wickerwork.session import cut_lineage
 
 #: The day after the last order: the day every look-back counts from.
 TODAY = "2001-08-02"
@@ -22,10 +24,17 @@ LAST_EVENT_DAY = "2024-01-31"
 class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._once: dict[str, DataFrame] = {}
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that one plan reads many times: made and written once, read from there."""
+        if name not in self._once:
+            self._once[name] = cut_lineage(make(), name)
+        return self._once[name]
+
     # ---- baskets ------------------------------------------------------------------------------------------
     @cached_property
     def lines(self) -> DataFrame:
