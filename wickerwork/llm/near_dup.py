@@ -40,10 +40,12 @@ NEIGHBOURS = 16
 #: Hubs of a dense region, and the trees whose dense regions have hubs.
 HUBS = 4
 HUB_TREES = 6
+#: Bits of the filter that passes over texts no pair needs: 8 MB, whatever the corpus.
+FILTER_WORDS = 1 << 20
 #: How far the estimate may lie below the threshold: nearly four of its standard deviations.
 SLACK = 0.15
-#: Candidates of a node that the first rounds confirm; the last round confirms all that are left.
-ROUNDS = (2, 6, None)
+#: Candidates of a node that the first and the second round confirm; the last round confirms all that are left.
+ROUNDS = (2, 6)
 CACHE_WORDS = 400_000
 _SEED = 977
 
@@ -149,46 +151,78 @@ def _forest(nodes: DataFrame) -> DataFrame:
     return carried.mapInArrow(run, schema)
 
 
-def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (node, other, estimate) worth a look, each once for either order it was found in."""
+def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows of the forest that share a region with another, staged, and those of them in dense regions with the sizes of their
+    regions at every depth. ``root`` is the component a node is known to be in, at first its own."""
     forest = _forest(nodes)
     crowd = forest.groupBy("p0").agg(F.count(F.lit(1)).alias("c0")).filter("c0 > 1")
-    rows = cut_lineage(forest.join(crowd, "p0"), "forest")
+    rows = cut_lineage(forest.join(crowd, "p0").withColumn("root", F.col("node")), "forest")
     dense = rows.filter(F.col("c0") > DENSE)
     for k in range(1, len(DEPTHS)):
         counts = dense.groupBy(f"p{k}").agg(F.count(F.lit(1)).alias(f"c{k}"))
         dense = dense.join(counts, f"p{k}")
-    dense = cut_lineage(dense, "dense")
+    return rows, cut_lineage(dense, "dense")
+
+
+def _candidates(rows: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
+    """Pairs (node, other, estimate) of different components worth a look, each once for either order it was found in."""
     last = len(DEPTHS) - 1
     parts = F.ceil(F.col(f"c{last}") / DENSE)
     region = F.xxhash64(F.col(f"p{last}"), F.pmod(F.xxhash64("node"), parts))
     for k in range(last, 0, -1):
         region = F.when(F.col(f"c{k}") <= DENSE, F.col(f"p{k}")).otherwise(region)
-    columns = ["node", "n", "bits", *[f"p{k}" for k in range(1, len(DEPTHS))]]
+    own = ["node", "root", "n", "bits"]
+    other = [F.col(f"o.{c}").alias(f"o_{c}") for c in own]
+    columns = [*own, *[f"p{k}" for k in range(1, len(DEPTHS))]]
     placed = rows.filter(F.col("c0") <= DENSE).select(F.col("p0").alias("region"), *columns).unionByName(dense.select(region.alias("region"), *columns))
-    order = W.partitionBy("region").orderBy(*columns[3:], "node")
-    ahead = F.collect_list(F.struct("node", "n", "bits")).over(order.rowsBetween(1, NEIGHBOURS))
-    near = placed.withColumn("ahead", ahead).select("node", "n", "bits", F.explode("ahead").alias("o"))
-    found = near.select("node", "n", "bits", F.col("o.node").alias("other"), F.col("o.n").alias("m"), F.col("o.bits").alias("other_bits"))
+    order = W.partitionBy("region").orderBy(*columns[len(own):], "node")
+    ahead = F.collect_list(F.struct(*own)).over(order.rowsBetween(1, NEIGHBOURS))
+    found = placed.withColumn("ahead", ahead).select(*own, F.explode("ahead").alias("o")).select(*own, *other)
     for k in (0, 1):  # hubs of dense regions at the first two depths
         crowded = dense.filter((F.col("tree") < HUB_TREES) & (F.col(f"c{k}") > DENSE))
         weight = F.struct(*[f"c{j}" for j in range(last, k, -1)], -F.col("node"))
         hubs = (crowded.groupBy(f"p{k}", F.pmod(F.xxhash64("node", F.lit(k)), F.lit(HUBS)).alias("part"))
-                .agg(F.max(F.struct(weight.alias("w"), "node", "n", "bits")).alias("h"))
-                .select(f"p{k}", F.col("h.node").alias("other"), F.col("h.n").alias("m"), F.col("h.bits").alias("other_bits")))
-        found = found.unionByName(crowded.join(hubs, f"p{k}").select("node", "n", "bits", "other", "m", "other_bits"))
+                .agg(F.max(F.struct(weight.alias("w"), *own)).alias("o")).select(f"p{k}", *other))
+        found = found.unionByName(crowded.select(f"p{k}", *own).join(hubs, f"p{k}").select(*own, *[f"o_{c}" for c in own]))
     unlike = F.lit(0)
     for i in range(2 * HASHES // 64):
-        unlike = unlike + F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("other_bits")[i]))
+        unlike = unlike + F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("o_bits")[i]))
     estimate = 1 - unlike / HASHES  # two bits of a place that differs are one bit apart on average
-    sized = 100 * F.least("n", "m") >= percent * F.greatest("n", "m")
-    return (found.filter((F.col("node") != F.col("other")) & sized).select("node", "other", estimate.alias("estimate"))
+    sized = 100 * F.least("n", "o_n") >= percent * F.greatest("n", "o_n")
+    return (found.filter((F.col("root") != F.col("o_root")) & sized).select("node", F.col("o_node").alias("other"), estimate.alias("estimate"))
             .filter(F.col("estimate") >= percent / 100 - SLACK).distinct())
 
 
+def _in_components(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    return rows.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def _filter_of(nodes: DataFrame) -> np.ndarray:
+    """A bit for the hash of every node, in FILTER_WORDS words: of fixed size, so it may be collected and sent. Where many nodes
+    fill it, it lets more texts pass, never fewer."""
+    bit = F.expr("shiftleft(1L, cast(pmod(shiftrightunsigned(xxhash64(node), 32), 64) as int))")
+    words = nodes.groupBy(F.pmod(F.xxhash64("node"), F.lit(FILTER_WORDS)).cast("int").alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(FILTER_WORDS, np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node and its shingles' lower 32 bits, ascending, read anew from whole texts. ``wanted`` has node and key."""
+    """node and its shingles' lower 32 bits, ascending, read anew from whole texts. ``wanted`` has node and key.
+
+    Texts are not shuffled: a filter passes over most of those that no pair needs, and the join is on what is made of the rest."""
     fields = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+    sent = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
+    h = F.xxhash64("doc_id")
+    hashed = docs.select("doc_id", "text", F.pmod(h, F.lit(FILTER_WORDS)).cast("int").alias("at"),
+                         F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("long").alias("bit"))
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text", T.StringType())])
+
+    def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
+        for batch in batches:
+            good = (bits[batch.column(2).to_numpy()] >> batch.column(3).to_numpy()) & 1
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=schema.names).filter(pa.array(good == 1))
 
     def make():
         shingler = Shingler(words)
@@ -198,9 +232,9 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
             return [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [np.sort(s.astype(np.uint32)).tobytes() for s in sets]
         return work
 
-    picked = docs.join(wanted.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
-    made = map_texts(picked, "text", ["doc_id"], fields, make).withColumnRenamed("doc_id", "node")
-    return made.join(wanted, ["node", "key"], "left_semi").select("node", "shingles")  # of one id's texts, the node's own
+    some = hashed.filter(F.col("doc_id").isNotNull()).mapInArrow(pass_over, schema)
+    made = map_texts(some, "text", ["doc_id"], fields, make).withColumnRenamed("doc_id", "node")
+    return made.join(wanted, ["node", "key"]).select("node", "shingles")  # of one id's texts, the node's own
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
@@ -261,9 +295,14 @@ def _lifted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
             .select(F.least("x", "y").alias("node"), F.greatest("x", "y").alias("other")).distinct())
 
 
-def _apart(pairs: DataFrame, roots: DataFrame | None) -> DataFrame:
-    if roots is None:
-        return pairs
+def _likeliest(pairs: DataFrame, most: int) -> DataFrame:
+    """The ``most`` pairs of each node with the highest estimates. A node has a bounded number of pairs."""
+    order = W.partitionBy("node").orderBy(F.col("estimate").desc(), "other")
+    return pairs.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= most).drop("_rank")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
     a = roots.select("node", F.col("root").alias("_a"))
     b = roots.select(F.col("node").alias("other"), F.col("root").alias("_b"))
     joined = pairs.join(a, "node", "left").join(b, "other", "left")
@@ -282,18 +321,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
     classes = cut_lineage(filled.groupBy("key").agg(F.min("doc_id").alias("node")), "classes")
     nodes = (filled.join(classes, "key").filter(F.col("doc_id") == F.col("node"))
              .select("node", F.col("n_shingles").alias("n"), "bits", "sig", "key").dropDuplicates(["node", "key"]))
-    pairs = cut_lineage(_candidates(nodes.select("node", "n", "bits", "sig"), percent), "candidates")
+    rows, dense = _regions(nodes)
+    pairs = cut_lineage(_candidates(rows, dense, percent), "candidates")
     touched = pairs.select("node").union(pairs.select("other")).distinct()
     sets = cut_lineage(_full_sets(docs, classes.join(touched, "node", "left_semi").select("node", "key"), words), "sets")
-    roots: DataFrame | None = None
-    for most in ROUNDS:
-        left = _apart(pairs, roots)
-        if most is not None:
-            likeliest = W.partitionBy("node").orderBy(F.col("estimate").desc(), "other")
-            left = left.withColumn("_rank", F.row_number().over(likeliest)).filter(F.col("_rank") <= most).drop("_rank")
+    roots = components(cut_lineage(_confirmed(_likeliest(pairs, ROUNDS[0]), sets, percent), "links"))
+    # most nodes of a dense region are one component by now, and their pairs need not be made again
+    pairs = cut_lineage(_candidates(_in_components(rows, roots), _in_components(dense, roots), percent), "candidates")
+    for chosen in (_likeliest(pairs, ROUNDS[1]), None):
+        left = _apart(pairs, roots) if chosen is None else chosen
         links = cut_lineage(_confirmed(left.select("node", "other"), sets, percent), "links")
-        more = components(links if roots is None else _lifted(links, roots))
-        roots = more if roots is None else cut_lineage(_composed(roots, more), "components")
+        roots = cut_lineage(_composed(roots, components(_lifted(links, roots))), "components")
     members = filled.select("doc_id", "key").join(classes, "key").select("doc_id", "node")
     labels = (members.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id")))
     component = F.coalesce("component_id", "doc_id")
