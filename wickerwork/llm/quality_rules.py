@@ -118,10 +118,11 @@ RULES: tuple[Rule, ...] = (
 def measure(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "text", sample: int = SAMPLE) -> list[tuple[Rule, float, float]]:
     """Each rule with the share of the sample that it rejects and the seconds it takes there.
 
-    The sample is the documents of the ``sample`` smallest hashes of doc_id; with repeated ids it may hold some more."""
+    The sample is the documents of the ``sample`` smallest hashes of doc_id; with repeated ids it may hold some more. The base
+    columns are made for it alone."""
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
-    picked = docs.join(F.broadcast(ids), "doc_id", "left_semi")  # as many ids as the sample has
-    staged = cut_lineage(picked.withColumn("_t", F.coalesce(F.col(text), F.lit(""))), "rule-sample")
+    picked = docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")  # as many ids as the sample has
+    staged = cut_lineage(base_columns(cut_lineage(picked, "rule-documents")).withColumn("_t", F.coalesce(F.col("text"), F.lit(""))), "rule-sample")
     rejected = staged.agg(F.count(F.lit(1)).alias("n"), *[F.sum(r.rejects(F.col("_t")).cast("int")).alias(r.name) for r in rules]).first()
     out = []
     for rule in rules:
@@ -149,6 +150,6 @@ def quality_rules(docs: DataFrame, rules: Sequence[Rule] = RULES, text: str = "t
 
     Null and empty texts fail the base (no words). Repeated rows are judged one by one; other columns stay behind."""
     based = base_columns(docs.select("doc_id", F.col(text).alias("text")))
-    first = cascade(measure(based, rules, "text", sample))
+    first = cascade(measure(docs, rules, text, sample))
     kept = F.when(F.col("base_failed"), F.lit(False)).otherwise(first.isNull())
     return based.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"))
