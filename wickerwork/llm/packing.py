@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wickerwork.llm.common import explode_texts
-from wickerwork.llm.tokens import CachedEncoder, tokenizer_path
+from wickerwork.llm.tokens import shared_encoder, tokenizer_path
 from wickerwork.session import cut_lineage
 
 CAPACITY = 4096
@@ -42,7 +42,7 @@ def document_pieces(docs: DataFrame, tokenizer: str = TOKENIZER, end_id: int = E
     part = max(1, capacity // PART_SHARE)
 
     def make():
-        encoder = CachedEncoder(path, spaces=False)
+        encoder = shared_encoder(path, spaces=False)
 
         def work(texts):
             out = []

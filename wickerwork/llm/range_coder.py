@@ -28,6 +28,7 @@ _TABLE_BITS = 18
 _STEP_COUNT = 24
 _MOST_COUNT = 1 << 23
 _MOST_ODDS = 1 << 15
+_ODDS_BITS = _U(16)
 _SURE = 7
 
 
@@ -40,6 +41,7 @@ class Model:
         self.next2 = np.zeros(1 << _TABLE_BITS, np.int64)
         self.sure2 = np.zeros(1 << _TABLE_BITS, np.int64)
         self.odds = np.tile(np.array([4, 2, 4], np.int64), ((_SURE + 1) ** 2 * 2, 1))
+        self._share()
         self.count = np.ones(vocabulary, np.int64)
         self.fresh: list[np.ndarray] = []
         self.last1 = np.zeros(lanes, np.int64)
@@ -51,24 +53,35 @@ class Model:
         self.upto = np.cumsum(self.count)
         self.total = _U(self.upto[-1])
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The two predictions, and the odds (order 2 holds, else order 1, else neither) of each lane."""
+    def _share(self) -> None:
+        """The odds of each pair of confidences as three shares of 2**16, none of them empty, and where each begins."""
+        total = self.odds.sum(axis=1, keepdims=True)
+        shares = np.maximum((self.odds << 16) // total, 1)
+        shares[np.arange(len(shares)), shares.argmax(axis=1)] += (1 << 16) - shares.sum(axis=1)
+        self.size = shares.astype(_U).ravel()
+        self.first, self.second = shares[:, 0].copy(), shares[:, 0] + shares[:, 1]
+        self.start = np.stack([np.zeros(len(shares), _U), self.first.astype(_U), self.second.astype(_U)], axis=1).ravel()
+
+    def predict(self) -> tuple[np.ndarray, np.ndarray]:
+        """The predictions of either order for each lane; ``pair`` is then the place of its odds."""
         self.slot = ((self.last2 * 0x9E3779B1 + self.last1 * 0x85EBCA6B) >> 7) & ((1 << _TABLE_BITS) - 1)
         self.guess2, self.guess1 = self.next2[self.slot], self.next1[self.last1]
         self.conf2, self.conf1 = self.sure2[self.slot], self.sure1[self.last1]
         self.pair = (self.conf2 * (_SURE + 1) + self.conf1) * 2 + (self.guess1 == self.guess2)
-        return self.guess2, self.guess1, self.odds[self.pair]
+        return self.guess2, self.guess1
 
-    def update(self, ids: np.ndarray, event: np.ndarray, missed: np.ndarray) -> None:
-        """``event`` is 0, 1 or 2 as above, ``missed`` the ids of lanes with event 2. Where lanes write to one place, the last holds."""
+    def update(self, ids: np.ndarray, entry: np.ndarray, missed: np.ndarray) -> None:
+        """``entry`` is 3 * pair + what came true (0: order 2, 1: order 1, 2: neither), ``missed`` the ids of lanes where neither
+        did. Where lanes write to one place, the last holds."""
         for guess, sure, following, at in ((self.guess2, self.conf2, self.next2, self.slot), (self.guess1, self.conf1, self.next1, self.last1)):
             right = guess == ids
             following[at] = np.where(right | (sure > 0), guess, ids)
             (self.sure2 if following is self.next2 else self.sure1)[at] = np.where(right, np.minimum(sure + 1, _SURE), sure >> 1)
-        self.odds += np.bincount(self.pair * 3 + event, minlength=self.odds.size).reshape(self.odds.shape)
+        self.odds += np.bincount(entry, minlength=self.odds.size).reshape(self.odds.shape)
         heavy = self.odds.sum(axis=1) > _MOST_ODDS
         if heavy.any():
             self.odds[heavy] = (self.odds[heavy] + 1) >> 1
+        self._share()
         self.fresh.append(missed)
         self.last2, self.last1 = self.last1, ids
         self.step += 1
@@ -94,8 +107,10 @@ class _Encoder:
         self.words = np.zeros((lanes, 2 * steps + 2), np.uint32)
         self.filled = np.zeros(lanes, np.int64)
 
-    def put(self, where: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: np.ndarray) -> None:
-        low, width = self.low[where], self.range[where] // total
+    def put(self, where: np.ndarray | slice, start: np.ndarray, size: np.ndarray, total: np.uint64 | None = None) -> None:
+        """Code an interval of ``total``, or of 2**16 where there is none."""
+        low, width = self.low[where], self.range[where]
+        width = width >> _ODDS_BITS if total is None else width // total
         low = low + width * start
         width = width * size
         small = np.flatnonzero(width < _UNIT)
@@ -133,9 +148,11 @@ class _Decoder:
         self.code[lanes] = (self.code[lanes] << _WORD) | word
         self.at[lanes] += 1
 
-    def target(self, where: np.ndarray | slice, total: np.ndarray) -> np.ndarray:
-        self.part = self.range[where] // total
-        return np.minimum((self.code[where] - self.low[where]) // self.part, total - _U(1)).astype(np.int64)
+    def target(self, where: np.ndarray | slice, total: np.uint64 | None = None) -> np.ndarray:
+        width = self.range[where]
+        self.part = width >> _ODDS_BITS if total is None else width // total
+        most = _U((1 << 16) - 1) if total is None else total - _U(1)
+        return np.minimum((self.code[where] - self.low[where]) // self.part, most).astype(np.int64)
 
     def take(self, where: np.ndarray | slice, start: np.ndarray, size: np.ndarray) -> None:
         low = self.low[where] + self.part * start
@@ -162,17 +179,16 @@ def encode_block(ids: np.ndarray) -> bytes:
     columns = np.ascontiguousarray(laid.reshape(lanes, steps).T)
     model, coder = Model(lanes, vocabulary), _Encoder(lanes, steps)
     for now in columns:
-        guess2, guess1, odds = model.predict()
-        event = np.where(now == guess2, 0, np.where(now == guess1, 1, 2))
-        second = odds[:, 0] + odds[:, 1]
-        start = np.where(event == 0, 0, np.where(event == 1, odds[:, 0], second))
-        coder.put(_ALL, start.astype(_U), np.take_along_axis(odds, event[:, None], 1)[:, 0].astype(_U), (second + odds[:, 2]).astype(_U))
+        guess2, guess1 = model.predict()
+        event = np.where(now == guess2, 0, 2 - (now == guess1))
+        entry = 3 * model.pair + event
+        coder.put(_ALL, model.start[entry], model.size[entry])
         missing = np.flatnonzero(event == 2)
         missed = now[missing]
         if len(missing):
             size = model.count[missed]
             coder.put(missing, (model.upto[missed] - size).astype(_U), size.astype(_U), model.total)
-        model.update(now, event, missed)
+        model.update(now, entry, missed)
     filled, words = coder.finish()
     payload = filled.astype("<u2").tobytes() + words.astype("<u4").tobytes()
     return HEADER.pack(MAGIC, n, lanes, steps, vocabulary, len(payload), zlib.crc32(payload), zlib.crc32(ids.astype("<u4").tobytes())) + payload
@@ -188,12 +204,11 @@ def decode_block(header: bytes, payload: bytes) -> np.ndarray:
     model = Model(lanes, vocabulary)
     columns = np.empty((steps, lanes), np.int64)
     for step in range(steps):
-        guess2, guess1, odds = model.predict()
-        second = odds[:, 0] + odds[:, 1]
-        value = coder.target(_ALL, (second + odds[:, 2]).astype(_U))
-        event = (value >= odds[:, 0]).astype(np.int64) + (value >= second)
-        start = np.where(event == 0, 0, np.where(event == 1, odds[:, 0], second))
-        coder.take(_ALL, start.astype(_U), np.take_along_axis(odds, event[:, None], 1)[:, 0].astype(_U))
+        guess2, guess1 = model.predict()
+        value = coder.target(_ALL)
+        event = (value >= model.first[model.pair]).astype(np.int64) + (value >= model.second[model.pair])
+        entry = 3 * model.pair + event
+        coder.take(_ALL, model.start[entry], model.size[entry])
         now = np.where(event == 0, guess2, guess1)
         missing = np.flatnonzero(event == 2)
         missed = np.searchsorted(model.upto, coder.target(missing, model.total), side="right") if len(missing) else missing
@@ -201,7 +216,7 @@ def decode_block(header: bytes, payload: bytes) -> np.ndarray:
             size = model.count[missed]
             coder.take(missing, (model.upto[missed] - size).astype(_U), size.astype(_U))
             now[missing] = missed
-        model.update(now, event, missed)
+        model.update(now, entry, missed)
         columns[step] = now
     ids = columns.T.reshape(-1)[:n].astype("<u4")
     if zlib.crc32(ids.tobytes()) != ids_crc:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from wickerwork.llm.common import SLICE_ROWS, open_store, put_file
 from wickerwork.llm.range_coder import BLOCK_TOKENS, HEADER, decode_block, encode_block
-from wickerwork.llm.tokens import CachedEncoder, tokenizer_path
+from wickerwork.llm.tokens import shared_encoder, tokenizer_path
 from wickerwork.session import cut_lineage, scratch_path
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -134,7 +134,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
         name = f"shard-{shard:07d}.tok"
-        encoder = CachedEncoder(path, spaces=True)
+        encoder = shared_encoder(path, spaces=True)
         counts = []
 
         def write(out: pa.NativeFile) -> None:

@@ -5,20 +5,21 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import unicodedata
 from collections.abc import Sequence
-
-import numpy as np
+from functools import lru_cache
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks share the cores already
 
-#: Pieces a task remembers; beyond, it forgets all and starts anew.
-CACHE_PIECES = 300_000
+#: Pieces and words that are remembered since the last turn of the cache, and as many from before it.
+CACHE_PIECES = 200_000
 
 #: White space that is not ASCII, and separators that some pattern languages count as white space.
 _ODD_SPACE = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe1\xa0\x8e|\xe2\x80[\x80-\x8f\xa8\xa9\xaf]|\xe2\x81[\x9f\xa0]|\xe3\x80\x80|\xef\xbb\xbf")
 _SPACED = re.compile(rb"[\x09-\x0d\x20]*[^\x09-\x0d\x20]+|[\x09-\x0d\x20]+")
-_TAIL = ".,!?;:"
+#: Signs that may follow a word and are a piece of their own; the apostrophe is not one, as it begins contractions.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -35,6 +36,10 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _bytes_of(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class CachedEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own on the whole text.
 
@@ -49,6 +54,9 @@ class CachedEncoder:
         self.spaces, self.most = spaces, most
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
+        self.merged: dict[str, bytes] = {}
+        self.known_before: dict[bytes, bytes] = {}
+        self.merged_before: dict[str, bytes] = {}
         self.known: dict[bytes, bytes] = {}
 
     def _ids(self, pieces: Sequence[bytes]) -> list[bytes]:
@@ -58,7 +66,7 @@ class CachedEncoder:
         rest = [i for i, x in enumerate(out) if x is None]
         made = self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False)
         for i, x in zip(rest, made):
-            out[i] = np.array(x.ids, dtype="<u4").tobytes()
+            out[i] = _bytes_of(x.ids)
         return out
 
     def _plain(self, piece: bytes) -> bytes | None:
@@ -70,11 +78,19 @@ class CachedEncoder:
             return None
         if not self.spaces:
             word = word.lower()
-        spelled = (b" " * space + word.encode()).decode("latin-1").translate(self.letters)
-        ids = [t.id for t in self.model.tokenize(spelled)]
-        if tail:
-            ids += [t.id for t in self.model.tokenize(tail)]
-        return np.array(ids, dtype="<u4").tobytes()
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        ids = self._merge("\u0120" + word if space else word)  # the letter that stands for a space
+        return ids + self._merge(tail) if tail else ids
+
+    def _merge(self, spelled: str) -> bytes:
+        ids = self.merged.get(spelled)
+        if ids is None:
+            ids = self.merged_before.get(spelled)
+            if ids is None:
+                ids = _bytes_of([t.id for t in self.model.tokenize(spelled)])
+            self.merged[spelled] = ids
+        return ids
 
     @staticmethod
     def _simple(word: str) -> bool:
@@ -83,7 +99,9 @@ class CachedEncoder:
 
     def encode(self, texts: Sequence[bytes | None]) -> list[bytes]:
         if len(self.known) > self.most:
-            self.known = {}
+            self.known_before, self.known = self.known, {}
+        if len(self.merged) > self.most:
+            self.merged_before, self.merged = self.merged, {}
         cut: list[list[bytes]] = []
         for text in texts:
             if not text:
@@ -92,9 +110,20 @@ class CachedEncoder:
                 cut.append(text.split())
             else:
                 cut.append([text] if _ODD_SPACE.search(text) else _SPACED.findall(text))
-        known = self.known
-        fresh = list({p for pieces in cut for p in pieces if p not in known})
+        known, before = self.known, self.known_before
+        fresh = {p for pieces in cut for p in pieces if p not in known}
+        if before:
+            again = fresh & before.keys()
+            known.update((p, before[p]) for p in again)
+            fresh -= again
+        fresh = list(fresh)
         for at in range(0, len(fresh), 4096):
             part = fresh[at:at + 4096]
             known.update(zip(part, self._ids(part)))
         return [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str, spaces: bool) -> CachedEncoder:
+    """The encoder of a worker process, whose cache lasts from task to task."""
+    return CachedEncoder(path, spaces)
