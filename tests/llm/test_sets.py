@@ -189,6 +189,20 @@ def test_near_duplicates(spark, n, percent):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_near_duplicates_within_a_family_below_the_threshold(spark):
+    body = prose("template", 150)
+    own = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    docs, want = {}, {}
+    for i in range(3000):  # 146 common shingles of 168 to 170: any two are 0.75 to 0.77 alike
+        docs[i] = f"{body} {own(i, 22 + i % 3)}"
+        want[i] = i
+    for i in range(0, 300, 2):  # (146 + 5) / (146 + 44 - 5): 0.816
+        docs[i], docs[i + 1] = f"{body} {own(i, 5)} {own(f'a{i}', 17)}", f"{body} {own(i, 5)} {own(f'b{i}', 17)}"
+        want[i + 1] = i
+    got = near_dup.near_duplicates(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
 def test_components_of_a_long_chain(spark):
     order = list(range(300))
     random.Random(1).shuffle(order)

@@ -6,6 +6,9 @@ in each final region, neighbours in sorted order, which share the longest prefix
 would part is held together by hubs: the members on the heaviest path down the tree, nearest to what most of its members
 have in common, are candidates of every member. Both kinds grow with the number of rows, never with its square.
 
+These leave out pairs of a dense region. So once they have joined what they can, all nodes of dense regions are joined again by
+the rarest shingles of their full sets: two sets over the threshold share one of the few rarest of either, so no pair is lost.
+
 Candidates whose compact sketches rule the threshold out go. The rest are confirmed in rounds, the likeliest of each node
 first; pairs that a round has already joined into one component need no further look."""
 
@@ -35,7 +38,7 @@ TREES = 16
 DEPTHS = (4, 8, 12, 16)
 #: A region of more rows is cut at the next depth; at the last, it is dealt into parts of about this size.
 DENSE = 32
-#: Neighbours on either side, in sorted order, that a node is compared with in a tree.
+#: Neighbours on either side, in sorted order, that a node of a dense region is compared with at first; in a sparse one, all.
 NEIGHBOURS = 16
 #: Hubs of a dense region, and the trees whose dense regions have hubs.
 HUBS = 4
@@ -46,6 +49,8 @@ FILTER_WORDS = 1 << 20
 SLACK = 0.15
 #: Candidates of a node that the first and the second round confirm; the last round confirms all that are left.
 ROUNDS = (2, 6)
+#: Counters of how often shingles occur, as a power of two: they only order the shingles, so that sharing one is no fault.
+COUNTER_BITS = 22
 CACHE_WORDS = 400_000
 _SEED = 977
 
@@ -174,9 +179,11 @@ def _candidates(rows: DataFrame, dense: DataFrame, percent: int) -> DataFrame:
     own = ["node", "root", "n", "bits"]
     other = [F.col(f"o.{c}").alias(f"o_{c}") for c in own]
     columns = [*own, *[f"p{k}" for k in range(1, len(DEPTHS))]]
-    placed = rows.filter(F.col("c0") <= DENSE).select(F.col("p0").alias("region"), *columns).unionByName(dense.select(region.alias("region"), *columns))
+    reach = lambda k: F.lit(k).alias("reach")
+    placed = (rows.filter(F.col("c0") <= DENSE).select(F.col("p0").alias("region"), *columns, reach(DENSE - 1))
+              .unionByName(dense.select(region.alias("region"), *columns, reach(NEIGHBOURS))))
     order = W.partitionBy("region").orderBy(*columns[len(own):], "node")
-    ahead = F.collect_list(F.struct(*own)).over(order.rowsBetween(1, NEIGHBOURS))
+    ahead = F.slice(F.collect_list(F.struct(*own)).over(order.rowsBetween(1, DENSE - 1)), F.lit(1), F.col("reach"))
     found = placed.withColumn("ahead", ahead).select(*own, F.explode("ahead").alias("o")).select(*own, *other)
     for k in (0, 1):  # hubs of dense regions at the first two depths
         crowded = dense.filter((F.col("tree") < HUB_TREES) & (F.col(f"c{k}") > DENSE))
@@ -260,6 +267,85 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(run, "node long, other long")
 
 
+def _rarity(sets: DataFrame) -> np.ndarray:
+    """How often the shingles of each counter occur, of fixed size whatever the corpus."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << COUNTER_BITS, np.int64)
+        for batch in batches:
+            tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(0)] or [np.zeros(0, np.uint32)])
+            counts += np.bincount(tokens >> np.uint32(32 - COUNTER_BITS), minlength=len(counts))
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["at", "n"])
+
+    found = sets.select("shingles").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << COUNTER_BITS, np.int64)
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint64)
+
+
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """node, root, n and its rarest shingles (token) with their places, as many as a larger or equal set over the threshold can
+    do without, and one. ``short`` marks those that a set needs against larger ones. ``sets`` has node, root and shingles."""
+    sent = sets.sparkSession.sparkContext.broadcast(_rarity(sets))
+    names = ["node", "root", "n", "token", "place", "short"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = sent.value
+        for batch in batches:
+            taken, sizes, tokens, places, short = [], [], [], [], []
+            for x in batch.column(2):
+                every = np.frombuffer(x.as_buffer(), np.uint32)
+                token, n = np.unique(every), len(every)
+                keys = np.sort(counts[token >> np.uint32(32 - COUNTER_BITS)] << np.uint64(32) | token)
+                if len(token) == n:
+                    most, few = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                    place = np.arange(most, dtype=np.int32)
+                else:  # equal hashes within the set: any of them may count twice
+                    most = few = len(token)
+                    place = np.zeros(most, np.int32)
+                taken.append(most)
+                sizes.append(n)
+                tokens.append(keys[:most].astype(np.uint32).view(np.int32))
+                places.append(place)
+                short.append(np.arange(most) < few)
+            if taken:
+                row = pa.array(np.repeat(np.arange(len(taken)), taken))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.repeat(np.array(sizes, np.int32), taken)),
+                                                  *[pa.array(np.concatenate(c)) for c in (tokens, places, short)]], names=names)
+
+    return sets.select("node", "root", "shingles").mapInArrow(run, "node long, root long, n int, token int, place int, short boolean")
+
+
+def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Every pair (node, other) of different components (root, o_root) that can be over the threshold, with the number of rare
+    shingles they were met by (estimate). ``sets`` has node, root and shingles.
+
+    A shingle whose sets are all of one component makes no pair. Of others, the largest component's sets are met by the rest
+    only, so that a large family that is joined already costs as many pairs as there are sets outside it."""
+    rows = cut_lineage(_prefixes(sets, percent), "prefixes")
+    most = (rows.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
+            .agg(F.max(F.struct("k", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("token", "most"))
+    shared = cut_lineage(rows.join(most, "token"), "postings")
+    a, b = shared.filter("root <> most").alias("a"), shared.alias("b")
+    smaller = F.struct("a.n", "a.node") < F.struct("b.n", "b.node")
+    after = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place"))  # what they can share from this shingle on
+    sized = 100 * F.least("a.n", "b.n").cast("long") >= percent * F.greatest("a.n", "b.n").cast("long")
+    enough = (100 + percent) * after.cast("long") >= percent * (F.col("a.n") + F.col("b.n")).cast("long")
+    once = (F.col("b.root") == F.col("b.most")) | (F.col("a.node") < F.col("b.node"))
+    met = a.join(b, (F.col("a.token") == F.col("b.token")) & (F.col("a.root") != F.col("b.root")) & once & sized & enough
+                 & F.when(smaller, F.col("a.short")).otherwise(F.col("b.short")))
+    flip = F.col("a.node") < F.col("b.node")
+    ends = [F.when(flip, F.col(f"{x}.{c}")).otherwise(F.col(f"{y}.{c}")).alias(name)
+            for c, x, y, name in (("node", "a", "b", "node"), ("node", "b", "a", "other"), ("root", "a", "b", "root"), ("root", "b", "a", "o_root"))]
+    return met.select(*ends).groupBy("node", "other", "root", "o_root").agg(F.count(F.lit(1)).alias("estimate"))
+
+
+def _best_of_components(pairs: DataFrame) -> DataFrame:
+    """The likeliest pair of every two components."""
+    return (pairs.groupBy(F.least("root", "o_root").alias("a"), F.greatest("root", "o_root").alias("b"))
+            .agg(F.max(F.struct("estimate", "node", "other")).alias("p")).select("p.node", "p.other"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node and root, the smallest node it is linked with, for every node of ``edges`` (node, other).
 
@@ -309,6 +395,12 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("_a", "node") != F.coalesce("_b", "other")).drop("_a", "_b")
 
 
+def _joined(pairs: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``roots`` after the links among ``pairs``."""
+    links = cut_lineage(_confirmed(pairs.select("node", "other"), sets, percent), "links")
+    return cut_lineage(_composed(roots, components(_lifted(links, roots))), "components")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the smallest doc_id it is linked with, itself included), kept.
 
@@ -323,15 +415,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT)
              .select("node", F.col("n_shingles").alias("n"), "bits", "sig", "key").dropDuplicates(["node", "key"]))
     rows, dense = _regions(nodes)
     pairs = cut_lineage(_candidates(rows, dense, percent), "candidates")
-    touched = pairs.select("node").union(pairs.select("other")).distinct()
+    crowded = cut_lineage(dense.select("node").distinct(), "crowded")
+    touched = pairs.select("node").union(pairs.select("other")).union(crowded).distinct()
     sets = cut_lineage(_full_sets(docs, classes.join(touched, "node", "left_semi").select("node", "key"), words), "sets")
     roots = components(cut_lineage(_confirmed(_likeliest(pairs, ROUNDS[0]), sets, percent), "links"))
     # most nodes of a dense region are one component by now, and their pairs need not be made again
     pairs = cut_lineage(_candidates(_in_components(rows, roots), _in_components(dense, roots), percent), "candidates")
-    for chosen in (_likeliest(pairs, ROUNDS[1]), None):
-        left = _apart(pairs, roots) if chosen is None else chosen
-        links = cut_lineage(_confirmed(left.select("node", "other"), sets, percent), "links")
-        roots = cut_lineage(_composed(roots, components(_lifted(links, roots))), "components")
+    roots = _joined(_likeliest(pairs, ROUNDS[1]), roots, sets, percent)
+    roots = _joined(_apart(pairs, roots), roots, sets, percent)
+    pairs = cut_lineage(_rare_pairs(sets.join(_in_components(crowded.withColumn("root", F.col("node")), roots), "node"), percent), "rare-pairs")
+    roots = _joined(_best_of_components(pairs), roots, sets, percent)
+    roots = _joined(_apart(pairs, roots), roots, sets, percent)
     members = filled.select("doc_id", "key").join(classes, "key").select("doc_id", "node")
     labels = (members.join(roots, "node", "left").groupBy("doc_id").agg(F.min(F.coalesce("root", "node")).alias("component_id")))
     component = F.coalesce("component_id", "doc_id")
