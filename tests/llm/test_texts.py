@@ -121,6 +121,22 @@ def test_leaked_passages_are_cut(spark):
     assert none.count() == 12
 
 
+def test_cuts_do_not_depend_on_blocks(spark):
+    one, two, free = ([f"{c}{i}" for i in range(60)] for c in "abf")
+    items = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(two[:5] + free[:9]))]
+    inner = one[20:26] + two[3:17] + one[26:33]  # taking the second item out joins a window of the first
+    texts = {1: free[:40] + one[:30] + free[:40] + two[:30], 2: free[:20] + one[:30] + free[20:40] + two[:30], 3: free[:30] + inner + free[:30],
+             4: free[:30] + one[5:35] + free[30:60], 5: two[:5] + free[:30], 6: free[:40] + one[:5] + free[:40], 7: one}
+    docs = spark.createDataFrame([(i, " ".join(t), -1) for i, t in texts.items()] + [(8, None, -1), (4, " ".join(texts[4]), -1)], "doc_id long, text string, n_chars long")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = [sorted(map(tuple, decontamination.decontaminate(docs, table, block_words=n).collect()), key=repr) for n in (60, 200_000)]
+    assert got[0] == got[1]
+    rows = {i: (t, n) for i, t, n in got[0]}
+    assert {1, 3, 4, 5, 6, 8} == set(rows) and len(got[0]) == 7
+    assert rows[3] == (" ".join([*free[:30], "", *free[:30]]), len(" ".join([*free[:30], "", *free[:30]]))) and rows[8] == (None, -1)
+    assert rows[6] == (" ".join(texts[6]), -1)
+
+
 # quality rules
 
 def base(text):

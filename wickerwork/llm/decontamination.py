@@ -6,19 +6,21 @@ after another. No document is ever shuffled."""
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 import math
 import re
 from collections import defaultdict
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickerwork.llm.common import FOLD_BYTES, folded_words, map_texts
+from wickerwork.llm.common import FOLD_BYTES, SLICE_ROWS, folded_words, map_texts
 from wickerwork.session import cut_lineage
 
 #: Consecutive item words that count as leaked; an item of fewer words counts as a whole.
@@ -192,8 +194,11 @@ def leaked_spans(docs: DataFrame, items: DataFrame, keep: Sequence[str], window:
 
     Null and empty texts have no words and no hits; null item texts have no windows; an item without an id is found and its
     spans count, but it is not listed. Repeated documents and items are each answered by themselves."""
+    return _found_by(docs, _item_blocks(items, window, block_words), keep, window)
+
+
+def _found_by(docs: DataFrame, blocks: Sequence[Sequence[tuple[str | None, list[bytes]]]], keep: Sequence[str], window: int) -> DataFrame:
     spark = docs.sparkSession
-    blocks = _item_blocks(items, window, block_words)
     text = docs.select(*keep, F.col("text").alias("_t"))
     found: DataFrame | None = None
     for k, block in enumerate(blocks or [[]]):
@@ -260,38 +265,73 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
     """The documents with leaked spans taken out of their texts; one whose leaked share of words exceeds ``max_coverage`` is
     dropped whole. Others stay as they are, null texts too. Columns are those of ``docs``; n_chars, where there is one, is the
     new length of a text that changed. Removal is repeated on the joined rest until no window is left."""
-    spark = docs.sparkSession
     blocks = _item_blocks(items, window, block_words)
+    if not blocks:
+        return docs
+    return _cut_by_one(docs, blocks[0], window, max_coverage) if len(blocks) == 1 else _cut_by_all(docs, blocks, window, max_coverage)
+
+
+def _cut_by_one(docs: DataFrame, block: Sequence[tuple[str | None, list[bytes]]], window: int, max_coverage: float) -> DataFrame:
     names = docs.columns
-    for k, block in enumerate(blocks):
-        sent = spark.sparkContext.broadcast(SuffixAutomaton(block, window))
+    sent = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
 
-        def make(sent=sent):
-            automaton = sent.value
+    def make():
+        automaton = sent.value
 
-            def work(texts):
-                out, kept = [], []
-                for value in texts:
+        def work(texts):
+            out, kept = [], []
+            for value in texts:
+                words = folded_words(value)
+                total, gone = len(words), 0
+                while (spans := automaton.scan(words)[0]) and words:
+                    gone += sum(b - a for a, b in spans)
+                    value = _cut_text(value, spans)
                     words = folded_words(value)
-                    total, gone = len(words), 0
-                    while (spans := automaton.scan(words)[0]) and words:
-                        gone += sum(b - a for a, b in spans)
-                        value = _cut_text(value, spans)
-                        words = folded_words(value)
-                    out.append(value.decode("utf-8", "replace") if gone else None)
-                    kept.append(gone <= max_coverage * total)
-                return out, kept
-            return work
+                out.append(value.decode("utf-8", "replace") if gone else None)
+                kept.append(gone <= max_coverage * total)
+            return out, kept
+        return work
 
-        fields = T.StructType([T.StructField("_ww_cut", T.StringType()), T.StructField("_ww_kept", T.BooleanType())])
-        done = map_texts(docs, "text", names, fields, make).filter("_ww_kept")
-        text = {"text": F.coalesce("_ww_cut", "text")}
-        if "n_chars" in names:
-            text["n_chars"] = F.when(F.col("_ww_cut").isNotNull(), F.length("_ww_cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        docs = done.withColumns(text).select(*names)
-        if k < len(blocks) - 1:
-            docs = cut_lineage(docs, "decontaminated")
-    return docs
+    fields = T.StructType([T.StructField("_ww_cut", T.StringType()), T.StructField("_ww_kept", T.BooleanType())])
+    done = map_texts(docs, "text", names, fields, make).filter("_ww_kept")
+    text = {"text": F.coalesce("_ww_cut", "text")}
+    if "n_chars" in names:
+        text["n_chars"] = F.when(F.col("_ww_cut").isNotNull(), F.length("_ww_cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return done.withColumns(text).select(*names)
+
+
+def _cut_by_all(docs: DataFrame, blocks: Sequence[Sequence[tuple[str | None, list[bytes]]]], window: int, max_coverage: float) -> DataFrame:
+    """As with one block of all items: spans of all blocks are found on one text before any is cut, and a text that was cut passes
+    all blocks again. Only such texts do."""
+    names, rest = docs.columns, [c for c in docs.columns if c != "text"]
+    keep = ["_ww_row", "_ww_gone", "_ww_total", "text"]
+    left = docs.select(F.struct(*rest, F.lit(0).alias("_ww_")).alias("_ww_row"), F.lit(0).cast("long").alias("_ww_gone"),
+                       F.lit(None).cast("long").alias("_ww_total"), "text")
+    schema = left.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                texts = [_cut_text(t, [(s["start"], s["end"]) for s in spans]).decode("utf-8", "replace")
+                         for spans, t in zip(part.column(3).to_pylist(), part.column(4).to_pylist())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(texts, pa.string())], names=keep)
+
+    done: list[DataFrame] = []
+    while not done or not left.isEmpty():
+        found = cut_lineage(_found_by(left, blocks, keep, window), "leaks")
+        done.append(found.filter(F.size("hit_spans") == 0).select(*keep))
+        gone = F.col("_ww_gone") + F.aggregate("hit_spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+        total = F.coalesce("_ww_total", "n_words")
+        hit = found.filter(F.size("hit_spans") > 0).filter(gone <= max_coverage * total)
+        hit = hit.select("_ww_row", gone.alias("_ww_gone"), total.alias("_ww_total"), "hit_spans", F.col("text").cast("binary").alias("text"))
+        left = cut_lineage(hit.mapInArrow(run, schema), "decontaminated")
+    whole = functools.reduce(DataFrame.unionByName, done)
+    columns = {c: F.col("_ww_row").getField(c) for c in rest} | {"text": F.col("text")}
+    if "n_chars" in rest:
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("_ww_gone") > 0, length).otherwise(columns["n_chars"])
+    return whole.select(*[columns[c].alias(c) for c in names])
 
 
 def items_digest(items: Sequence[str]) -> str:
