@@ -31,3 +31,9 @@ def test_every_sql_names_a_query():
 
 def test_flagship(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_near_recipes_of_every_size(spark, folder):
+    parts = {r.p_partkey: r.p_size for r in spark.read.parquet(f"{folder}/part.parquet").select("p_partkey", "p_size").collect()}
+    found = {r.recipe for r in QUERIES["b13_near_recipes_all_sizes"](spark, folder).select("recipe").distinct().collect()}
+    assert {parts[r] > 25 for r in found} == {False, True}  # two items, three items

@@ -261,6 +261,14 @@ def _(t):
     return recipes.near_recipes(t.basket_items.select(F.col("basket").alias("query"), "item"), big, counts)
 
 
+@query("b13_near_recipes_all_sizes", """WITH c AS (SELECT recipe, count(*) AS baskets FROM fr GROUP BY 1), h AS (SELECT basket, recipe, count(*) AS k FROM bi JOIN ri USING (item) GROUP BY ALL)
+    SELECT h.basket AS query, h.recipe, ri.item AS missing, baskets FROM h JOIN rs USING (recipe) JOIN c USING (recipe) JOIN ri USING (recipe)
+    ANTI JOIN bi ON bi.basket = h.basket AND bi.item = ri.item WHERE k = size - 1""", "fr bi ri rs")
+def _(t):
+    counts = found_recipes(t).groupBy("recipe").agg(F.count(F.lit(1)).alias("baskets"))
+    return recipes.near_recipes(t.basket_items.select(F.col("basket").alias("query"), "item"), recipe_items(t), counts)
+
+
 @query("b14_recipe_groups")
 def _(t):
     counts = recipes.leader_recipes(found_recipes(t), B.sizes(t.baskets), least=5, common=0.0)
