@@ -253,9 +253,11 @@ def _(t):
 
 @query("t12_estimated_total")
 def _(t):
+    """Users are the variants of ten items, by the last digit of their number."""
     ours, theirs = pair_of_guides(t)
-    low = P.index_total(ours, ours.select("variant", F.col("variant").alias("item")).distinct(), part=0.0)
-    return G.estimated_total(ours, G.estimate(ours, theirs), low.filter("day < date'2024-01-10'"), day("2024-01-30"), ours.select("variant", F.lit(1).alias("item")).distinct())
+    items = ours.select("variant", (F.col("variant") % 10).alias("item")).distinct()
+    low = P.index_total(ours, items, part=0.0)
+    return G.estimated_total(ours, G.estimate(ours, theirs), low.filter("day < date'2024-01-10'"), day("2024-01-30"), items)
 
 
 @query("f14_round_amounts", """SELECT variant, rate, arg_min(a, abs(ln(a / x)) + a * 1e-15) AS amount FROM (SELECT variant, rate, x, unnest([1, 2, 5, 10]) * pow(10, floor(log10(x))) AS a FROM (SELECT DISTINCT variant, finish, 1 + length(finish) / 10.0::DOUBLE AS rate, cents / 100.0::DOUBLE * (1 + length(finish) / 10.0::DOUBLE) AS x, day FROM ob WHERE cents > 0))
