@@ -29,10 +29,36 @@ def test_upper_median(numbers, width):
 def test_row_numbers_are_dense_and_in_order(numbers):
     rows, df = numbers
     order = sorted(rows, key=lambda r: (r[1], r[2]))
-    got = R.number_rows(df, [F.asc("v"), F.asc("i")], [F.floor(F.col("v") / 1000)]).collect()
+    got = R.number_rows(df, [F.asc("v"), F.asc("i")]).collect()
     assert {r["i"]: r["number"] for r in got} == {r[2]: n for n, r in enumerate(order)}
 
 
+def test_row_numbers_within_keys(numbers):
+    rows, df = numbers
+    got = {r["i"]: r["number"] for r in R.number_rows(df, [F.desc("v"), F.asc("i")], keys=["k"]).collect()}
+    for k in "ab":
+        order = sorted((r for r in rows if r[0] == k), key=lambda r: (-r[1], r[2]))
+        assert [got[r[2]] for r in order] == list(range(len(order)))
+
+
+def test_a_value_shared_by_a_million_rows_is_sorted_in_many_ranges(spark):
+    df = spark.range(1_000_000).select(F.lit(7).alias("v"), F.col("id").alias("i"))
+    largest = R.in_ranges(df, [F.asc("v"), F.desc("i")], parts=20).groupBy("_part").count().agg(F.max("count")).first()[0]
+    assert largest < 150_000
+    numbered = R.number_rows(df, [F.asc("v"), F.desc("i")], parts=20)
+    assert numbered.filter(F.col("number") != 999_999 - F.col("i")).isEmpty() and numbered.count() == 1_000_000
+
+
+def test_running_sums(numbers):
+    rows, df = numbers
+    got = {r["i"]: r["before"] for r in R.running_sum(df, [F.asc("v"), F.asc("i")], "v", "before", ["k"]).collect()}
+    for k in "ab":
+        total = 0
+        for _, v, i in sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2])):
+            assert got[i] == total
+            total += v
+
+
 @pytest.mark.parametrize("n", [3, 1200])
 def test_top_n(numbers, n):
     rows, df = numbers

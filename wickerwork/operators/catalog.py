@@ -89,11 +89,10 @@ def by_kind(items: DataFrame) -> DataFrame:
 # ---- numbers and names ----------------------------------------------------------------------------------------
 
 
-def item_numbers(items: DataFrame, width: int = 1000) -> DataFrame:
+def item_numbers(items: DataFrame) -> DataFrame:
     """Dense item numbers, most popular first: by (no rank, rank, name, item)."""
     order = [F.asc(F.col("rank").isNull()), F.asc_nulls_last("rank"), F.asc("name"), F.asc("item")]
-    prefix = F.when(F.col("rank").isNull(), F.substring("name", 1, 3)).otherwise("")
-    return number_rows(items, order, [F.col("rank").isNull(), F.coalesce(F.floor(F.col("rank") / width), F.lit(0)), prefix])
+    return number_rows(items, order)
 
 
 def name_lookup(items: DataFrame, aliases: DataFrame | None = None) -> DataFrame:

@@ -45,7 +45,7 @@ def extend_numbers(known: DataFrame, counts: DataFrame) -> DataFrame:
     """known(item, number) with new items numbered after the highest, most counted first; known numbers stay.
     counts(item, count)."""
     new = counts.join(known, "item", "left_anti")
-    numbered = number_rows(new, [F.desc("count"), F.asc("item")], [-F.col("count"), F.substring(F.col("item").cast("string"), 1, 3)], "_n")
+    numbered = number_rows(new, [F.desc("count"), F.asc("item")], "_n")
     top = F.coalesce(known.agg(F.max("number")).scalar(), F.lit(-1))
     return known.select("item", "number").unionByName(numbered.select("item", (F.col("_n") + 1 + top).cast("long").alias("number")))
 
@@ -54,7 +54,7 @@ def number_players(known: DataFrame, entries: DataFrame) -> DataFrame:
     """(profile, player): new profiles numbered after the highest in the order first seen. entries(profile, date, standing)."""
     first = entries.filter("profile <> ''").groupBy("profile").agg(F.min(F.struct("date", "standing")).alias("_f")).join(known, "profile", "left_anti")
     order = [F.asc("_f.date"), F.asc("_f.standing"), F.asc("profile")]
-    numbered = number_rows(first, order, [F.col("_f.date")], "_n")
+    numbered = number_rows(first, order, "_n")
     top = F.coalesce(known.agg(F.max("player")).scalar(), F.lit(0))
     return known.select("profile", "player").unionByName(numbered.select("profile", (F.col("_n") + 1 + top).cast("long").alias("player")))
 

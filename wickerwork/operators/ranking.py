@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from wickerwork.session import cut_lineage
+
 #: Spark prunes ``row_number() <= n`` inside every map task up to this n by itself.
 NATIVE_LIMIT = 1000
 
@@ -32,28 +35,46 @@ def top_n(df: DataFrame, keys: Sequence[str] | str, order: Sequence[Column], n:
     return df.withColumn(rank, F.row_number().over(final)).filter(F.col(rank) <= n)
 
 
-def number_rows(df: DataFrame, order: Sequence[Column], coarse: Sequence[Column], name: str = "number",
-                keys: Sequence[str] = ()) -> DataFrame:
-    """Dense row numbers from 0 over a total order, without sorting everything in one task.
+def in_ranges(df: DataFrame, order: Sequence[Column], keys: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """``df`` sorted over all tasks and staged, with ``_part`` and ``_at``: the range a row fell in, and a number that grows
+    with the order of keys and ``order``, without gaps inside a range.
+
+    Spark samples the splitters from the sort columns themselves, so a value that many rows share is parted by the columns
+    after it; ``order`` should end in columns that tell rows apart."""
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by = [*[F.col(k).asc_nulls_first() for k in keys], *order]
+    ranged = df.repartitionByRange(parts, *by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id())
+    return cut_lineage(ranged.withColumn("_part", F.shiftright("_at", 33)), "ranges")
+
 
-    ``coarse`` are columns the order is monotone in (a price band, a prefix): rows are numbered inside each coarse
-    value, and the far fewer coarse values carry the running totals."""
+def _same(a: str, b: str, names: Sequence[str]) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in names])
+
+
+def number_rows(df: DataFrame, order: Sequence[Column], name: str = "number", keys: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """Dense row numbers from 0 over a total order within ``keys``. Rows are dealt into sampled ranges; only the counts of
+    ranges, a row a range and key, carry running totals."""
+    keys = list(keys)
+    ranged = in_ranges(df, order, keys, parts)
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = (ranged.groupBy("_part", *keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+              .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    joined = ranged.alias("a").join(starts.alias("b"), _same("a", "b", ["_part", *keys]))
+    place = F.col("_start") + F.col("_at") - F.col("_first")
+    return joined.select(*[F.col(f"a.{c}") for c in df.columns], place.cast("long").alias(name))
+
+
+def running_sum(df: DataFrame, order: Sequence[Column], value: str, name: str, keys: Sequence[str] = (), parts: int | None = None) -> DataFrame:
+    """The sum of ``value`` over the rows before this one in a total order within ``keys``; of a hot key no task sees more than
+    a range of it."""
     keys = list(keys)
-    marks = [f"_c{i}" for i in range(len(coarse))]
-    df = df.withColumns(dict(zip(marks, coarse)))
-    ordered = [F.col(m).asc_nulls_first() for m in marks]
-    sizes = df.groupBy(*keys, *marks).agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy(*keys).orderBy(*ordered).rowsBetween(W.unboundedPreceding, -1)
-    starts = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in keys + marks]
-    condition = same[0]
-    for more in same[1:]:
-        condition = condition & more
-    inner = W.partitionBy(*keys, *marks).orderBy(*order)
-    numbered = df.withColumn("_inner", F.row_number().over(inner))
-    joined = numbered.alias("a").join(starts.select(*keys, *marks, "_start").alias("b"), condition)
-    kept = [F.col(f"a.{c}") for c in df.columns if c not in marks]
-    return joined.select(*kept, (F.col("_start") + F.col("_inner") - 1).cast("long").alias(name))
+    ranged = in_ranges(df, order, keys, parts)
+    before = W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    starts = (ranged.groupBy("_part", *keys).agg(F.sum(value).alias("_n"))
+              .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))))
+    inside = F.sum(value).over(W.partitionBy("_part", *keys).orderBy("_at").rowsBetween(W.unboundedPreceding, -1))
+    joined = ranged.withColumn("_inside", F.coalesce(inside, F.lit(0))).alias("a").join(starts.alias("b"), _same("a", "b", ["_part", *keys]))
+    return joined.select(*[F.col(f"a.{c}") for c in df.columns], (F.col("_start") + F.col("_inside")).alias(name))
 
 
 def upper_median(df: DataFrame, keys: Sequence[str] | str, value: str, out: str = "median",

@@ -273,7 +273,7 @@ def _(t):
 def _(t):
     counts = recipes.leader_recipes(found_recipes(t), B.sizes(t.baskets), least=5, common=0.0)
     arrays = recipe_items(t).groupBy("recipe").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    listed = number_rows(counts, [F.desc("baskets"), F.asc("recipe")], [-F.floor(F.col("baskets") / 8)], "pos", keys=["leader"])
+    listed = number_rows(counts, [F.desc("baskets"), F.asc("recipe")], "pos", keys=["leader"])
     listed = (listed.join(arrays, "recipe").withColumn("needs", F.array((F.col("recipe") % 3).cast("string")))
               .withColumn("makes", F.array((F.col("recipe") % 2).cast("string"))))
     return recipes.group_recipes(listed.select("leader", "recipe", "pos", "items", "needs", "makes")).withColumn("core", F.array_join("core", "+"))
@@ -348,5 +348,5 @@ def _(t):
 def _(t):
     plays = B.play_counts(t.basket_items)
     n = plays.groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
-    ranked = number_rows(plays, [F.desc("plays"), F.asc("item")], [-F.floor(F.col("plays") / 16)], "place", keys=["leader"])
+    ranked = number_rows(plays, [F.desc("plays"), F.asc("item")], "place", keys=["leader"])
     return ranked.join(n, "leader").select("leader", "item", fifths(F.col("place") + 1, F.col("n")).alias("fifth"))

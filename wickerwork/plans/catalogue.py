@@ -88,7 +88,7 @@ CTES["nr"] = (["ct"], "SELECT item, name, row_number() OVER (ORDER BY rank IS NU
 
 
 def numbered(t):
-    return C.item_numbers(catalogue(t).select("item", "name", "rank"), width=10)
+    return C.item_numbers(catalogue(t).select("item", "name", "rank"))
 
 
 @query("w1_item_numbers", "SELECT item, number FROM nr", "nr")

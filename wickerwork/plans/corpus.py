@@ -47,7 +47,7 @@ def _(t):
     """Names before m have numbers; names with sizes are new."""
     part = t.read("part")
     from wickerwork.operators.ranking import number_rows
-    known = number_rows(part.filter("p_name < 'm'").select(F.col("p_name").alias("item")).distinct(), [F.asc("item")], [F.substring("item", 1, 2)])
+    known = number_rows(part.filter("p_name < 'm'").select(F.col("p_name").alias("item")).distinct(), [F.asc("item")])
     counts = part.groupBy(F.concat_ws("/", "p_name", F.col("p_size").cast("string")).alias("item")).agg(F.count(F.lit(1)).alias("count"))
     return K.extend_numbers(known, counts)
 
