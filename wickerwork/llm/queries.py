@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickerwork.llm import decontamination, line_dedup, near_dup, packing, pii, quality, quality_rules, token_output, toxicity, warc
+from wickerwork.llm import decontamination, line_dedup, mixing, near_dup, packing, pii, quality, quality_rules, token_output, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -175,3 +175,36 @@ FROM d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
 """)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op13_mixing", r"""
+WITH d AS (
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+           len(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]{3,}')) AS runs,
+           (('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT::DOUBLE + 0.5) / 281474976710656::DOUBLE AS u
+    FROM documents),
+k AS (
+    SELECT *, -ln(u) / CASE WHEN size = 0 THEN 1.0::DOUBLE ELSE 0.05::DOUBLE + 0.95::DOUBLE * least(1.0::DOUBLE, runs::DOUBLE / size) END AS key FROM d),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, 3 * sum(size)::BIGINT AS cap FROM d GROUP BY source),
+w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 AS weight FROM s),
+o AS (
+    SELECT *, row_number() OVER by_ratio AS place, coalesce(sum(cap) OVER (by_ratio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent,
+           sum(weight) OVER (by_ratio ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights, (SELECT sum(size) FROM d) AS total
+    FROM w WINDOW by_ratio AS (ORDER BY cap::DOUBLE / weight, source)),
+f AS (SELECT * FROM o WHERE (total - spent)::DOUBLE * weight / weights::DOUBLE <= cap ORDER BY place LIMIT 1),
+t AS (
+    SELECT o.source, o.source_size, CASE WHEN f.place IS NULL OR o.place < f.place THEN o.cap::DOUBLE
+           ELSE (f.total - f.spent)::DOUBLE * o.weight / f.weights::DOUBLE END AS target
+    FROM o LEFT JOIN f ON true),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t),
+p AS (
+    SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs,
+           coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY key, doc_id NULLS FIRST, size
+                                      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+    FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+       (epochs * size + greatest(0, least(size, floor(target - epochs * source_size)::BIGINT - before)))::BIGINT AS taken
+FROM p
+""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sources(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")
