@@ -5,15 +5,17 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pa_fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-#: Rows of an Arrow batch that are worked on together, so that a task holds few texts at a time.
-SLICE_ROWS = 512
+#: Rows of an Arrow batch, and bytes of their texts, that are worked on together, so that a task holds few texts at a time.
+SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
 
 #: ASCII letters in lower case and digits stay, other ASCII becomes a space, bytes of other characters stay.
 FOLD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -29,12 +31,36 @@ def folded_words(text: bytes | None) -> list[bytes]:
     return text.translate(FOLD_BYTES).split() if text else []
 
 
-def _with_bytes(df: DataFrame, text: str, keep: Sequence[str]) -> DataFrame:
-    """``keep`` and, last, the text as bytes, under a name that none of ``keep`` has."""
-    name = "_text_bytes"
-    while name.lower() in {c.lower() for c in keep}:
+def unused(name: str, columns: Sequence[str]) -> str:
+    """``name``, made longer until none of ``columns`` is called so."""
+    while name.lower() in {c.lower() for c in columns}:
         name += "_"
-    return df.select(*[F.col(c) for c in keep], F.col(text).cast("binary").alias(name))
+    return name
+
+
+def _text_last(df: DataFrame, text: str, keep: Sequence[str]) -> tuple[DataFrame, Sequence[int]]:
+    """A table that holds the text once, and last, for the way to Python; and where in it ``keep`` is found."""
+    others = [c for c in keep if c != text]
+    if text in keep:
+        return df.select(*[F.col(c) for c in others], F.col(text)), [([*others, text]).index(c) for c in keep]
+    return df.select(*[F.col(c) for c in others], F.col(text).cast("binary").alias(unused("_text_bytes", keep))), range(len(others))
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches in slices of so many rows and bytes of the last column, a text, at most; a longer text is alone."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.num_columns - 1)), 0)
+        ends = np.cumsum(lengths.to_numpy(zero_copy_only=False), dtype=np.int64)
+        at = 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+            stop = min(at + rows, max(at + 1, full))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
+def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
+    return batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
 
 
 def map_texts(df: DataFrame, text: str, keep: Sequence[str], out: T.StructType,
@@ -42,20 +68,18 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], out: T.StructType,
     """The columns ``keep`` and new ones from each whole text, with no shuffle.
 
     ``make()`` runs once in a task and gives a function from a list of UTF-8 texts (None for null) to one list a new
-    column. Only ``keep`` and the text leave the JVM."""
-    narrow = _with_bytes(df, text, keep)
-    schema = T.StructType(narrow.schema.fields[:-1] + out.fields)
+    column. Only ``keep`` and the text leave the JVM, each once."""
+    narrow, kept = _text_last(df, text, keep)
+    schema = T.StructType([narrow.schema.fields[i] for i in kept] + out.fields)
     new_types = [to_arrow_type(f.dataType) for f in out.fields]
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                made = work(part.column(part.num_columns - 1).to_pylist())
-                arrays = [pa.array(values, kind) for values, kind in zip(made, new_types)]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *arrays], names=names)
+        for part in small_batches(batches):
+            made = work(_texts(part))
+            arrays = [pa.array(values, kind) for values, kind in zip(made, new_types)]
+            yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], *arrays], names=names)
 
     return narrow.mapInArrow(run, schema)
 
@@ -81,23 +105,21 @@ def put_file(store: pa_fs.FileSystem, path: str, write: Callable[[pa.NativeFile]
 def explode_texts(df: DataFrame, text: str, keep: Sequence[str], out: T.StructType,
                   make: Callable[[], Callable[[list[bytes | None]], list[list[tuple]]]]) -> DataFrame:
     """Any number of rows from each whole text: ``keep`` repeated, then the tuples that ``make()(texts)`` lists for it."""
-    narrow = _with_bytes(df, text, keep)
-    schema = T.StructType(narrow.schema.fields[:-1] + out.fields)
+    narrow, kept = _text_last(df, text, keep)
+    schema = T.StructType([narrow.schema.fields[i] for i in kept] + out.fields)
     new_types = [to_arrow_type(f.dataType) for f in out.fields]
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(at, SLICE_ROWS)
-                source, rows = [], []
-                for i, made in enumerate(work(part.column(part.num_columns - 1).to_pylist())):
-                    source.extend([i] * len(made))
-                    rows.extend(made)
-                taken = pa.array(source, pa.int32())
-                columns = list(zip(*rows)) if rows else [[]] * len(new_types)
-                arrays = [pa.array(values, kind) for values, kind in zip(columns, new_types)]
-                yield pa.RecordBatch.from_arrays([*[c.take(taken) for c in part.columns[:-1]], *arrays], names=names)
+        for part in small_batches(batches):
+            source, rows = [], []
+            for i, made in enumerate(work(_texts(part))):
+                source.extend([i] * len(made))
+                rows.extend(made)
+            taken = pa.array(source, pa.int32())
+            columns = list(zip(*rows)) if rows else [[]] * len(new_types)
+            arrays = [pa.array(values, kind) for values, kind in zip(columns, new_types)]
+            yield pa.RecordBatch.from_arrays([*[part.column(i).take(taken) for i in kept], *arrays], names=names)
 
     return narrow.mapInArrow(run, schema)

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickerwork.llm import decontamination, line_dedup, mixing, near_dup, packing, pii, quality, quality_rules, token_output, toxicity, warc
+from wickerwork.llm import decontamination, line_dedup, mixing, near_dup, packing, phrases, pii, quality, quality_rules, spelling, token_output, toxicity, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -177,6 +177,69 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query("op11_spelling", r"""
+WITH RECURSIVE r AS (
+    SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS doc, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+    FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS run FROM documents)),
+c AS (SELECT doc, run, count(*) AS n FROM r GROUP BY ALL),
+bytes AS (
+    SELECT run, n, list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(doc || ':' || run, ''), lambda x:
+           CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [(192 + (unicode(x) >> 6))::BIGINT, (128 + (unicode(x) & 63))::BIGINT] END))) AS b
+    FROM c),
+hashed AS (
+    SELECT run, n, xor(4294967295::BIGINT, list_reduce(b, lambda h, x: list_reduce([xor(h, x), 0, 0, 0, 0, 0, 0, 0, 0], lambda y, z:
+           CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END))) AS h
+    FROM bytes),
+words AS (
+    SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n FROM hashed),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+del AS (SELECT word, n, i, left(word, i::INT - 1) || substr(word, i::INT + 1) AS cut FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+near AS (
+    SELECT a.word, b.word AS other, b.n FROM del a JOIN del b ON a.cut = b.cut AND a.i = b.i WHERE a.word <> b.word
+    UNION SELECT v.word, del.word, del.n FROM v JOIN del ON del.cut = v.word
+    UNION SELECT del.word, v.word, v.n FROM v JOIN del ON del.cut = v.word),
+best AS (SELECT word, count(*) OVER (PARTITION BY word) AS n_near, other, n AS other_n FROM near
+         QUALIFY row_number() OVER (PARTITION BY word ORDER BY n DESC, other) = 1),
+f AS (
+    SELECT v.word, v.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN other_n >= 5 * v.n THEN other END AS form,
+           CASE WHEN other_n >= 5 * v.n THEN other_n END AS form_n
+    FROM v LEFT JOIN best USING (word)),
+steps AS (SELECT word, form AS root FROM f WHERE form IS NOT NULL UNION SELECT steps.word, f.form FROM steps JOIN f ON f.word = steps.root WHERE f.form IS NOT NULL),
+ends AS (SELECT word, root FROM steps WHERE root NOT IN (SELECT word FROM f WHERE form IS NOT NULL))
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM f LEFT JOIN ends USING (word)
+""")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, folder, "documents"))
+
+
+@query("op12_phrases", r"""
+WITH RECURSIVE d AS (
+    SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang,
+           regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]') AS pieces
+    FROM documents),
+p AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (SELECT lang, unnest(pieces) AS piece FROM d)),
+n AS (SELECT lang, sum(len(w))::BIGINT AS n FROM p GROUP BY lang),
+g AS (
+    SELECT lang, k, w[i:i + k - 1] AS words
+    FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, words, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+    SELECT c.lang, c.k AS size, c.words, c.a, l.a AS l, r.a AS r, j, (1000::HUGEINT * c.a::HUGEINT * n.n::HUGEINT) // (l.a::HUGEINT * r.a::HUGEINT) AS score, n.n
+    FROM (SELECT *, unnest(range(1, k)) AS j FROM f WHERE k > 1) c JOIN n USING (lang)
+    JOIN f l ON l.lang = c.lang AND l.words = c.words[1:j] JOIN f r ON r.lang = c.lang AND r.words = c.words[j + 1:c.k]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, j) = 1),
+inside AS (
+    SELECT DISTINCT lang, words[i:i + m - 1] AS words, a
+    FROM (SELECT lang, words, k, a, m, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2))),
+kept AS (SELECT * FROM lowest WHERE NOT EXISTS (FROM inside i WHERE i.lang = lowest.lang AND i.words = lowest.words AND i.a >= lowest.a)),
+ranked AS (SELECT lang, array_to_string(words, ' ') AS phrase, a, l, r, n, score::BIGINT AS score FROM kept)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM ranked QUALIFY rank <= 2000
+""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return phrases.collocations(table(spark, folder, "documents"))
+
+
 @query("op13_mixing", r"""
 WITH d AS (
     SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
