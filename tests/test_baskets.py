@@ -1,4 +1,4 @@
-"""Planted baskets with known neighbours, clusters, bundles, recipes, partners and trends."""
+"""Planted baskets with known neighbours, bundles, recipes, partners and trends."""
 
 import datetime
 import itertools
@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from wickerwork.operators import baskets as B
 from wickerwork.operators import bundles as U
-from wickerwork.operators import clusters as C
 from wickerwork.operators import pairs as P
 from wickerwork.operators import recipes as R
 from wickerwork.operators import trends as T
@@ -71,44 +70,6 @@ def test_closest_leaders(spark):
     assert [r["leader"] for r in B.closest_leaders(mine, signatures, n).orderBy("rank").collect()] == ["2", "1"]
 
 
-def clustered():
-    return {i: [*range(10), *(range(10, 20) if i % 2 == 0 else range(20, 30)), *([30] if i % 2 == 0 else [])] for i in range(120)}
-
-
-def test_clusters_are_recovered_and_named(spark):
-    baskets = clustered()
-    items = table(spark, baskets)
-    land = spark.createDataFrame([(30,)], "item int")
-    found = C.find_clusters(items.select("basket", "item"), ignore=land)
-    groups = {}
-    for r in found.collect():
-        groups.setdefault(r["cluster"], set()).add(r["basket"] % 2)
-    assert sorted(map(tuple, groups.values())) == [(0,), (1,)]
-    assert [r["count"] for r in found.groupBy("cluster").count().collect()] == [60, 60]
-    named = spark.createDataFrame([("L", i % 2, i, f"Poison {i}" if i % 2 == 0 else f"Deck {i}") for i in baskets], "leader string, grp int, basket int, name string")
-    assert [(r["grp"], r["word"]) for r in C.cluster_names(named).collect()] == [(0, "Poison")]
-    few = spark.createDataFrame([(i, 0) for i in range(40)], "basket int, item int")
-    assert C.find_clusters(few) is None
-
-
-def test_group_tags_distinctive_and_average(spark):
-    baskets = clustered()
-    items, plays, n = table(spark, baskets), B.play_counts(table(spark, baskets)), B.sizes(heads(spark, baskets))
-    grouped = items.withColumn("grp", F.col("basket") % 2)
-    members = grouped.groupBy("leader", "grp").agg(F.countDistinct("basket").alias("members"))
-    land = spark.createDataFrame([(30,)], "item int")
-    first = {r["item"] for r in B.distinctive(grouped, plays, n, members, land, 10).filter("grp = 0").collect()}
-    assert first == set(range(10, 20))
-    tags = spark.createDataFrame([(i, "poison-mechanics") for i in range(10, 15)] + [(i, "proliferate") for i in range(20, 25)] + [(i, "ramp") for i in range(5)], "item int, tag string")
-    usual = plays.join(tags, "item").groupBy("leader", "tag").agg((F.sum("plays") / 120).alias("usual"))
-    scores = B.tag_scores(B.play_counts(grouped, ["leader", "grp"]), members, usual, tags, ["leader", "grp"], ["leader"])
-    held = grouped.join(tags, "item").select("leader", "grp", "tag", "item").distinct()
-    picked = {(r["grp"], r["tag"]) for r in B.pick_tags(scores, held, ["leader", "grp"], 3).collect()}
-    assert picked == {(0, "poison-mechanics"), (1, "proliferate")}
-    average = B.average_basket(grouped.filter("grp = 0"), members.filter("grp = 0").drop("grp"), land).collect()
-    assert {r["item"] for r in average if not r["land"]} == set(range(20)) and {r["item"] for r in average if r["land"]} == {30}
-
-
 def test_a_tag_like_a_better_one_is_skipped(spark):
     scores = spark.createDataFrame([("L", "tutor-to", 3.0), ("L", "tutor", 2.0), ("L", "ramp", 1.0)], "leader string, tag string, score double")
     items = spark.createDataFrame([("L", t, i) for t, s in {"tutor-to": [1, 2, 3], "tutor": [1, 2, 3, 4], "ramp": [8, 9]}.items() for i in s], "leader string, tag string, item int")

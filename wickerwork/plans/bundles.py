@@ -315,14 +315,54 @@ def _(t):
     return found.select("item", "other", F.col("rank").cast("long").alias("rank"), r6(F.col("weight")).alias("weight"))
 
 
+def document_words(t):
+    """Documents as baskets of words, of each source."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-zà-ÿ]+)"), F.lit(1)))
+    return t.read("documents").select(F.col("source").alias("leader"), F.col("doc_id").alias("basket"), F.explode(words).alias("item"))
+
+
+def clusters_by_language(t, found):
+    langs = t.read("documents").select(F.col("doc_id").alias("basket"), "lang")
+    return found.join(langs, "basket").groupBy("leader", "cluster", "lang").agg(F.count(F.lit(1)).alias("baskets"))
+
+
 @query("b6_clusters")
 def _(t):
     """Documents clustered by their words, and how many of each language a cluster has."""
-    docs = t.read("documents").select(F.col("doc_id").alias("basket"), "lang", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("text"), F.lit("([a-zà-ÿ]+)"), F.lit(1)))).alias("item"))
-    found = clusters.find_clusters(docs.select("basket", "item"))
-    return (found.join(docs.select("basket", "lang").distinct(), "basket").groupBy("cluster", "lang")
-            .agg(F.count(F.lit(1)).alias("baskets")))
+    found = clusters.leader_clusters(document_words(t).withColumn("leader", F.lit("all")))
+    return clusters_by_language(t, found).drop("leader")
+
+
+def source_clusters(t):
+    return t.once("source_clusters", lambda: clusters.leader_clusters(document_words(t), per_cluster=10))
+
+
+@query("b6_clusters_of_all_leaders")
+def _(t):
+    """The clusters of every source's documents at once."""
+    return clusters_by_language(t, source_clusters(t))
+
+
+@query("b12_groups_of_clusters")
+def _(t):
+    """Documents of every source's clusters by how many of their cluster's words they have, and how many long ones."""
+    words = document_words(t)
+    long = words.filter(F.length("item") > 14).select("item").distinct()
+    found = bundle_ops.stratify(words, source_clusters(t), words.filter("length(item) < 3").select("item").distinct(), long, top=20, band=10)
+    return found.groupBy("leader", "grp").agg(F.count(F.lit(1)).alias("baskets"))
+
+
+@query("b11_bundles_of_clusters")
+def _(t):
+    """Words that go together within groups of alike documents."""
+    words = t.once("document_words", lambda: document_words(t))
+    short = words.filter("length(item) < 3").select("item").distinct()
+    none = words.filter("false")
+    clustered = source_clusters(t)
+    groups = t.once("source_groups", lambda: bundle_ops.stratify(words, clustered, short, none.select("item"), top=20, band=10))
+    plays, n = B.play_counts(words), words.select("leader", "basket").distinct().groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
+    found, counts = bundle_ops.find_bundles(words, plays, n, groups, short, none.select("item"), none.select("leader", "item"), least=0.5, common=0.1)
+    return found.join(counts, ["leader", "bundle"])
 
 
 @query("b26_coordinates")

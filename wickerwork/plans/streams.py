@@ -28,24 +28,29 @@ def feed(t, df, order, run, parts=4):
 
 @query("r1_folded_stream", "SELECT id, updated, created, removed, source, line FROM fo", "fo")
 def _(t):
-    state, check = S.StateTable(t.spark, scratch_path(t.spark, "log"), S.LOG), scratch_path(t.spark, "check")
+    state, check = scratch_path(t.spark, "log"), scratch_path(t.spark, "check")
     return feed(t, log(t).drop("value"), "line", lambda stream: S.fold_stream(stream, state, check))
 
 
-@query("r2_late_corrections")
+@query("r2_late_corrections", """SELECT coalesce(a.event, b.event) AS event, coalesce(a.event, b.event) AS date, CASE WHEN b.event IS NOT NULL AND (a.event IS NULL OR b.entries >= a.entries) THEN b.entries ELSE a.entries END AS entries,
+      CASE WHEN b.event IS NOT NULL AND (a.event IS NULL OR b.entries >= a.entries) THEN b.players_known ELSE a.players_known END AS players_known,
+      CASE WHEN b.event IS NOT NULL AND (a.event IS NULL OR b.entries >= a.entries) THEN 'b' ELSE 'a' END AS copy FROM ca a FULL JOIN cb b ON a.event = b.event
+    WHERE coalesce(a.event, b.event) IS NOT NULL""", "ca cb")
 def _(t):
-    """Both copies of an event are seen on its day."""
+    """Both copies of an event are seen on its day, and copies that would win four days on, too late."""
     from wickerwork.plans.corpus import copies
     a, b = copies(t)
-    rows = a.unionByName(b).withColumn("seen", F.col("date").cast("timestamp"))
-    state, check = S.StateTable(t.spark, scratch_path(t.spark, "events"), S.EVENTS), scratch_path(t.spark, "check")
+    late = a.withColumns({"entries": F.col("entries") + 1_000_000, "copy": F.lit("late")})
+    seen = lambda df, days: df.withColumn("seen", F.date_add("date", days).cast("timestamp"))
+    rows = seen(a.unionByName(b), 0).unionByName(seen(late, 4))
+    state, check = scratch_path(t.spark, "events"), scratch_path(t.spark, "check")
     return feed(t, rows, "seen", lambda stream: S.correct_stream(stream, state, check))
 
 
 @query("r3_days_added_once", "SELECT variant, finish, day, cents FROM ob", "ob")
 def _(t):
     """Every day comes in one part and again, changed, once all are in: the same state takes both streams."""
-    state, check = S.StateTable(t.spark, scratch_path(t.spark, "days"), S.DAYS), scratch_path(t.spark, "check")
+    state, check = scratch_path(t.spark, "days"), scratch_path(t.spark, "check")
     feed(t, t.observed, "day", lambda stream: S.add_days_stream(stream, state, check + "-a"))
     again = t.observed.withColumn("cents", F.col("cents") + 1)
     return feed(t, again, "day", lambda stream: S.add_days_stream(stream, state, check + "-b"), parts=1)
@@ -81,5 +86,5 @@ def _(t):
 @query("r6_resumed_fold", "SELECT id, updated, created, removed, source, line FROM fo", "fo")
 def _(t):
     """Stopped after half the rows, then run on from its checkpoint over the rest: each part of a feed is such a stop."""
-    state, check = S.StateTable(t.spark, scratch_path(t.spark, "log"), S.LOG), scratch_path(t.spark, "check")
+    state, check = scratch_path(t.spark, "log"), scratch_path(t.spark, "check")
     return feed(t, log(t).drop("value"), "line", lambda stream: S.fold_stream(stream, state, check), parts=2)

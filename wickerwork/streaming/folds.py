@@ -1,58 +1,34 @@
 """Structured Streaming: logs folded to current state, corrections merged, days added once, counts per window, change points.
 
-The state of the folds is a Parquet table of versions under one folder; a batch writes the next version and then marks it as
-whole, so a batch that is run again after a stop gives the same table."""
+Folds are keyed state of the stream itself: a batch reads and writes the state of its own keys only, and what changed is appended
+to a table. A stopped stream goes on from its checkpoint; the file sink takes no batch twice."""
 
 from __future__ import annotations
 
+import contextlib
+import datetime
+import os
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from wickerwork.operators import corpus as K
+#: Keyed state of several variables needs this store.
+_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-class StateTable:
-    """A Parquet table that batches replace, version by version.
-
-    Versions are numbered by the state, so that one stream after another can go on with it. A batch that runs again, after a
-    stop between its write and the stream's commit, is known by its stream and number and changes nothing."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str):
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _versions(self) -> list[tuple[int, str, int]]:
-        """(version, stream, batch) of each whole version, oldest first, from the marks written after them."""
-        marks = self.spark.read.schema("version int, stream string, batch bigint").option("recursiveFileLookup", "true")
-        try:
-            rows = marks.json(f"{self.path}/marks").collect()  # a row a batch so far
-        except AnalysisException:
-            rows = []
-        return sorted((r.version, r.stream, r.batch) for r in rows)
-
-    def _table(self, version: int) -> DataFrame:
-        if version < 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={version}")
-
-    def read(self) -> DataFrame:
-        versions = self._versions()
-        return self._table(versions[-1][0] if versions else -1)
-
-    def update(self, stream: str, batch: int, change: Callable[[DataFrame], DataFrame]) -> None:
-        """Replace the table by ``change`` of it, once for each batch of a stream."""
-        versions = self._versions()
-        if any((s, b) == (stream, batch) for _, s, b in versions):
-            return
-        version = versions[-1][0] + 1 if versions else 0
-        columns = [f.split()[0] for f in self.schema.split(", ")]
-        change(self._table(version - 1)).select(*columns).write.mode("overwrite").parquet(f"{self.path}/v={version}")
-        mark = self.spark.createDataFrame([(version, stream, batch)], "version int, stream string, batch bigint")
-        mark.coalesce(1).write.mode("append").json(f"{self.path}/marks")
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in the store that ``transformWithState`` needs."""
+    before = spark.conf.get(_STORE[0], None)
+    spark.conf.set(*_STORE)
+    try:
+        yield
+    finally:
+        spark.conf.unset(_STORE[0]) if before is None else spark.conf.set(_STORE[0], before)
 
 
 def run_batches(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -62,68 +38,164 @@ def run_batches(stream: DataFrame, checkpoint: str, step: Callable[[DataFrame, i
     return query
 
 
-LOG = "id bigint, source int, line bigint, updated date, created date, removed date, note boolean"
-
-
-def fold_stream(stream: DataFrame, state: StateTable, checkpoint: str) -> DataFrame:
-    """Keep the log compact as it grows: after each batch the rows that can still decide an id's state. The state is exactly
-    that of ``newest_versions`` over all rows so far."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        fresh = batch.select("id", "source", "line", "updated", "created", "removed", "note")
-        state.update(checkpoint, number, lambda table: deciding_rows(table.unionByName(fresh)))
-
-    run_batches(stream, checkpoint, step)
-    return K.newest_versions(state.read())
-
-
-def deciding_rows(log: DataFrame) -> DataFrame:
-    """The rows of a log its fold depends on, now and after any later rows: copies that were the newest when they came, the
-    first copy and note with a creation date, and the newest removal."""
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("id").orderBy("source", "line")
-    copies = log.filter(~F.col("note")).withColumn("_top", F.max("updated").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    at = F.when(F.col("created").isNotNull(), F.struct("source", "line"))
-    first = F.min(at).over(W.partitionBy("id"))
-    kept = copies.withColumn("_first", first).filter((F.col("updated") >= F.col("_top")) | (at == F.col("_first"))).drop("_top", "_first")
-    notes = log.filter("note")
-    noted = notes.withColumn("_first", F.min(at).over(W.partitionBy("id"))).withColumn("_gone", F.max("removed").over(W.partitionBy("id")))
-    noted = noted.filter((at == F.col("_first")) | (F.col("removed") == F.col("_gone"))).drop("_first", "_gone")
-    return kept.unionByName(noted.select(*kept.columns)).distinct()
-
-
-EVENTS = "event date, date date, entries bigint, players_known boolean, copy string"
-
-
-def correct_stream(stream: DataFrame, state: StateTable, checkpoint: str, late: str = "3 days") -> DataFrame:
-    """Late corrections: an event fetched again replaces the copy here when it has as many entries. Columns as ``EVENTS``,
-    with a timestamp ``seen``: repeats within ``late``, and rows later than that, are dropped by the watermark."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        last = batch.groupBy("event").agg(F.max_by(F.struct("date", "entries", "players_known", "copy"), F.struct("entries", "copy")).alias("_b")).select("event", "_b.*")
-        state.update(checkpoint, number, lambda table: K.replace_events(table, last))
-
-    fresh = stream.withWatermark("seen", late).dropDuplicatesWithinWatermark(["event", "entries", "players_known", "copy"])
-    run_batches(fresh, checkpoint, step)
-    return state.read()
+def _day(value) -> int | None:
+    return None if value is None or pd.isna(value) else value.toordinal()
+
+
+def _date(day: int | None) -> datetime.date | None:
+    return None if day is None else datetime.date.fromordinal(day)
+
+
+#: What the rows of one source of an id say so far, days as numbers: the last line; the newest copy; the first creation date of a
+#: copy, and the last one of a copy that was the newest of its source when it came; the first note's creation date; the last removal.
+_SOURCE = ["line", "updated", "copy_line", "removed", "first_created", "won_created", "won_updated", "noted_created", "gone", "seen"]
+FOLDED = "id bigint, updated date, created date, removed date, source int, line bigint, seen bigint"
+
+
+class LogFold(StatefulProcessor):
+    """The newest version of an id, as ``newest_versions`` has it, from a state of one row a source.
+
+    A source's lines come in their order; one that is not after the last seen came before and is left out. Copies that are the
+    newest of their source when they come have growing dates, so of those with a creation date only the last can win: if a
+    source before it in the order has a newer copy, that beats all of them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sources = handle.getMapState("sources", "source int", ", ".join(f"{c} bigint" for c in _SOURCE))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        known = {k[0]: dict(zip(_SOURCE, v)) for k, v in self.sources.iterator()}
+        touched = set()
+        for r in pd.concat(list(rows)).sort_values(["source", "line"]).itertuples(index=False):
+            s = known.setdefault(int(r.source), dict.fromkeys(_SOURCE) | {"seen": 0})
+            if s["line"] is not None and r.line <= s["line"]:
+                continue
+            touched.add(int(r.source))
+            s["line"], s["seen"] = int(r.line), s["seen"] + 1
+            updated, created, removed = _day(r.updated), _day(r.created), _day(r.removed)
+            if r.note:
+                if s["noted_created"] is None:
+                    s["noted_created"] = created
+                s["gone"] = max((x for x in (s["gone"], removed) if x is not None), default=None)
+                continue
+            if s["first_created"] is None:
+                s["first_created"] = created
+            if s["updated"] is None or updated >= s["updated"]:
+                s |= {"updated": updated, "copy_line": s["line"], "removed": removed}
+                if created is not None:
+                    s |= {"won_created": created, "won_updated": updated}
+        for source in touched:
+            self.sources.updateValue((source,), tuple(known[source][c] for c in _SOURCE))
+        if touched and (row := self._folded(known)):
+            yield pd.DataFrame([(key[0], *row)], columns=[c.split()[0] for c in FOLDED.split(", ")]).astype({"line": "Int64", "seen": "Int64"})
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _folded(known: dict[int, dict]) -> tuple | None:
+        copies = [(s, x) for s, x in sorted(known.items()) if x["updated"] is not None]
+        if not copies:
+            return None
+        source, best = max(copies, key=lambda c: (c[1]["updated"], c[0]))
+        won, top = None, -1
+        for _, x in copies:
+            if x["won_updated"] is not None and x["won_updated"] >= top:
+                won = x["won_created"]
+            top = max(top, x["updated"])
+        first = next((x["first_created"] for _, x in copies if x["first_created"] is not None), None)
+        noted = next((x["noted_created"] for _, x in sorted(known.items()) if x["noted_created"] is not None), None)
+        created = next((c for c in (won, first, noted) if c is not None), None)
+        gone = max((x["gone"] for x in known.values() if x["gone"] is not None and x["gone"] >= best["updated"]), default=None)
+        removed = max((x for x in (best["removed"], gone) if x is not None), default=None)
+        return _date(best["updated"]), _date(created), _date(removed), source, best["copy_line"], sum(x["seen"] for x in known.values())
+
+
+def last_of(changes: DataFrame, key: str) -> DataFrame:
+    """The last row of each key from a table of changes, ``seen`` growing with every change."""
+    rest = [c for c in changes.columns if c not in (key, "seen")]
+    return changes.groupBy(key).agg(F.max_by(F.struct(*rest), "seen").alias("_c")).select(key, "_c.*")
+
+
+def fold_stream(stream: DataFrame, changes: str, checkpoint: str) -> DataFrame:
+    """Fold a log as it grows: each batch appends the new state of the ids it holds to the table ``changes``. Gives every id's
+    current state, that of ``newest_versions`` over all rows so far. stream(id, source, line, updated, created, removed, note)."""
+    rows = stream.select("id", "source", "line", "updated", "created", "removed", "note")
+    with keyed_state(stream.sparkSession):
+        folded = rows.groupBy("id").transformWithStateInPandas(LogFold(), FOLDED, "Append", "None")
+        return last_of(run_to_table(folded, changes, checkpoint), "id")
+
+
+CORRECTED = "event date, date date, entries bigint, players_known boolean, copy string, seen bigint"
+
+
+class Corrections(StatefulProcessor):
+    """The copy of an event with the most entries, the later one on a tie, until the event closes ``late_days`` after its date:
+    then a timer drops its state."""
+
+    def __init__(self, late_days: int) -> None:
+        self.late_days = late_days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", "entries bigint, seen bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        entries, seen = self.best.get() if self.best.exists() else (-1, 0)
+        if not seen:
+            closing = datetime.datetime.combine(key[0] + datetime.timedelta(days=self.late_days), datetime.time(), datetime.timezone.utc)
+            self.handle.registerTimer(int(closing.timestamp() * 1000))
+        taken = None
+        for r in pd.concat(list(rows)).sort_values(["seen", "entries", "copy"]).itertuples(index=False):
+            seen += 1
+            if r.entries >= entries:
+                entries, taken = int(r.entries), r
+        self.best.update((entries, seen))
+        if taken is not None:
+            yield pd.DataFrame([(key[0], taken.date, entries, taken.players_known, taken.copy, seen)], columns=[c.split()[0] for c in CORRECTED.split(", ")])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.best.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def correct_stream(stream: DataFrame, changes: str, checkpoint: str, late_days: int = 3) -> DataFrame:
+    """Late corrections: an event fetched again replaces the copy here when it has as many entries. What is seen more than
+    ``late_days`` after the event's date, or that much behind the newest row, comes too late. stream(event, date, entries,
+    players_known, copy, seen); ``event`` is a date."""
+    fresh = (stream.select("event", "date", "entries", "players_known", "copy", "seen").withWatermark("seen", f"{late_days} days")
+             .filter(F.col("seen") <= F.date_add("event", late_days).cast("timestamp")))
+    with keyed_state(stream.sparkSession):
+        merged = fresh.groupBy("event").transformWithStateInPandas(Corrections(late_days), CORRECTED, "Append", "EventTime")
+        return last_of(run_to_table(merged, changes, checkpoint), "event")
 
 
 DAYS = "variant bigint, finish string, day date, cents bigint"
 
 
-def add_days_stream(stream: DataFrame, state: StateTable, checkpoint: str) -> DataFrame:
-    """A day once in is never replaced, even by better data: rows of days already here are left out."""
+def add_days_stream(stream: DataFrame, table: str, checkpoint: str) -> DataFrame:
+    """A day once in is never replaced, even by better data: rows of days that earlier batches brought are left out.
 
-    def step(batch: DataFrame, number: int) -> None:
-        def add(have: DataFrame) -> DataFrame:
-            new = batch.select("variant", "finish", "day", "cents").join(have.select("day").distinct(), "day", "left_anti")
-            return have.unionByName(new.select(*have.columns))
+    A batch appends its rows, and the list of its days beside them, to folders named after its stream and number, so one that
+    runs again after a stop writes the same folders again; no other is touched."""
+    spark, name = stream.sparkSession, os.path.basename(checkpoint.rstrip("/"))
+    days = spark.read.schema("day date, stream string, batch bigint")
 
-        state.update(checkpoint, number, add)
+    def step(batch: DataFrame, number: int) -> None:
+        own = f"stream={name}/batch={number}"
+        fresh = batch.select("variant", "finish", "day", "cents")
+        try:
+            have = days.parquet(f"{table}/days").filter((F.col("stream") != name) | (F.col("batch") != number)).select("day")
+            fresh = fresh.join(have, "day", "left_anti")
+        except AnalysisException:  # the first batch of all
+            pass
+        fresh.select("variant", "finish", "day", "cents").write.mode("overwrite").parquet(f"{table}/rows/{own}")
+        spark.read.schema(DAYS).parquet(f"{table}/rows/{own}").select("day").distinct().write.mode("overwrite").parquet(f"{table}/days/{own}")
 
     run_batches(stream, checkpoint, step)
-    return state.read()
+    return spark.read.schema(DAYS).parquet(f"{table}/rows").select("variant", "finish", "day", "cents")
 
 
 def window_counts(stream: DataFrame, at: str, length: str, slide: str | None = None, late: str = "3 days", keys: tuple[str, ...] = ()) -> DataFrame:
