@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickerwork.llm.common import FOLD_BYTES, SLICE_ROWS, folded_words, map_texts
+from wickerwork.llm.common import FOLD_BYTES, SLICE_ROWS, folded_words, map_texts, unused
 from wickerwork.session import cut_lineage
 
 #: Consecutive item words that count as leaked; an item of fewer words counts as a whole.
@@ -273,13 +273,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, max_c
 
 def _cut_by_one(docs: DataFrame, block: Sequence[tuple[str | None, list[bytes]]], window: int, max_coverage: float) -> DataFrame:
     names = docs.columns
+    cut, kept = unused("_ww_cut", names), unused("_ww_kept", names)
     sent = docs.sparkSession.sparkContext.broadcast(SuffixAutomaton(block, window))
 
     def make():
         automaton = sent.value
 
         def work(texts):
-            out, kept = [], []
+            out, stays = [], []
             for value in texts:
                 words = folded_words(value)
                 total, gone = len(words), 0
@@ -288,15 +289,15 @@ def _cut_by_one(docs: DataFrame, block: Sequence[tuple[str | None, list[bytes]]]
                     value = _cut_text(value, spans)
                     words = folded_words(value)
                 out.append(value.decode("utf-8", "replace") if gone else None)
-                kept.append(gone <= max_coverage * total)
-            return out, kept
+                stays.append(gone <= max_coverage * total)
+            return out, stays
         return work
 
-    fields = T.StructType([T.StructField("_ww_cut", T.StringType()), T.StructField("_ww_kept", T.BooleanType())])
-    done = map_texts(docs, "text", names, fields, make).filter("_ww_kept")
-    text = {"text": F.coalesce("_ww_cut", "text")}
+    fields = T.StructType([T.StructField(cut, T.StringType()), T.StructField(kept, T.BooleanType())])
+    done = map_texts(docs, "text", names, fields, make).filter(F.col(kept))
+    text = {"text": F.coalesce(cut, "text")}
     if "n_chars" in names:
-        text["n_chars"] = F.when(F.col("_ww_cut").isNotNull(), F.length("_ww_cut").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+        text["n_chars"] = F.when(F.col(cut).isNotNull(), F.length(cut).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return done.withColumns(text).select(*names)
 
 

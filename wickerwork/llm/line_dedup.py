@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wickerwork.llm.common import unused
 from wickerwork.session import cut_lineage
 
 #: A line on more than this share of a host's pages is boilerplate, where it is on MIN_PAGES pages or more.
@@ -47,9 +48,10 @@ def drop_boilerplate(docs: DataFrame, host: str = "source", text: str = "text",
                            .agg(F.collect_set("line_hash").alias("_ww_drop")), "boilerplate")
     joined = docs.join(per_host, docs[host].eqNullSafe(per_host["_ww_host"]), "left")
     kept = F.filter(F.split(docs[text], "\n"), lambda line: ~F.array_contains(per_host["_ww_drop"], F.xxhash64(_key(line))))
-    out = joined.withColumn("_ww_clean", F.when(per_host["_ww_drop"].isNull(), docs[text]).otherwise(F.array_join(kept, "\n")))
-    changed = {text: F.col("_ww_clean")}
+    clean = unused("_ww_clean", names)
+    out = joined.withColumn(clean, F.when(per_host["_ww_drop"].isNull(), docs[text]).otherwise(F.array_join(kept, "\n")))
+    changed = {text: F.col(clean)}
     if "n_chars" in names and text != "n_chars":
-        length = F.length("_ww_clean").cast(docs.schema["n_chars"].dataType)
-        changed["n_chars"] = F.when(F.col("_ww_clean") != docs[text], length).otherwise(docs["n_chars"])
+        length = F.length(clean).cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.col(clean) != docs[text], length).otherwise(docs["n_chars"])
     return out.select(*[changed.get(c, docs[c]).alias(c) for c in names])

@@ -11,7 +11,7 @@ import heapq
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -119,16 +119,19 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_
     groups = max(1, -(-parts.count() // group_pieces))
     schema = T.StructType([*pieces.select(*columns).schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
-    def parted(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        rows["window"] = pack_lengths(rows["length"].to_numpy(np.int64), capacity)
-        rows = rows.sort_values(["window", "doc_id", "start"], kind="stable", ignore_index=True)
-        rows["offset"] = rows.groupby("window")["length"].cumsum() - rows["length"]
-        rows["sequence_id"] = (np.int64(key[0]) << 24) + rows["window"].astype(np.int64)
-        return rows[schema.names]
+    def parted(key, rows):
+        rows = rows.sort_by([("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")])
+        window = pack_lengths(rows["length"].to_numpy(), capacity).astype(np.int64)
+        rows = rows.append_column("window", pa.array(window)).sort_by([("window", "ascending"), ("doc_id", "ascending"), ("start", "ascending")])
+        window, length = rows["window"].to_numpy(), rows["length"].to_numpy()
+        before = np.cumsum(length) - length
+        firsts = np.r_[True, window[1:] != window[:-1]]
+        offset = before - before[np.flatnonzero(firsts)][np.cumsum(firsts) - 1]
+        sequence = (np.int64(key[0].as_py()) << 24) + window
+        return rows.select(columns).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
     group = F.pmod(F.xxhash64("row", "doc_id", "start"), F.lit(groups))
-    placed = parts.withColumn("group", group).groupBy("group").applyInPandas(parted, schema)
+    placed = parts.withColumn("group", group).groupBy("group").applyInArrow(parted, schema)
     alone = whole.select(*columns, (F.col("row") + F.lit(1 << 61)).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return placed.unionByName(alone)
 

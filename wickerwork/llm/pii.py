@@ -11,7 +11,7 @@ import ahocorasick
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from wickerwork.llm.common import map_texts
+from wickerwork.llm.common import map_texts, unused
 
 #: The kinds whose spans are fixed by pattern, in the order of the digest; the method's own kinds follow.
 BASE_KINDS = ("email", "ip", "card", "phone")
@@ -174,7 +174,9 @@ def find_pii(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "te
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents with each span replaced by its kind in angle brackets; overlapping spans go as one, under the first's kind.
     Columns stay; null texts stay null."""
-    fields = T.StructType([T.StructField("_redacted", T.StringType())])
+    names = docs.columns
+    made = unused("_redacted", names)
+    fields = T.StructType([T.StructField(made, T.StringType())])
 
     def make():
         finder = Finder()
@@ -195,5 +197,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
             return [out]
         return work
 
-    names = docs.columns
-    return map_texts(docs, text, [c for c in names if c != text], fields, make).withColumnRenamed("_redacted", text).select(*names)
+    return map_texts(docs, text, [c for c in names if c != text], fields, make).withColumnRenamed(made, text).select(*names)

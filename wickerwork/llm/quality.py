@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickerwork.llm.common import fold, map_texts
+from wickerwork.llm.common import fold, map_texts, unused
 from wickerwork.session import cut_lineage
 
 FEATURES = 256
@@ -213,11 +213,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     ids = labels.select("doc_id").distinct()
     stats = text_stats(docs.select("doc_id", "text"), ["doc_id"]).join(ids, "doc_id", "left_semi")
     model = fit_quality(stats, labels)
-    fields = T.StructType([T.StructField("_ww_score", T.DoubleType())])
+    score = unused("_ww_score", docs.columns)
+    fields = T.StructType([T.StructField(score, T.DoubleType())])
 
     def make():
         def work(texts):
             return [model.score(np.array([document_stats(t) for t in texts]).reshape(-1, N_STATS))]
         return work
 
-    return map_texts(docs, "text", docs.columns, fields, make).filter(F.col("_ww_score") >= threshold).select(*docs.columns)
+    return map_texts(docs, "text", docs.columns, fields, make).filter(F.col(score) >= threshold).select(*docs.columns)

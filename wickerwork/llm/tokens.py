@@ -43,14 +43,17 @@ def _bytes_of(ids: list[int]) -> bytes:
 class CachedEncoder:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the tokenizer's own on the whole text.
 
-    ``spaces`` says whether white space belongs to the word after it (byte-level) or is dropped (word-level). Strings that look
-    like special tokens are ordinary text. A text in which cutting at ASCII white space could matter goes whole."""
+    ``spaces`` says whether white space belongs to the word after it (byte-level) or is dropped (word-level). The strings of special
+    tokens give their ids, as the library's plain call does, or with ``literal`` are ordinary text. A text in which cutting at ASCII
+    white space could matter goes whole, and so does one that may hold a special token."""
 
-    def __init__(self, path: str, spaces: bool, most: int = CACHE_PIECES) -> None:
+    def __init__(self, path: str, spaces: bool, most: int = CACHE_PIECES, literal: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = literal
+        added = [] if literal else self.tokenizer.get_added_tokens_decoder().values()
+        self.marks = {t.content.encode()[:2] for t in added}
         self.spaces, self.most = spaces, most
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
@@ -106,6 +109,8 @@ class CachedEncoder:
         for text in texts:
             if not text:
                 cut.append([])
+            elif any(mark in text for mark in self.marks):
+                cut.append([text])
             elif not self.spaces:
                 cut.append(text.split())
             else:
@@ -124,6 +129,6 @@ class CachedEncoder:
 
 
 @lru_cache(maxsize=2)
-def shared_encoder(path: str, spaces: bool) -> CachedEncoder:
+def shared_encoder(path: str, spaces: bool, literal: bool = False) -> CachedEncoder:
     """The encoder of a worker process, whose cache lasts from task to task."""
-    return CachedEncoder(path, spaces)
+    return CachedEncoder(path, spaces, literal=literal)
