@@ -38,8 +38,6 @@ def pair_set_counts(a: DataFrame, b: DataFrame, n: DataFrame) -> DataFrame:
     """Baskets running each of two bundles and both. a, b(leader, bundle, basket): counts by join on the basket."""
     ka = a.groupBy("leader", F.col("bundle").alias("a")).agg(F.count(F.lit(1)).alias("ka"))
     kb = b.groupBy("leader", F.col("bundle").alias("b")).agg(F.count(F.lit(1)).alias("kb"))
-    both = (a.withColumnRenamed("bundle", "a").join(b.withColumnRenamed("bundle", "b"), ["leader", "basket"])
-            .filter("a < b").groupBy("leader", "a", "b").agg(F.count(F.lit(1)).alias("both")))
     pairs = ka.join(kb, "leader").filter("a < b").join(both, ["leader", "a", "b"], "left").fillna(0, ["both"])
     return pairs.join(n, "leader").withColumn("phi", F.round(phi(F.col("both"), F.col("ka"), F.col("kb"), F.col("n")), DIGITS))
 
@@ -134,7 +132,7 @@ def find_bundles(basket_items: DataFrame, plays: DataFrame, n: DataFrame, groups
     """Bundles (leader, bundle, item, pos) and their support (leader, bundle, baskets), those of too little support left out."""
     chosen = candidates(plays, n, common=common)
     kept = basket_items.select("leader", "basket", "item").distinct().join(chosen, ["leader", "item"])
-    links = grouped_links(pair_counts(kept), kept, groups)
+    links = strong_links(kept, groups, least)
     place = F.row_number().over(W.partitionBy("leader").orderBy(F.desc("plays"), F.asc("item")))
     order = plays.join(chosen, ["leader", "item"]).withColumn("place", place).select("leader", "item", "place")
     bundles = grow_bundles(links, lands, staples, precon, order, least)

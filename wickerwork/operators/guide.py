@@ -5,12 +5,12 @@ series' own rows, so no day is filled in."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wickerwork.operators.prices import SERIES, upper_of
+from wickerwork.session import cut_lineage
 
 MOVE = 0.01
 
@@ -72,29 +72,23 @@ def off_our_days(estimates: DataFrame, ours: DataFrame, reach: int = 3) -> DataF
 
 def dead_band(estimates: DataFrame, move: float = MOVE) -> DataFrame:
     """(variant, finish, day, cents): a point where a series starts, stops (null), or moved 1% (a cent at least) since the
-    last point kept. What is kept depends on what was kept before, so a series, which its calendar bounds, is walked whole."""
-    types = {f.name: f.dataType.simpleString() for f in estimates.schema.fields}
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        out, last, before = [], 0, None
-        for day, value in zip(pd.to_datetime(pdf["day"]), pdf["cents"]):
-            if before is not None and (day - before).days > 1:
-                out.append((before + pd.Timedelta(days=1), None))
-                before = None
-            if before is None or abs(value - last) >= max(1, move * last):
-                out.append((day, value))
-                last = value
-            before = day
-        out.append((before + pd.Timedelta(days=1), None))
-        days, cents = zip(*out)
-        frame = pd.DataFrame({"day": [d.date() for d in days], "cents": pd.array(cents, dtype="Int64")})
-        for k in SERIES:
-            frame[k] = pdf[k].iloc[0]
-        return frame[[*SERIES, "day", "cents"]]
-
-    schema = f"variant {types['variant']}, finish {types['finish']}, day date, cents bigint"
-    return estimates.select(*SERIES, "day", "cents").groupBy(*SERIES).applyInPandas(walk, schema)
+    last point kept. What is kept depends on what was kept before, but not across a gap: each stretch of days without one is
+    folded by itself, inside one expression."""
+    order = W.partitionBy(*SERIES).orderBy("day")
+    opens = F.coalesce(F.datediff("day", F.lag("day").over(order)) > 1, F.lit(True)).cast("int")
+    islands = estimates.select(*SERIES, "day", F.col("cents").cast("long").alias("cents"), opens.alias("_opens")).withColumn("_island", F.sum("_opens").over(order))
+    point = F.struct("day", "cents")
+    runs = islands.groupBy(*SERIES, "_island").agg(F.sort_array(F.collect_list(point)).alias("_run"))
+    kept_type = "array<struct<day:date,cents:bigint>>"
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(kept_type).alias("kept"))
+
+    def keep(done: Column, at: Column) -> Column:
+        moved = done["last"].isNull() | (F.abs(at["cents"] - done["last"]) >= F.greatest(F.lit(1.0), move * done["last"]))
+        return F.when(moved, F.struct(at["cents"].alias("last"), F.concat(done["kept"], F.array(at)).alias("kept"))).otherwise(done)
+
+    stop = F.struct(F.date_add(F.element_at("_run", -1)["day"], 1).alias("day"), F.lit(None).cast("long").alias("cents"))
+    points = F.concat(F.aggregate("_run", start, keep)["kept"], F.array(stop))
+    return runs.select(*SERIES, F.inline(points))
 
 
 def deltas(points: DataFrame) -> DataFrame:
@@ -113,10 +107,12 @@ def estimated_total(ours: DataFrame, estimates: DataFrame, total: DataFrame, las
 
     ours, estimates(variant, finish, day, cents) of the plain finish, item_of(variant, item). Each week takes every
     variant's last price; a week with a variant not yet priced, or with over 1 in 50 last priced 60 days ago, is left out."""
-    known = ours.unionByName(estimates.join(ours, [*SERIES, "day"], "left_anti"))
+    # read four times below: written once, so that neither plan nor work is repeated
+    known = cut_lineage(ours.unionByName(estimates.join(ours, [*SERIES, "day"], "left_anti")), "known-prices")
     latest = known.groupBy("variant").agg(F.max_by("cents", "day").alias("now"), F.max("day").alias("_d"))
     candidates = estimates.groupBy("variant").agg(F.min("day").alias("starts")).join(latest, "variant").join(item_of, "variant")
     picked = candidates.groupBy("item").agg(F.min(F.struct("now", "variant", "starts")).alias("_p")).select("item", "_p.variant", "_p.starts")
+    picked = cut_lineage(picked, "picked-variants")
     span = picked.agg(F.max("starts").alias("first"), F.count(F.lit(1)).alias("n"))
     dated = picked.select("variant").withColumns({"n": span.select("n").scalar(), "_f": span.select("first").scalar()})
     targets = dated.select("variant", "n", F.explode(F.sequence(F.col("_f"), last, F.expr("interval 7 days"))).alias("day"))
@@ -129,7 +125,7 @@ def estimated_total(ours: DataFrame, estimates: DataFrame, total: DataFrame, las
     usable = weekly.filter((F.col("have") == F.col("n")) & (F.col("stale") <= F.floor(F.col("n") / stale_part)))
     daily = usable.select(F.lit(0).alias("variant"), F.lit("total").alias("finish"), F.explode(F.sequence(F.col("day"), F.date_add("day", 6))).alias("day"), "cents").filter(F.col("day") <= last)
     own = total.select(F.lit(0).alias("variant"), F.lit("total").alias("finish"), "day", "cents")
-    guess = estimate(own, daily)
+    guess = estimate(own, cut_lineage(daily, "weekly-totals"))
     near = own.select(F.explode(F.sequence(F.date_sub("day", 3), F.date_add("day", 3))).alias("day")).distinct()
     shown = guess.filter(F.datediff(last, F.col("day")) % 7 == 0).join(near, "day", "left_anti")
     return shown.select("day", "cents")

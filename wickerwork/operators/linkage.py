@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from wickerwork.functions.text import fold_key, lookup
+from wickerwork.operators.textjoin import contains_join
 
 #: The words variants of the guide go by for each promo type.
 PROMO_TAGS = {"prerelease": "prerelease", "datestamped": "prerelease", "promopack": "stamp", "stamped": "stamp", "buyabox": "buy-a-box",
@@ -19,34 +20,67 @@ def same_name(a: Column, b: Column) -> Column:
     return F.coalesce((b != "") & (bare(a) == bare(b)), F.lit(False))
 
 
+def _bare(c: Column) -> Column:
+    """What names that are the same but for a plural share; null for an empty one, which is like no other."""
+    return F.nullif(F.regexp_replace(fold_key(c), "s+$", ""), F.lit(""))
+
+
+def _tagged(kind: str, keys: Column) -> Column:
+    """An array of keys of one kind, nulls left out."""
+    return F.transform(F.filter(F.array_distinct(keys), lambda k: k.isNotNull()), lambda k: F.concat(F.lit(f"{kind}:"), k))
+
+
+def _promo_words(listed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(slug, tag, word): the wanted promo words that a promo listing's set or tag has in it. Few sets and tags are different,
+    and so are few words; they meet by their letter groups."""
+    words = wanted.select(F.col("word").alias("query"), F.col("word").alias("q")).distinct()
+    texts = listed.filter(F.col("code").startswith("PRM")).select("slug", "tag").distinct()
+    # a sign that no word has stands between the two
+    texts = texts.withColumn("_both", F.concat_ws("\u0001", fold_key(F.col("tag")), fold_key(F.col("slug"))))
+    return contains_join(texts, words, "_both").select("slug", "tag", F.col("q").alias("word")).distinct()
+
+
 def link_variants(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """(variant, guide_id, pass, score, sure): the guide's listing of each of our variants.
 
     ours(variant, name, foil, set_name, codes array, parent_name, parent_codes array, number, promo_types array);
-    theirs(name, foil, pos, slug, number null, code, tag, guide_id). Listings are blocked by name, finish and number
-    (or having none). A listing may be
-    of the variant's set, a tagged one of the set it is from, or one of a promo set its types name; the first of these ways
-    that finds any is used, and of several the one that scores best, the earliest on a tie."""
+    theirs(name, foil, pos, slug, number null, code, tag, guide_id). A listing may be of the variant's set, a tagged one of the set
+    it is from, or one of a promo set its types name; the first of these ways that finds any is used, and of several the one
+    that scores best, the earliest on a tie. Each way has keys of its own, a set's name or code or a promo word, which a listing
+    meets together with its name, finish and number (or having none), so a name that thousands of sets print makes no pairs
+    across them."""
     tail = F.element_at(F.split("number", "-"), -1)
     mine = ours.withColumns({
         "_numbers": F.array("number", tail, F.regexp_replace(tail, r"\D+$", ""), F.regexp_replace(tail, r"^\D+|\D+$", "")),
         "_wanted": F.transform("promo_types", lambda t: fold_key(F.coalesce(lookup(PROMO_TAGS)[t], t)))})
     listed = theirs.select("name", "foil", "pos", "slug", F.col("number").alias("their_number"), F.col("code"), F.coalesce("tag", F.lit("")).alias("tag"), "guide_id")
+    none = F.array().cast("array<string>")
+    words = lambda c: F.coalesce(c, none)
+    keys = F.concat(_tagged("name", F.array(_bare(F.col("set_name")))), _tagged("code", words(F.col("codes"))),
+                    _tagged("of name", F.array(_bare(F.col("parent_name")))), _tagged("of code", words(F.col("parent_codes"))), _tagged("word", words(F.col("_wanted"))))
     unnumbered = F.lit("\u0000")
-    mine = mine.withColumn("_n", F.explode(F.array_distinct(F.concat("_numbers", F.array(unnumbered)))))
-    listed = listed.withColumn("_n", F.coalesce("their_number", unnumbered))
-    rows = mine.join(listed, ["name", "foil", "_n"]).withColumns({"_tag": fold_key(F.col("tag")), "_slug": fold_key(F.col("slug"))})
+    mine = mine.withColumn("_key", F.explode(keys)).withColumn("_n", F.explode(F.array_distinct(F.concat("_numbers", F.array(unnumbered)))))
+    found = _promo_words(listed, mine.select(F.explode("_wanted").alias("word")).filter("word <> ''"))
+    told = found.groupBy("slug", "tag").agg(F.collect_set("word").alias("_words"))
+    slug, code = F.array(_bare(F.col("slug"))), F.array(F.lower("code"))
+    own = F.concat(_tagged("name", slug), _tagged("code", code))
+    parent = F.when(F.col("tag") != "", F.concat(_tagged("of name", slug), _tagged("of code", code))).otherwise(none)
+    promo_keys = F.when(F.col("code").startswith("PRM"), _tagged("word", words(F.col("_words")))).otherwise(none)
+    keyed = listed.join(told, ["slug", "tag"], "left").withColumn("_key", F.explode(F.concat(own, parent, promo_keys))).drop("_words")
+    keyed = keyed.withColumn("_n", F.coalesce("their_number", unnumbered))
+    rows = mine.join(keyed, ["name", "foil", "_n", "_key"]).withColumns({"_tag": fold_key(F.col("tag")), "_slug": fold_key(F.col("slug"))})
     by_tag = F.exists("_wanted", lambda w: F.contains(F.col("_tag"), w))
     named = by_tag | F.exists("_wanted", lambda w: F.contains(F.col("_slug"), w))
     promo_words = F.array(*[F.lit(w) for w in sorted({"".join(c for c in v if c.isalnum()) for v in PROMO_TAGS.values()})])
     promo = F.exists(promo_words, lambda w: F.contains(F.col("_tag"), w)) & ~by_tag
-    code = F.lower("code")
-    in_set = (same_name(F.col("slug"), F.col("set_name")) | F.array_contains("codes", code)) & ~promo
-    of_parent = (F.col("tag") != "") & (same_name(F.col("slug"), F.col("parent_name")) | F.coalesce(F.array_contains("parent_codes", code), F.lit(False)))
+    low = F.lower("code")
+    in_set = (same_name(F.col("slug"), F.col("set_name")) | F.array_contains("codes", low)) & ~promo
+    of_parent = (F.col("tag") != "") & (same_name(F.col("slug"), F.col("parent_name")) | F.coalesce(F.array_contains("parent_codes", low), F.lit(False)))
     way = F.when(in_set, 0).when(of_parent, 1).when(F.col("code").startswith("PRM") & named, 2)
     exact = F.when(F.col("their_number") == F.col("number"), 2).when(F.col("their_number").isNotNull(), 1).otherwise(0)
     score = exact + F.when((F.col("tag") != "") & by_tag, 2).otherwise(0) + (F.col("tag") == "").cast("int")
     rows = rows.withColumns({"pass": way, "score": score}).filter(F.col("pass").isNotNull())
+    rows = rows.select("variant", "guide_id", "pos", "pass", "score").distinct()  # a pair meets by every key it shares
     order = W.partitionBy("variant").orderBy("pass", F.desc("score"), "pos")
     ties = F.count(F.lit(1)).over(W.partitionBy("variant", "pass", "score"))
     return (rows.withColumns({"_k": F.row_number().over(order), "_ties": ties}).filter("_k = 1")

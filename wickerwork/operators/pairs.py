@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from wickerwork.functions.numeric import phi
 from wickerwork.operators.baskets import DIGITS
 from wickerwork.operators.ranking import top_n
+from wickerwork.session import cut_lineage
 
 #: Thresholds of partners, links and graph edges.
 PARTNER_PHI, LINK, STAND_OUT, EDGES_EACH, APART = 0.2, 0.3, 0.12, 2, -0.15
@@ -26,41 +29,92 @@ def candidates(plays: DataFrame, n: DataFrame, least: int = 5, common: float = 0
                                            & (F.col("plays") <= most * F.col("n"))).select("leader", "item"))
 
 
-def pair_counts(basket_items: DataFrame, keys: Sequence[str] = ("leader",), block: int = 400_000, tile: int = 2048) -> DataFrame:
-    """(keys, a, b, both) with a < b: baskets holding both items.
-
-    Whole baskets are hashed over the tasks, so a hot leader is spread too. Each task turns a block of baskets into a
-    0/1 matrix and multiplies it with itself, so what leaves it is one count per item pair it saw, not a row per basket
-    and pair; the counts are then summed. rows must be distinct."""
+#: Cells of the dense 0/1 matrix of a block's often-played items, and pairs of its other items that are held before they are summed.
+DENSE_CELLS, HELD_PAIRS = 1 << 24, 1 << 22
+
+
+def _matrix_product(basket: np.ndarray, item: np.ndarray, baskets: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of pairs among items 0 to ``wide``, as the product of a 0/1 matrix with itself."""
+    matrix = np.zeros((baskets, wide), dtype=np.float32)
+    matrix[basket, item] = 1
+    counts = np.triu(matrix.T @ matrix, 1).astype(np.int64)
+    a, b = np.nonzero(counts)
+    return a, b, counts[a, b]
+
+
+def _laid_pairs(basket: np.ndarray, item: np.ndarray, band: np.ndarray | None, dense: int, items: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Counts of the other pairs: rows of a basket lie together, so rows some places apart are its pairs; sorted keys are summed
+    whenever many are held. Pairs of two ``dense`` items are counted elsewhere; pairs more than a band apart are none."""
+    held: list[np.ndarray] = []
+    size, apart, rows = 0, 1, np.arange(len(basket))
+
+    def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        return keys // items, keys % items, counts
+
+    while True:
+        rows = rows[rows + apart < len(basket)]
+        rows = rows[basket[rows] == basket[rows + apart]]  # the last places of a basket drop out one by one
+        if not len(rows):
+            break
+        x, y = item[rows], item[rows + apart]
+        wanted = np.maximum(x, y) >= dense
+        if band is not None:
+            wanted &= np.abs(band[x] - band[y]) <= 1
+        x, y = x[wanted], y[wanted]
+        held.append(np.minimum(x, y) * items + np.maximum(x, y))
+        size += len(x)
+        if size > HELD_PAIRS:
+            yield summed()
+            held, size = [], 0
+        apart += 1
+    if size:
+        yield summed()
+
+
+def pair_counts(basket_items: DataFrame, keys: Sequence[str] = ("leader",), block: int = 400_000, band: str | None = None) -> DataFrame:
+    """(keys, a, b, both) with a < b: baskets holding both items. Rows must be distinct.
+
+    Whole baskets are hashed over the tasks, so a hot leader is spread too. Each task counts blocks of baskets: the items many
+    of a block's baskets hold by a product of 0/1 matrices, all other pairs as sorted keys, so that memory does not depend on how
+    many items there are. What leaves a task is one count per item pair it saw in a block; the counts are then summed. With
+    ``band``, a whole number of each item, only pairs at most one band apart are counted."""
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in basket_items.schema.fields}
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"a {types['item']}", f"b {types['item']}", "both bigint"])
-    laid = basket_items.select(*keys, "basket", "item").repartition(*keys, "basket").sortWithinPartitions(*keys, "basket")
+    bands = [band] if band else []
+    laid = basket_items.select(*keys, "basket", "item", *bands).repartition(*keys, "basket").sortWithinPartitions(*keys, "basket")
 
     def multiply(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        for key, rows in pdf.groupby(keys, sort=False) if keys else [((), pdf)]:
+        for key, rows in pdf.groupby(keys, sort=False, dropna=False) if keys else [((), pdf)]:
             key = key if isinstance(key, tuple) else (key,)
-            names, item = np.unique(rows["item"].to_numpy(), return_inverse=True)
+            names, item, often = np.unique(rows["item"].to_numpy(), return_inverse=True, return_counts=True)
             basket = pd.factorize(rows["basket"])[0]
-            for i in range(0, len(names), tile):
-                left = one_hot(basket, item, i, tile, len(names))
-                for j in range(i, len(names), tile):
-                    right = left if i == j else one_hot(basket, item, j, tile, len(names))
-                    counts = (left.T @ right).astype(np.int64)
-                    counts = np.triu(counts, 1) if i == j else counts
-                    a, b = np.nonzero(counts)
-                    if len(a):
-                        out = pd.DataFrame({"a": names[a + i], "b": names[b + j], "both": counts[a, b]})
-                        for k, v in zip(keys, key):
-                            out[k] = v
-                        yield out[[*keys, "a", "b", "both"]]
-
-    def one_hot(basket, item, start, width, total):
-        wide = min(width, total - start)
-        matrix = np.zeros((basket.max() + 1, wide), dtype=np.float32)
-        inside = (item >= start) & (item < start + wide)
-        matrix[basket[inside], item[inside] - start] = 1
-        return matrix
+            baskets = int(basket.max()) + 1
+            # items by how often they are played: the first ones are dense
+            by_plays = np.argsort(-often, kind="stable")
+            place = np.empty(len(names), np.int64)
+            place[by_plays] = np.arange(len(names))
+            item = place[item]
+            wide = int(min((often >= baskets / 64).sum(), DENSE_CELLS // baskets))
+            of_item = None
+            if band:
+                of_item = np.zeros(len(names), np.int64)
+                of_item[item] = rows[band].to_numpy()
+            inside = item < wide
+            parts = [_matrix_product(basket[inside], item[inside], baskets, wide)] if wide else []
+            for a, b, both in itertools.chain(parts, _laid_pairs(basket, item, of_item, wide, len(names))):
+                if band:
+                    near = np.abs(of_item[a] - of_item[b]) <= 1
+                    a, b, both = a[near], b[near], both[near]
+                x, y = by_plays[a], by_plays[b]
+                for lo in range(0, len(x), 1 << 18):
+                    part = slice(lo, lo + (1 << 18))
+                    first, last = np.minimum(x[part], y[part]), np.maximum(x[part], y[part])  # names are in order
+                    out = pd.DataFrame({"a": names[first], "b": names[last], "both": both[part]})
+                    for k, v in zip(keys, key):
+                        out[k] = v
+                    yield out[[*keys, "a", "b", "both"]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows = [], 0
@@ -79,6 +133,20 @@ def pair_counts(basket_items: DataFrame, keys: Sequence[str] = ("leader",), bloc
     return laid.mapInPandas(run, schema).groupBy(*keys, "a", "b").agg(F.sum("both").alias("both"))
 
 
+def correlated_pairs(basket_items: DataFrame, plays: DataFrame, n: DataFrame, least: float) -> DataFrame:
+    """(leader, a, b, both, plays_a, plays_b, n, phi): the pairs whose correlation is ``least`` or more.
+
+    The correlation of two items is at most the root of the ratio of their odds, plays / (n - plays), the smaller over the larger.
+    So items are put into bands of the odds, each 1 / least ** 2 wide, and only pairs of one band or of two next to each other are
+    counted at all; items every basket plays correlate with nothing."""
+    if not 0 < least < 1:
+        raise ValueError("least must lie between 0 and 1")
+    odds = plays.join(n, "leader").filter(F.col("plays") < F.col("n")).withColumn("odds", F.col("plays") / (F.col("n") - F.col("plays")))
+    banded = odds.select("leader", "item", F.floor(F.log("odds") / (-2 * math.log(least))).alias("band"))
+    counts = pair_counts(basket_items.select("leader", "basket", "item").join(banded, ["leader", "item"]), band="band")
+    return pair_phi(counts, plays, n).filter(F.col("phi") >= least)
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
     """Every pair from either end."""
     rest = [c for c in pairs.columns if c not in ("a", "b")]
@@ -98,13 +166,35 @@ def pair_phi(pairs: DataFrame, plays: DataFrame, n: DataFrame) -> DataFrame:
     return rows.withColumn("phi", F.round(phi(F.col("both"), F.col("plays_a"), F.col("plays_b"), F.col("n")), DIGITS))
 
 
-def grouped_links(pairs: DataFrame, items: DataFrame, groups: DataFrame, least: int = 5) -> DataFrame:
-    """(leader, a, b, both, link): correlation of a pair within groups of alike baskets, pooled over the groups.
-    items(leader, basket, item), groups(leader, basket, grp)."""
+def group_spreads(items: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How often each item is played in each group of alike baskets, (leader, grp, item, k, z), z being the group's size; and the
+    spread of its being played, summed over the groups, (leader, item, spread)."""
     size = groups.groupBy("leader", "grp").agg(F.count(F.lit(1)).alias("z"))
     per = (items.join(groups, ["leader", "basket"]).groupBy("leader", "grp", "item").agg(F.count(F.lit(1)).alias("k"))
            .join(size, ["leader", "grp"]))
-    spread = per.groupBy("leader", "item").agg(F.sum(F.col("k") - F.col("k") * F.col("k") / F.col("z")).alias("spread"))
+    return per, per.groupBy("leader", "item").agg(F.sum(F.col("k") - F.col("k") * F.col("k") / F.col("z")).alias("spread"))
+
+
+def grouped_links(pairs: DataFrame, items: DataFrame, groups: DataFrame, least: int = 5) -> DataFrame:
+    """(leader, a, b, both, link): correlation of a pair within groups of alike baskets, pooled over the groups.
+    items(leader, basket, item), groups(leader, basket, grp)."""
+    per, spread = group_spreads(items, groups)
+    return _pooled(pairs, per, spread, least)
+
+
+def strong_links(items: DataFrame, groups: DataFrame, link: float, least: int = 5) -> DataFrame:
+    """``grouped_links`` of ``link`` or more, of counted pairs of items that can have such a link only.
+
+    In a group, what two items are played together beyond chance is at most the smaller one's spread, so a link is at most the root
+    of the ratio of their spreads: items are put into bands of the spread, and pairs more than a band apart are not counted."""
+    per, spread = group_spreads(items, groups)
+    per, spread = cut_lineage(per, "group-plays"), cut_lineage(spread, "group-spreads")
+    banded = spread.filter("spread > 0").select("leader", "item", F.floor(F.log("spread") / (-2 * math.log(link))).alias("band"))
+    pairs = pair_counts(items.select("leader", "basket", "item").join(banded, ["leader", "item"]), band="band")
+    return _pooled(pairs, per, spread, least).filter(F.col("link") >= link)
+
+
+def _pooled(pairs: DataFrame, per: DataFrame, spread: DataFrame, least: int) -> DataFrame:
     enough = pairs.filter(F.col("both") >= least)
     ka = per.select("leader", "grp", F.col("item").alias("a"), F.col("k").alias("ka"), "z")
     kb = per.select("leader", "grp", F.col("item").alias("b"), F.col("k").alias("kb"))

@@ -240,12 +240,27 @@ def _(t):
     return G.off_our_days(estimates(t), pair_of_guides(t)[0], reach=1).select("variant", "day", "cents")
 
 
-@query("w12_dead_band")
+#: A walk over each stretch of days without a gap, from the last estimate kept to the next.
+WALK = """WITH RECURSIVE e AS ({estimates}),
+    i AS (SELECT *, sum(opens) OVER (PARTITION BY variant ORDER BY day) AS island FROM (
+      SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY variant ORDER BY day) = 1 THEN 0 ELSE 1 END AS opens FROM e)),
+    k AS (SELECT variant, island, day, cents, row_number() OVER (PARTITION BY variant, island ORDER BY day) AS k FROM i),
+    w AS (SELECT variant, island, day, k, cents AS last, true AS kept FROM k WHERE k = 1
+      UNION ALL SELECT k.variant, k.island, k.day, k.k, CASE WHEN abs(k.cents - w.last) >= greatest(1, 0.01::DOUBLE * w.last) THEN k.cents ELSE w.last END,
+        abs(k.cents - w.last) >= greatest(1, 0.01::DOUBLE * w.last)
+      FROM w JOIN k ON k.variant = w.variant AND k.island = w.island AND k.k = w.k + 1),
+    points AS (SELECT variant, 'usd' AS finish, day, last AS cents FROM w WHERE kept UNION ALL SELECT variant, 'usd', max(day) + 1, NULL FROM k GROUP BY variant, island)
+    """
+APART = "SELECT variant, day, cents FROM es WHERE NOT EXISTS (SELECT 1 FROM ou WHERE ou.variant = es.variant AND ou.day BETWEEN es.day - 1 AND es.day + 1)"
+
+
+@query("w12_dead_band", WALK.format(estimates=APART) + "SELECT variant, finish, day, cents FROM points", "es ou")
 def _(t):
     return G.dead_band(G.off_our_days(estimates(t), pair_of_guides(t)[0], reach=1))
 
 
-@query("w19_rebuilt_series")
+@query("w19_rebuilt_series", WALK.format(estimates="SELECT variant, day, cents FROM es") + """SELECT variant, finish, day - DATE '1970-01-01' AS day, cents, cents IS NULL AS stop,
+      coalesce(lag(cents IS NULL) OVER (PARTITION BY variant ORDER BY day), false) AS starts_after_none FROM points""", "es")
 def _(t):
     """The dead-band points as differences, and back."""
     return P.rebuild(G.deltas(G.dead_band(estimates(t))))
