@@ -5,13 +5,15 @@ only where the shorter one is frequent, so that no list of the index is long for
 kept is bounded, whatever the vocabulary. Each word is decomposed into the longest grams that start at its places, without those
 that lie inside an earlier one. For each word the most grams that one edit can touch are known from its own decomposition, hence how
 many grams a word one edit away must share with it: its rarest grams, one more than an edit can touch, are merged over the lists of
-the index at the places an edit can move them to, pairs that share too few grams go, and the edit distance verifies the others.
+the index at the places an edit can move them to, pairs of which either lacks too many of the other's grams go, and the edit distance
+verifies what is left.
 
 Nulls and odd rows: a null text has no words; a null doc_id is written as an empty string before the colon; rows that repeat count
 as often as they are there. An empty table, or one without frequent words, gives no rows. Extra columns are not read."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from wickerwork.operators.ranking import salted_join
 from wickerwork.session import cut_lineage
 
 RUN = r"[A-Za-zÀ-ÿ]+"
@@ -53,8 +56,11 @@ def frequent_grams(words: DataFrame, most: int = MOST_FREQUENT, rare: int = RARE
     most ``most`` of each length below the longest."""
     padded = words.select(F.concat(F.lit("^"), "word", F.lit("$")).alias("p"))
     places = padded.agg(F.coalesce(F.sum(F.length("p")), F.lit(0))).first()[0]
-    grams = [F.transform(F.sequence(F.lit(1), F.length("p") - (k - 1)), lambda i, k=k: F.substring("p", i, F.lit(k)))
-             for k in range(SHORTEST, LONGEST)]
+
+    def of_length(k: int) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length("p") - (k - 1)), lambda i: F.substring("p", i, F.lit(k)))
+
+    grams = [of_length(k) for k in range(SHORTEST, LONGEST)]
     counted = padded.select(F.explode(F.concat(*grams)).alias("gram")).groupBy("gram").count()
     return {r.gram for r in counted.filter(F.col("count") > max(rare, places // most)).collect()}
 
@@ -93,29 +99,37 @@ def most_touched(places: list[int], grams: list[str]) -> int:
     return most
 
 
-def gram_index(words: DataFrame, frequent: set[str]) -> DataFrame:
-    """(word, n, grams, shared, key, place): a row for each of a word's rarest grams, one more than an edit can touch.
+def gram_bits(grams: list[str]) -> int:
+    """A bit of 64 for each gram, by its hash, as a signed number."""
+    bits = 0
+    for g in grams:
+        bits |= 1 << (zlib.crc32(g.encode()) & 63)
+    return bits - (bits >> 63 << 64)
 
-    ``shared`` is how many different grams a word one edit away has in common with it at least."""
-    schema = "word string, n long, places array<int>, grams array<string>, touched int"
+
+def gram_index(words: DataFrame, frequent: set[str]) -> DataFrame:
+    """(word, n, bits, touched, gram, place): a row for each of a word's rarest grams, one more than an edit can touch. ``bits``
+    has one for each of its grams, so that the bits another word lacks are no more than the grams it lacks."""
+    schema = "word string, n long, places array<int>, grams array<string>, touched int, bits long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [decompose(w, frequent) for w in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([m[0] for m in made], pa.list_(pa.int32())),
-                 pa.array([m[1] for m in made], pa.list_(pa.string())), pa.array([most_touched(*m) for m in made], pa.int32())],
-                names=["word", "n", "places", "grams", "touched"])
+                 pa.array([m[1] for m in made], pa.list_(pa.string())), pa.array([most_touched(*m) for m in made], pa.int32()),
+                 pa.array([gram_bits(m[1]) for m in made], pa.int64())],
+                names=["word", "n", "places", "grams", "touched", "bits"])
 
     parts = cut_lineage(words.select("word", "n").mapInArrow(run, schema), "spelling-grams")
     rows = parts.select("word", "touched", F.explode(F.arrays_zip("places", "grams")).alias("g")).select(
         "word", "touched", F.col("g.places").alias("place"), F.col("g.grams").alias("gram"))
     lists = rows.groupBy("gram").agg(F.count(F.lit(1)).alias("listed"))
     by_rarity = W.partitionBy("word").orderBy("listed", "gram", "place")
-    rarest = (rows.join(lists, "gram").withColumn("_k", F.row_number().over(by_rarity)).filter(F.col("_k") <= F.col("touched") + 1)
+    # a gram may be in many of the words, so its rows are spread
+    rarest = (salted_join(rows, lists, ["gram"]).withColumn("_k", F.row_number().over(by_rarity)).filter(F.col("_k") <= F.col("touched") + 1)
               .select("word", "gram", "place"))
-    kinds = F.array_distinct("grams")
-    return parts.select("word", "n", kinds.alias("grams"), (F.size(kinds) - F.col("touched")).alias("shared")).join(rarest, "word")
+    return parts.select("word", "n", "bits", "touched").join(rarest, "word")
 
 
 def near_words(words: DataFrame, frequent: set[str]) -> DataFrame:
@@ -125,9 +139,11 @@ def near_words(words: DataFrame, frequent: set[str]) -> DataFrame:
     moves = F.array(*[F.struct(F.lit(d).alias("place"), F.lit(s).alias("size")) for d, s in ((0, 0), (0, 1), (1, 1))])
     probe = index.withColumn("m", F.explode(moves)).select(
         "gram", (F.col("place") + F.col("m.place")).alias("place"), (F.col("size") + F.col("m.size")).alias("size"), F.col("m.size").alias("longer"),
-        F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("grams").alias("a_grams"), F.col("shared").alias("a_shared"))
+        F.col("word").alias("a"), F.col("n").alias("a_n"), F.col("bits").alias("a_bits"), F.col("touched").alias("a_touched"))
     met = probe.join(index, ["gram", "place", "size"]).filter((F.col("longer") == 1) | (F.col("a") < F.col("word")))
-    enough = F.size(F.array_intersect("a_grams", "grams")) >= F.greatest("a_shared", "shared")
+    # neither word may lack more of the other's grams than an edit of that one can touch
+    lacks = lambda one, other: F.bit_count(F.col(one).bitwiseAND(F.bitwise_not(F.col(other))))
+    enough = (lacks("a_bits", "bits") <= F.col("a_touched")) & (lacks("bits", "a_bits") <= F.col("touched"))
     links = (met.filter(enough).filter(F.levenshtein("a", "word", 1) == 1)
              .select("a", "a_n", F.col("word").alias("b"), F.col("n").alias("b_n")).distinct())
     both = F.explode(F.array(F.struct(F.col("a").alias("word"), F.col("a_n").alias("n"), F.col("b").alias("near"), F.col("b_n").alias("near_n")),
