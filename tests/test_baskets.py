@@ -84,11 +84,50 @@ def test_pair_counts_against_every_pair(spark):
         for x, y in itertools.combinations(items, 2):
             want["AB"[b % 2], x, y] = want.get(("AB"[b % 2], x, y), 0) + 1
     rows = spark.createDataFrame([("AB"[b % 2], b, i) for b, s in baskets.items() for i in s], "leader string, basket int, item int")
-    for block, tile in ((400_000, 2048), (50, 7)):
-        got = {(r["leader"], r["a"], r["b"]): r["both"] for r in P.pair_counts(rows, block=block, tile=tile).collect()}
+    for block in (400_000, 50):
+        got = {(r["leader"], r["a"], r["b"]): r["both"] for r in P.pair_counts(rows, block=block).collect()}
         assert got == want
 
 
+def skewed_baskets(items=300, baskets=900):
+    """Items from one in nearly every basket to ones hardly played; every tenth goes with the next one."""
+    rng = random.Random(7)
+    out = {}
+    for b in range(baskets):
+        held = {i for i in range(items) if rng.random() < 0.9 / (1 + i / 3)}
+        out[b] = sorted(held | {i + 1 for i in held if i % 10 == 0 and rng.random() < 0.8})
+    return out
+
+
+@pytest.mark.parametrize("least", [0.15, 0.4])
+def test_correlated_pairs_equal_all_pairs_filtered(spark, least):
+    items = table(spark, skewed_baskets())
+    plays, n = B.play_counts(items), B.sizes(heads(spark, skewed_baskets()))
+    key = lambda df: {(r["a"], r["b"]): (r["both"], r["phi"]) for r in df.collect()}
+    want = key(P.pair_phi(P.pair_counts(items), plays, n).filter(F.col("phi") >= least))
+    assert key(P.correlated_pairs(items, plays, n, least)) == want and len(want) > 10
+
+
+def test_strong_links_equal_all_links_filtered(spark):
+    items = table(spark, skewed_baskets())
+    groups = spark.createDataFrame([("L", b, b % 3) for b in skewed_baskets()], "leader string, basket int, grp int")
+    key = lambda df: {(r["a"], r["b"]): (r["both"], r["link"]) for r in df.collect()}
+    want = key(P.grouped_links(P.pair_counts(items), items, groups).filter("link >= 0.3"))
+    assert key(P.strong_links(items, groups, 0.3)) == want and len(want) > 10
+
+
+def test_thirty_thousand_items_are_counted_in_bounded_memory(spark):
+    """Few often-played items and 30,000 rare ones: neither a matrix of all of them nor all pairs are ever held."""
+    common = spark.range(4000).select(F.lit("L").alias("leader"), F.col("id").alias("basket"), F.explode(F.sequence(F.lit(0), F.lit(5)).cast("array<long>")).alias("item"))
+    rare = spark.range(60_000).select(F.lit("L").alias("leader"), F.pmod(F.xxhash64("id"), F.lit(4000)).alias("basket"), (F.col("id") % 30_000 + 100).alias("item"))
+    twins = rare.filter("item % 100 = 0").withColumn("item", F.col("item") + 1_000_000)  # each in the same baskets as its twin
+    rows = common.unionByName(rare).unionByName(twins).distinct()
+    n = spark.createDataFrame([("L", 4000)], "leader string, n long")
+    found = P.correlated_pairs(rows, B.play_counts(rows), n, 0.95)
+    assert found.filter("b - a = 1000000").count() == 300
+    assert P.pair_counts(rows).filter("a < 6 and b < 6").agg(F.min("both")).first()[0] == 4000
+
+
 def bundle_input(spark):
     baskets = {i: [*([] if i % 3 else [0, 1]), *([] if i % 2 else [2]), *([3, 4] if i < 50 else [])] for i in range(100)}
     items = table(spark, baskets)
@@ -205,3 +244,46 @@ def test_made_dates_by_number(spark):
     df = spark.createDataFrame(rows, "id long, basket string, created date, removed date")
     got = {r["basket"]: r["made"] for r in B.made_dates(df, width=2).collect()}
     assert got == {"1": day(2026, 1, 1), "2": day(2026, 1, 1), "0": None, "3": day(2026, 2, 1), "m": day(2026, 3, 1), "n": None, "4": day(2026, 5, 1), "5": day(2026, 2, 1)}
+
+
+def walked(recipes):
+    """Groups by a plain walk in order: {recipe: (head, core, option)}. recipes: (recipe, items, like)."""
+    groups, seen = [], set()
+    for recipe, items, like in recipes:
+        items = frozenset(items)
+        if items in seen:
+            continue
+        seen.add(items)
+        for g in groups:
+            if g["like"] == (like, len(items)) and len(g["core"] & items) == len(items) - 1:
+                g["core"] &= items
+                g["rows"].append((recipe, items))
+                break
+        else:
+            groups.append({"like": (like, len(items)), "core": items, "rows": [(recipe, items)]})
+    return {recipe: (g["rows"][0][0], sorted(g["core"]), str(min(items - g["core"])) if items - g["core"] else None) for g in groups for recipe, items in g["rows"]}
+
+
+@pytest.mark.parametrize("pool,size", [(9, 3), (14, 2), (40, 4)])
+def test_recipe_groups_equal_a_walk_in_order(spark, pool, size):
+    rng = random.Random(pool)
+    recipes = {leader: [(f"{leader}{i}", rng.sample(range(pool), rng.choice([size, size, size - 1])), rng.choice("xxy")) for i in range(120)] for leader in "AB"}
+    rows = [(leader, r, pos, items, [like], ["p"]) for leader, listed in recipes.items() for pos, (r, items, like) in enumerate(listed)]
+    df = spark.createDataFrame(rows, "leader string, recipe string, pos int, items array<int>, needs array<string>, makes array<string>").repartition(5)
+    got = {r["recipe"]: (r["head"], list(r["core"]), r["option"]) for r in R.group_recipes(df).collect()}
+    want = {k: v for listed in recipes.values() for k, v in walked(listed).items()}
+    assert got == want and len({v[0] for v in want.values()}) < len(want)
+    assert R.group_recipes(df.filter("false")).count() == 0
+
+
+def test_near_recipes_equal_every_recipe_tried(spark):
+    rng = random.Random(9)
+    baskets = {b: set(rng.sample(range(25), rng.randrange(1, 12))) for b in range(80)}
+    recipes = {f"r{i}": set(rng.sample(range(25), rng.randrange(1, 5))) for i in range(150)} | {"lone": {99}}
+    counts = {r: len(r) for r in recipes if r != "r7"}
+    items = spark.createDataFrame([(b, i) for b, held in baskets.items() for i in held], "query int, item int")
+    rows = spark.createDataFrame([(r, i) for r, needed in recipes.items() for i in needed], "recipe string, item int")
+    got = {(r["query"], r["recipe"], r["missing"], r["baskets"]) for r in R.near_recipes(items, rows, spark.createDataFrame(list(counts.items()), "recipe string, baskets long")).collect()}
+    want = {(b, r, min(needed - held), counts[r]) for b, held in baskets.items() for r, needed in recipes.items()
+            if r in counts and len(needed) > 1 and len(needed - held) == 1}
+    assert got == want and len({len(recipes[r]) for _, r, _, _ in want}) == 3

@@ -88,13 +88,25 @@ def recipe_leaders(found: DataFrame, n: int = 24) -> DataFrame:
     return top_n(counts, "recipe", [F.desc("baskets"), F.asc("leader")], n)
 
 
+def deletion_keys(recipe_items: DataFrame) -> DataFrame:
+    """(recipe, rest, missing): each recipe of two items or more less each of its items, ``rest`` being the sorted others."""
+    whole = recipe_items.groupBy("recipe").agg(F.array_sort(F.collect_set("item")).alias("_items")).filter(F.size("_items") > 1)
+    each = whole.select("recipe", "_items", F.explode("_items").alias("missing"))
+    return each.select("recipe", F.filter("_items", lambda i: i != F.col("missing")).alias("rest"), "missing")
+
+
 def near_recipes(query_items: DataFrame, recipe_items: DataFrame, counts: DataFrame) -> DataFrame:
-    """Recipes a query is one item short of: (query, recipe, missing, baskets). counts(recipe, baskets)."""
-    size = recipe_items.groupBy("recipe").agg(F.count(F.lit(1)).alias("size"), F.collect_set("item").alias("_all"))
-    held = (query_items.join(recipe_items.select("recipe", "item"), "item").groupBy("query", "recipe")
-            .agg(F.collect_set("item").alias("_held")))
-    return (held.join(size, "recipe").filter(F.size("_held") == F.col("size") - 1).join(counts, "recipe")
-            .select("query", "recipe", F.get(F.array_except("_all", "_held"), F.lit(0)).alias("missing"), "baskets"))
+    """Recipes a query is one item short of: (query, recipe, missing, baskets). counts(recipe, baskets).
+
+    A recipe less one item is looked for like a recipe, by its rarest items, and once for all recipes that are the same but for
+    that item; only queries that hold it meet those recipes, and those that hold the item too go."""
+    keys = cut_lineage(deletion_keys(recipe_items.join(counts.select("recipe"), "recipe", "left_semi")), "deletion-keys")
+    rests = keys.select("rest").distinct().select(F.col("rest").alias("recipe"), F.explode("rest").alias("item")).withColumn("must_lead", F.lit(False))
+    held = query_items.select("query", "item").distinct()
+    baskets = held.select(F.lit(0).alias("leader"), F.col("query").alias("basket"), "item")
+    found = baskets_with_recipes(baskets, rests).select(F.col("basket").alias("query"), F.col("recipe").alias("rest"))
+    met = found.join(keys, "rest").select("query", "recipe", "missing")
+    return met.join(held.withColumnRenamed("item", "missing"), ["query", "missing"], "left_anti").join(counts, "recipe").select("query", "recipe", "missing", "baskets")
 
 
 def recipe_text(recipes: DataFrame) -> DataFrame:
@@ -123,35 +135,55 @@ def recipe_text(recipes: DataFrame) -> DataFrame:
 
 
 def group_recipes(recipes: DataFrame, keys: Sequence[str] = ("leader",)) -> DataFrame:
-    """Recipes of a leader that differ in one item and need and make the same, as one group.
+    """(keys, recipe, head, core, option): recipes of a leader that differ in one item and need and make the same, as one group.
+
+    recipes(keys, recipe, pos, items array, needs array, makes array). In the order ``pos``, a recipe joins the first group it is one
+    item apart from, else it heads one. The first to join a head leaves the group the items both share, its core, and later ones
+    must hold the core. Same-item repeats go first, by key.
 
-    recipes(keys, recipe, pos, items array, needs array, makes array), in the order ``pos``. Same-item repeats go first,
-    by key. What is left of one leader, size, need and product is walked in order, in a group of its own."""
+    Recipes one item apart share a deletion key, so only such meet. A round decides all recipes at once whose place no undecided
+    earlier one can change; the first of the undecided always can be, and all that meet in one group's core go together."""
     keys = list(keys)
-    named = recipes.withColumn("items", F.array_sort("items")).withColumn("_like", F.concat_ws("\u0001", F.array_join("needs", "\u0002"),
-                                                                     F.coalesce(F.get("makes", F.lit(0)), F.lit("")), F.size("items").cast("string")))
+    like = F.concat_ws("\u0001", F.array_join("needs", "\u0002"), F.coalesce(F.get("makes", F.lit(0)), F.lit("")), F.size("items").cast("string"))
+    named = recipes.withColumn("items", F.array_sort("items")).withColumn("_like", like)
     first = named.groupBy(*keys, "items").agg(F.min_by(F.struct("recipe", "pos", "_like"), "pos").alias("_f"))
-    rows = first.select(*keys, "items", "_f.recipe", "_f.pos", "_f._like")
-    types = {f.name: f.dataType.simpleString() for f in recipes.schema.fields}
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"recipe {types['recipe']}", "head " + types["recipe"],
-                                                             f"core {types['items']}", "option string"])
-
-    def walk(pdf):
-        out, groups = [], []
-        for row in pdf.sort_values("pos").itertuples(index=False):
-            items = set(row.items)
-            match = next((g for g in groups if len(g["core"] & items) == len(items) - 1), None)
-            if match is None:
-                groups.append({"core": items, "rows": [(row, items)]})
-            else:
-                match["core"] = match["core"] & items
-                match["rows"].append((row, items))
-        for g in groups:
-            for row, items in g["rows"]:
-                option = next(iter(items - g["core"]), None)
-                out.append([getattr(row, k) for k in keys] + [row.recipe, g["rows"][0][0].recipe, sorted(g["core"]),
-                                                              None if option is None else str(option)])
-        import pandas as pd
-        return pd.DataFrame(out, columns=[*keys, "recipe", "head", "core", "option"])
-
-    return rows.groupBy(*keys, "_like").applyInPandas(walk, schema)
+    rows = cut_lineage(first.select(*keys, "items", "_f.recipe", F.col("_f.pos").cast("long").alias("pos"), "_f._like"), "recipes")
+    rest = F.filter("items", lambda i: i != F.col("_item"))
+    key = F.concat_ws("\u0001", *[F.col(k).cast("string") for k in keys], "_like", F.array_join(rest.cast("array<string>"), "\u0002"))
+    every = rows.withColumn("_item", F.explode("items"))
+    keyed = cut_lineage(every.select(*keys, "pos", key.alias("key")), "recipe-keys")
+    left, heads = keyed, keyed.select(*keys, F.col("pos").alias("head"), "key", F.lit(True).alias("open")).filter("false")
+    joined, alone = None, None
+    never = F.lit(1 << 62)
+    while not left.isEmpty():
+        # of each key: its first undecided recipe, its first group still open, its first group with it as core
+        undecided = left.groupBy("key").agg(F.min("pos").alias("first"))
+        groups = heads.groupBy("key").agg(F.min(F.when(F.col("open"), F.col("head"))).alias("o"), F.min(F.when(~F.col("open"), F.col("head"))).alias("c"))
+        met = left.join(undecided, "key").join(groups, "key", "left")
+        seen = met.groupBy(*keys, "pos").agg(
+            F.min(F.when(F.col("first") < F.col("pos"), F.col("first"))).alias("u"), F.min("c").alias("c"), F.min("o").alias("o"), F.min_by("key", "o").alias("ok"))
+        # of each open head: the first undecided recipe that could join it
+        nearest = heads.filter("open").join(undecided, "key").groupBy(*keys, F.col("head").alias("o")).agg(F.min("first").alias("next"))
+        u, c, o = (F.coalesce(x, never) for x in ("u", "c", "o"))
+        ask = seen.join(nearest, [*keys, "o"], "left")
+        heading = F.col("u").isNull() & F.col("c").isNull() & F.col("o").isNull()
+        into_core = F.col("c").isNotNull() & (c < o) & (c < u)
+        closing = F.col("o").isNotNull() & (o < c) & (o < u) & (F.col("next") == F.col("pos"))
+        decided = cut_lineage(ask.withColumn("did", F.when(heading, "heads").when(into_core, "joins").when(closing, "closes")).filter("did is not null"), "decided")
+        now = decided.filter("did <> 'heads'").select(*keys, "pos", F.when(F.col("did") == "joins", F.col("c")).otherwise(F.col("o")).alias("head"))
+        new = decided.filter("did = 'heads'").select(*keys, "pos")
+        shut = decided.filter("did = 'closes'").select(*keys, F.col("o").alias("head"), F.col("ok").alias("key"), F.lit(False).alias("open"))
+        opened = keyed.join(new, [*keys, "pos"]).select(*keys, F.col("pos").alias("head"), "key", F.lit(True).alias("open"))
+        heads = cut_lineage(heads.join(shut.select(*keys, "head"), [*keys, "head"], "left_anti").unionByName(shut).unionByName(opened), "recipe-heads")
+        left = cut_lineage(left.join(decided.select(*keys, "pos"), [*keys, "pos"], "left_anti"), "recipe-keys")
+        joined, alone = (now, new) if joined is None else (joined.unionByName(now), alone.unionByName(new))
+    if joined is None:
+        joined, alone = rows.select(*keys, "pos", F.col("pos").alias("head")), rows.select(*keys, "pos")
+    placed = cut_lineage(joined.unionByName(alone.select(*keys, "pos", F.col("pos").alias("head"))), "recipe-groups")
+    head = rows.select(*keys, F.col("pos").alias("head"), F.col("recipe").alias("_head"), F.col("items").alias("_head_items"))
+    whole = rows.select(*keys, "pos", "recipe", "items").join(placed, [*keys, "pos"]).join(head, [*keys, "head"])
+    # all of a group hold its core and no other two share more, so any member and the head tell it
+    cores = whole.filter("pos <> head").groupBy(*keys, "head").agg(F.first(F.array_intersect("items", "_head_items")).alias("_core"))
+    full = whole.join(cores, [*keys, "head"], "left").withColumn("core", F.coalesce("_core", "items"))
+    option = F.get(F.array_except("items", "core"), F.lit(0)).cast("string")
+    return full.select(*keys, "recipe", F.col("_head").alias("head"), F.array_sort("core").alias("core"), option.alias("option"))
