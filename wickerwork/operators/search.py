@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from wickerwork.functions.numeric import half_up, idf
 from wickerwork.functions.text import (ALSO, AMBIGUOUS, COLOR_WORDS, FILLER, JARGON, TYPE_WORDS, VALUE_WORDS, forms, raw_words, stem,
                                        words)
-from wickerwork.operators.ranking import top_n
+from wickerwork.operators.ranking import number_rows, top_n
 from wickerwork.operators.textjoin import contains_join
 from wickerwork.session import cut_lineage
 
@@ -174,17 +174,27 @@ def score(groups: DataFrame, postings: DataFrame, weights: DataFrame) -> DataFra
     return sums.filter("s > 0").join(totals, "query").select("query", "item", (half_up(exact * 1_000_000) / 1_000_000).alias("score"))
 
 
-def sort_results(results: DataFrame, sort: str, items: DataFrame) -> DataFrame:
-    """Ranked results: by match, or by another key among those within three quarters of the best. items(item, number, cents,
-    value, released, name)."""
+SORTS = ("match", "popular", "newest", "oldest", "price-asc", "price-desc", "value-asc", "value-desc", "name")
+
+
+def sort_results(results: DataFrame, sort: str, items: DataFrame, first: int | None = None) -> DataFrame:
+    """Ranked results, the ``first`` of each query or all: by match, or by another key among those within three quarters of the
+    best. Unknown keys come last, ties go by number. items(item, number, cents, value, released, name).
+
+    The first are cut inside every map task; all are numbered by ranges, so no query's results are sorted in one task."""
+    if sort not in SORTS:
+        raise ValueError(f"no order {sort!r}")
     rows = results.join(items, "item")
-    best = F.max("score").over(W.partitionBy("query"))
     if sort != "match":
-        rows = rows.withColumn("_b", best).filter(F.col("_b").isNull() | (F.col("score") >= STRONG_MATCH * F.col("_b"))).drop("_b")
+        best = results.groupBy("query").agg(F.max("score").alias("_b"))
+        rows = rows.join(best, "query").filter(F.col("_b").isNull() | (F.col("score") >= STRONG_MATCH * F.col("_b"))).drop("_b")
     key = {"match": F.col("score").desc_nulls_last(), "popular": F.asc("number"), "newest": F.col("released").desc_nulls_last(),
            "oldest": F.col("released").asc_nulls_last(), "price-asc": F.col("cents").asc_nulls_last(), "price-desc": F.col("cents").desc_nulls_last(),
-           "value-asc": F.asc("value"), "value-desc": F.desc("value"), "name": F.asc("name")}[sort]
-    return rows.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(key, F.asc("number"))))
+           "value-asc": F.col("value").asc_nulls_last(), "value-desc": F.col("value").desc_nulls_last(), "name": F.col("name").asc_nulls_last()}[sort]
+    order = [key, F.asc("number")]
+    if first is not None:
+        return top_n(rows, "query", order, first, "place")
+    return number_rows(rows, order, "place", ["query"]).withColumn("place", F.col("place") + 1)
 
 
 def name_search(names: DataFrame, queries: DataFrame) -> DataFrame:

@@ -143,6 +143,28 @@ def _(t):
     return found.select("query", "item", F.col("place").cast("long").alias("place"), "score")
 
 
+#: What each order sorts by; the other keys of documents are made from their lengths and numbers, some of them unknown.
+ORDERS = {"match": "score DESC", "popular": "doc_id", "newest": "released DESC NULLS LAST", "oldest": "released ASC NULLS LAST", "price-asc": "cents ASC NULLS LAST",
+          "price-desc": "cents DESC NULLS LAST", "value-asc": "doc_id % 9", "value-desc": "doc_id % 9 DESC", "name": "source"}
+ORDERED = """WITH i AS (SELECT doc_id, source, CASE WHEN n_chars % 7 > 0 THEN n_chars END AS cents, CASE WHEN n_chars % 5 > 0 THEN DATE '2000-01-01' + CAST(n_chars % 3000 AS INT) END AS released FROM documents)
+    SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY {by}, doc_id) AS place, score
+    FROM (SELECT *, max(score) OVER (PARTITION BY query) AS b FROM ds) JOIN i ON doc_id = item WHERE {kept} QUALIFY place <= 50"""
+
+
+def ordered_documents(sort):
+    @query(f"k1_by_{sort.replace('-', '_')}", ORDERED.format(by=ORDERS[sort], kept="true" if sort == "match" else "score >= 0.75::DOUBLE * b"), "ds")
+    def _(t):
+        size, number = F.col("n_chars"), F.col("doc_id")
+        items = t.read("documents").select(number.alias("item"), number.alias("number"), F.when(size % 7 > 0, size).alias("cents"), (number % 9).alias("value"),
+                                           F.when(size % 5 > 0, F.date_add(F.lit("2000-01-01").cast("date"), (size % 3000).cast("int"))).alias("released"), F.col("source").alias("name"))
+        found = S.sort_results(document_search(t), sort, items, first=50)
+        return found.select("query", "item", F.col("place").cast("long").alias("place"), "score")
+
+
+for each in S.SORTS:
+    ordered_documents(each)
+
+
 @query("n10_name_search", """WITH q AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS query FROM part) SELECT query, p_partkey AS item FROM q JOIN part ON contains(p_name, query) OR contains('part ' || lower(p_brand), query)""")
 def _(t):
     part = t.read("part")
