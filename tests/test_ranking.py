@@ -89,6 +89,8 @@ def test_contains_join_against_every_pair(spark):
     rng = random.Random(9)
     texts = [(i, "".join(rng.choice("abc ") for _ in range(rng.randrange(0, 12)))) for i in range(150)]
     asked = [(i, "".join(rng.choice("abc") for _ in range(rng.randrange(1, 5)))) for i in range(60)]
+    texts += [(1000 + i, "ab" * i + "c" + "ab" * 3) for i in range(9)] + [(2000, None)]
+    asked += [(100 + i, ("ab" * 5)[:i]) for i in range(10)] + [(200, "bcab"), (201, "ababcababa"), (202, "zzz")]
     got = contains_join(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(asked, "query int, q string"), "text")
-    assert {(r["id"], r["query"]) for r in got.collect()} == {(t, q) for t, s in texts for q, p in asked if p in s}
-    assert got.count() == len({(t, q) for t, s in texts for q, p in asked if p in s})
+    assert {(r["id"], r["query"]) for r in got.collect()} == {(t, q) for t, s in texts for q, p in asked if s and p and p in s}
+    assert got.count() == len({(t, q) for t, s in texts for q, p in asked if s and p and p in s})
