@@ -9,13 +9,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pa_fs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of an Arrow batch, and bytes of their texts, that are worked on together, so that a task holds few texts at a time.
 SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+#: Bytes of the batches in which rows reach Python; a longer row is alone.
+BATCH_BYTES = 8 << 20
 
 #: ASCII letters in lower case and digits stay, other ASCII becomes a space, bytes of other characters stay.
 FOLD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -46,6 +48,12 @@ def _text_last(df: DataFrame, text: str, keep: Sequence[str]) -> tuple[DataFrame
     return df.select(*[F.col(c) for c in others], F.col(text).cast("binary").alias(unused("_text_bytes", keep))), range(len(others))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """From now on this session's rows reach Python in batches of BATCH_BYTES. Spark's own bound is eight times that, and a batch is
+    held by the executor and by the Python worker of every running task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches in slices of so many rows and bytes of the last column, a text, at most; a longer text is alone."""
     for batch in batches:
@@ -69,6 +77,7 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], out: T.StructType,
 
     ``make()`` runs once in a task and gives a function from a list of UTF-8 texts (None for null) to one list a new
     column. Only ``keep`` and the text leave the JVM, each once."""
+    bound_batches(df.sparkSession)
     narrow, kept = _text_last(df, text, keep)
     schema = T.StructType([narrow.schema.fields[i] for i in kept] + out.fields)
     new_types = [to_arrow_type(f.dataType) for f in out.fields]
@@ -105,6 +114,7 @@ def put_file(store: pa_fs.FileSystem, path: str, write: Callable[[pa.NativeFile]
 def explode_texts(df: DataFrame, text: str, keep: Sequence[str], out: T.StructType,
                   make: Callable[[], Callable[[list[bytes | None]], list[list[tuple]]]]) -> DataFrame:
     """Any number of rows from each whole text: ``keep`` repeated, then the tuples that ``make()(texts)`` lists for it."""
+    bound_batches(df.sparkSession)
     narrow, kept = _text_last(df, text, keep)
     schema = T.StructType([narrow.schema.fields[i] for i in kept] + out.fields)
     new_types = [to_arrow_type(f.dataType) for f in out.fields]

@@ -20,14 +20,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from wickerwork.llm.common import small_batches
+from wickerwork.llm.common import bound_batches, small_batches
 from wickerwork.operators.ranking import number_rows
 from wickerwork.session import cut_lineage
 
 #: Ranks of a tile's side, as bits; tiles of the first ranks that may be dense, to a side; pairs from which one is.
 TILE_BITS, HEAD, DENSE = 10, 4, 1 << 16
-#: Words of a block, but for the last text's, which is not split.
-BLOCK_WORDS = 1 << 20
+#: Words of the blocks a task holds, but for the last text's, which is not split.
+BLOCK_WORDS = 1 << 19
 #: Longest phrase.
 WORDS = 5
 MINIMUM, FIRST = 100, 2000
@@ -64,8 +64,9 @@ class _Block:
 
 def text_blocks(docs: DataFrame, words: int = BLOCK_WORDS) -> DataFrame:
     """(block, lang, codes, words, counts): the texts of a task and language as numbers from 1 in the block's own word list, 0
-    after each piece. A task holds twice ``words`` at most, and its last text."""
+    after each piece. A task holds ``words`` at most, and its last text."""
     schema = "lang string, codes binary, words array<string>, counts array<long>"
+    bound_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks: dict[str, _Block] = {}
@@ -86,10 +87,7 @@ def text_blocks(docs: DataFrame, words: int = BLOCK_WORDS) -> DataFrame:
                 before = block.size
                 block.add(text)
                 held += block.size - before
-                if block.size >= words:
-                    held -= block.size
-                    yield from out([lang])
-                elif held >= 2 * words:  # many languages, none of them a whole block
+                if held >= words:
                     held = 0
                     yield from out(list(blocks))
         yield from out(list(blocks))
