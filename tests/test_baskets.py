@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wickerwork.operators import baskets as B
 from wickerwork.operators import bundles as U
+from wickerwork.operators import graphs as GR
 from wickerwork.operators import pairs as P
 from wickerwork.operators import recipes as R
 from wickerwork.operators import trends as T
@@ -183,7 +184,7 @@ def test_synergy_edges(spark):
     assert {r["item"] for r in ring.collect()} == set(range(101, 107))
     chosen = ring.select("leader", F.col("x").alias("centre"), "item")
     centre = items.filter("item = 100").select("leader", F.col("item").alias("centre"), "basket")
-    edges = {(r["a"], r["b"]): r["kind"] for r in P.pick_edges(P.ring_pairs(chosen, centre, items), ["leader", "centre"]).collect()}
+    edges = {(r["a"], r["b"]): r["kind"] for r in GR.pick_edges(P.ring_pairs(chosen, centre, items), ["leader", "centre"]).collect()}
     assert edges[101, 102] == "together" and edges[103, 104] == "together" and edges[105, 106] == "apart"
     assert sum(k == "together" for k in edges.values()) <= 4
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wickerwork.functions.numeric import phi
 from wickerwork.operators.baskets import DIGITS
-from wickerwork.operators.pairs import candidates, grouped_links, pair_counts
+from wickerwork.operators.pairs import candidates, pair_counts, strong_links
 from wickerwork.operators.ranking import top_n
 
 PHI, MAX_BUNDLE = 0.3, 8
@@ -34,10 +34,12 @@ def runs(sets: DataFrame, basket_items: DataFrame) -> DataFrame:
     return coverage(sets, basket_items).filter("held = size").select("leader", "bundle", "basket")
 
 
-def pair_set_counts(a: DataFrame, b: DataFrame, n: DataFrame) -> DataFrame:
-    """Baskets running each of two bundles and both. a, b(leader, bundle, basket): counts by join on the basket."""
-    ka = a.groupBy("leader", F.col("bundle").alias("a")).agg(F.count(F.lit(1)).alias("ka"))
-    kb = b.groupBy("leader", F.col("bundle").alias("b")).agg(F.count(F.lit(1)).alias("kb"))
+def pair_set_counts(running: DataFrame, n: DataFrame) -> DataFrame:
+    """(leader, a, b, ka, kb, both, n, phi): baskets running each of two bundles and both, of all pairs of a leader's bundles.
+    running(leader, bundle, basket). Bundles of a basket are counted like its items, so no row is made for a basket and pair."""
+    counted = running.groupBy("leader", "bundle").agg(F.count(F.lit(1)).alias("k"))
+    ka, kb = (counted.select("leader", F.col("bundle").alias(x), F.col("k").alias(f"k{x}")) for x in "ab")
+    both = pair_counts(running.select("leader", "basket", F.col("bundle").alias("item")).distinct())
     pairs = ka.join(kb, "leader").filter("a < b").join(both, ["leader", "a", "b"], "left").fillna(0, ["both"])
     return pairs.join(n, "leader").withColumn("phi", F.round(phi(F.col("both"), F.col("ka"), F.col("kb"), F.col("n")), DIGITS))
 

@@ -130,14 +130,26 @@ def bundle_results(entries: DataFrame, covered: DataFrame, bundles: DataFrame, t
                        F.when(fair, lift).alias("lift"), F.when(fair, evidence).alias("evidence"))
 
 
+def against_none(seen: DataFrame, totals: DataFrame) -> DataFrame:
+    """(leader, bundle, lift, evidence): baskets running a bundle against those holding none of its items, which are the leader's
+    total less the rest. seen(leader, bundle, all_games, all_wins, some_games, some_wins), totals(leader, games, wins)."""
+    rows = seen.join(totals, "leader").withColumns({f"none_{c}": F.col(c) - F.col(f"all_{c}") - F.col(f"some_{c}") for c in ("games", "wins")})
+    rate = share(F.col("wins"), F.col("games"))
+    fair = rows.filter((F.col("all_games") > 0) & (F.col("none_games") > 0) & (rate > 0) & (rate < 1))
+    lift, evidence = compare(F.col("all_wins"), F.col("all_games"), F.col("none_wins"), F.col("none_games"), rate)
+    return fair.select("leader", "bundle", lift.alias("lift"), evidence.alias("evidence"))
+
+
 def wins_more_with(entries: DataFrame, holders: DataFrame, entry_items: DataFrame, least: int = MIN_PAIR_BASKETS, today: str | None = None,
-                   days: int | None = None) -> DataFrame:
+                   days: int | None = None, pairs: DataFrame | None = None) -> DataFrame:
     """Among entries holding x (an item, or all of a bundle), those also playing each other item against those not.
-    holders(leader, x, entry). (leader, x, item, with/without counts, lift, evidence)"""
+    holders(leader, x, entry). With ``pairs`` (leader, x, item), of those only. (leader, x, item, with/without counts, lift,
+    evidence)"""
     facts = within(entries, today, days).select("entry", "games", "wins")
     held = holders.join(facts, "entry")
     t = held.groupBy("leader", "x").agg(F.count(F.lit(1)).alias("n"), F.sum("games").alias("g"), F.sum("wins").alias("k"))
-    both = (held.join(entry_items, "entry").groupBy("leader", "x", "item")
+    met = held.join(entry_items, "entry")
+    both = ((met if pairs is None else met.join(pairs, ["leader", "x", "item"], "left_semi")).groupBy("leader", "x", "item")
             .agg(F.count(F.lit(1)).alias("with_baskets"), F.sum("games").alias("with_games"), F.sum("wins").alias("with_wins")))
     rows = both.join(t, ["leader", "x"]).withColumns({
         "without_baskets": F.col("n") - F.col("with_baskets"), "without_games": F.col("g") - F.col("with_games"),

@@ -224,7 +224,7 @@ def played_more_with(pairs: DataFrame, plays: DataFrame, n: DataFrame, least: in
 def partners(more: DataFrame, least: float = PARTNER_PHI, count: int = 12) -> DataFrame:
     """(leader, x, item, phi, rank): the items most correlated with each x."""
     rows = more.withColumn("phi", F.round(phi(F.col("both"), F.col("plays_x"), F.col("plays_b"), F.col("n")), DIGITS)).filter(F.col("phi") >= least)
-    return top_n(rows.select("leader", "x", "item", "phi", F.col("both").alias("held")), ["leader", "x"], [F.desc("phi"), F.asc("item")], count)
+    return top_n(rows.select("leader", "x", "item", "base", "share", "phi", F.col("both").alias("held")), ["leader", "x"], [F.desc("phi"), F.asc("item")], count)
 
 
 def ring_pairs(chosen: DataFrame, held: DataFrame, plays: DataFrame) -> DataFrame:
@@ -244,32 +244,3 @@ def ring_pairs(chosen: DataFrame, held: DataFrame, plays: DataFrame) -> DataFram
     every = left.join(right, order).filter("a < b").join(seen, [*order, "a", "b"], "left").fillna(0, ["both"])
     full = with_plays(every, counts, n, order)
     return full.withColumn("phi", F.round(phi(F.col("both"), F.col("plays_a"), F.col("plays_b"), F.col("n")), DIGITS))
-
-
-def pick_edges(scored: DataFrame, keys: Sequence[str], link: float = LINK, stand_out: float = STAND_OUT, apart: float = APART,
-               each: int = EDGES_EACH, least: int = MIN_WITH, typical_from: int = 1) -> DataFrame:
-    """The edges shown of each graph: pairs far above its typical (upper median) phi, unless both ends already have ``each``;
-    and the clearest pairs rarely together, while both ends have fewer. scored(keys, a, b, both, phi): the pairs of a
-    graph of a dozen nodes, so a group is some 66 rows and is walked in pandas."""
-    keys = list(keys)
-    types = {f.name: f.dataType.simpleString() for f in scored.schema.fields}
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"a {types['a']}", f"b {types['b']}", "strength double", "kind string"])
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_down=-pdf["phi"]).sort_values(["_down", "a", "b"])
-        typical = float(np.sort(pdf["phi"].to_numpy())[len(pdf) // 2]) if len(pdf) >= typical_from else 0.0
-        out = []
-        for kind, rows in (("together", pdf), ("apart", pdf.iloc[::-1])):
-            used: dict = {}
-            for r in rows.itertuples(index=False):
-                a, b = used.get(r.a, 0), used.get(r.b, 0)
-                if kind == "together":
-                    shown = r.phi >= max(link, typical + stand_out) and r.both >= least and (a < each or b < each)
-                else:
-                    shown = r.phi <= apart and a < each and b < each
-                if shown:
-                    used[r.a], used[r.b] = a + 1, b + 1
-                    out.append([getattr(r, k) for k in keys] + [r.a, r.b, r.phi, kind])
-        return pd.DataFrame(out, columns=[*keys, "a", "b", "strength", "kind"])
-
-    return scored.select(*keys, "a", "b", "both", "phi").groupBy(*keys).applyInPandas(walk, schema)

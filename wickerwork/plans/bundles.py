@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from wickerwork.operators import baskets as B
 from wickerwork.operators import bundles as bundle_ops
-from wickerwork.operators import clusters, pairs, recipes, windows
+from wickerwork.operators import clusters, graphs, outcomes, pairs, recipes, windows
 from wickerwork.operators.ranking import fifths, number_rows, top_n
 from wickerwork.plans.registry import query, r6
 from wickerwork.plans.tables import CTES, TODAY
@@ -80,7 +80,7 @@ def _(t):
       ON x.leader = a.leader AND x.p = a.bundle AND x.q = b.bundle""", "rn cn")
 def _(t):
     running = bundle_ops.runs(sets(t), t.customer_items)
-    found = bundle_ops.pair_set_counts(running, running, customer_pool(t)[1])
+    found = bundle_ops.pair_set_counts(running, customer_pool(t)[1])
     return found.select("leader", "a", "b", "ka", "kb", F.col("both").alias("shared"), "n")
 
 
@@ -115,15 +115,89 @@ def chosen_partners(t):
     return pairs.partners(more, least=0.08)
 
 
-@query("b20_synergy_edges")
+def greedy(keys, pairs, link, stand_out, apart, typical_from=1):
+    """Bindings after ``pairs`` (keys, a, b, k, phi) that end in ``shown``: a walk over each graph's pairs in order, the ends of what
+    is shown so far in a list."""
+    on = " AND ".join(f"walk.{k} = e.{k}" for k in keys)
+    key, more = ", ".join(keys), ", ".join(f"e.{k}" for k in keys)
+    count = lambda end: f"len(list_filter(used, lambda x: x = e.{end}))"
+    free = f"CASE e.kind WHEN 'together' THEN {count('a')} < 2 OR {count('b')} < 2 ELSE {count('a')} < 2 AND {count('b')} < 2 END"
+    return f"""{pairs},
+    typical AS (SELECT {key}, CASE WHEN count(*) >= {typical_from} THEN list_sort(list(phi))[count(*) // 2 + 1] ELSE 0 END AS typical FROM pairs GROUP BY {key}),
+    e AS (SELECT 'together' AS kind, {key}, a, b, phi, row_number() OVER (PARTITION BY {key} ORDER BY phi DESC, a, b) AS i
+        FROM pairs JOIN typical USING ({key}) WHERE phi >= greatest({link}, typical + {stand_out}) AND k >= 5
+      UNION ALL SELECT 'apart', {key}, a, b, phi, row_number() OVER (PARTITION BY {key} ORDER BY phi, a DESC, b DESC) FROM pairs WHERE phi <= {apart}),
+    walk AS (SELECT DISTINCT kind, {key}, 0::BIGINT AS i, CAST([] AS VARCHAR[]) AS used, NULL::VARCHAR AS a, NULL::VARCHAR AS b, NULL::DOUBLE AS phi, false AS taken FROM e
+      UNION ALL SELECT e.kind, {more}, e.i, CASE WHEN {free} THEN list_concat(used, [e.a, e.b]) ELSE used END, e.a, e.b, e.phi, {free}
+      FROM walk JOIN e ON walk.kind = e.kind AND {on} AND e.i = walk.i + 1),
+    shown AS (SELECT {key}, a, b, round(phi, 6) AS strength, kind FROM walk WHERE taken)"""
+
+
+CTES["ch"] = (["c2"], f"""SELECT leader, x, item, base, share, phi FROM (SELECT *, row_number() OVER (PARTITION BY leader, x ORDER BY phi DESC, item) AS rank FROM (
+    SELECT leader, a AS x, b AS item, pb / n AS base, k / pa AS share, round({PHI}, 9) AS phi FROM c2 WHERE pa >= 10 AND k >= 5 AND k / pa > pb / n AND (k / pa - pb / n) / sqrt(pb / n * (1 - pb / n) / pa) >= 1)
+    WHERE phi >= 0.08) WHERE rank <= 12""")
+#: Correlation of counts k, pa, pb among n baskets, 0 where one of the two never varies.
+SAFE_PHI = f"round(CASE WHEN pa < n AND pb < n AND pa > 0 AND pb > 0 THEN {PHI} ELSE 0 END, 9)"
+RING = f"""WITH RECURSIVE hb AS (SELECT ch.leader, ch.x AS centre, ch.item, ci.basket FROM ch JOIN ci h ON h.leader = ch.leader AND h.item = ch.x JOIN ci ON ci.leader = h.leader AND ci.basket = h.basket AND ci.item = ch.item),
+    kk AS (SELECT leader, centre, item, count(*) AS c FROM hb GROUP BY ALL),
+    bb AS (SELECT leader, centre, p.item AS a, q.item AS b, count(*) AS k FROM hb p JOIN hb q USING (leader, centre, basket) WHERE p.item < q.item GROUP BY ALL),
+    pairs AS (SELECT leader, centre, a, b, k, {SAFE_PHI} AS phi FROM (SELECT u.leader, u.centre, u.item AS a, v.item AS b, coalesce(bb.k, 0) AS k, u.c AS pa, v.c AS pb, cp.plays AS n
+      FROM kk u JOIN kk v ON u.leader = v.leader AND u.centre = v.centre AND u.item < v.item JOIN cp ON cp.leader = u.leader AND cp.item = u.centre
+      LEFT JOIN bb ON bb.leader = u.leader AND bb.centre = u.centre AND bb.a = u.item AND bb.b = v.item))"""
+
+
+@query("b20_synergy_edges", greedy(["leader", "centre"], RING, 0.05, 0.02, -0.05) + """
+    SELECT leader, x AS centre, x AS a, item AS b, round(phi, 6) AS strength, 'spoke' AS kind FROM ch UNION ALL SELECT * FROM shown""", "ch ci cp")
 def _(t):
     """Spokes to each item's partners, and the partners that go together, or apart, among baskets holding it."""
-    chosen = chosen_partners(t)
-    spokes = chosen.select("leader", F.col("x").alias("centre"), F.col("x").alias("a"), F.col("item").alias("b"),
-                           F.col("phi").alias("strength"), F.lit("spoke").alias("kind"))
+    chosen = t.once("partners", lambda: chosen_partners(t))
     held = t.customer_items.select("leader", F.col("item").alias("centre"), "basket")
     ring = pairs.ring_pairs(chosen.select("leader", F.col("x").alias("centre"), "item"), held, t.customer_items)
-    return spokes.unionByName(pairs.pick_edges(ring, ["leader", "centre"], link=0.05, stand_out=0.02, apart=-0.05))
+    edges = graphs.pick_edges(ring, ["leader", "centre"], link=0.05, stand_out=0.02, apart=-0.05)
+    return graphs.spokes(chosen).unionByName(edges).withColumn("strength", r6(F.col("strength")))
+
+
+#: A customer's finished orders are its results: games are orders, wins those that are fulfilled.
+CTES["cr"] = (["bk"], "SELECT leader, customer AS basket, count(*) AS games, count(*) FILTER (status = 'F') AS wins FROM bk GROUP BY ALL")
+CTES["wm"] = (["ch", "ci", "cr"], """SELECT leader, centre, node, lift, evidence FROM (SELECT *, (wins + r * 100) / (games + 100) - (k - wins + r * 100) / (g - games + 100) AS lift,
+      (wins / games - (k - wins) / (g - games)) / sqrt(2 * r * (1 - r) * (1 / games + 1 / (g - games))) AS evidence FROM (
+      SELECT b.*, n, g, t.k, t.k / t.g AS r FROM (SELECT h.leader, h.item AS centre, o.item AS node, count(*) AS held, sum(games) AS games, sum(wins) AS wins
+        FROM ci h JOIN cr USING (leader, basket) JOIN ci o USING (leader, basket) WHERE (h.leader, h.item, o.item) IN (SELECT (leader, x, item) FROM ch) GROUP BY ALL) b
+      JOIN (SELECT leader, item AS centre, count(*) AS n, sum(games) AS g, sum(wins) AS k FROM ci JOIN cr USING (leader, basket) GROUP BY ALL) t USING (leader, centre))
+    WHERE held >= 5 AND n - held >= 5 AND games > 0 AND g > games AND r > 0 AND r < 1)""")
+
+
+def customer_results(t):
+    won = (F.col("status") == "F").cast("long")
+    return (t.baskets.groupBy("leader", F.col("customer").alias("entry")).agg(F.count(F.lit(1)).alias("games"), F.sum(won).alias("wins")))
+
+
+def won_with(t):
+    """(leader, centre, node, lift, evidence): how baskets holding an item do with each of its partners."""
+    chosen = t.once("partners", lambda: chosen_partners(t)).select("leader", "x", "item")
+    holders = t.customer_items.select("leader", F.col("item").alias("x"), F.col("basket").alias("entry")).join(chosen.select("leader", "x").distinct(), ["leader", "x"])
+    items = t.customer_items.select(F.col("basket").alias("entry"), "item")
+    found = outcomes.wins_more_with(customer_results(t), holders, items, least=5, pairs=chosen)
+    return found.select("leader", F.col("x").alias("centre"), F.col("item").alias("node"), "lift", "evidence")
+
+
+@query("b20_synergy_nodes", """WITH w AS (SELECT leader, centre, node, lift FROM wm WHERE abs(round(evidence, 9)) >= 1)
+    SELECT leader, x AS centre, item AS node, 'partner' AS kind, round(base, 6) AS base, round(share, 6) AS share, round(phi, 6) AS phi, round(lift, 6) AS lift FROM ch LEFT JOIN w ON w.leader = ch.leader AND w.centre = x AND w.node = item
+    UNION ALL SELECT DISTINCT leader, x, x, 'centre', NULL, NULL, NULL, NULL FROM ch UNION ALL SELECT DISTINCT leader, centre, NULL, 'won', NULL, NULL, NULL, NULL FROM w""".replace("SELECT leader, x AS centre", "SELECT ch.leader, x AS centre"), "ch wm")
+def _(t):
+    nodes, _ = synergy(t)
+    return nodes.select("leader", "centre", "node", "kind", *[r6(F.col(c)).alias(c) for c in ("base", "share", "phi", "lift")])
+
+
+def synergy(t):
+    won = graphs.clear_results(won_with(t), evidence=1)
+    return graphs.with_won(graphs.synergy_nodes(t.once("partners", lambda: chosen_partners(t))), won, ["leader", "centre"])
+
+
+@query("b20_won_edges", "SELECT leader, centre, node, round(lift, 6) AS lift FROM wm WHERE abs(round(evidence, 9)) >= 1", "wm")
+def _(t):
+    _, edges = synergy(t)
+    return edges.withColumn("lift", r6(F.col("lift")))
 
 
 @query("b21_bundle_pair_phi", """WITH s AS (SELECT leader, bundle, count(*) AS k FROM rn GROUP BY ALL), m AS (SELECT leader, bundle FROM s JOIN cn USING (leader)
@@ -141,12 +215,58 @@ def bundle_map_pairs(t):
     running = bundle_ops.runs(sets(t), t.customer_items)
     shown = bundle_ops.most_run(running, n).select("leader", "bundle")
     kept = running.join(shown, ["leader", "bundle"])
-    return bundle_ops.pair_set_counts(kept, kept, n)
+    return bundle_ops.pair_set_counts(kept, n)
+
+
+CTES["mr"] = (["rn", "cn"], """SELECT leader, bundle, k AS runs FROM (SELECT leader, bundle, count(*) AS k FROM rn GROUP BY ALL) JOIN cn USING (leader)
+    WHERE k >= greatest(3, 0.03 * n) QUALIFY row_number() OVER (PARTITION BY leader ORDER BY k DESC, bundle) <= 12""")
+MAP_PAIRS = f"""WITH RECURSIVE pairs AS (SELECT leader, a, b, k, {SAFE_PHI} AS phi FROM (SELECT u.leader, u.bundle AS a, v.bundle AS b, u.runs AS pa, v.runs AS pb, n, coalesce(x.k, 0) AS k
+      FROM mr u JOIN mr v ON u.leader = v.leader AND u.bundle < v.bundle JOIN cn ON cn.leader = u.leader
+      LEFT JOIN (SELECT leader, p.bundle AS a, q.bundle AS b, count(*) AS k FROM rn p JOIN rn q USING (leader, basket) WHERE p.bundle < q.bundle GROUP BY ALL) x ON x.leader = u.leader AND x.a = u.bundle AND x.b = v.bundle))"""
+
 
+@query("b21_bundle_map_edges", greedy(["leader"], MAP_PAIRS, 0.05, 0.02, -0.02) + " SELECT * FROM shown", "mr rn cn")
+def _(t):
+    edges = graphs.pick_edges(bundle_map_pairs(t), ["leader"], link=0.05, stand_out=0.02, apart=-0.02)
+    return edges.withColumn("strength", r6(F.col("strength")))
+
+
+#: How baskets running a bundle do against those holding none of its items.
+CTES["br"] = (["cv", "cr"], """SELECT leader, bundle, (aw + r * 100) / (ag + 100) - (nw + r * 100) / (ng + 100) AS lift, (aw / ag - nw / ng) / sqrt(2 * r * (1 - r) * (1 / ag + 1 / ng)) AS evidence FROM (
+    SELECT leader, bundle, ag, aw, tg - ag - sg AS ng, tw - aw - sw AS nw, tw / tg AS r FROM (
+      SELECT leader, bundle, coalesce(sum(games) FILTER (held = size), 0) AS ag, coalesce(sum(wins) FILTER (held = size), 0) AS aw, coalesce(sum(games) FILTER (held < size), 0) AS sg, coalesce(sum(wins) FILTER (held < size), 0) AS sw
+      FROM cv JOIN cr USING (leader, basket) GROUP BY ALL) JOIN (SELECT leader, sum(games) AS tg, sum(wins) AS tw FROM cr GROUP BY 1) USING (leader)) WHERE ag > 0 AND ng > 0 AND r > 0 AND r < 1""")
+
+
+def bundle_wins(t):
+    """(leader, bundle, lift, evidence)"""
+    results = customer_results(t).withColumns({"cut_baskets": F.lit(0), "cuts": F.lit(0)})
+    covered = bundle_ops.coverage(sets(t), t.customer_items).withColumnRenamed("basket", "entry")
+    seen = covered.join(results.drop("leader"), "entry").groupBy("leader", "bundle").agg(
+        *[F.coalesce(F.sum(F.when((F.col("held") == F.col("size")) == whole, F.col(c))), F.lit(0)).alias(f"{name}_{c}") for whole, name in ((True, "all"), (False, "some")) for c in ("games", "wins")])
+    return outcomes.against_none(seen, results.groupBy("leader").agg(F.sum("games").alias("games"), F.sum("wins").alias("wins")))
 
-@query("b21_bundle_map_edges")
+
+@query("b21_bundle_map_nodes", """WITH w AS (SELECT leader, bundle, lift FROM br JOIN mr USING (leader, bundle) WHERE abs(round(evidence, 9)) >= 1),
+    m AS (SELECT leader, bundle, string_agg(item, ' + ' ORDER BY item) AS name FROM (SELECT *, row_number() OVER (PARTITION BY leader, bundle ORDER BY item) AS i FROM bs) WHERE i <= 2 GROUP BY ALL)
+    SELECT leader, bundle AS node, 'bundle' AS kind, runs, name, round(lift, 6) AS lift FROM mr JOIN m USING (leader, bundle) LEFT JOIN w USING (leader, bundle)
+    UNION ALL SELECT DISTINCT leader, NULL, 'won', NULL, NULL, NULL FROM w""", "mr br bs")
 def _(t):
-    return pairs.pick_edges(bundle_map_pairs(t), ["leader"], link=0.05, stand_out=0.02, apart=-0.02)
+    nodes, _ = bundle_map(t)
+    return nodes.select("leader", "node", "kind", "runs", "name", r6(F.col("lift")).alias("lift"))
+
+
+def bundle_map(t):
+    shown = bundle_ops.most_run(bundle_ops.runs(sets(t), t.customer_items), customer_pool(t)[1])
+    placed = top_n(sets(t), ["leader", "bundle"], [F.asc("item")], 3, "pos").withColumn("pos", F.col("pos") - 1)
+    won = graphs.clear_results(bundle_wins(t), evidence=1).select("leader", F.col("bundle").alias("node"), "lift")
+    return graphs.with_won(graphs.bundle_nodes(shown, placed), won, ["leader"])
+
+
+@query("b21_won_edges", "SELECT leader, bundle AS node, round(lift, 6) AS lift FROM br JOIN mr USING (leader, bundle) WHERE abs(round(evidence, 9)) >= 1", "mr br")
+def _(t):
+    _, edges = bundle_map(t)
+    return edges.withColumn("lift", r6(F.col("lift")))
 
 
 @query("b22_bundle_extras", f"""WITH s AS (SELECT leader, bundle, count(*) AS pa FROM rn GROUP BY ALL HAVING count(*) >= 10),
@@ -159,14 +279,28 @@ def _(t):
     return found.select("leader", "bundle", "item", F.col("rank").cast("long").alias("rank"), F.col("both").alias("shared"), *[r6(F.col(c)).alias(c) for c in ("share", "base", "phi")])
 
 
-@query("b22_bundle_core_edges")
+CORE_PAIRS = f"""WITH RECURSIVE pairs AS (SELECT leader, bundle, a, b, k, {SAFE_PHI} AS phi FROM (SELECT u.leader, u.bundle, u.item AS a, v.item AS b, coalesce(cc.k, 0) AS k, p.plays AS pa, q.plays AS pb, n
+      FROM bs u JOIN bs v ON u.leader = v.leader AND u.bundle = v.bundle AND u.item < v.item JOIN cp p ON p.leader = u.leader AND p.item = u.item JOIN cp q ON q.leader = v.leader AND q.item = v.item JOIN cn ON cn.leader = u.leader
+      LEFT JOIN cc ON cc.leader = u.leader AND cc.a = u.item AND cc.b = v.item))"""
+
+
+@query("b22_bundle_core_edges", greedy(["leader", "bundle"], CORE_PAIRS, 0.0, 0.001, -0.01, 3) + " SELECT * FROM shown", "bs cp cn cc")
 def _(t):
     """The pairs of each bundle's own items that stand out among all its leader's baskets."""
-    scored = pairs.pair_phi(pairs.pair_counts(t.customer_items), *customer_pool(t))
-    s = sets(t)
-    inside = (scored.join(s.select("leader", "bundle", F.col("item").alias("a")), ["leader", "a"])
-              .join(s.select("leader", "bundle", F.col("item").alias("b")), ["leader", "bundle", "b"]))
-    return pairs.pick_edges(inside, ["leader", "bundle"], link=0.0, stand_out=0.001, apart=-0.01, typical_from=3)
+    inside = graphs.core_pairs(sets(t), t.customer_items, *customer_pool(t))
+    edges = graphs.pick_edges(inside, ["leader", "bundle"], link=0.0, stand_out=0.001, apart=-0.01, typical_from=3)
+    return edges.withColumn("strength", r6(F.col("strength")))
+
+
+@query("b22_bundle_graph_nodes", """SELECT leader, bundle, item AS node, 'core' AS kind, plays AS baskets FROM bs JOIN cp USING (leader, item)
+    UNION ALL SELECT leader, bundle, NULL, 'bundle', count(*) FROM rn GROUP BY leader, bundle""", "bs cp rn")
+def _(t):
+    """Bundles and their items; ``b22_bundle_extras`` has the rest of the nodes."""
+    running = bundle_ops.runs(sets(t), t.customer_items)
+    counted = running.groupBy("leader", "bundle").agg(F.count(F.lit(1)).alias("runs"))
+    extras = bundle_ops.bundle_extras(running, sets(t), t.customer_items, *customer_pool(t), least=0.05)
+    nodes, _ = graphs.bundle_graph(sets(t), counted, customer_pool(t)[0], extras)
+    return nodes.filter("kind <> 'extra'").select("leader", "bundle", "node", "kind", "baskets")
 
 
 @query("b24_newest_running", """WITH u AS (SELECT customer AS basket, max(made) AS updated FROM bk GROUP BY 1)
