@@ -45,8 +45,8 @@ HUBS = 4
 HUB_TREES = 6
 #: Bits of the filter that passes over texts no pair needs: 8 MB, whatever the corpus.
 FILTER_WORDS = 1 << 20
-#: How far the estimate may lie below the threshold: nearly four of its standard deviations.
-SLACK = 0.15
+#: How far the estimate may lie below the threshold: five of its standard deviations at 0.80, 0.045 each, and more above.
+SLACK = 0.23
 #: Candidates of a node that the first and the second round confirm; the last round confirms all that are left.
 ROUNDS = (2, 6)
 #: Counters of how often shingles occur, as a power of two: they only order the shingles, so that sharing one is no fault.
@@ -215,7 +215,7 @@ def _filter_of(nodes: DataFrame) -> np.ndarray:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node and its shingles' lower 32 bits, ascending, read anew from whole texts. ``wanted`` has node and key.
+    """node and its shingles' hashes, ascending, read anew from whole texts. ``wanted`` has node and key.
 
     Texts are not shuffled: a filter passes over most of those that no pair needs, and the join is on what is made of the rest."""
     fields = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
@@ -236,7 +236,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
         def work(texts):
             sets = [shingler(t) for t in texts]
-            return [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [np.sort(s.astype(np.uint32)).tobytes() for s in sets]
+            return [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [s.tobytes() for s in sets]
         return work
 
     some = hashed.filter(F.col("doc_id").isNotNull()).mapInArrow(pass_over, schema)
@@ -245,7 +245,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 
 
 def common(a: np.ndarray, b: np.ndarray) -> int:
-    """Size of the intersection of two ascending multisets."""
+    """Size of the intersection of two ascending sets."""
     both = np.sort(np.concatenate([a, b]), kind="stable")
     return int((both[1:] == both[:-1]).sum())
 
@@ -259,7 +259,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 shared = common(a, b)
                 good.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["node", "other"]).filter(pa.array(good, pa.bool_()))
@@ -272,15 +272,15 @@ def _rarity(sets: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << COUNTER_BITS, np.int64)
         for batch in batches:
-            tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in batch.column(0)] or [np.zeros(0, np.uint32)])
-            counts += np.bincount(tokens >> np.uint32(32 - COUNTER_BITS), minlength=len(counts))
+            tokens = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(0)] or [np.zeros(0, np.uint64)])
+            counts += np.bincount((tokens >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["at", "n"])
 
     found = sets.select("shingles").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << COUNTER_BITS, np.int64)
     out[found["at"].to_numpy()] = found["n"].to_numpy()
-    return np.minimum(out, np.iinfo(np.uint32).max).astype(np.uint64)
+    return out
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -294,18 +294,14 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             taken, sizes, tokens, places, short = [], [], [], [], []
             for x in batch.column(2):
-                every = np.frombuffer(x.as_buffer(), np.uint32)
-                token, n = np.unique(every), len(every)
-                keys = np.sort(counts[token >> np.uint32(32 - COUNTER_BITS)] << np.uint64(32) | token)
-                if len(token) == n:
-                    most, few = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
-                    place = np.arange(most, dtype=np.int32)
-                else:  # equal hashes within the set: any of them may count twice
-                    most = few = len(token)
-                    place = np.zeros(most, np.int32)
+                token = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(token)
+                rarest = token[np.lexsort((token, counts[(token >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]))]
+                most, few = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
+                place = np.arange(most, dtype=np.int32)
                 taken.append(most)
                 sizes.append(n)
-                tokens.append(keys[:most].astype(np.uint32).view(np.int32))
+                tokens.append(rarest[:most].view(np.int64))
                 places.append(place)
                 short.append(np.arange(most) < few)
             if taken:
@@ -313,7 +309,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.repeat(np.array(sizes, np.int32), taken)),
                                                   *[pa.array(np.concatenate(c)) for c in (tokens, places, short)]], names=names)
 
-    return sets.select("node", "root", "shingles").mapInArrow(run, "node long, root long, n int, token int, place int, short boolean")
+    return sets.select("node", "root", "shingles").mapInArrow(run, "node long, root long, n int, token long, place int, short boolean")
 
 
 def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
