@@ -14,16 +14,16 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wickerwork.llm.common import open_store, put_file
+from wickerwork.llm.common import bound_batches, open_store, put_file
 from wickerwork.session import cut_lineage, scratch_path
 
 #: Payloads of fewer bytes are never written as revisits.
 REVISIT_BYTES = 100
-#: Payload bytes of one archive, on average.
-ARCHIVE_BYTES = 16 << 20
+#: Bytes of an archive's records from which the next one is begun; archives that a task rewrites where there are many.
+ARCHIVE_BYTES, ARCHIVES_A_TASK = 16 << 20, 8
 #: Bytes inflated at a time.
 CHUNK = 1 << 20
 
@@ -131,30 +131,44 @@ def with_revisits(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataF
                          F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("_first")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write the rows of ``with_revisits`` as gzip streams of whole archives, one a task. Returns the paths, staged."""
+def write_archives(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write the rows of ``with_revisits`` as gzip streams of whole archives. A task begins a new one whenever the records of the last
+    have ``archive_bytes``; a longer record is whole in its own. Returns the paths, staged."""
+    bound_batches(pages.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = next((b for b in batches if b.num_rows), None)
-        if first is None:
+        rows = ({n: b.column(k)[i].as_py() for k, n in enumerate(b.schema.names)} for b in batches for i in range(b.num_rows))
+        row = next(rows, None)
+        if row is None:
             return
         store, base = open_store(folder)
         store.create_dir(base, recursive=True)
-        name = f"part-{TaskContext.get().partitionId():07d}.warc.gz"
+        archives = []
 
         def write(out: pa.NativeFile) -> None:
-            engine = zlib.compressobj(6, zlib.DEFLATED, 31)
-            for batch in (b for some in ([first], batches) for b in some):
-                for i in range(batch.num_rows):
-                    r = {n: batch.column(k)[i].as_py() for k, n in enumerate(batch.schema.names)}
-                    out.write(engine.compress(build_record(r["page_id"], r["url"], r["record_type"], r["payload"], r["payload_digest"], r["refers_to"])))
+            nonlocal row
+            engine, size = zlib.compressobj(6, zlib.DEFLATED, 31), 0
+            while row is not None and size < archive_bytes:
+                record = build_record(row["page_id"], row["url"], row["record_type"], row["payload"], row["payload_digest"], row["refers_to"])
+                out.write(engine.compress(record))
+                size += len(record)
+                row = next(rows, None)
             out.write(engine.flush())
 
-        put_file(store, f"{base}/{name}", write)
-        yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"]})
+        while row is not None:
+            name = f"part-{TaskContext.get().partitionId():07d}-{len(archives):05d}.warc.gz"
+            put_file(store, f"{base}/{name}", write)
+            archives.append(f"{folder}/{name}")
+        yield pa.RecordBatch.from_pydict({"archive": archives})
 
     return cut_lineage(pages.mapInArrow(run, "archive string"), "warc-archives")
 
 
+def _parts(spark: SparkSession, archives: int) -> int:
+    """Tasks for so many archives: one each, or several each where there are more archives than shuffle partitions."""
+    return max(1, min(archives, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-archives // ARCHIVES_A_TASK))))
+
+
 def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
     """Normalise each archive into ``folder``, with a sidecar of JSON lines beside it (``.idx``). Returns the index, staged.
 
@@ -181,14 +195,14 @@ def normalise_archives(archives: DataFrame, folder: str) -> DataFrame:
                     [pa.array([f"{folder}/{name}"] * len(index)), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
                     names=["archive", "record_id", "record_type", "offset", "length"])
 
-    spread = archives.repartitionByRange(max(1, archives.count()), "archive")
+    spread = archives.repartitionByRange(_parts(archives.sparkSession, archives.count()), "archive")
     return cut_lineage(spread.mapInArrow(run, _INDEX), "warc-index")
 
 
 def read_records(index: DataFrame) -> DataFrame:
     """Fetch every record's member by its place, inflate it, check lengths, digests and types, and return what its head says."""
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
-    archives = max(1, index.select("archive").distinct().count())
+    archives = _parts(index.sparkSession, index.select("archive").distinct().count())
     narrow = (index.select("archive", "record_id", "record_type", "offset", "length").repartitionByRange(archives, "archive")
               .sortWithinPartitions("archive", "offset"))
 
@@ -220,8 +234,8 @@ def read_records(index: DataFrame) -> DataFrame:
     return narrow.mapInArrow(run, schema)
 
 
-def archived_pages(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+def archived_pages(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write all pages, normalise the archives and read every record back: one row per page."""
     spark = pages.sparkSession
-    archives = write_archives(with_revisits(pages, revisit_bytes), scratch_path(spark, "warc-whole"))
+    archives = write_archives(with_revisits(pages, revisit_bytes), scratch_path(spark, "warc-whole"), archive_bytes)
     return read_records(normalise_archives(archives, scratch_path(spark, "warc")))
