@@ -41,7 +41,6 @@ def test_stages(spark, folder):
         else:
             assert hit > 0.3 * n
     whole = Tokenizer.from_file(tokens.tokenizer_path(packing.TOKENIZER))
-    whole.encode_special_tokens = True
     check_packing(tables[-1].collect(), texts[4], whole, 2, 4096)
 
 

@@ -15,6 +15,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 from fixtures import empty_like, odd_documents, prose  # noqa: E402
 
 from wickerwork.llm import near_dup, packing, range_coder, token_output, tokens, warc  # noqa: E402
+from wickerwork.session import scratch_path  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -22,9 +23,7 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     def load(name):
-        made = Tokenizer.from_file(tokens.tokenizer_path(name))
-        made.encode_special_tokens = True
-        return made
+        return Tokenizer.from_file(tokens.tokenizer_path(name))
     return load
 
 
@@ -33,7 +32,7 @@ def tokenizer():
 @pytest.mark.parametrize("name,spaces", [("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)])
 def test_cached_pieces_give_the_tokenizers_ids(tokenizer, name, spaces):
     rng = random.Random(4)
-    alphabet = ["a", "Zz", "é", "é", "ß", "İ", "Σ", "ª", "1", "23", ".", ",", "'", "'ll", " ", "  ", "\n", "\r\n", "\t", " ", " ", "\x1d", "<|endoftext|>", "😀", "中", "-", "ﬁ"]
+    alphabet = ["a", "Zz", "é", "é", "ß", "İ", "Σ", "ª", "1", "23", ".", ",", "'", "'ll", " ", "  ", "\n", "\r\n", "\t", " ", " ", "\x1d", "<|endoftext|>", "<|startoftext|>", "<|", "<|ENDOFTEXT|>", "😀", "中", "-", "ﬁ"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(600)] + ["", None, "I'll we've it's", "word, word. Word!"]
     whole = tokenizer(name)
     for _ in range(2):  # the second time from the cache
@@ -73,6 +72,22 @@ def test_packing(spark, tokenizer):
     assert sum(r.length for r in rows) > 0.97 * 4096 * used
 
 
+def test_literal_special_tokens(tokenizer):
+    name = "byte_bpe_50k.json"
+    whole = tokenizer(name)
+    plain = tokens.CachedEncoder(tokens.tokenizer_path(name), True).encode([b"a <|endoftext|> b"])[0]
+    literal = tokens.CachedEncoder(tokens.tokenizer_path(name), True, literal=True).encode([b"a <|endoftext|> b"])[0]
+    assert 50256 in np.frombuffer(plain, "<u4") and np.frombuffer(plain, "<u4").tolist() == whole.encode("a <|endoftext|> b", add_special_tokens=False).ids
+    whole.encode_special_tokens = True
+    assert np.frombuffer(literal, "<u4").tolist() == whole.encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
+def test_packing_keeps_ids_beyond_doubles(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    rows = packing.packed_documents(spark.createDataFrame([(i, "some words") for i in ids], "doc_id long, text string")).collect()
+    assert sorted(r.doc_id or 0 for r in rows) == [0, 2**60 + 1, 2**60 + 3]
+
+
 def test_packing_of_odd_tables(spark):
     docs = odd_documents(spark)
     rows = packing.packed_documents(docs).collect()
@@ -241,6 +256,15 @@ def test_archives(spark):
     assert kinds == [("1", "response", None), ("1", "response", None), ("2", "revisit", 1), ("None", "revisit", 1)]
 
 
+def test_archives_are_bounded(spark):
+    table = spark.createDataFrame([(i, "u", prose(i, 400)) for i in range(60)] + [(100, "u", prose(7, 30_000))], "page_id long, url string, html string").coalesce(2)
+    folder = scratch_path(spark, "bounded")
+    archives = warc.write_archives(warc.with_revisits(table), folder, archive_bytes=20_000)
+    sizes = [sum(len(x) for x in warc.inflate(pa.BufferReader(Path(r.archive.removeprefix("file:")).read_bytes()))) for r in archives.collect()]
+    assert len(sizes) > 8 and sorted(sizes)[-2] < 40_000 and max(sizes) > 150_000  # the long page ends its archive
+    assert warc.read_records(warc.normalise_archives(archives, scratch_path(spark, "bounded-members"))).count() == 61
+
+
 def test_normaliser_reads_whole_streams_and_members():
     made = [warc.build_record(i, "http://h/", "response", prose(i, 300).encode(), "0", None) for i in range(5)]
     engine = zlib.compressobj(wbits=31)

@@ -259,3 +259,22 @@ def test_odd_tables(spark, labels):
         for out in (toxicity.toxicity_scores(table, known), quality.quality_scores(table, known)):
             rows = out.collect()
             assert len(rows) == n and all(0 <= r.score <= 1 for r in rows)
+
+
+# columns whose names are taken
+
+def test_taken_names_are_kept(spark):
+    names = ["_redacted", "_ww_clean", "_ww_cut", "_ww_kept", "_ww_score", "_text_bytes", "_ww_host", "_t"]
+    docs = odd_documents(spark)
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars").withColumns({n: F.lit(n) for n in names})
+    items = spark.createDataFrame([("i", prose(2, 30))], "item_id string, text string")
+    labels = labels_of(spark, [(i, i % 2, 0) for i in range(9)])
+    for made in (pii.redact(docs), line_dedup.drop_boilerplate(docs), decontamination.decontaminate(docs, items), quality.keep_good(docs, labels)):
+        assert made.columns == docs.columns
+        assert all(r[n] == n for r in made.collect() for n in names)
+
+
+def test_costs_are_those_of_rules(spark):
+    docs = spark.createDataFrame([(i, prose(i, 3000)) for i in range(200)], "doc_id long, text string")
+    costs = {r.name: cost for r, _, cost in quality_rules.measure(docs)}
+    assert max(costs["short_words"], costs["long_words"], costs["symbols"]) < costs["letters"]
