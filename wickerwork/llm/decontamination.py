@@ -153,7 +153,7 @@ class SuffixAutomaton:
                 spans.append((start, i))
 
 
-def _item_blocks(items: DataFrame, window: int, block_words: int) -> list[list[tuple[str | None, list[bytes]]]]:
+def _item_blocks(items: DataFrame, window: int, block_words: int) -> Sequence[list[tuple[str | None, list[bytes]]]]:
     """The items' words in blocks of at most ``block_words`` words, each read by itself.
 
     A long item is cut into pieces that overlap by window - 1 words, so that every window lies in one piece."""
@@ -183,8 +183,23 @@ def _item_blocks(items: DataFrame, window: int, block_words: int) -> list[list[t
         if dealt.groupBy("block").agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0] <= block_words:
             break
         blocks *= 2
-    return [[(r.item_id, [w.encode() for w in r.words.split(" ")])
-             for r in dealt.filter(F.col("block") == b).select("item_id", "words").collect()] for b in range(blocks)]
+    return _Blocks(dealt, blocks)
+
+
+class _Blocks(Sequence):
+    """The items' words block by block. A block, which is bounded, is read when it is asked for, so one is held at a time."""
+
+    def __init__(self, dealt: DataFrame, n: int) -> None:
+        self.dealt, self.n = dealt, n
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, k: int) -> list[tuple[str | None, list[bytes]]]:
+        if not 0 <= k < self.n:
+            raise IndexError(k)
+        rows = self.dealt.filter(F.col("block") == k).select("item_id", "words").collect()
+        return [(r.item_id, [w.encode() for w in r.words.split(" ")]) for r in rows]
 
 
 def leaked_spans(docs: DataFrame, items: DataFrame, keep: Sequence[str], window: int = WINDOW,
