@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from wickerwork.functions.numeric import (DESIGN_EFFECT, PRIOR_GAMES, compare, half_even, match_points,
                                           points_per_game, share)
 from wickerwork.operators.baskets import DIGITS
+from wickerwork.operators.pairs import both_ways, pair_counts
 from wickerwork.operators.ranking import top_n
 from wickerwork.operators.textjoin import contains_join
 from wickerwork.operators.windows import RESULT_DAYS, cutoff, every_month, in_windows
@@ -151,6 +152,10 @@ def wins_more_with(entries: DataFrame, holders: DataFrame, entry_items: DataFram
     met = held.join(entry_items, "entry")
     both = ((met if pairs is None else met.join(pairs, ["leader", "x", "item"], "left_semi")).groupBy("leader", "x", "item")
             .agg(F.count(F.lit(1)).alias("with_baskets"), F.sum("games").alias("with_games"), F.sum("wins").alias("with_wins")))
+    return _with_and_without(both, t, least)
+
+
+def _with_and_without(both: DataFrame, t: DataFrame, least: int) -> DataFrame:
     rows = both.join(t, ["leader", "x"]).withColumns({
         "without_baskets": F.col("n") - F.col("with_baskets"), "without_games": F.col("g") - F.col("with_games"),
         "without_wins": F.col("k") - F.col("with_wins")})
@@ -162,6 +167,17 @@ def wins_more_with(entries: DataFrame, holders: DataFrame, entry_items: DataFram
                        lift.alias("lift"), evidence.alias("evidence"))
 
 
+def items_winning_more_with(entries: DataFrame, entry_items: DataFrame, least: int = MIN_PAIR_BASKETS, today: str | None = None,
+                            days: int | None = None) -> DataFrame:
+    """``wins_more_with`` of every item x at once: pairs of items are counted with their games and wins as ``pair_counts`` does, no row
+    being made for an entry and pair."""
+    facts = within(entries, today, days).select("leader", F.col("entry").alias("basket"), "games", "wins")
+    rows = facts.join(entry_items.select(F.col("entry").alias("basket"), "item").distinct(), "basket")
+    t = rows.groupBy("leader", F.col("item").alias("x")).agg(F.count(F.lit(1)).alias("n"), F.sum("games").alias("g"), F.sum("wins").alias("k"))
+    pairs = both_ways(pair_counts(rows, sums=["games", "wins"])).withColumnsRenamed({"a": "x", "b": "item", "both": "with_baskets", "games": "with_games", "wins": "with_wins"})
+    return _with_and_without(pairs, t, least)
+
+
 def win_ties(entries: DataFrame, runs: DataFrame, least: int = MIN_RESULT_BASKETS, today: str | None = None, days: int | None = None) -> DataFrame:
     """Results of the entries running each node set, and of those running both of a pair, against the leader's others.
     runs(leader, node, entry). (leader, a, b null for a node, baskets, games, wins, lift, evidence)"""
@@ -170,8 +186,8 @@ def win_ties(entries: DataFrame, runs: DataFrame, least: int = MIN_RESULT_BASKET
     facts = entries.select("entry", "games", "wins")
     sums = [F.count(F.lit(1)).alias("baskets"), F.sum("games").alias("games"), F.sum("wins").alias("wins")]
     one = runs.join(facts, "entry").groupBy("leader", F.col("node").alias("a"), F.lit(None).cast("string").alias("b")).agg(*sums)
-    two = (runs.withColumnRenamed("node", "a").join(runs.withColumnRenamed("node", "b"), ["leader", "entry"]).filter("a < b")
-           .join(facts, "entry").groupBy("leader", "a", "b").agg(*sums))
+    laid = runs.select("leader", F.col("entry").alias("basket"), F.col("node").alias("item")).distinct().join(facts.withColumnRenamed("entry", "basket"), "basket")
+    two = pair_counts(laid, sums=["games", "wins"]).withColumnRenamed("both", "baskets")
     rows = one.unionByName(two).join(t, "leader")
     rate = share(F.col("all_wins"), F.col("all_games"))
     rest_g, rest_w = F.col("all_games") - F.col("games"), F.col("all_wins") - F.col("wins")

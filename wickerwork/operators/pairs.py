@@ -33,24 +33,28 @@ def candidates(plays: DataFrame, n: DataFrame, least: int = 5, common: float = 0
 DENSE_CELLS, HELD_PAIRS = 1 << 24, 1 << 22
 
 
-def _matrix_product(basket: np.ndarray, item: np.ndarray, baskets: int, wide: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of pairs among items 0 to ``wide``, as the product of a 0/1 matrix with itself."""
+def _matrix_product(basket: np.ndarray, item: np.ndarray, baskets: int, wide: int, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Counts of pairs among items 0 to ``wide``, as the product of a 0/1 matrix with itself; and with its rows weighted, sums."""
     matrix = np.zeros((baskets, wide), dtype=np.float32)
     matrix[basket, item] = 1
     counts = np.triu(matrix.T @ matrix, 1).astype(np.int64)
     a, b = np.nonzero(counts)
-    return a, b, counts[a, b]
+    sums = [np.rint(matrix.T.astype(np.float64) @ (matrix * w[:, None]))[a, b].astype(np.int64) for w in weights]
+    return a, b, [counts[a, b], *sums]
 
 
-def _laid_pairs(basket: np.ndarray, item: np.ndarray, band: np.ndarray | None, dense: int, items: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _laid_pairs(basket: np.ndarray, item: np.ndarray, band: np.ndarray | None, dense: int, items: int,
+                weights: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
     """Counts of the other pairs: rows of a basket lie together, so rows some places apart are its pairs; sorted keys are summed
     whenever many are held. Pairs of two ``dense`` items are counted elsewhere; pairs more than a band apart are none."""
     held: list[np.ndarray] = []
+    where: list[np.ndarray] = []
     size, apart, rows = 0, 1, np.arange(len(basket))
 
-    def summed() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, counts = np.unique(np.concatenate(held), return_counts=True)
-        return keys // items, keys % items, counts
+    def summed() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        keys, place, counts = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        at = np.concatenate(where) if weights else None
+        return keys // items, keys % items, [counts, *[np.rint(np.bincount(place, weights=w[at])).astype(np.int64) for w in weights]]
 
     while True:
         rows = rows[rows + apart < len(basket)]
@@ -63,17 +67,21 @@ def _laid_pairs(basket: np.ndarray, item: np.ndarray, band: np.ndarray | None, d
             wanted &= np.abs(band[x] - band[y]) <= 1
         x, y = x[wanted], y[wanted]
         held.append(np.minimum(x, y) * items + np.maximum(x, y))
+        if weights:
+            where.append(basket[rows][wanted])
         size += len(x)
         if size > HELD_PAIRS:
             yield summed()
-            held, size = [], 0
+            held, where, size = [], [], 0
         apart += 1
     if size:
         yield summed()
 
 
-def pair_counts(basket_items: DataFrame, keys: Sequence[str] = ("leader",), block: int = 400_000, band: str | None = None) -> DataFrame:
-    """(keys, a, b, both) with a < b: baskets holding both items. Rows must be distinct.
+def pair_counts(basket_items: DataFrame, keys: Sequence[str] = ("leader",), block: int = 400_000, band: str | None = None,
+                sums: Sequence[str] = ()) -> DataFrame:
+    """(keys, a, b, both, sums) with a < b: baskets holding both items, and the sums over them of whole numbers of a basket, the
+    columns ``sums``. Rows must be distinct.
 
     Whole baskets are hashed over the tasks, so a hot leader is spread too. Each task counts blocks of baskets: the items many
     of a block's baskets hold by a product of 0/1 matrices, all other pairs as sorted keys, so that memory does not depend on how
@@ -81,8 +89,8 @@ def pair_counts(basket_items: DataFrame, keys: Sequence[str] = ("leader",), bloc
     ``band``, a whole number of each item, only pairs at most one band apart are counted."""
     keys = list(keys)
     types = {f.name: f.dataType.simpleString() for f in basket_items.schema.fields}
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"a {types['item']}", f"b {types['item']}", "both bigint"])
-    bands = [band] if band else []
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"a {types['item']}", f"b {types['item']}", "both bigint", *[f"{c} bigint" for c in sums]])
+    bands = [*([band] if band else []), *sums]
     laid = basket_items.select(*keys, "basket", "item", *bands).repartition(*keys, "basket").sortWithinPartitions(*keys, "basket")
 
     def multiply(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -101,20 +109,25 @@ def pair_counts(basket_items: DataFrame, keys: Sequence[str] = ("leader",), bloc
             if band:
                 of_item = np.zeros(len(names), np.int64)
                 of_item[item] = rows[band].to_numpy()
+            weights = []
+            for c in sums:
+                of_basket = np.zeros(baskets)
+                of_basket[basket] = rows[c].to_numpy()
+                weights.append(of_basket)
             inside = item < wide
-            parts = [_matrix_product(basket[inside], item[inside], baskets, wide)] if wide else []
-            for a, b, both in itertools.chain(parts, _laid_pairs(basket, item, of_item, wide, len(names))):
+            parts = [_matrix_product(basket[inside], item[inside], baskets, wide, weights)] if wide else []
+            for a, b, found in itertools.chain(parts, _laid_pairs(basket, item, of_item, wide, len(names), weights)):
                 if band:
                     near = np.abs(of_item[a] - of_item[b]) <= 1
-                    a, b, both = a[near], b[near], both[near]
+                    a, b, found = a[near], b[near], [f[near] for f in found]
                 x, y = by_plays[a], by_plays[b]
                 for lo in range(0, len(x), 1 << 18):
                     part = slice(lo, lo + (1 << 18))
                     first, last = np.minimum(x[part], y[part]), np.maximum(x[part], y[part])  # names are in order
-                    out = pd.DataFrame({"a": names[first], "b": names[last], "both": both[part]})
+                    out = pd.DataFrame({"a": names[first], "b": names[last], **{c: f[part] for c, f in zip(["both", *sums], found)}})
                     for k, v in zip(keys, key):
                         out[k] = v
-                    yield out[[*keys, "a", "b", "both"]]
+                    yield out[[*keys, "a", "b", "both", *sums]]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, rows = [], 0
@@ -130,7 +143,7 @@ def pair_counts(basket_items: DataFrame, keys: Sequence[str] = ("leader",), bloc
         if rows:
             yield from multiply(pd.concat(held, ignore_index=True))
 
-    return laid.mapInPandas(run, schema).groupBy(*keys, "a", "b").agg(F.sum("both").alias("both"))
+    return laid.mapInPandas(run, schema).groupBy(*keys, "a", "b").agg(*[F.sum(c).alias(c) for c in ("both", *sums)])
 
 
 def correlated_pairs(basket_items: DataFrame, plays: DataFrame, n: DataFrame, least: float) -> DataFrame:

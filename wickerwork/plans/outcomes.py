@@ -125,8 +125,7 @@ def _(t):
     SELECT leader, x, item, with_baskets, with_wins, without_baskets, without_wins, round(lift, 6) AS lift, round(evidence, 6) AS evidence FROM (SELECT *, {CMP} FROM (SELECT leader, x, item, with_baskets, with_wins, n - with_baskets AS without_baskets,
       CAST(k - with_wins AS BIGINT) AS without_wins, with_wins AS k1, wg AS n1, k - with_wins AS k2, g - wg AS n2, k / g AS r FROM b JOIN t USING (leader, x))) WHERE with_baskets >= 20 AND without_baskets >= 20""", "en ei")
 def _(t):
-    holders = t.entries.join(t.entry_items, "entry").select("leader", F.col("item").alias("x"), "entry")
-    found = O.wins_more_with(t.entries, holders, t.entry_items).filter("x <> item")
+    found = O.items_winning_more_with(t.entries, t.entry_items)
     return found.withColumns({"lift": r6(F.col("lift")), "evidence": r6(F.col("evidence"))})
 
 
