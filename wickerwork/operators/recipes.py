@@ -36,12 +36,46 @@ def by_rarity(recipe_items: DataFrame, plays: DataFrame) -> DataFrame:
     return counted.select("recipe", "item", F.row_number().over(whole.orderBy("plays", "item")).alias("place"), F.count(F.lit(1)).over(whole).alias("size"))
 
 
+def recipe_sets(recipe_items: DataFrame) -> DataFrame:
+    """(recipe, set): recipes of the same items have the same set, named by the first of them."""
+    whole = recipe_items.groupBy("recipe").agg(F.array_sort(F.collect_set("item")).alias("_items"))
+    names = whole.groupBy("_items").agg(F.min("recipe").alias("set"))
+    return cut_lineage(whole.join(names, "_items").select("recipe", "set"), "recipe-sets")
+
+
+def _led(found: DataFrame, recipe_items: DataFrame, leader_items: DataFrame | None) -> DataFrame:
+    """Rows (leader, recipe, ...) without those of recipes with items that must lead, but for the leaders that have them."""
+    musts = recipe_items.filter("must_lead").select("recipe").distinct()
+    free = found.join(musts, "recipe", "left_anti")
+    if leader_items is None:
+        return free
+    led = found.join(musts, "recipe", "left_semi").join(allowed_leaders(recipe_items, leader_items), ["leader", "recipe"])
+    return free.unionByName(led.select(*free.columns))
+
+
 def baskets_with_recipes(basket_items: DataFrame, recipe_items: DataFrame, leader_items: DataFrame | None = None) -> DataFrame:
-    """(leader, basket, recipe): baskets holding every item of a recipe, their leader's own items counting as held.
+    """(leader, basket, recipe): baskets holding every item of a recipe, their leader's own items counting as held. Recipes with
+    items that must lead are kept to the leaders that have them."""
+    members = recipe_sets(recipe_items)
+    found = _with_sets(basket_items, recipe_items, members, leader_items).join(members, "set").select("leader", "basket", "recipe")
+    return _led(found, recipe_items, leader_items)
 
-    Baskets are first matched with the distinct pairs of two rarest items, which many recipes share; only those holding a
-    pair meet its recipes, and only the items beyond the pair are then looked up and counted. Recipes with items that must
-    lead are kept to the leaders that have them."""
+
+def recipe_counts(basket_items: DataFrame, recipe_items: DataFrame, leader_items: DataFrame | None = None) -> DataFrame:
+    """(leader, recipe, baskets): how many baskets of a leader hold each recipe. Baskets are counted for each set of items before any
+    recipe of the set is named, so recipes that are the same make no rows of their own."""
+    members = recipe_sets(recipe_items)
+    counts = _with_sets(basket_items, recipe_items, members, leader_items).groupBy("leader", "set").agg(F.count(F.lit(1)).alias("baskets"))
+    return _led(counts.join(members, "set").select("leader", "recipe", "baskets"), recipe_items, leader_items)
+
+
+def _with_sets(basket_items: DataFrame, recipe_items: DataFrame, members: DataFrame, leader_items: DataFrame | None) -> DataFrame:
+    """(leader, basket, set): baskets holding every item of a set.
+
+    Baskets are first matched with the distinct pairs of two rarest items, which many sets share; only those holding a
+    pair meet its sets, and only the items beyond the pair are then looked up and counted."""
+    heads = members.filter("recipe = set").select("recipe")
+    recipe_items = recipe_items.join(heads, "recipe", "left_semi")
     held = basket_items.select("leader", "basket", "item").distinct()
     if leader_items is not None:
         own = held.select("leader", "basket").distinct().join(leader_items, "leader")
@@ -61,30 +95,23 @@ def baskets_with_recipes(basket_items: DataFrame, recipe_items: DataFrame, leade
             .groupBy("leader", "basket", "recipe", "size").agg(F.count(F.lit(1)).alias("k"))
             .filter(F.col("k") == F.col("size") - 2).select("leader", "basket", "recipe"))
     found = alone.unionByName(met.filter("size = 2").select("leader", "basket", "recipe")).unionByName(more)
-    musts = recipe_items.filter("must_lead").select("recipe").distinct()
-    free = found.join(musts, "recipe", "left_anti")
-    if leader_items is None:
-        return free
-    led = found.join(musts, "recipe", "left_semi").join(allowed_leaders(recipe_items, leader_items), ["leader", "recipe"])
-    return free.unionByName(led.select(*free.columns))
+    return found.withColumnRenamed("recipe", "set")
 
 
-def leader_recipes(found: DataFrame, n: DataFrame, least: int = 5, common: float = 0.02) -> DataFrame:
-    """Recipes enough of a leader's baskets hold, most played first: (leader, recipe, baskets)."""
-    return (found.groupBy("leader", "recipe").agg(F.count(F.lit(1)).alias("baskets")).join(n, "leader")
-            .filter(F.col("baskets") >= F.greatest(F.lit(float(least)), common * F.col("n"))).drop("n"))
+def leader_recipes(counts: DataFrame, n: DataFrame, least: int = 5, common: float = 0.02) -> DataFrame:
+    """Recipes enough of a leader's baskets hold: (leader, recipe, baskets). counts(leader, recipe, baskets)."""
+    return counts.join(n, "leader").filter(F.col("baskets") >= F.greatest(F.lit(float(least)), common * F.col("n"))).drop("n")
 
 
-def top_recipes(found: DataFrame, n: int = 3000, least: int = 5) -> DataFrame:
+def top_recipes(counts: DataFrame, n: int = 3000, least: int = 5) -> DataFrame:
     """The most played recipes over all leaders, ranked. Counting comes first, so one row per recipe is ranked."""
-    counts = found.groupBy("recipe").agg(F.count(F.lit(1)).alias("baskets")).filter(F.col("baskets") >= least)
+    counts = counts.groupBy("recipe").agg(F.sum("baskets").alias("baskets")).filter(F.col("baskets") >= least)
     best = counts.orderBy(F.desc("baskets"), F.asc("recipe")).limit(n)
     return best.withColumn("rank", F.row_number().over(W.orderBy(F.desc("baskets"), F.asc("recipe"))))
 
 
-def recipe_leaders(found: DataFrame, n: int = 24) -> DataFrame:
+def recipe_leaders(counts: DataFrame, n: int = 24) -> DataFrame:
     """The leaders playing each recipe most."""
-    counts = found.groupBy("recipe", "leader").agg(F.count(F.lit(1)).alias("baskets"))
     return top_n(counts, "recipe", [F.desc("baskets"), F.asc("leader")], n)
 
 

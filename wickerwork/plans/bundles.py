@@ -60,6 +60,10 @@ def own_items(t):
     return top_n(B.play_counts(t.basket_items), "leader", [F.asc("plays"), F.asc("item")], 2).select("leader", "item")
 
 
+def counted_recipes(t):
+    return recipes.recipe_counts(t.basket_items, recipe_items(t), own_items(t))
+
+
 def found_recipes(t):
     return recipes.baskets_with_recipes(t.basket_items, recipe_items(t), own_items(t))
 
@@ -365,17 +369,17 @@ def _(t):
 
 @query("a20_leader_recipes", "SELECT leader, recipe, count(*) AS baskets FROM fr JOIN sz USING (leader) GROUP BY leader, recipe, n HAVING count(*) >= greatest(5, 0.02 * n)", "fr sz")
 def _(t):
-    return recipes.leader_recipes(found_recipes(t), B.sizes(t.baskets))
+    return recipes.leader_recipes(counted_recipes(t), B.sizes(t.baskets))
 
 
 @query("a20_top_recipes", "SELECT recipe, baskets, row_number() OVER (ORDER BY baskets DESC, recipe) AS rank FROM (SELECT recipe, count(*) AS baskets FROM fr GROUP BY 1 HAVING count(*) >= 5 ORDER BY 2 DESC, 1 LIMIT 300)", "fr")
 def _(t):
-    return recipes.top_recipes(found_recipes(t), 300).withColumn("rank", F.col("rank").cast("long"))
+    return recipes.top_recipes(counted_recipes(t), 300).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("a20_recipe_leaders", "SELECT recipe, leader, baskets, rank FROM (SELECT *, row_number() OVER (PARTITION BY recipe ORDER BY baskets DESC, leader) AS rank FROM (SELECT recipe, leader, count(*) AS baskets FROM fr GROUP BY ALL)) WHERE rank <= 3", "fr")
 def _(t):
-    return recipes.recipe_leaders(found_recipes(t), 3).withColumn("rank", F.col("rank").cast("long"))
+    return recipes.recipe_leaders(counted_recipes(t), 3).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("a20_recipes_by_identity_window", """SELECT recipe, nation % 4 AS identity, count(*) AS ever, count(*) FILTER (made >= DATE '2001-08-02' - 90) AS w90, count(*) FILTER (made >= DATE '2001-08-02' - 30) AS w30,
@@ -390,7 +394,7 @@ def _(t):
     SELECT h.basket AS query, h.recipe, ri.item AS missing, baskets FROM h JOIN rs USING (recipe) JOIN c USING (recipe) JOIN ri USING (recipe)
     ANTI JOIN bi ON bi.basket = h.basket AND bi.item = ri.item WHERE k = size - 1 AND size = 3""", "fr bi ri rs")
 def _(t):
-    counts = found_recipes(t).groupBy("recipe").agg(F.count(F.lit(1)).alias("baskets"))
+    counts = counted_recipes(t).groupBy("recipe").agg(F.sum("baskets").alias("baskets"))
     big = recipe_items(t).join(recipe_items(t).groupBy("recipe").count().filter("count = 3").select("recipe"), "recipe")
     return recipes.near_recipes(t.basket_items.select(F.col("basket").alias("query"), "item"), big, counts)
 
@@ -399,13 +403,13 @@ def _(t):
     SELECT h.basket AS query, h.recipe, ri.item AS missing, baskets FROM h JOIN rs USING (recipe) JOIN c USING (recipe) JOIN ri USING (recipe)
     ANTI JOIN bi ON bi.basket = h.basket AND bi.item = ri.item WHERE k = size - 1""", "fr bi ri rs")
 def _(t):
-    counts = found_recipes(t).groupBy("recipe").agg(F.count(F.lit(1)).alias("baskets"))
+    counts = counted_recipes(t).groupBy("recipe").agg(F.sum("baskets").alias("baskets"))
     return recipes.near_recipes(t.basket_items.select(F.col("basket").alias("query"), "item"), recipe_items(t), counts)
 
 
 @query("b14_recipe_groups")
 def _(t):
-    counts = recipes.leader_recipes(found_recipes(t), B.sizes(t.baskets), least=5, common=0.0)
+    counts = recipes.leader_recipes(counted_recipes(t), B.sizes(t.baskets), least=5, common=0.0)
     arrays = recipe_items(t).groupBy("recipe").agg(F.array_sort(F.collect_set("item")).alias("items"))
     listed = number_rows(counts, [F.desc("baskets"), F.asc("recipe")], "pos", keys=["leader"])
     listed = (listed.join(arrays, "recipe").withColumn("needs", F.array((F.col("recipe") % 3).cast("string")))
