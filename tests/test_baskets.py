@@ -288,3 +288,62 @@ def test_near_recipes_equal_every_recipe_tried(spark):
     want = {(b, r, min(needed - held), counts[r]) for b, held in baskets.items() for r, needed in recipes.items()
             if r in counts and len(needed) > 1 and len(needed - held) == 1}
     assert got == want and len({len(recipes[r]) for _, r, _, _ in want}) == 3
+
+
+def test_pair_sums_equal_every_pair(spark):
+    rng = random.Random(4)
+    baskets = {b: (rng.randrange(9), rng.sample(range(30), rng.randrange(1, 9))) for b in range(200)}
+    rows = spark.createDataFrame([("L", b, i, games) for b, (games, held) in baskets.items() for i in held], "leader string, basket int, item int, games long")
+    want = {}
+    for games, held in baskets.values():
+        for x, y in itertools.combinations(sorted(held), 2):
+            n, g = want.get((x, y), (0, 0))
+            want[x, y] = n + 1, g + games
+    for block in (400_000, 60):
+        got = {(r["a"], r["b"]): (r["both"], r["games"]) for r in P.pair_counts(rows, block=block, sums=["games"]).collect()}
+        assert got == want
+
+
+def test_recipes_of_the_same_items_count_alike(spark):
+    items = table(spark, {1: [1, 2, 3], 2: [1, 2], 3: [2, 3]})
+    rows = spark.createDataFrame([("a", 1, False), ("a", 2, False), ("b", 2, False), ("b", 1, False), ("c", 2, True), ("c", 1, False), ("d", 3, False)],
+                                 "recipe string, item int, must_lead boolean")
+    lead = spark.createDataFrame([("M", 2)], "leader string, item int")
+    counts = {r["recipe"]: r["baskets"] for r in R.recipe_counts(items, rows, lead).collect()}
+    assert counts == {"a": 2, "b": 2, "d": 2}  # c wants an item that only another leader has
+    assert R.baskets_with_recipes(items, rows, lead).count() == 6
+
+
+def edges_by_hand(pairs, link, stand_out, apart, each, least):
+    """The greedy pick over one graph's pairs {(a, b): (both, phi)}."""
+    typical = sorted(phi for _, phi in pairs.values())[len(pairs) // 2]
+    strong = sorted(((-phi, a, b) for (a, b), (both, phi) in pairs.items() if phi >= max(link, typical + stand_out) and both >= least))
+    weak = sorted(((-phi, a, b) for (a, b), (_, phi) in pairs.items() if phi <= apart), reverse=True)
+    out = set()
+    for kind, rows, enough in (("together", strong, any), ("apart", weak, all)):
+        used = {}
+        for _, a, b in rows:
+            if enough(used.get(x, 0) < each for x in (a, b)):
+                used[a], used[b] = used.get(a, 0) + 1, used.get(b, 0) + 1
+                out.add((a, b, kind))
+    return out
+
+
+def test_edges_of_many_graphs_equal_a_walk(spark):
+    rng = random.Random(13)
+    graphs = {g: {(a, b): (rng.randrange(12), round(rng.uniform(-1, 1), 1)) for a, b in itertools.combinations(range(rng.randrange(2, 12)), 2)} for g in range(25)}
+    rows = [("L", g, a, b, both, phi) for g, pairs in graphs.items() for (a, b), (both, phi) in pairs.items()]
+    picked = GR.pick_edges(spark.createDataFrame(rows, "leader string, g int, a int, b int, both int, phi double"), ["leader", "g"], link=0.2, stand_out=0.1, apart=-0.3)
+    got = {}
+    for r in picked.collect():
+        got.setdefault(r["g"], set()).add((r["a"], r["b"], r["kind"]))
+    want = {g: edges_by_hand(pairs, 0.2, 0.1, -0.3, 2, 5) for g, pairs in graphs.items() if pairs}
+    assert got == {g: e for g, e in want.items() if e} and len({k for e in want.values() for _, _, k in e}) == 2
+
+
+def test_won_nodes(spark):
+    nodes = spark.createDataFrame([("L", 1, "x", "centre"), ("L", 1, "y", "partner"), ("L", 2, "z", "centre")], "leader string, g int, node string, kind string")
+    won = spark.createDataFrame([("L", 1, "y", 0.2), ("L", 1, "elsewhere", 0.3)], "leader string, g int, node string, lift double")
+    marked, edges = GR.with_won(nodes, won, ["leader", "g"])
+    assert sorted((r["g"], r["node"] or "", r["kind"], r["lift"]) for r in marked.collect()) == [(1, "", "won", None), (1, "x", "centre", None), (1, "y", "partner", 0.2), (2, "z", "centre", None)]
+    assert [(r["g"], r["node"]) for r in edges.collect()] == [(1, "y")]
