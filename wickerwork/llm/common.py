@@ -15,9 +15,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Rows of an Arrow batch, and bytes of their texts, that are worked on together, so that a task holds few texts at a time.
-SLICE_ROWS, SLICE_BYTES = 512, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 512, 1 << 20
 #: Bytes of the batches in which rows reach Python; a longer row is alone.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 #: ASCII letters in lower case and digits stay, other ASCII becomes a space, bytes of other characters stay.
 FOLD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -49,7 +49,7 @@ def _text_last(df: DataFrame, text: str, keep: Sequence[str]) -> tuple[DataFrame
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """From now on this session's rows reach Python in batches of BATCH_BYTES. Spark's own bound is eight times that, and a batch is
+    """From now on this session's rows reach Python in batches of BATCH_BYTES. Spark's own bound is 64 MB, and a batch is
     held by the executor and by the Python worker of every running task."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 

@@ -51,7 +51,7 @@ SLACK = 0.23
 ROUNDS = (2, 6)
 #: Counters of how often shingles occur, as a power of two: they only order the shingles, so that sharing one is no fault.
 COUNTER_BITS = 22
-CACHE_WORDS = 400_000
+CACHE_WORDS = 100_000
 _SEED = 977
 
 _FIELDS = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField("key", T.BinaryType()),
