@@ -266,7 +266,33 @@ def _(t):
     return P.rebuild(G.deltas(G.dead_band(estimates(t))))
 
 
-@query("t12_estimated_total")
+def estimated(name, theirs, ours):
+    """Bindings that end in ``{name}e``: the estimates of ``theirs`` scaled to ``ours``. A glitch needs values a month before and
+    after, which a month of days never has."""
+    median = lambda values: f"list_sort(list({values}))[count(*) // 2 + 1]"
+    return f"""{name}m AS (SELECT a.variant, a.day, {median('b.cents')} AS med FROM {theirs} a JOIN {theirs} b ON a.variant = b.variant AND b.day BETWEEN a.day - 2 AND a.day + 2
+      GROUP BY ALL HAVING {median('b.cents')} > 0),
+    {name}r AS (SELECT m.variant, m.day, ln(o.cents / m.med) AS r FROM {name}m m JOIN {ours} o USING (variant, day)),
+    {name}s AS (SELECT a.variant, a.day, {median('b.r')} AS scale FROM {name}r a JOIN {name}r b ON a.variant = b.variant AND b.day BETWEEN a.day - 3 AND a.day + 3 GROUP BY ALL),
+    {name}e AS (SELECT m.variant, m.day, CAST(round_even(round(med * exp(CASE WHEN l.day IS NULL THEN r.scale WHEN r.day IS NULL OR r.day = l.day THEN l.scale
+        ELSE l.scale + (r.scale - l.scale) * (m.day - l.day) / (r.day - l.day) END), 6), 0) AS BIGINT) AS cents
+      FROM {name}m m ASOF LEFT JOIN {name}s l ON m.variant = l.variant AND m.day >= l.day ASOF LEFT JOIN {name}s r ON m.variant = r.variant AND m.day <= r.day
+      WHERE l.day IS NOT NULL OR r.day IS NOT NULL)"""
+
+
+@query("t12_estimated_total", f"""WITH {estimated('x', 'th', 'ou')},
+    known AS (SELECT variant, day, cents FROM ou UNION ALL SELECT variant, day, cents FROM xe ANTI JOIN ou USING (variant, day)),
+    latest AS (SELECT variant, arg_max(cents, day) AS now FROM known GROUP BY variant),
+    picked AS (SELECT item, variant, starts FROM (SELECT l.variant % 10 AS item, l.variant, now, starts FROM latest l JOIN (SELECT variant, min(day) AS starts FROM xe GROUP BY variant) USING (variant)
+        WHERE l.variant IN (SELECT variant FROM ou)) QUALIFY row_number() OVER (PARTITION BY item ORDER BY now, variant) = 1),
+    span AS (SELECT max(starts) AS first, count(*) AS n FROM picked),
+    weeks AS (SELECT variant, n, CAST(unnest(generate_series(first, DATE '2024-01-30', INTERVAL 7 DAY)) AS DATE) AS day FROM picked, span),
+    seen AS (SELECT w.variant, w.day, w.n, k.day AS seen_on, k.cents FROM weeks w ASOF LEFT JOIN known k ON w.variant = k.variant AND w.day >= k.day),
+    usable AS (SELECT day, CAST(sum(cents) AS BIGINT) AS cents FROM seen GROUP BY day, n HAVING count(seen_on) = n AND count(*) FILTER (day - seen_on > 60) <= n // 50),
+    daily AS (SELECT 0 AS variant, day, cents FROM (SELECT CAST(unnest(generate_series(day, day + 6, INTERVAL 1 DAY)) AS DATE) AS day, cents FROM usable) WHERE day <= DATE '2024-01-30'),
+    own AS (SELECT 0 AS variant, day, CAST(sum(cents) AS BIGINT) AS cents FROM (SELECT day, variant % 10 AS item, min(cents) AS cents FROM ou GROUP BY ALL) WHERE day < DATE '2024-01-10' GROUP BY day),
+    {estimated('y', 'daily', 'own')}
+    SELECT day, cents FROM ye WHERE (DATE '2024-01-30' - day) % 7 = 0 AND NOT EXISTS (SELECT 1 FROM own WHERE own.day BETWEEN ye.day - 3 AND ye.day + 3)""", "th ou")
 def _(t):
     """Users are the variants of ten items, by the last digit of their number."""
     ours, theirs = pair_of_guides(t)
