@@ -36,14 +36,16 @@ def drop_glitches(smooth: DataFrame, apart: int = 30, times: float = 5) -> DataF
 
 
 def local_scale(ours: DataFrame, smooth: DataFrame, reach: int = 3) -> DataFrame:
-    """(series, dn, scale): upper median of ln(ours / theirs) over the shared days within ``reach``."""
+    """(series, dn, scale): upper median of ln(ours / theirs) over the shared days within ``reach``. A price of nothing is a shared
+    day too: its logarithm is minus infinity, the lowest of all."""
     both = smooth.join(_number(ours).select(*SERIES, "dn", F.col("cents").alias("own")), [*SERIES, "dn"])
-    rows = both.withColumn("ratio", F.log(F.col("own") / F.col("med")))
+    rows = both.withColumn("ratio", F.when(F.col("own") == 0, float("-inf")).otherwise(F.log(F.col("own") / F.col("med"))))
     return rows.select(*SERIES, "dn", upper_of(F.collect_list("ratio").over(_around(-reach, reach))).alias("scale"))
 
 
 def interpolate(smooth: DataFrame, scales: DataFrame) -> DataFrame:
-    """Estimates: theirs times e to the scale, a straight line between the shared days and level outside."""
+    """Estimates: theirs times e to the scale, a straight line between the shared days and level outside. No line leads to the scale
+    of a price of nothing; between it and another the other holds."""
     rows = smooth.join(scales, [*SERIES, "dn"], "left")
     at = F.when(F.col("scale").isNotNull(), F.struct("dn", "scale"))
     run = W.partitionBy(*SERIES).orderBy("dn")
@@ -52,8 +54,9 @@ def interpolate(smooth: DataFrame, scales: DataFrame) -> DataFrame:
         "_r": F.first(at, ignorenulls=True).over(run.rowsBetween(0, W.unboundedFollowing))})
     span = F.col("_r.dn") - F.col("_l.dn")
     line = F.col("_l.scale") + (F.col("_r.scale") - F.col("_l.scale")) * (F.col("dn") - F.col("_l.dn")) / span
+    nothing = lambda end: F.col(f"{end}.scale") == float("-inf")
     scale = (F.when(F.col("_l").isNull(), F.col("_r.scale")).when(F.col("_r").isNull(), F.col("_l.scale"))
-             .when(span == 0, F.col("_l.scale")).otherwise(line))
+             .when((span == 0) | nothing("_r"), F.col("_l.scale")).when(nothing("_l"), F.col("_r.scale")).otherwise(line))
     return (rows.withColumn("_s", scale).filter("_s is not null")
             .select(*SERIES, "day", F.rint(F.round(F.col("med") * F.exp("_s"), 6)).cast("long").alias("cents")))
 
