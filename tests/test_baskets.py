@@ -347,3 +347,13 @@ def test_won_nodes(spark):
     marked, edges = GR.with_won(nodes, won, ["leader", "g"])
     assert sorted((r["g"], r["node"] or "", r["kind"], r["lift"]) for r in marked.collect()) == [(1, "", "won", None), (1, "x", "centre", None), (1, "y", "partner", 0.2), (2, "z", "centre", None)]
     assert [(r["g"], r["node"]) for r in edges.collect()] == [(1, "y")]
+
+
+def test_recipes_are_matched_in_the_baskets_own_rows(spark, monkeypatch):
+    staged, real = [], R.cut_lineage
+    monkeypatch.setattr(R, "cut_lineage", lambda df, name="stage": staged.append(real(df, name)) or staged[-1])
+    baskets = {b: list(range(20)) for b in range(50)}
+    rows = spark.createDataFrame([(f"r{i}", x, False) for i in range(300) for x in (i % 10, 10 + i % 7, 17 + i % 5)], "recipe string, item int, must_lead boolean")
+    got = {r["recipe"]: r["baskets"] for r in R.recipe_counts(table(spark, baskets), rows).collect()}
+    assert got == {f"r{i}": 50 for i in range(300) if 17 + i % 5 < 20}
+    assert max(df.count() for df in staged) < 50 * 20  # neither what a basket nearly holds nor its items one by one

@@ -9,7 +9,7 @@ from wickerwork.operators import outcomes as O
 from wickerwork.operators import trends as T
 from wickerwork.operators.ranking import top_n
 from wickerwork.operators.textjoin import contains_join
-from wickerwork.plans.bundles import found_recipes
+from wickerwork.plans.bundles import recipe_sums
 from wickerwork.plans.registry import query, r6
 from wickerwork.plans.tables import CTES, TODAY
 
@@ -122,8 +122,8 @@ def _(t):
     count(*) FILTER (made >= DATE '2001-08-02' - 90) / (SELECT sum(w90) FROM mw) AS share, count(*) / (SELECT sum(ever) FROM mw) AS was FROM fr JOIN bk USING (leader, basket) GROUP BY recipe)
     WHERE now > 0 AND share >= 1.1::DOUBLE * was AND now >= greatest(3, 0.002 * (SELECT sum(w90) FROM mw))""", "fr bk mw")
 def _(t):
-    dated = found_recipes(t).withColumnRenamed("recipe", "item")
-    counts = T.window_plays(dated, t.baskets, ["leader"], TODAY)
+    count = lambda dated: T.made_per_window(dated, ["leader", "set"], TODAY, known=t.baskets)
+    counts = recipe_sums(t, t.baskets.select("leader", "basket", "made"), count).withColumnRenamed("recipe", "item")
     found = T.rising_items(T.item_trends(counts, made(t), "w90"), floor=0.002, ratio=1.1)
     return found.select("item", "now", r6(F.col("share")).alias("share"), r6(F.col("was")).alias("was"))
 
