@@ -94,3 +94,11 @@ def test_contains_join_against_every_pair(spark):
     got = contains_join(spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(asked, "query int, q string"), "text")
     assert {(r["id"], r["query"]) for r in got.collect()} == {(t, q) for t, s in texts for q, p in asked if s and p and p in s}
     assert got.count() == len({(t, q) for t, s in texts for q, p in asked if s and p and p in s})
+
+
+def test_numbers_in_names_are_looked_up_by_long_groups(spark):
+    from wickerwork.operators import textjoin
+
+    asked = spark.createDataFrame([("#000012345",), ("abc",), ("x",)], "q string")
+    got = {r["q"]: [(g["gram"], g["offset"]) for g in r["g"]] for r in asked.select("q", textjoin._covering(F.col("q")).alias("g")).collect()}
+    assert got == {"#000012345": [("#0000123", 0), ("00012345", 2)], "abc": [("ab", 0), ("bc", 1)], "x": [("x", 0)]}

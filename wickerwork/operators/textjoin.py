@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from wickerwork.session import cut_lineage
 
-LONGEST = 3
+#: Letter groups are as long as the largest of these that a query has room for, so that two or a few cover it.
+LENGTHS = (1, 2, 4, 8, 16)
 
 
 def _placed_grams(text: Column, k: int) -> Column:
@@ -18,7 +19,7 @@ def _placed_grams(text: Column, k: int) -> Column:
 
 def _covering(q: Column) -> Column:
     """Letter groups that cover a query from end to end, and how far into it each starts."""
-    k = F.least(F.lit(LONGEST), F.length(q))
+    k = F.greatest(*[F.when(F.length(q) >= n, n) for n in LENGTHS])
     starts = F.array_distinct(F.concat(F.sequence(F.lit(0), F.length(q) - k, F.greatest(k, F.lit(1))), F.array(F.length(q) - k)))
     return F.transform(starts, lambda i: F.struct(F.substr(q, i + 1, k).alias("gram"), i.alias("offset")))
 
@@ -31,7 +32,7 @@ def contains_join(texts: DataFrame, queries: DataFrame, text: str, q: str = "q")
     are read a second time for the rows that were hit, and an empty query hits none."""
     wanted = queries.filter(F.length(q) >= 1)
     asked = cut_lineage(wanted.select("query", F.explode(_covering(F.col(q))).alias("g")).select("query", "g.gram", "g.offset").distinct(), "asked-grams")
-    sizes = [r["k"] for r in asked.select(F.length("gram").alias("k")).distinct().collect()]  # three at most
+    sizes = [r["k"] for r in asked.select(F.length("gram").alias("k")).distinct().collect()]  # as many as LENGTHS at most
     rows = cut_lineage(texts.withColumn("_row", F.monotonically_increasing_id()), "searched")
     grams = F.concat(*[_placed_grams(F.col(text), k) for k in sizes]) if sizes else F.array().cast("array<struct<gram:string,place:int>>")
     listed = rows.select("_row", F.explode(grams).alias("g")).select("_row", "g.gram", "g.place")
