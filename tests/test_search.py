@@ -89,3 +89,23 @@ def test_ancestors_stop_on_cycles(spark):
     tags = spark.createDataFrame([(t,) for t in "abcx"], "tag string")
     held = spark.createDataFrame([(1, "a"), (2, "x")], "item int, tag string")
     assert {(r["item"], r["tag"]) for r in C.tags_with_ancestors(held, edges, tags).collect()} == {(1, "a"), (1, "b"), (1, "c"), (2, "x")}
+
+
+def test_names_of_items_and_texts_of_queries_meet_once(spark):
+    names = spark.createDataFrame([(1, "Red Gear"), (1, "red gear"), (1, "blue nut"), (2, "red gear"), (3, None)], "item int, name string")
+    asked = spark.createDataFrame([(7, " red gear "), (7, "Blue Nut"), (8, "RED GEAR"), (9, "gear"), (10, None)], "query int, text string")
+    found = S.exact_names(asked, names)
+    assert sorted(map(tuple, found.collect())) == [(7, 1), (7, 2), (8, 1), (8, 2)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.lstrip().startswith("Aggregate") and "Distinct" not in plan  # hits are not gathered again
+
+
+def test_scores_of_few_and_of_many_queries_agree(spark, monkeypatch):
+    groups = spark.createDataFrame([(q, f"g{t % 3}", f"t{t}", 1.0 / (1 + t % 2)) for q in range(6) for t in range(q, q + 5)], "query int, grp string, term string, credit double")
+    posted = spark.createDataFrame([(f"t{t}", i) for i in range(20) for t in range(12) if (i + t) % 4 < 2] * 2, "term string, item int")
+    weights = spark.createDataFrame([(f"t{t}", 1.0 + t) for t in range(11)], "term string, weight double")
+    few = S.score(groups, posted, weights)
+    assert few._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(query") == 0
+    rows = sorted(map(tuple, few.collect()))
+    monkeypatch.setattr(S, "FEW", 3)
+    assert rows and rows == sorted(map(tuple, S.score(groups, posted, weights).collect()))
