@@ -170,7 +170,7 @@ def score(groups: DataFrame, postings: DataFrame, weights: DataFrame) -> DataFra
     groups = cut_lineage(groups)
     postings = postings.select("item", "term").distinct()
     weighed = groups.groupBy("query", "grp", "term").agg(F.max("credit").alias("credit")).join(weights.select("term", "weight"), "term", "left").fillna(0.0, ["weight"])
-    parts = 4 * int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = groups.limit(FEW + 1).count() <= FEW
     if not few:
         weighed = weighed.repartition(parts, "query")
