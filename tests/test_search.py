@@ -109,3 +109,14 @@ def test_scores_of_few_and_of_many_queries_agree(spark, monkeypatch):
     rows = sorted(map(tuple, few.collect()))
     monkeypatch.setattr(S, "FEW", 3)
     assert rows and rows == sorted(map(tuple, S.score(groups, posted, weights).collect()))
+
+
+def test_equal_texts_are_parsed_once_and_found_for_all(spark):
+    asked = spark.createDataFrame([(q, ["red gear", "blue nut", "red nut gear"][q % 3]) for q in range(30)] + [(40, "red"), (40, "gear"), (41, None)], "query int, text string")
+    texts, askers = S.different_texts(asked)
+    assert sorted(r["query"] for r in texts.collect()) == [0, 1, 2, 40, 40]
+    variants = S.tag_variants(spark.createDataFrame([("g", "red gear"), ("g", "gear"), ("n", "nut"), ("b", "blue nuts")], "term string, name string"))
+    found = S.matched_tags(S.query_words(S.spoken_words(texts, variants), variants), variants)
+    got = {(r["query"], r["term"], r["size"]) for r in S.for_askers(found.select("query", "term", "size"), askers).collect()}
+    want = {0: [("g", 2.0)], 1: [("n", 1.0), ("b", 2.0)], 2: [("g", 2.0), ("n", 1.0)]}
+    assert got == {(q, *m) for q in range(30) for m in want[q % 3]} | {(40, "g", 2.0)}

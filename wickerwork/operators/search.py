@@ -20,6 +20,27 @@ STRONG_MATCH = 0.75
 FEW = 100_000
 
 
+def _tasks(df: DataFrame) -> int:
+    """As many tasks as shuffles have, given where rows are small but costly, which adaptive plans would put into one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def different_texts(queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Each different text once, under the smallest query that says it: texts(query, text); and who else says it: askers(query,
+    listed), in arrays of at most LONGEST_LIST. What is found for a text is found for all that say it."""
+    said = queries.groupBy("query").agg(F.array_sort(F.collect_list("text")).alias("_texts"))
+    lists = listed(said, ["_texts"], "query")
+    classes = lists.groupBy("_texts").agg(F.min(F.array_min("listed")).alias("query"))
+    classes = cut_lineage(classes.repartition(_tasks(queries), "query"), "texts")
+    return classes.select("query", F.explode("_texts").alias("text")), cut_lineage(lists.join(classes, "_texts").select("query", "listed"), "askers")
+
+
+def for_askers(found: DataFrame, askers: DataFrame) -> DataFrame:
+    """What was found for each different text, for every query that says it; named last and not shuffled."""
+    others = [c for c in found.columns if c != "query"]
+    return found.join(askers, "query").select(F.explode("listed").alias("query"), *others)
+
+
 def term_weights(counts: DataFrame, n: Column) -> DataFrame:
     return counts.withColumn("weight", idf(n, F.col("d")))
 
@@ -59,10 +80,11 @@ def spoken_words(queries: DataFrame, variants: DataFrame) -> DataFrame:
     """(query, pos, word, stemmed, base): the words of each query in order. Stems and verb bases are worked out once per
     distinct word, far fewer than the words of all queries, and joined back; the table is written out as everything
     downstream reads it."""
-    said = queries.select("query", F.posexplode(raw_words(F.col("text"))).alias("pos", "word"))
+    said = cut_lineage(queries.select("query", F.posexplode(raw_words(F.col("text"))).alias("pos", "word")), "said")
     lexicon = said.select("word").distinct().withColumn("stemmed", stem(F.col("word")))
     bases = verb_bases(lexicon.select(F.col("stemmed").alias("word")), variants.select("word").distinct())
     lexicon = lexicon.join(bases.withColumnRenamed("word", "stemmed"), "stemmed", "left").withColumn("base", F.coalesce("base", "stemmed"))
+    lexicon = cut_lineage(lexicon, "lexicon")  # its size is known when the join is planned
     return cut_lineage(said.join(lexicon, "word").select("query", "pos", "word", "stemmed", "base"))
 
 
@@ -81,33 +103,41 @@ def query_words(spoken: DataFrame, variants: DataFrame) -> DataFrame:
 
 
 def matched_tags(qwords: DataFrame, variants: DataFrame) -> DataFrame:
-    """(query, term, size, words, roots): per query and tag its fullest name whose words are all in the query."""
-    hits = qwords.join(variants, "word").groupBy("query", "term", "name", "size").agg(
-        F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("half"), 0.5).otherwise(1.0)).alias("credit"), F.bool_or(~F.col("half")).alias("own"),
-        F.array_sort(F.collect_set("word")).alias("words"), F.array_sort(F.collect_set("root")).alias("roots"))
-    full = hits.filter(F.col("own") & (F.col("k") == F.col("size")))
+    """(query, term, size, words, roots): per query and tag its fullest name whose words are all in the query.
+
+    A query's words ride in one row, and a name is looked up by its rarest word alone, so only names that match are shuffled."""
+    uses = variants.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    names = variants.join(uses, "word").groupBy("term", "name", "size").agg(
+        F.min_by("word", F.struct("uses", "word")).alias("_key"), F.array_sort(F.collect_set("word")).alias("words"))
+    names = cut_lineage(names.filter(F.size("words") == F.col("size")), "names")
+    asked = qwords.repartition(_tasks(qwords), "query").groupBy("query").agg(F.collect_list(F.struct("word", "root", "half")).alias("_q"))
+    asked = asked.withColumn("_key", F.explode(F.array_distinct(F.col("_q.word"))))
+    met = asked.join(names, "_key").filter(F.size(F.array_except("words", F.col("_q.word"))) == 0)
+    met = met.withColumn("_q", F.filter("_q", lambda x: F.array_contains("words", x["word"])))
+    credit = F.aggregate("_q", F.lit(0.0), lambda c, x: c + F.when(x["half"], 0.5).otherwise(1.0))
+    full = met.filter(F.exists("_q", lambda x: ~x["half"])).select(
+        "query", "term", "name", credit.alias("credit"), "words", F.array_sort(F.array_distinct(F.col("_q.root"))).alias("roots"))
     return top_n(full, ["query", "term"], [F.desc("credit"), F.asc("name")], 1).select("query", "term", F.col("credit").alias("size"), "words", "roots")
 
 
 def tag_groups(matched: DataFrame, weights: DataFrame) -> DataFrame:
     """(query, grp, term, credit): matched tags that share root words form one group; the tag covering most of the query,
     by size times weight, gets full credit. Sharing is settled by a fold over one query's own matches."""
-    listed = matched.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("term", "roots"))).alias("_m"))
-    none = F.array().cast("array<struct<terms:array<string>,roots:array<string>>>")
+    weighed = matched.join(weights.select("term", "weight"), "term", "left").withColumn("s", F.col("size") * F.col("weight"))
+    listed = weighed.repartition(_tasks(matched), "query").groupBy("query").agg(F.array_sort(F.collect_list(F.struct("term", "roots", "s"))).alias("_m"))
+    none = F.array().cast("array<struct<tags:array<struct<term:string,s:double>>,roots:array<string>>>")
 
     def merge(groups: Column, m: Column) -> Column:
         touching = F.filter(groups, lambda g: F.arrays_overlap(g["roots"], m["roots"]))
         apart = F.filter(groups, lambda g: ~F.arrays_overlap(g["roots"], m["roots"]))
-        joined = F.struct(F.concat(F.flatten(F.transform(touching, lambda g: g["terms"])), F.array(m["term"])).alias("terms"),
+        joined = F.struct(F.concat(F.flatten(F.transform(touching, lambda g: g["tags"])), F.array(F.struct(m["term"].alias("term"), m["s"].alias("s")))).alias("tags"),
                           F.array_distinct(F.concat(F.flatten(F.transform(touching, lambda g: g["roots"])), m["roots"])).alias("roots"))
         return F.concat(apart, F.array(joined))
 
-    grouped = listed.select("query", F.explode(F.aggregate("_m", none, merge)).alias("_g")).select(
-        "query", F.concat(F.lit("tags:"), F.array_min("_g.terms")).alias("grp"), F.explode("_g.terms").alias("term"))
-    rows = grouped.join(matched.select("query", "term", "size"), ["query", "term"]).join(weights.select("term", "weight"), "term")
-    rows = rows.withColumn("_s", F.col("size") * F.col("weight"))
-    most = F.max("_s").over(W.partitionBy("query", "grp"))
-    return rows.withColumn("credit", F.when(most > 0, F.col("_s") / most).otherwise(F.lit(1.0))).select("query", "grp", "term", "credit")
+    grouped = listed.select("query", F.explode(F.aggregate("_m", none, merge)).alias("_g"))
+    rows = grouped.select("query", F.concat(F.lit("tags:"), F.array_min("_g.tags.term")).alias("grp"), F.array_max("_g.tags.s").alias("_most"), F.explode("_g.tags").alias("_t"))
+    credit = F.when(F.col("_most") > 0, F.col("_t.s") / F.col("_most")).otherwise(F.lit(1.0))
+    return rows.filter("_t.s is not null").select("query", "grp", F.col("_t.term").alias("term"), credit.alias("credit"))
 
 
 def phrase_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -261,12 +291,14 @@ def answer(queries: DataFrame, names: DataFrame, tag_names: DataFrame, weights:
     """(query, item, score, way): a whole search. A query that is a name, word for word, finds that item; any other is parsed and
     scored; one whose words name no feature finds the items it is part of the name of. score is null but for parsed queries.
     names(item, name), postings(term, item), queries(query, text)."""
-    named = cut_lineage(exact_names(queries, names))
-    rest = queries.join(named.select("query").distinct(), "query", "left_anti")
+    texts, askers = different_texts(queries)
+    named = cut_lineage(exact_names(texts, names))
+    rest = texts.join(named.select("query").distinct(), "query", "left_anti")
     groups = cut_lineage(parse(rest, tag_names, weights))
     scored = score(groups, postings, weights)
     left = rest.join(groups.select("query").distinct(), "query", "left_anti")
     none = F.lit(None).cast("double").alias("score")
-    return (named.select("query", "item", none, F.lit("name").alias("way"))
-            .unionByName(scored.select("query", "item", "score", F.lit("features").alias("way")))
-            .unionByName(name_search(names, left).select("query", "item", none, F.lit("part of a name").alias("way"))))
+    found = (named.select("query", "item", none, F.lit("name").alias("way"))
+             .unionByName(scored.select("query", "item", "score", F.lit("features").alias("way")))
+             .unionByName(name_search(names, left).select("query", "item", none, F.lit("part of a name").alias("way"))))
+    return for_askers(found, askers)

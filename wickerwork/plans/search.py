@@ -30,8 +30,13 @@ def name_weights(t):
     return S.term_weights(counts, part.agg(F.count(F.lit(1))).scalar())
 
 
-def groups(t):
-    return S.parse(t.basket_text, tag_names(t), name_weights(t))
+def groups(t, texts):
+    return S.parse(texts, tag_names(t), name_weights(t))
+
+
+def matched(t, texts):
+    v = S.tag_variants(tag_names(t))
+    return S.matched_tags(S.query_words(S.spoken_words(texts, v), v), v)
 
 
 @query("n1_normalised_texts", r"""SELECT item_id, regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace(lower(text), '\bnon[- ]+([a-z])', 'non\1', 'g'), '\bwins? the game\b', 'win condition', 'g'), '''', ''), '\bkill spells?\b', 'creature removal', 'g'),
@@ -51,7 +56,8 @@ def _(t):
 @query("n3_query_words", "SELECT query, word FROM qw", "qw")
 def _(t):
     v = S.tag_variants(tag_names(t))
-    return S.query_words(S.spoken_words(t.basket_text, v), v).select("query", "word")
+    texts, askers = S.different_texts(t.basket_text)
+    return S.for_askers(S.query_words(S.spoken_words(texts, v), v).select("query", "word"), askers)
 
 
 @query("n6_implied_words", """WITH v AS (SELECT DISTINCT adj || ' land' AS name, adj FROM (SELECT split_part(p_name, ' ', 1) AS adj, p_name FROM part)), u AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS word, p_name FROM part)
@@ -67,8 +73,8 @@ def _(t):
 
 @query("j9_matched_tags", "SELECT query, term, size FROM mt", "mt")
 def _(t):
-    v = S.tag_variants(tag_names(t))
-    return S.matched_tags(S.query_words(S.spoken_words(t.basket_text, v), v), v).select("query", "term", "size")
+    texts, askers = S.different_texts(t.basket_text)
+    return S.for_askers(matched(t, texts).select("query", "term", "size"), askers)
 
 
 @query("n5_term_weights", "SELECT term, d, round(weight, 6) AS weight FROM sd", "sd")
@@ -78,9 +84,8 @@ def _(t):
 
 @query("n7_tag_groups", "SELECT query, grp, term, round(credit, 6) AS credit FROM qg", "qg")
 def _(t):
-    v = S.tag_variants(tag_names(t))
-    matched = S.matched_tags(S.query_words(S.spoken_words(t.basket_text, v), v), v)
-    return S.tag_groups(matched, name_weights(t)).withColumn("credit", r6(F.col("credit")))
+    texts, askers = S.different_texts(t.basket_text)
+    return S.for_askers(S.tag_groups(matched(t, texts), name_weights(t)).withColumn("credit", r6(F.col("credit"))), askers)
 
 
 @query("n8_parsed_queries", """WITH k AS (SELECT 'term:' || noun AS grp, noun AS term, lower(noun) AS w FROM ct GROUP BY noun) SELECT item AS query, grp, term, 1.0::DOUBLE AS credit FROM (SELECT item, lower(noun) AS w FROM ct) JOIN k USING (w) WHERE term IN (SELECT term FROM tm)
@@ -103,15 +108,16 @@ def _(t):
     UNION SELECT a.basket, split_part(a.item, ' ', 2) || ' ' || split_part(b.item, ' ', 1) FROM bi a JOIN bi b ON a.basket = b.basket AND b.item = (SELECT min(item) FROM bi c WHERE c.basket = a.basket AND c.item > a.item)
     WHERE split_part(a.item, ' ', 2) || ' ' || split_part(b.item, ' ', 1) IN (SELECT term FROM w)""", "bi")
 def _(t):
-    texts = t.basket_text.select("query", F.split("text", " ").alias("words"))
+    texts, askers = S.different_texts(t.basket_text)
     known = t.read("part").select(F.col("p_name").alias("term"), F.col("p_name").alias("phrase")).distinct()
-    return S.phrase_hits(texts, known)
+    return S.for_askers(S.phrase_hits(texts.select("query", F.split("text", " ").alias("words")), known), askers)
 
 
 @query("n9_scores", """SELECT query, item, round(floor(round(credit, 12) * 1000000 + 0.5) / 1000000, 6) AS score FROM (SELECT query, substr(term, 5) AS item, credit * gw / gw AS credit FROM (SELECT qg.*, max(weight) OVER (PARTITION BY query) AS gw FROM qg JOIN sd USING (term)))""", "qg sd")
 def _(t):
     posted = tag_names(t).select("term", F.col("name").alias("item"))
-    return S.score(groups(t), posted, name_weights(t))
+    texts, askers = S.different_texts(t.basket_text)
+    return S.for_askers(S.score(groups(t, texts), posted, name_weights(t)), askers)
 
 
 # Documents: features are the words on two to half of them, queries the passages.
@@ -213,7 +219,8 @@ def _(t):
 
 @query("n7_main_terms", "SELECT query, term FROM qg WHERE credit = 1", "qg")
 def _(t):
-    return S.main_terms(groups(t))
+    texts, askers = S.different_texts(t.basket_text)
+    return S.for_askers(S.main_terms(groups(t, texts)), askers)
 
 
 @query("k1_answers", """WITH x AS (SELECT CAST(basket AS VARCHAR) AS query, min(item) AS item FROM bi GROUP BY basket HAVING count(*) = 1), q AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS query FROM part WHERE split_part(p_name, ' ', 1) <> 'small')
