@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from wickerwork.functions.text import fold_key, lookup
 from wickerwork.operators.textjoin import contains_join
+from wickerwork.session import cut_lineage
 
 #: The words variants of the guide go by for each promo type.
 PROMO_TAGS = {"prerelease": "prerelease", "datestamped": "prerelease", "promopack": "stamp", "stamped": "stamp", "buyabox": "buy-a-box",
@@ -40,6 +41,11 @@ def _promo_words(listed: DataFrame, wanted: DataFrame) -> DataFrame:
     return contains_join(texts, words, "_both").select("slug", "tag", F.col("q").alias("word")).distinct()
 
 
+def _alike(rows: DataFrame, keys: list[str], told: list[str]) -> DataFrame:
+    """keys and ``_told``, the sorted set of what the rows of a key tell: keys that tell the same link the same."""
+    return cut_lineage(rows.groupBy(*keys).agg(F.array_sort(F.collect_set(F.struct(*told))).alias("_told")), "told")
+
+
 def link_variants(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     """(variant, guide_id, pass, score, sure): the guide's listing of each of our variants.
 
@@ -48,12 +54,20 @@ def link_variants(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     it is from, or one of a promo set its types name; the first of these ways that finds any is used, and of several the one
     that scores best, the earliest on a tie. Each way has keys of its own, a set's name or code or a promo word, which a listing
     meets together with its name, finish and number (or having none), so a name that thousands of sets print makes no pairs
-    across them."""
+    across them. Variants that tell the same are linked once, by the first of them, and listings that tell the same are met once,
+    by the earliest, and counted: copies of either make no pairs."""
+    variants = _alike(ours, ["variant"], [c for c in ours.columns if c != "variant"])
+    firsts = cut_lineage(variants.groupBy("_told").agg(F.min("variant").alias("first")), "alike-variants")
+    members = variants.join(firsts, "_told").select("first", "variant")
+    ours = firsts.select(F.col("first").alias("variant"), F.explode("_told").alias("_o")).select("variant", "_o.*")
+    listings = _alike(theirs, ["guide_id", "pos"], ["name", "foil", "slug", "number", "code", "tag"])
+    listings = cut_lineage(listings.groupBy("_told").agg(F.min(F.struct("pos", "guide_id")).alias("_l"), F.count(F.lit(1)).alias("copies")), "alike-listings")
+    theirs = listings.select("_l.*", "copies", F.explode("_told").alias("_t")).select("pos", "guide_id", "copies", "_t.*")
     tail = F.element_at(F.split("number", "-"), -1)
     mine = ours.withColumns({
         "_numbers": F.array("number", tail, F.regexp_replace(tail, r"\D+$", ""), F.regexp_replace(tail, r"^\D+|\D+$", "")),
         "_wanted": F.transform("promo_types", lambda t: fold_key(F.coalesce(lookup(PROMO_TAGS)[t], t)))})
-    listed = theirs.select("name", "foil", "pos", "slug", F.col("number").alias("their_number"), F.col("code"), F.coalesce("tag", F.lit("")).alias("tag"), "guide_id")
+    listed = theirs.select("name", "foil", "pos", "slug", F.col("number").alias("their_number"), F.col("code"), F.coalesce("tag", F.lit("")).alias("tag"), "guide_id", "copies")
     none = F.array().cast("array<string>")
     words = lambda c: F.coalesce(c, none)
     keys = F.concat(_tagged("name", F.array(_bare(F.col("set_name")))), _tagged("code", words(F.col("codes"))),
@@ -80,10 +94,10 @@ def link_variants(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     exact = F.when(F.col("their_number") == F.col("number"), 2).when(F.col("their_number").isNotNull(), 1).otherwise(0)
     score = exact + F.when((F.col("tag") != "") & by_tag, 2).otherwise(0) + (F.col("tag") == "").cast("int")
     rows = rows.withColumns({"pass": way, "score": score}).filter(F.col("pass").isNotNull())
-    rows = rows.select("variant", "guide_id", "pos", "pass", "score").distinct()  # a pair meets by every key it shares
-    order = W.partitionBy("variant").orderBy("pass", F.desc("score"), "pos")
-    ties = F.count(F.lit(1)).over(W.partitionBy("variant", "pass", "score"))
-    return (rows.withColumns({"_k": F.row_number().over(order), "_ties": ties}).filter("_k = 1")
+    rows = rows.select("variant", "guide_id", "pos", "copies", "pass", "score").distinct()  # a pair meets by every key it shares
+    order = W.partitionBy("variant").orderBy("pass", F.desc("score"), "pos", "guide_id")
+    ties = F.sum("copies").over(W.partitionBy("variant", "pass", "score"))
+    return (rows.withColumns({"_k": F.row_number().over(order), "_ties": ties}).filter("_k = 1").withColumnRenamed("variant", "first").join(members, "first")
             .select("variant", "guide_id", "pass", "score", ((F.col("_ties") == 1) & (F.col("pass") == 0)).alias("sure")))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wickerwork.operators import linkage
 from wickerwork.plans.registry import query
 from wickerwork.plans.tables import CTES, TODAY
-from wickerwork.session import scratch_path
+from wickerwork.session import cut_lineage, scratch_path
 from wickerwork.sources import baskets as SB
 from wickerwork.sources import events as SE
 from wickerwork.sources import items as SI
@@ -322,7 +322,7 @@ def _(t):
 @query("j15_plausible_links", "SELECT variant, guide FROM lk JOIN part o ON o.p_partkey = variant JOIN part g ON g.p_partkey = guide WHERE g.p_retailprice * (g.p_size % 7 + 1) / o.p_retailprice BETWEEN CASE WHEN sure THEN 0.2 ELSE 0.5 END::DOUBLE AND CASE WHEN sure THEN 5 ELSE 2 END::DOUBLE", "lk")
 def _(t):
     part = t.read("part")
-    links = linkage.link_variants(*link_inputs(t)).withColumn("guide", F.regexp_extract("guide_id", r"#(\d+)", 1).cast("long"))
+    links = cut_lineage(linkage.link_variants(*link_inputs(t)).withColumn("guide", F.regexp_extract("guide_id", r"#(\d+)", 1).cast("long")), "links")
     latest = links.select("guide_id", "guide").distinct().join(part.select(F.col("p_partkey").alias("guide"), (F.col("p_retailprice") * (F.col("p_size") % 7 + 1)).alias("theirs")), "guide").select("guide_id", "theirs")
     return linkage.plausible(links, latest, part.select(F.col("p_partkey").alias("variant"), F.col("p_retailprice").alias("ours"))).select("variant", "guide")
 
