@@ -120,3 +120,15 @@ def test_equal_texts_are_parsed_once_and_found_for_all(spark):
     got = {(r["query"], r["term"], r["size"]) for r in S.for_askers(found.select("query", "term", "size"), askers).collect()}
     want = {0: [("g", 2.0)], 1: [("n", 1.0), ("b", 2.0)], 2: [("g", 2.0), ("n", 1.0)]}
     assert got == {(q, *m) for q in range(30) for m in want[q % 3]} | {(40, "g", 2.0)}
+
+
+def test_hits_of_few_queries_are_never_rows(spark, monkeypatch):
+    groups = spark.createDataFrame([(q, f"g{t}", f"t{t}", 1.0) for q in range(40) for t in range(60)], "query int, grp string, term string, credit double")
+    posted = spark.range(50).select(F.concat(F.lit("i"), "id").alias("item"), F.explode(F.sequence(F.lit(0), F.lit(59))).alias("t")).select("item", F.concat(F.lit("t"), "t").alias("term"))
+    weights = spark.createDataFrame([(f"t{t}", 1.0) for t in range(60)], "term string, weight double")
+    monkeypatch.setattr(S, "CELLS", 100)
+    found = S.score(groups, posted, weights)
+    assert found.count() == 2000 and found.filter("score <> 1").isEmpty()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "sum(" not in plan
+    assert S.score(groups.filter("query < 0"), posted, weights).isEmpty()

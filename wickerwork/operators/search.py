@@ -4,9 +4,15 @@ Tables: queries(query, text), tag_names(term, name), weights(term, d, weight), p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from wickerwork.functions.numeric import half_up, idf
 from wickerwork.functions.text import (ALSO, AMBIGUOUS, COLOR_WORDS, FILLER, JARGON, TYPE_WORDS, VALUE_WORDS, forms, raw_words, stem,
@@ -18,6 +24,8 @@ from wickerwork.session import cut_lineage
 STRONG_MATCH = 0.75
 #: Rows of query groups that are surely a small table.
 FEW = 100_000
+#: Items times queries, and hits, that a task sums at a time.
+CELLS = 1_000_000
 
 
 def _tasks(df: DataFrame) -> int:
@@ -195,25 +203,79 @@ def parse(queries: DataFrame, tag_names: DataFrame, weights: DataFrame) -> DataF
 
 def score(groups: DataFrame, postings: DataFrame, weights: DataFrame) -> DataFrame:
     """(query, item, score): the weighted share of its groups each item covers, to six places, ties upward. A group weighs as
-    its rarest term. A few queries ride along with the postings, which are dealt by item; many are dealt by query. Either way hits
-    are summed where they are made, if the other side fits a broadcast."""
+    its rarest term. A few queries are told to all tasks, and the postings of what they ask for dealt by item; many are dealt by query,
+    and hits are summed where they are made, if the other side fits a broadcast."""
     groups = cut_lineage(groups)
-    postings = postings.select("item", "term").distinct()
     weighed = groups.groupBy("query", "grp", "term").agg(F.max("credit").alias("credit")).join(weights.select("term", "weight"), "term", "left").fillna(0.0, ["weight"])
-    parts = int(groups.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     few = groups.limit(FEW + 1).count() <= FEW
     if not few:
-        weighed = weighed.repartition(parts, "query")
+        weighed = weighed.repartition(_tasks(groups), "query")
     whole, mine = W.partitionBy("query", "grp"), W.partitionBy("query")
     first = F.row_number().over(whole.orderBy("term")) == 1
     sized = weighed.withColumns({"size": F.max("weight").over(whole), "_first": first})
     sized = sized.withColumn("total", F.sum(F.when(F.col("_first"), F.col("size"))).over(mine)).select("query", "grp", "term", "credit", "size", "total")
     if few:
-        sized, postings = cut_lineage(sized, "sized-groups"), postings.repartition(parts, "item")
-    best = sized.join(postings, "term").groupBy("query", "item", "grp", "size", "total").agg(F.max("credit").alias("credit"))
-    sums = best.groupBy("query", "item", "total").agg(F.sum(F.col("credit") * F.col("size")).alias("s"))
-    exact = F.round(F.col("s") / F.col("total"), 12)
-    return sums.filter("s > 0").select("query", "item", (half_up(exact * 1_000_000) / 1_000_000).alias("score"))
+        shares = _few_shares(cut_lineage(sized, "sized-groups"), postings)
+    else:
+        best = sized.join(postings.select("item", "term").distinct(), "term").groupBy("query", "item", "grp", "size", "total").agg(F.max("credit").alias("credit"))
+        sums = best.groupBy("query", "item", "total").agg(F.sum(F.col("credit") * F.col("size")).alias("s"))
+        shares = sums.filter("s > 0").select("query", "item", (F.col("s") / F.col("total")).alias("share"))
+    return shares.select("query", "item", (half_up(F.round("share", 12) * 1_000_000) / 1_000_000).alias("score"))
+
+
+def _few_shares(sized: DataFrame, postings: DataFrame) -> DataFrame:
+    """(query, item, share) of at most FEW rows of query groups. An item's terms that are asked for come in one row; what they hit
+    is summed over the queries for CELLS items and queries at a time, so hits are never rows."""
+    spark = sized.sparkSession
+    rows = sized.collect()
+    ids: dict = {}
+    at = lambda kind, key: ids.setdefault(kind, {}).setdefault(key, len(ids[kind]))
+    ids.update(term={}, grp={}, query={})
+    hit = np.array([(at("term", r["term"]), at("grp", (r["query"], r["grp"])), at("query", r["query"])) for r in rows], dtype=np.int64).reshape(-1, 3)
+    order = np.argsort(hit[:, 0], kind="stable")
+    credit = np.array([r["credit"] for r in rows], dtype=float)[order]
+    grp = hit[order, 1]
+    uses = np.bincount(hit[:, 0], minlength=len(ids["term"]))
+    starts = np.cumsum(uses) - uses
+    size, asker, total = np.zeros(len(ids["grp"])), np.zeros(len(ids["grp"]), dtype=np.int64), np.zeros(len(ids["query"]))
+    size[hit[:, 1]], asker[hit[:, 1]], total[hit[:, 2]] = [r["size"] for r in rows], hit[:, 2], [r["total"] for r in rows]
+    several = len(ids["grp"]) < len(rows)  # of a group's terms that an item has, the best counts
+    queries, nq, ng = list(ids["query"]), len(ids["query"]), len(ids["grp"])
+    kind = to_arrow_type(sized.schema["query"].dataType)
+
+    def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = pa.array(queries, kind)
+        for batch in batches:
+            lengths, terms = batch.column("_terms").value_lengths().to_numpy(), batch.column("_terms").flatten().to_numpy()
+            ends = np.cumsum(lengths)
+            hits = np.cumsum(np.concatenate([[0], uses[terms]]))
+            a = 0
+            while a < len(lengths):
+                begin = ends[a] - lengths[a]
+                b = max(a + 1, min(a + max(1, CELLS // nq), int(np.searchsorted(hits[ends], hits[begin] + CELLS, "right"))))
+                t, owner = terms[begin:ends[b - 1]], np.repeat(np.arange(b - a), lengths[a:b])
+                n = uses[t]
+                place = np.repeat(starts[t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                o, g, c = np.repeat(owner, n), grp[place], credit[place]
+                if several:
+                    key = o * ng + g
+                    by = np.lexsort((c, key))
+                    by = by[np.append(key[by][1:] != key[by][:-1], True)] if len(by) else by
+                    o, g, c = o[by], g[by], c[by]
+                sums = np.bincount(o * nq + asker[g], weights=c * size[g], minlength=(b - a) * nq)
+                found = np.flatnonzero(sums > 0)
+                q = found % nq
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column("item").take(pa.array(a + found // nq)), pa.array(sums[found] / total[q])],
+                                                 names=["query", "item", "share"])
+                a = b
+
+    kept = StructType([sized.schema["query"], postings.schema["item"], StructField("share", DoubleType())])
+    if not rows:
+        return spark.createDataFrame([], kept)
+    terms = spark.createDataFrame(list(ids["term"].items()), StructType([sized.schema["term"], StructField("_t", LongType())]))
+    asked = postings.select("item", "term").join(F.broadcast(terms), "term")  # at most FEW rows
+    held = asked.repartition(_tasks(sized), "item").groupBy("item").agg(F.collect_set("_t").alias("_terms"))
+    return held.select("item", "_terms").mapInArrow(shares, kept)
 
 
 SORTS = ("match", "popular", "newest", "oldest", "price-asc", "price-desc", "value-asc", "value-desc", "name")
