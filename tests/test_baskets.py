@@ -357,3 +357,19 @@ def test_recipes_are_matched_in_the_baskets_own_rows(spark, monkeypatch):
     got = {r["recipe"]: r["baskets"] for r in R.recipe_counts(table(spark, baskets), rows).collect()}
     assert got == {f"r{i}": 50 for i in range(300) if 17 + i % 5 < 20}
     assert max(df.count() for df in staged) < 50 * 20  # neither what a basket nearly holds nor its items one by one
+
+
+def test_similar_sets_go_by_numbers_and_lose_no_pair(spark):
+    import random
+    from wickerwork.operators.setjoin import similar_sets
+    rng, sets = random.Random(5), {}
+    for k in range(120):
+        base = sets[rng.randrange(k)] if k and rng.random() < 0.7 else {f"w{rng.randrange(40)}" for _ in range(rng.randrange(1, 25))}
+        sets[k] = (base - set(rng.sample(sorted(base), min(len(base) - 1, rng.randrange(3))))) | {f"w{rng.randrange(40)}" for _ in range(rng.randrange(2))} | ({f"own{k}"} if rng.random() < 0.2 else set())
+    found = similar_sets(spark.createDataFrame([(k, w) for k, ws in sets.items() for w in ws], "basket int, item string"), 0.8)
+    firsts = {frozenset(ws): k for k, ws in reversed(sets.items())}
+    reps = sorted(firsts.values())
+    want = {(a, b, len(sets[a] & sets[b])) for a in reps for b in reps if a < b and 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    want |= {(firsts[frozenset(ws)], k, len(ws)) for k, ws in sets.items() if firsts[frozenset(ws)] != k}
+    assert len(want) > 20 and sorted((r["a"], r["b"], r["shared"]) for r in found.collect()) == sorted(want)
+    assert "items" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs carry no lists of words
