@@ -373,3 +373,11 @@ def test_similar_sets_go_by_numbers_and_lose_no_pair(spark):
     want |= {(firsts[frozenset(ws)], k, len(ws)) for k, ws in sets.items() if firsts[frozenset(ws)] != k}
     assert len(want) > 20 and sorted((r["a"], r["b"], r["shared"]) for r in found.collect()) == sorted(want)
     assert "items" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs carry no lists of words
+
+
+def test_colours_are_told_in_a_baskets_own_row(spark, folder):
+    from wickerwork.plans import load_all
+    from wickerwork.plans.registry import QUERIES
+    load_all()
+    plan = QUERIES["f10_within_colors"](spark, folder)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Relation [l_orderkey") == 1  # lines are read once
