@@ -132,3 +132,16 @@ def test_hits_of_few_queries_are_never_rows(spark, monkeypatch):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "sum(" not in plan
     assert S.score(groups.filter("query < 0"), posted, weights).isEmpty()
+
+
+def test_scores_far_below_the_best_are_no_rows(spark, monkeypatch):
+    """Of many items with one of a query's two terms and few with both, tasks keep those near the best they have met."""
+    groups = spark.createDataFrame([(1, "a", "a", 1.0), (1, "b", "b", 1.0), (2, "a", "a", 1.0)], "query int, grp string, term string, credit double")
+    posted = spark.range(2000).selectExpr("id AS item", "explode(IF(id % 100 = 0, array('a', 'b'), array('a'))) AS term")
+    weights = spark.createDataFrame([("a", 1, 1.0), ("b", 1, 1.0)], "term string, d int, weight double")
+    monkeypatch.setattr(S, "CELLS", 100)
+    items = posted.selectExpr("item", "item AS number", "item AS cents", "item AS value", "CAST(NULL AS DATE) AS released", "'x' AS name").distinct()
+    every, near = S.score(groups, posted, weights), S.score(groups, posted, weights, S.STRONG_MATCH)
+    assert near.filter("query = 1").count() < 400 < 2000 == every.filter("query = 1").count()
+    kept = lambda found: sorted(map(tuple, S.sort_results(found, "value-asc", items).select("query", "item", "score", "place").collect()))
+    assert len(kept(near)) == 2020 and kept(near) == kept(every)

@@ -26,6 +26,8 @@ STRONG_MATCH = 0.75
 FEW = 100_000
 #: Items times queries, and hits, that a task sums at a time.
 CELLS = 1_000_000
+#: More than what rounding to six places can move a score and its query's best against each other.
+ROUNDED = 2e-6
 
 
 def _tasks(df: DataFrame) -> int:
@@ -201,9 +203,10 @@ def parse(queries: DataFrame, tag_names: DataFrame, weights: DataFrame) -> DataF
     return tag_groups(matched, weights).unionByName(named_terms(spoken, matched, terms))
 
 
-def score(groups: DataFrame, postings: DataFrame, weights: DataFrame) -> DataFrame:
+def score(groups: DataFrame, postings: DataFrame, weights: DataFrame, near: float = 0.0) -> DataFrame:
     """(query, item, score): the weighted share of its groups each item covers, to six places, ties upward. A group weighs as
-    its rarest term. A few queries are told to all tasks, and the postings of what they ask for dealt by item; many are dealt by query,
+    its rarest term. Scores below ``near`` of their query's best may be left out, as a task does with those so far below the best
+    that it has met; no score at or above that is. A few queries are told to all tasks, and the postings of what they ask for dealt by item; many are dealt by query,
     and hits are summed where they are made, if the other side fits a broadcast."""
     groups = cut_lineage(groups)
     weighed = groups.groupBy("query", "grp", "term").agg(F.max("credit").alias("credit")).join(weights.select("term", "weight"), "term", "left").fillna(0.0, ["weight"])
@@ -215,7 +218,7 @@ def score(groups: DataFrame, postings: DataFrame, weights: DataFrame) -> DataFra
     sized = weighed.withColumns({"size": F.max("weight").over(whole), "_first": first})
     sized = sized.withColumn("total", F.sum(F.when(F.col("_first"), F.col("size"))).over(mine)).select("query", "grp", "term", "credit", "size", "total")
     if few:
-        shares = _few_shares(cut_lineage(sized, "sized-groups"), postings)
+        shares = _few_shares(cut_lineage(sized, "sized-groups"), postings, near)
     else:
         best = sized.join(postings.select("item", "term").distinct(), "term").groupBy("query", "item", "grp", "size", "total").agg(F.max("credit").alias("credit"))
         sums = best.groupBy("query", "item", "total").agg(F.sum(F.col("credit") * F.col("size")).alias("s"))
@@ -223,7 +226,7 @@ def score(groups: DataFrame, postings: DataFrame, weights: DataFrame) -> DataFra
     return shares.select("query", "item", (half_up(F.round("share", 12) * 1_000_000) / 1_000_000).alias("score"))
 
 
-def _few_shares(sized: DataFrame, postings: DataFrame) -> DataFrame:
+def _few_shares(sized: DataFrame, postings: DataFrame, near: float) -> DataFrame:
     """(query, item, share) of at most FEW rows of query groups. An item's terms that are asked for come in one row; what they hit
     is summed over the queries for CELLS items and queries at a time, so hits are never rows."""
     spark = sized.sparkSession
@@ -244,7 +247,7 @@ def _few_shares(sized: DataFrame, postings: DataFrame) -> DataFrame:
     kind = to_arrow_type(sized.schema["query"].dataType)
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = pa.array(queries, kind)
+        names, best = pa.array(queries, kind), np.zeros(nq)
         for batch in batches:
             lengths, terms = batch.column("_terms").value_lengths().to_numpy(), batch.column("_terms").flatten().to_numpy()
             ends = np.cumsum(lengths)
@@ -263,7 +266,8 @@ def _few_shares(sized: DataFrame, postings: DataFrame) -> DataFrame:
                     by = by[np.append(key[by][1:] != key[by][:-1], True)] if len(by) else by
                     o, g, c = o[by], g[by], c[by]
                 sums = np.bincount(o * nq + asker[g], weights=c * size[g], minlength=(b - a) * nq)
-                found = np.flatnonzero(sums > 0)
+                best = np.maximum(best, sums.reshape(-1, nq).max(axis=0) / total)
+                found = np.flatnonzero((sums > 0) & (sums.reshape(-1, nq) / total >= near * best - ROUNDED).ravel())
                 q = found % nq
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), batch.column("item").take(pa.array(a + found // nq)), pa.array(sums[found] / total[q])],
                                                  names=["query", "item", "share"])

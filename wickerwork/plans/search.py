@@ -127,14 +127,14 @@ CTES["dq"] = (["dt"], "SELECT DISTINCT query, term, weight FROM (SELECT item_id
 CTES["ds"] = (["dq", "dw"], "SELECT query, doc_id AS item, floor(round(sum(weight) / any_value(total), 12) * 1000000 + 0.5) / 1000000 AS score FROM dq JOIN dw ON word = term JOIN (SELECT query, sum(weight) AS total FROM dq GROUP BY 1) USING (query) GROUP BY query, doc_id")
 
 
-def document_search(t):
+def document_search(t, near=0.0):
     split = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != "")
     docs = t.read("documents")
     posted = docs.select(F.col("doc_id").alias("item"), F.explode(F.array_distinct(split("text"))).alias("term"))
     n = docs.agg(F.count(F.lit(1))).scalar()
     weights = t.once("word_weights", lambda: S.term_weights(C.term_counts(posted).filter((F.col("d") >= 2) & (F.col("d") <= n / 2)), n))
     asked = t.read("benchmark").select(F.col("item_id").alias("query"), F.explode(F.array_distinct(split("text"))).alias("term")).join(weights.select("term"), "term")
-    return S.score(asked.select("query", F.col("term").alias("grp"), "term", F.lit(1.0).alias("credit")), posted, weights)
+    return S.score(asked.select("query", F.col("term").alias("grp"), "term", F.lit(1.0).alias("credit")), posted, weights, near)
 
 
 @query("j8_document_scores", "SELECT query, item, score FROM ds", "ds")
@@ -145,7 +145,7 @@ def _(t):
 @query("k1_sorted_results", """SELECT query, item, place, score FROM (SELECT query, item, score, row_number() OVER (PARTITION BY query ORDER BY n_chars, doc_id) AS place FROM (SELECT *, max(score) OVER (PARTITION BY query) AS b FROM ds) JOIN documents ON doc_id = item WHERE score >= 0.75::DOUBLE * b)""", "ds")
 def _(t):
     items = t.read("documents").select(F.col("doc_id").alias("item"), F.col("doc_id").alias("number"), F.col("n_chars").alias("cents"), F.col("n_chars").alias("value"), F.lit(None).cast("date").alias("released"), F.col("source").alias("name"))
-    found = S.sort_results(document_search(t), "price-asc", items)
+    found = S.sort_results(document_search(t, S.STRONG_MATCH), "price-asc", items)
     return found.select("query", "item", F.col("place").cast("long").alias("place"), "score")
 
 
@@ -163,7 +163,7 @@ def ordered_documents(sort):
         size, number = F.col("n_chars"), F.col("doc_id")
         items = t.read("documents").select(number.alias("item"), number.alias("number"), F.when(size % 7 > 0, size).alias("cents"), (number % 9).alias("value"),
                                            F.when(size % 5 > 0, F.date_add(F.lit("2000-01-01").cast("date"), (size % 3000).cast("int"))).alias("released"), F.col("source").alias("name"))
-        found = S.sort_results(document_search(t), sort, items, first=50)
+        found = S.sort_results(document_search(t, 0.0 if sort == "match" else S.STRONG_MATCH), sort, items, first=50)
         return found.select("query", "item", F.col("place").cast("long").alias("place"), "score")
 
 
