@@ -112,3 +112,21 @@ def test_keyed_state_leaves_the_session_as_it_was(spark):
     with S.keyed_state(spark):
         assert "RocksDB" in spark.conf.get(S._STORE[0])
     assert spark.conf.get(S._STORE[0], None) == before
+
+
+def test_change_points_of_many_series_take_few_states(spark, tmp_path):
+    """Every series of a bucket is kept in one state: unknown prices, unknown types and large numbers as they are told."""
+    rng = random.Random(7)
+    rows = [(v, [None, "a", "b"][f], day(n), rng.choice([None, 5, 5, 0, 2**60 + 1, 2**60])) for n in range(12) for v in range(40) for f in range(3) if rng.random() < 0.7]
+    feed = Feed(spark, tmp_path, "variant bigint, finish string, day date, cents bigint")
+    points, check = str(tmp_path / "points"), str(tmp_path / "points-check")
+    for k in range(0, 12, 4):
+        feed.add([r for r in rows if day(k) <= r[2] < day(k + 4)])
+        found = S.run_to_table(S.change_stream(feed.stream(), buckets=64), points, check)
+    last, want = {}, set()
+    for v, f, at, cents in rows:
+        if cents != last.get((v, f)):
+            want.add((v, f, at, cents))
+            last[(v, f)] = cents
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and set(got) == want

@@ -10,6 +10,7 @@ import datetime
 import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -212,22 +213,32 @@ def run_to_table(result: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return result.sparkSession.read.schema(result.schema).parquet(path)
 
 
-def change_stream(stream: DataFrame) -> DataFrame:
+def change_stream(stream: DataFrame, buckets: int = 512) -> DataFrame:
     """Change points as snapshots arrive in order of days: a row where a series' price differs from the one kept for it.
-    stream(variant, finish, day, cents null for none)."""
+    stream(variant, finish, day, cents null for none).
+
+    Series are kept in ``buckets`` by hash, a state each, so a batch costs by its rows and not by its series; a running stream keeps
+    the number it was started with."""
 
     def changed(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("day")
-        out = []
-        for day, value in zip(rows["day"], rows["cents"]):
-            value = None if pd.isna(value) else int(value)
-            if value != last:
-                out.append((key[0], key[1], day, value))
-                last = value
-        state.update((last,))
-        frame = pd.DataFrame(out, columns=["variant", "finish", "day", "cents"])
-        frame["cents"] = frame["cents"].astype("Int64")
-        yield frame
-
-    return stream.groupBy("variant", "finish").applyInPandasWithState(changed, DAYS, "last bigint", "append", "NoTimeout")
+        variants, finishes, values = state.get if state.exists else ([], [], [])
+        kept = pd.DataFrame({"variant": pd.array(variants, "Int64"), "finish": pd.array(finishes, "object"), "at": np.full(len(values), -(2**62)),
+                             "known": np.array([v is not None for v in values], bool), "cents": np.array([v or 0 for v in values], "int64")})
+        rows = pd.concat([kept, *(f[list(kept.columns)].astype({"variant": "Int64"}) for f in frames)], ignore_index=True)
+        series = rows.groupby(["variant", "finish"], sort=False, dropna=False).ngroup()
+        order = np.lexsort((rows["at"].to_numpy("int64"), series.to_numpy()))
+        rows, series = rows.iloc[order], series.to_numpy()[order]
+        known, cents, at = rows["known"].to_numpy(bool), rows["cents"].to_numpy("int64"), rows["at"].to_numpy("int64")
+        first = np.append(True, series[1:] != series[:-1])
+        same = np.append(False, (known[1:] == known[:-1]) & (cents[1:] == cents[:-1]))
+        last = rows[np.append(first[1:], True)]
+        whole = lambda c: [None if pd.isna(v) else v for v in c.tolist()]
+        state.update((whole(last["variant"]), whole(last["finish"]), [int(v) if k else None for v, k in zip(last["cents"], last["known"])]))
+        yield rows[np.where(first, known, ~same) & (at > -(2**62))].reset_index(drop=True)
+
+    told = stream.select("variant", "finish", F.coalesce(F.unix_date("day"), F.lit(2**62)).alias("at"), F.col("cents").isNotNull().alias("known"),
+                         F.coalesce("cents", F.lit(0)).cast("bigint").alias("cents"), F.pmod(F.xxhash64("variant", "finish"), F.lit(buckets)).alias("_bucket"))
+    found = told.groupBy("_bucket").applyInPandasWithState(changed, "variant bigint, finish string, at bigint, known boolean, cents bigint",
+                                                           "variants array<bigint>, finishes array<string>, cents array<bigint>", "append", "NoTimeout")
+    day = F.when(F.col("at") < 2**62, F.date_from_unix_date(F.col("at").cast("int")))
+    return found.select("variant", "finish", day.alias("day"), F.when(F.col("known"), F.col("cents")).alias("cents"))
