@@ -94,3 +94,21 @@ def test_list_versions_and_halves(spark):
     got = {(r["entry"], r["item"], r["change"]) for r in O.list_versions(rows, items).collect()}
     assert got == {(2, 3, "added"), (2, 1, "cut")}
     assert {(r["half"], r["baskets"], r["wins"]) for r in O.halves(rows).collect()} == {(1, 1, 1), (2, 2, 5)}
+
+
+def test_lines_of_a_large_table_are_dealt_over_more_tasks_than_shuffles_have(spark, folder, monkeypatch):
+    """A task has about LINES_A_TASK order lines, however large the table, and favourites, changes and lists stay the same."""
+    from wickerwork.plans import load_all, tables
+    from wickerwork.plans.registry import QUERIES
+    load_all()
+    names = ["a19_player_favourites", "t14_clearest_changes", "s18_parsed_lists"]
+    want = [sorted(map(repr, QUERIES[n](spark, folder).collect())) for n in names]
+    monkeypatch.setattr(tables, "LINES_A_TASK", 300)
+    t = tables.Tables(spark, folder)
+    tasks = -(-t.read("lineitem").count() // 300)
+    sizes = [r["count"] for r in t.entry_items.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert tasks > 4 and len(sizes) > tasks * 0.9 and max(sizes) < 900
+    for name, rows in zip(names, want):
+        found = QUERIES[name](spark, folder)
+        assert f", {tasks})" in found._jdf.queryExecution().executedPlan().toString(), name
+        assert rows and sorted(map(repr, found.collect())) == rows, name

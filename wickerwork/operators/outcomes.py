@@ -5,7 +5,7 @@ entry_items(entry, item)."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +18,7 @@ from wickerwork.operators.pairs import both_ways, pair_counts
 from wickerwork.operators.ranking import top_n
 from wickerwork.operators.textjoin import contains_join
 from wickerwork.operators.windows import RESULT_DAYS, cutoff, every_month, in_windows
+from wickerwork.session import cut_lineage
 
 MIN_RESULT_BASKETS, MIN_PAIR_BASKETS, POOL_BASKETS = 10, 20, 3
 
@@ -291,16 +292,17 @@ def favourites(entries: DataFrame, played: DataFrame, item_rows: DataFrame, lead
                days: int = max(RESULT_DAYS)) -> DataFrame:
     """Items in more of a player's baskets than others' of the same leaders would have:
     (player, item, baskets, games, wins, expected, rank). Shares are of items kept in the widest look-back, 0 otherwise."""
-    t = leader_rows.filter(F.col("w") == days).select("leader", F.col("baskets").alias("n"))
+    t = cut_lineage(leader_rows.filter(F.col("w") == days).select("leader", F.col("baskets").alias("n")), "leaders")
     shares = item_rows.filter(F.col("w") == days).join(t, "leader").select("leader", "item", (F.col("baskets") / F.col("n")).alias("share"))
+    shares = cut_lineage(shares, "shares")  # its size is known when the join is planned
     known = entries.join(t.select("leader"), "leader", "left_semi")
     leads = known.groupBy("player", "leader").agg(F.count(F.lit(1)).alias("k"))
     enough = leads.groupBy("player").agg(F.sum("k").alias("k")).filter(F.col("k") >= 2).select("player")
     counts = (played.join(t.select("leader"), "leader", "left_semi").join(enough, "player", "left_semi").groupBy("player", "item")
               .agg(F.count(F.lit(1)).alias("baskets"), F.sum("games").alias("games"), F.sum("wins").alias("wins")).filter(F.col("baskets") >= least))
-    pairs = counts.select("player", "item").join(leads, "player").join(shares, ["leader", "item"])
-    expected = pairs.groupBy("player", "item").agg(F.sum(F.col("k") * F.col("share")).alias("e"))
-    rows = (counts.join(expected, ["player", "item"], "left").withColumn("e", F.round(F.coalesce("e", F.lit(0.0)), DIGITS))
+    pairs = counts.join(leads, "player").join(shares, ["leader", "item"], "left")  # who is counted has leaders
+    expected = pairs.groupBy(*counts.columns).agg(F.sum(F.col("k") * F.col("share")).alias("e"))
+    rows = (expected.withColumn("e", F.round(F.coalesce("e", F.lit(0.0)), DIGITS))
             .filter(F.col("baskets") > F.col("e")).withColumn("_over", F.round(F.col("e") - F.col("baskets"), DIGITS)))
     return top_n(rows, "player", [F.asc("_over"), F.asc("item")], n).select(
         "player", "item", "baskets", "games", "wins", (half_even(F.col("e") * 10) / 10).alias("expected"), "rank")
@@ -357,10 +359,11 @@ def halves(entries: DataFrame) -> DataFrame:
     return rows.groupBy("player", "leader", "half").agg(F.count(F.lit(1)).alias("baskets"), F.sum("games").alias("games"), F.sum("wins").alias("wins"))
 
 
-def clearest_changes(entries: DataFrame, entry_items: DataFrame) -> DataFrame:
-    """Items in some but not all of a player's lists with a leader, with games won with and without and how clear the gap is."""
+def clearest_changes(entries: DataFrame, entry_items: DataFrame, deal: Callable[[DataFrame], DataFrame] = lambda played: played) -> DataFrame:
+    """Items in some but not all of a player's lists with a leader, with games won with and without and how clear the gap is.
+    ``deal`` may lay what was played over tasks by player and leader."""
     t = entries.groupBy("player", "leader").agg(F.count(F.lit(1)).alias("n"), F.sum("games").alias("all_games"), F.sum("wins").alias("all_wins"))
-    have = (entries.join(entry_items, "entry").groupBy("player", "leader", "item")
+    have = (deal(entries.join(entry_items, "entry").select("player", "leader", "item", "games", "wins")).groupBy("player", "leader", "item")
             .agg(F.count(F.lit(1)).alias("baskets"), F.sum("games").alias("games"), F.sum("wins").alias("wins")))
     gw, kw = F.col("all_games") - F.col("games"), F.col("all_wins") - F.col("wins")
     rows = have.join(t, ["player", "leader"]).filter((F.col("n") >= 2) & (F.col("baskets") < F.col("n")) & (F.col("games") > 0) & (gw > 0))

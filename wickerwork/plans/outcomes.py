@@ -215,7 +215,8 @@ def _(t):
     e AS (SELECT c.*, round(coalesce(x.e, 0), 9) AS e FROM c LEFT JOIN (SELECT player, item, sum(k * share) AS e FROM c JOIN l USING (player) JOIN s USING (leader, item) GROUP BY ALL) x USING (player, item))
     SELECT player, item, baskets, games, wins, round_even(e * 10, 0) / 10 AS expected, rank FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY round(e - baskets, 9), item) AS rank FROM e WHERE baskets > e) WHERE rank <= 48""", "im lt en ei")
 def _(t):
-    found = O.favourites(t.entries, O.played_items(t.entries, t.entry_items), item_rows(t), leader_rows(t))
+    played = O.played_items(t.entries, t.entry_items).select("leader", "player", "entry", "item", "date", "games", "wins", "draws")
+    found = O.favourites(t.entries, t.dealt(played, "player"), item_rows(t), leader_rows(t))
     return found.withColumn("rank", F.col("rank").cast("long"))
 
 
@@ -255,7 +256,7 @@ def _(t):
     SELECT player, leader, item, baskets, round(k / g, 6) AS rate, round((aw - k) / (ag - g), 6) AS rate_without, round(abs(k / g - (aw - k) / (ag - g)) * sqrt(1 / (1 / g + 1 / (ag - g))), 6) AS clear
     FROM h JOIN a USING (player, leader) WHERE n >= 2 AND baskets < n AND g > 0 AND ag > g""", "en ei")
 def _(t):
-    found = O.clearest_changes(t.entries, t.entry_items)
+    found = O.clearest_changes(t.entries, t.entry_items, lambda played: t.dealt(played, "player", "leader"))
     return found.withColumns({c: r6(F.col(c)) for c in ("rate", "rate_without", "clear")})
 
 

@@ -19,6 +19,8 @@ from wickerwork.session import cut_lineage
 #: The day after the last order: the day every look-back counts from.
 TODAY = "2001-08-02"
 LAST_EVENT_DAY = "2024-01-31"
+#: Order lines that a task has about, once that takes more tasks than shuffles have.
+LINES_A_TASK = 500_000
 
 
 class Tables:
@@ -36,13 +38,22 @@ class Tables:
         return self._once[name]
 
     # ---- baskets ------------------------------------------------------------------------------------------
+    @cached_property
+    def line_tasks(self) -> int:
+        """How many tasks order lines are dealt over: as many as shuffles have, more for a large table. Files know their rows."""
+        return max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), -(-self.read("lineitem").count() // LINES_A_TASK))
+
+    def dealt(self, rows: DataFrame, *keys: str) -> DataFrame:
+        """Rows as many as order lines, dealt by keys where shuffles have too few tasks; what is grouped by more keys stays there."""
+        n = self.line_tasks
+        return rows if n == int(self.spark.conf.get("spark.sql.shuffle.partitions")) else rows.repartition(n, *keys)
+
     @cached_property
     def lines(self) -> DataFrame:
         """One row per order line, with its part's name and price and its order's leader."""
         part = self.read("part").select("p_partkey", F.col("p_name").alias("item"), "p_retailprice", "p_type", "p_brand", "p_size")
-        return (self.read("lineitem").withColumnRenamed("l_orderkey", "basket")
-                .join(self.baskets.select("basket", "leader", "customer", "made"), "basket")
-                .join(part, F.col("l_partkey") == F.col("p_partkey")))
+        sold = self.dealt(self.read("lineitem").withColumnRenamed("l_orderkey", "basket"), "l_partkey").join(part, F.col("l_partkey") == F.col("p_partkey"))
+        return self.dealt(sold, "basket").join(self.baskets.select("basket", "leader", "customer", "made"), "basket")
 
     @cached_property
     def baskets(self) -> DataFrame:
@@ -91,7 +102,7 @@ class Tables:
     @cached_property
     def entries(self) -> DataFrame:
         """event, entry, leader, player, date, size, top_cut, standing, games, wins, draws"""
-        tally = self.read("lineitem").groupBy(F.col("l_orderkey").alias("entry")).agg(
+        tally = self.dealt(self.read("lineitem").select("l_orderkey", "l_returnflag"), "l_orderkey").groupBy(F.col("l_orderkey").alias("entry")).agg(
             F.count(F.lit(1)).alias("games"),
             F.sum((F.col("l_returnflag") == "R").cast("long")).alias("wins"),
             F.sum((F.col("l_returnflag") == "N").cast("long")).alias("draws"))
