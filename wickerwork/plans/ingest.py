@@ -291,7 +291,7 @@ def list_texts(t):
 @query("s18_parsed_lists", """WITH x AS (SELECT basket AS list, item, CAST(sum(l_quantity) AS INT) AS copies, max(l_linestatus) AS s, CAST(min(l_partkey) AS VARCHAR) AS collector, row_number() OVER (PARTITION BY basket ORDER BY item) AS r FROM ln GROUP BY basket, item)
     SELECT list, CASE WHEN r = 1 THEN 'leader' WHEN s = 'F' THEN 'item' ELSE 'outside' END AS kind, item, copies, 'set' AS set, collector, 1 AS finish FROM x UNION ALL SELECT DISTINCT list, 'unknown', NULL, 1, NULL, NULL, NULL FROM x""", "ln")
 def _(t):
-    names = t.read("part").select(F.col("p_name").alias("key"), F.col("p_name").alias("number")).distinct()
+    names = t.once("names", lambda: t.read("part").select(F.col("p_name").alias("key"), F.col("p_name").alias("number")).distinct())
     return SB.parse_lists(list_texts(t), names).select("list", "kind", F.col("number").alias("item"), "copies", "set", "collector", "finish")
 
 
