@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -67,6 +69,31 @@ def small_batches(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, siz
             at = stop
 
 
+@functools.lru_cache(maxsize=1)
+def _trimmer() -> Callable[[int], int] | None:
+    """What makes the C library give free memory back, where it can."""
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def give_back() -> None:
+    """Return memory that is free to the system."""
+    pa.default_memory_pool().release_unused()
+    if (trim := _trimmer()) is not None:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker gives back what it no longer needs: workers live on between tasks, beside stages without Python."""
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
 def _texts(batch: pa.RecordBatch) -> list[bytes | None]:
     return batch.column(batch.num_columns - 1).cast(pa.binary()).to_pylist()
 
@@ -90,7 +117,7 @@ def map_texts(df: DataFrame, text: str, keep: Sequence[str], out: T.StructType,
             arrays = [pa.array(values, kind) for values, kind in zip(made, new_types)]
             yield pa.RecordBatch.from_arrays([*[part.column(i) for i in kept], *arrays], names=names)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidy(run), schema)
 
 
 def open_store(uri: str) -> tuple[pa_fs.FileSystem, str]:
@@ -132,4 +159,4 @@ def explode_texts(df: DataFrame, text: str, keep: Sequence[str], out: T.StructTy
             arrays = [pa.array(values, kind) for values, kind in zip(columns, new_types)]
             yield pa.RecordBatch.from_arrays([*[part.column(i).take(taken) for i in kept], *arrays], names=names)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.mapInArrow(tidy(run), schema)

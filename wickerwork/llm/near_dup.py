@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wickerwork.llm.common import map_texts
+from wickerwork.llm.common import bound_batches, map_texts, small_batches, tidy
 from wickerwork.session import cut_lineage
 
 #: Words of a shingle and percent of similarity, unless a caller says otherwise.
@@ -153,7 +153,7 @@ def _forest(nodes: DataFrame) -> DataFrame:
                         hashes.append(pa.array((prefix ^ (prefix >> np.uint64(32))).view(np.int64)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.full(len(sig), tree, np.int32)), *hashes], names=schema.names)
 
-    return carried.mapInArrow(run, schema)
+    return carried.mapInArrow(tidy(run), schema)
 
 
 def _regions(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -218,29 +218,24 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node and its shingles' hashes, ascending, read anew from whole texts. ``wanted`` has node and key.
 
     Texts are not shuffled: a filter passes over most of those that no pair needs, and the join is on what is made of the rest."""
-    fields = T.StructType([T.StructField("key", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
+    bound_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(_filter_of(wanted))
     h = F.xxhash64("doc_id")
-    hashed = docs.select("doc_id", "text", F.pmod(h, F.lit(FILTER_WORDS)).cast("int").alias("at"),
-                         F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("long").alias("bit"))
-    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("text", T.StringType())])
+    hashed = docs.select(F.col("doc_id").alias("node"), F.pmod(h, F.lit(FILTER_WORDS)).cast("int").alias("at"),
+                         F.pmod(F.shiftrightunsigned(h, 32), F.lit(64)).cast("long").alias("bit"), F.col("text").cast("binary").alias("text"))
+    schema = T.StructType([hashed.schema["node"], T.StructField("key", T.BinaryType()), T.StructField("shingles", T.BinaryType())])
 
-    def pass_over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
-        for batch in batches:
-            good = (bits[batch.column(2).to_numpy()] >> batch.column(3).to_numpy()) & 1
-            yield pa.RecordBatch.from_arrays(batch.columns[:2], names=schema.names).filter(pa.array(good == 1))
-
-    def make():
-        shingler = Shingler(words)
-
-        def work(texts):
-            sets = [shingler(t) for t in texts]
-            return [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], [s.tobytes() for s in sets]
-        return work
-
-    some = hashed.filter(F.col("doc_id").isNotNull()).mapInArrow(pass_over, schema)
-    made = map_texts(some, "text", ["doc_id"], fields, make).withColumnRenamed("doc_id", "node")
+    # filter and sets are one step: two would take two Python processes a task, each of which lives on
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, shingler = sent.value, Shingler(words)
+        for part in small_batches(batches):
+            good = (bits[part.column(1).to_numpy()] >> part.column(2).to_numpy()) & 1
+            part = part.filter(pa.array(good == 1))
+            sets = [shingler(t.as_py()).tobytes() for t in part.column(3)]
+            keys = [hashlib.blake2b(x, digest_size=16).digest() for x in sets]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sets, pa.binary())], names=schema.names)
+
+    made = hashed.filter(F.col("node").isNotNull()).mapInArrow(tidy(run), schema)
     return made.join(wanted, ["node", "key"]).select("node", "shingles")  # of one id's texts, the node's own
 
 
@@ -264,7 +259,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 good.append(100 * shared >= percent * (len(a) + len(b) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["node", "other"]).filter(pa.array(good, pa.bool_()))
 
-    return both.mapInArrow(run, "node long, other long")
+    return both.mapInArrow(tidy(run), "node long, other long")
 
 
 def _rarity(sets: DataFrame) -> np.ndarray:
@@ -277,7 +272,7 @@ def _rarity(sets: DataFrame) -> np.ndarray:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["at", "n"])
 
-    found = sets.select("shingles").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    found = sets.select("shingles").mapInArrow(tidy(run), "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << COUNTER_BITS, np.int64)
     out[found["at"].to_numpy()] = found["n"].to_numpy()
     return out
@@ -309,7 +304,7 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.repeat(np.array(sizes, np.int32), taken)),
                                                   *[pa.array(np.concatenate(c)) for c in (tokens, places, short)]], names=names)
 
-    return sets.select("node", "root", "shingles").mapInArrow(run, "node long, root long, n int, token long, place int, short boolean")
+    return sets.select("node", "root", "shingles").mapInArrow(tidy(run), "node long, root long, n int, token long, place int, short boolean")
 
 
 def _rare_pairs(sets: DataFrame, percent: int) -> DataFrame:
