@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from wickerwork.functions.text import fold, price_limit, spoken_price
 from wickerwork.operators import catalog as C
 from wickerwork.operators import search as S
@@ -145,3 +146,17 @@ def test_scores_far_below_the_best_are_no_rows(spark, monkeypatch):
     assert near.filter("query = 1").count() < 400 < 2000 == every.filter("query = 1").count()
     kept = lambda found: sorted(map(tuple, S.sort_results(found, "value-asc", items).select("query", "item", "score", "place").collect()))
     assert len(kept(near)) == 2020 and kept(near) == kept(every)
+
+
+def test_no_plan_holds_all_steps_of_parsing(spark):
+    weights = spark.createDataFrame([(t, 1, 1.0) for t in TERMS], "term string, d int, weight double")
+    names = spark.createDataFrame([("tag:mill", "library grinder")], "term string, name string")
+    groups = S.parse(spark.createDataFrame(list(enumerate(QUERIES)), "query int, text string"), names, weights)
+    assert groups._jdf.queryExecution().executedPlan().toString().count("Exchange") < 20
+
+
+def test_parts_of_the_same_text_are_parsed_once(spark, folder, monkeypatch):
+    seen, real = [], S.parse
+    monkeypatch.setattr(S, "parse", lambda queries, *more: seen.append(queries) or real(queries, *more))
+    assert entry.queries()["n8_parsed_queries"](spark, folder).count() > 0
+    assert seen[0].count() == seen[0].select("text").distinct().count()

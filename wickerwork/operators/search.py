@@ -154,6 +154,7 @@ def phrase_hits(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(query, term): terms a query's words hold as whole words, plurals allowed. texts(query, words array), terms(term,
     phrase). Runs of words are joined to the spellings of the phrases: no query is compared with every term."""
     known = terms.select("term", F.explode(forms(F.col("phrase"))).alias("gram")).withColumn("len", F.size(F.split("gram", " ")))
+    known = cut_lineage(known, "spellings")
     lengths = known.agg(F.array_sort(F.collect_set("len"))).scalar()
     cut = texts.filter(F.size("words") > 0).select("query", "words").withColumn("_l", lengths)
     runs = (cut.select("query", "words", F.explode("_l").alias("len")).filter(F.size("words") >= F.col("len"))
@@ -178,29 +179,35 @@ def named_terms(spoken: DataFrame, matched: DataFrame, terms: DataFrame) -> Data
     none = F.array().cast("array<string>")
     texts = texts.select("query", "raw", (verb > 0).alias("has_verb"), F.when(verb > 0, onward(verb + 1)).when(noun > 0, before(noun)).otherwise(none).alias("token"),
                          F.when(verb > 0, before(verb)).when(noun > 0, onward(noun)).otherwise(F.col("raw")).alias("rest"))
+    texts = cut_lineage(texts, "left-words")
     colors = spark.createDataFrame(list(COLOR_WORDS.items()), "phrase string, term string")
     token_terms = (colors.select(F.concat(F.lit("token:"), "term").alias("term"), "phrase")
                    .unionByName(terms.filter(F.col("term").startswith("token:") & (F.length("term") > 7)).select("term", F.expr("substring(term, 7)").alias("phrase"))))
-    made = phrase_hits(texts.select("query", F.col("token").alias("words")), token_terms)
+    made = cut_lineage(phrase_hits(texts.select("query", F.col("token").alias("words")), token_terms), "made")
     any_made = made.select("query").distinct().withColumn("_t", F.lit(True))
     texts = texts.join(any_made, "query", "left").withColumn("clause", F.col("has_verb") | F.coalesce("_t", F.lit(False)))
-    card = texts.select("query", F.when(F.col("clause"), F.col("rest")).otherwise(F.col("raw")).alias("words"))
+    texts = cut_lineage(texts.select("query", "clause", F.when(F.col("clause"), F.col("rest")).otherwise(F.col("raw")).alias("words")), "clauses")
     plain = terms.filter((F.length("term") > 1) & ~F.col("term").rlike("^(CMC_|tag:|token:)")).select("term", F.col("term").alias("phrase"))
-    single = (phrase_hits(card, colors.select("term", "phrase").unionByName(plain)).unionByName(made)
-              .unionByName(texts.filter("clause").select("query", F.lit("Token Creation").alias("term"))).distinct())
     values = spark.createDataFrame([(b, w) for ws, bs in VALUE_WORDS for w in ws for b in bs], "term string, phrase string")
-    buckets = phrase_hits(card, values).withColumn("grp", F.lit("value"))
+    # words and mana values are looked up at once
+    wanted = colors.select("term", "phrase").unionByName(plain).withColumn("_value", F.lit(False)).unionByName(values.withColumn("_value", F.lit(True)))
+    hits = cut_lineage(phrase_hits(texts.select("query", "words"), wanted.select(F.struct("term", "_value").alias("term"), "phrase")).select("query", "term.*"), "phrase-hits")
+    single = (hits.filter("not _value").select("query", "term").unionByName(made)
+              .unionByName(texts.filter("clause").select("query", F.lit("Token Creation").alias("term"))).distinct())
+    buckets = hits.filter("_value").withColumn("grp", F.lit("value"))
     rows = single.withColumn("grp", F.concat(F.lit("term:"), "term")).join(terms.select("term"), "term", "left_semi")
     return rows.select("query", "grp", "term", F.lit(1.0).alias("credit")).unionByName(buckets.select("query", "grp", "term", F.lit(1.0).alias("credit")))
 
 
 def parse(queries: DataFrame, tag_names: DataFrame, weights: DataFrame) -> DataFrame:
-    """(query, grp, term, credit): the feature groups of each query."""
-    variants = tag_variants(tag_names)
+    """(query, grp, term, credit): the feature groups of each query. Each step is staged, so that no plan holds the steps before it:
+    what a driver needs for a plan grows with the plan, and again with each of its shuffles and tasks."""
+    variants = cut_lineage(tag_variants(tag_names), "variants")
+    weights = cut_lineage(weights.select("term", "weight"), "weights")
     spoken = spoken_words(queries, variants)
-    matched = cut_lineage(matched_tags(query_words(spoken, variants), variants))
-    terms = weights.select("term")
-    return tag_groups(matched, weights).unionByName(named_terms(spoken, matched, terms))
+    qwords = cut_lineage(query_words(spoken, variants), "query-words")
+    matched = cut_lineage(matched_tags(qwords, variants), "matched")
+    return tag_groups(matched, weights).unionByName(named_terms(spoken, matched, weights.select("term")))
 
 
 def score(groups: DataFrame, postings: DataFrame, weights: DataFrame, near: float = 0.0) -> DataFrame:
