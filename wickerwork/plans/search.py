@@ -101,7 +101,8 @@ def _(t):
                                     F.lit(" that makes "), noun, F.lit(" tokens")).alias("text"))
     weights = terms(t).select("term", F.lit(1.0).alias("weight"))
     none = t.read("part").select(F.lit("tag:zz").alias("term"), F.lit("zz").alias("name")).distinct()
-    return S.parse(queries, none, weights)
+    texts, askers = S.different_texts(queries)
+    return S.for_askers(S.parse(texts, none, weights), askers)
 
 
 @query("n4_phrases_in_queries", """WITH w AS (SELECT DISTINCT p_name AS term FROM part) SELECT basket AS query, item AS term FROM bi
