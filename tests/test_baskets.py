@@ -359,6 +359,14 @@ def test_recipes_are_matched_in_the_baskets_own_rows(spark, monkeypatch):
     assert max(df.count() for df in staged) < 50 * 20  # neither what a basket nearly holds nor its items one by one
 
 
+def test_near_recipes_shuffle_no_names(spark):
+    items = spark.createDataFrame([(b, f"item {(b + i) % 9}") for b in range(20) for i in range(4)], "query int, item string")
+    rows = spark.createDataFrame([(r, f"item {(r * k) % 9}") for r in range(1, 9) for k in (1, 2, 4)], "recipe int, item string")
+    found = R.near_recipes(items, rows, spark.createDataFrame([(r, 1) for r in range(1, 9)], "recipe int, baskets long"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() > 0 and "items:array<int>" in plan and "array<string>" not in plan
+
+
 def test_similar_sets_go_by_numbers_and_lose_no_pair(spark):
     import random
     from wickerwork.operators.setjoin import similar_sets
