@@ -166,14 +166,18 @@ def reprints(variants: DataFrame, on_days: DataFrame, last: Column, new: int = 1
     return rows.filter(F.least("was", "now") >= MIN_MOVER).select("item", "variant", "newest", "out", "was", "now", "fresh")
 
 
-def basket_value(items: DataFrame, named: DataFrame, variant_prices: DataFrame, cheapest_prices: DataFrame, now: str = "now",
+def _named(items: DataFrame | None, named: DataFrame) -> DataFrame:
+    return named if items is None else items.join(named, ["basket", "item"], "left")
+
+
+def basket_value(items: DataFrame | None, named: DataFrame, variant_prices: DataFrame, cheapest_prices: DataFrame, now: str = "now",
                  then: str = "w30") -> DataFrame:
     """Each basket's worth now, and its change over the items priced both then and now, risers and fallers counted.
     items(basket, item), named(basket, item, set, number, finish), variant_prices(item, set, number, finish, now, then),
-    cheapest_prices(item, now, then). A named variant counts only if it is that item."""
+    cheapest_prices(item, now, then). A named variant counts only if it is that item. Without items, ``named`` has all of them."""
     own = variant_prices.select("item", "set", "number", "finish", F.col(now).alias("_n"), F.col(then).alias("_t"), F.lit(True).alias("_own"))
     low = cheapest_prices.select("item", F.col(now).alias("_cn"), F.col(then).alias("_ct"))
-    rows = (items.join(named, ["basket", "item"], "left").join(own, ["item", "set", "number", "finish"], "left").join(low, "item", "left")
+    rows = (_named(items, named).join(own, ["item", "set", "number", "finish"], "left").join(low, "item", "left")
             .withColumn("n", F.when(F.col("_own"), F.col("_n")).otherwise(F.col("_cn")))
             .withColumn("t", F.when(F.col("_own"), F.col("_t")).otherwise(F.col("_ct"))))
     both = F.col("n").isNotNull() & F.col("t").isNotNull()
@@ -184,10 +188,11 @@ def basket_value(items: DataFrame, named: DataFrame, variant_prices: DataFrame,
         F.count(F.when(up & (F.col("n") > F.col("t")), 1)).alias("risers"), F.count(F.when(up & (F.col("n") < F.col("t")), 1)).alias("fallers"))
 
 
-def resolve_named(items: DataFrame, named: DataFrame, variant_prices: DataFrame, cheapest_prices: DataFrame) -> DataFrame:
-    """(basket, item, cents, exact): the named variant's price where it is a variant of that item, else the cheapest."""
+def resolve_named(items: DataFrame | None, named: DataFrame, variant_prices: DataFrame, cheapest_prices: DataFrame) -> DataFrame:
+    """(basket, item, cents, exact): the named variant's price where it is a variant of that item, else the cheapest. Without items,
+    ``named`` has all of them."""
     own = variant_prices.select("item", "set", "number", "finish", F.col("now").alias("_n"))
-    rows = items.join(named, ["basket", "item"], "left").join(own, ["item", "set", "number", "finish"], "left").join(
+    rows = _named(items, named).join(own, ["item", "set", "number", "finish"], "left").join(
         cheapest_prices.select("item", F.col("now").alias("_c")), "item", "left")
     return rows.select("basket", "item", F.coalesce("_n", "_c").alias("cents"), F.col("_n").isNotNull().alias("exact"))
 

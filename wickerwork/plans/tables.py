@@ -131,9 +131,13 @@ class Tables:
     @cached_property
     def shipped(self) -> DataFrame:
         """The longer price table: variant, item, set, finish, day, cents, the cheapest line of a part and day."""
-        return (self.lines.groupBy(F.col("l_partkey").alias("variant"), "item", F.col("p_brand").alias("set"),
-                                   F.to_date("l_shipdate").alias("day"))
-                .agg(half_even(F.min(F.col("l_extendedprice") / F.col("l_quantity")) * 100).cast("long").alias("cents")))
+        sold = self.read("lineitem").select(F.col("l_orderkey").alias("basket"), F.col("l_partkey").alias("variant"), "l_shipdate", "l_extendedprice", "l_quantity")
+        sold = self.dealt(sold, "basket").join(self.baskets.select("basket"), "basket")
+        part = self.read("part").select(F.col("p_partkey").alias("variant"), F.col("p_name").alias("item"), F.col("p_brand").alias("set"))
+        # lines are dealt by part last and stay there: series are joined to themselves, summed and named in the same tasks
+        return (self.dealt(sold.drop("basket"), "variant").groupBy("variant", F.to_date("l_shipdate").alias("day"))
+                .agg(half_even(F.min(F.col("l_extendedprice") / F.col("l_quantity")) * 100).cast("long").alias("cents"))
+                .join(part, "variant").select("variant", "item", "set", "day", "cents"))
 
     # ---- text ---------------------------------------------------------------------------------------------
     @cached_property
